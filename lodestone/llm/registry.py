@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import topk
+from lodestone.llm import packing, simhash, topk
 
 
 def queries():
     return {
+        "op3_simhash": simhash.op3_simhash,
         "op4_topk": topk.op4_topk,
+        "op6_packing": packing.op6_packing,
     }
 
 
