@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lodestone.llm import packing, simhash, topk
+from lodestone.llm import langid, packing, simhash, substrings, topk, toxicity
 
 
 def queries():
     return {
+        "op1_langid": langid.op1_langid,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_topk": topk.op4_topk,
         "op6_packing": packing.op6_packing,
+        "op9_substrings": substrings.op9_substrings,
     }
 
 
 def oracle_sql():
-    return {"op4_topk": topk.SQL}
+    return {"op4_topk": topk.SQL, "op9_substrings": substrings.SQL}

@@ -27,13 +27,15 @@ LEXICON = {
     "insult_es": "idiota imbécil estúpido estúpida basura asqueroso inútil payaso escoria tonto",
     "profanity": "damn shit fuck fucking bitch bastard crap ass asshole hell",
 }
+# Patterns, each with words or strings of which a text must have one to be searched at all.
 PATTERNS = {
-    "shouting": r"(?:\b[^\W\d_a-z]{3,}\b\W+){4}",
-    "bangs": r"!!",
-    "second_person": r"(?i)\b(?:you|du|tu|vous|usted)\b\W+(?:\w+\W+){0,3}(?:idiot\w*|moron|stupid|loser|scum|trash|clown)\b",
-    "addressed": r"(?i)\b(?:shut up|get lost|go away|hate you|nobody likes)\b",
-    "masked": r"\b\w+[*#@$]{2,}\w+\b",
+    "bangs": (r"!!", ["!!"]),
+    "second_person": (r"\b(?:you|du|tu|vous|usted)\b\W+(?:\w+\W+){0,3}(?:idiot\w*|moron|stupid|loser|scum|trash|clown)\b", {"idiot", "idiots", "moron", "stupid", "loser", "scum", "trash", "clown"}),
+    "addressed": (r"\b(?:shut up|get lost|go away|hate you|nobody likes)\b", {"shut", "lost", "away", "hate", "nobody"}),
+    "masked": (r"\b\w+[*#@$]{2,}\w+\b", ["**", "##", "@@", "$$"]),
 }
+#: Share of capitals among ASCII letters from which a text counts as shouted.
+SHOUTED = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,18 +63,27 @@ class Voters:
                 self.by_word.setdefault(w, []).append(len(self.names))
             self.names.append(name)
         self.patterns = []
-        for name, p in PATTERNS.items():
-            self.patterns.append((len(self.names), p))
+        for name, (p, gate) in PATTERNS.items():
+            self.patterns.append((len(self.names), re.compile(p), gate))
             self.names.append(name)
+        self.shouting = len(self.names)
+        self.names.append("shouting")
         for w in mined:
             self.by_word.setdefault(w, []).append(len(self.names))
             self.names.append(w)
 
     def __call__(self, text: str) -> tuple[list[int], np.ndarray]:
         """(voters that fire, hashed slots of the distinct words)."""
-        words = words_of(text)
+        lower = text.lower()
+        words = set(_WORD.findall(lower))
         fired = {v for w in words & self.by_word.keys() for v in self.by_word[w]}
-        fired.update(v for v, p in self.patterns if re.search(p, text))
+        for v, p, gate in self.patterns:
+            if (words & gate if isinstance(gate, set) else any(x in lower for x in gate)) and p.search(lower):
+                fired.add(v)
+        if (letters := np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)).size:
+            capital = int(((letters >= 65) & (letters <= 90)).sum())
+            if capital >= 12 and capital > SHOUTED * (capital + int(((letters >= 97) & (letters <= 122)).sum())):
+                fired.add(self.shouting)
         slots = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % SLOTS
         return sorted(fired), slots
 
