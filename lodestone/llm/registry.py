@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, packing, simhash, substrings, topk, toxicity
+from lodestone.llm import langid, licenses, packing, simhash, substrings, topk, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_topk": topk.op4_topk,
+        "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
         "op9_substrings": substrings.op9_substrings,
     }
