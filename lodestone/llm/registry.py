@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, licenses, packing, simhash, substrings, topk, toxicity
+from lodestone.llm import langid, licenses, packing, simhash, substrings, surrogates, topk, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_topk": topk.op4_topk,
         "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
+        "op7_surrogates": surrogates.op7_surrogates,
         "op9_substrings": substrings.op9_substrings,
     }
 
