@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, licenses, packing, simhash, substrings, surrogates, topk, toxicity
+from lodestone.llm import audio, langid, licenses, packing, segmentation, simhash, substrings, surrogates, topk, toxicity
 
 
 def queries():
@@ -14,7 +14,9 @@ def queries():
         "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
         "op7_surrogates": surrogates.op7_surrogates,
+        "op8_segmentation": segmentation.op8_segmentation,
         "op9_substrings": substrings.op9_substrings,
+        "op10_audio": audio.op10_audio,
     }
 
 
