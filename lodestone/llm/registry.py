@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm import audio, langid, licenses, packing, segmentation, simhash, substrings, surrogates, topk, toxicity
 
 
@@ -17,6 +18,7 @@ def queries():
         "op8_segmentation": segmentation.op8_segmentation,
         "op9_substrings": substrings.op9_substrings,
         "op10_audio": audio.op10_audio,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -93,12 +93,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
-def _masks(blocks: int, radius: int) -> list[int]:
-    """Masks of every choice of blocks - radius blocks: of two fingerprints within the radius at
-    least that many blocks agree, so they agree under one of the masks."""
+def _masks(blocks: int, agree: int) -> list[int]:
+    """Masks of every choice of ``agree`` blocks. Two fingerprints that differ in at most
+    blocks - agree bits agree on that many blocks at least, so under one of the masks."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(parts, blocks - radius)]
+    return [sum(c) for c in combinations(parts, agree)]
 
 
 def _linked(radius):
@@ -145,17 +145,18 @@ def _linked(radius):
     return run
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int = 4, tree: int = TREE) -> DataFrame:
-    """Edges (a, b) that connect all pairs of distinct fingerprints (column fp) within the radius.
+def links(fps: DataFrame, radius: int = 2, blocks: int = 4, agree: int = 2, tree: int = TREE) -> DataFrame:
+    """Edges (a, b) that connect pairs of distinct fingerprints (column fp) within the radius: all
+    pairs of up to blocks - agree differing bits, so simply all if that is the radius.
 
-    Fingerprints are dealt to shards by each choice of blocks - radius of their blocks. A shard is
+    Fingerprints are dealt to shards by each choice of ``agree`` of their ``blocks``. A shard is
     cut into trees of about ``tree`` members, and each tree meets each part of its shard once, so
     that neither a popular block nor a large group of copies is gathered in one task. The trees
     travel with the shuffle to their probes, as no bound is known for all of them together. A
     tree's part of the answer is a spanning forest of its links, so there are fewer edges than
     members; the components are those of all links.
     """
-    shards = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_masks(blocks, radius))])
+    shards = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_masks(blocks, agree))])
     keyed = fps.select("fp", F.explode(shards).alias("s")).select("fp", "s.t", "s.k")
     sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = keyed.join(sizes, ["t", "k"]).withColumn("cuts", F.ceil(F.col("n") / tree).cast("int"))
@@ -166,7 +167,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, tree: int = TREE) ->
     return dealt.mapInArrow(_linked(radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, tree: int = TREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, tree: int = TREE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Rows link at ``radius`` or fewer differing fingerprint bits, directly or through others;
@@ -176,13 +177,25 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     """
     marked = materialised(fingerprints(docs, words))
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(groups.select("fp"), radius, blocks, tree))
+    joined = components(links(groups.select("fp"), radius, blocks, agree, tree))
     labelled = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     named = labelled.join(lowest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest
+    doc_id stays, once if it is repeated. Rows without a doc_id stay. ``how``: as near_duplicates."""
+    found = near_duplicates(docs.where("doc_id is not null"), **how)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    if first.where("n > 1").limit(1).count():
+        again = first.where("n > 1").select("doc_id")
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, 2 bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
