@@ -31,7 +31,7 @@ class Encoder:
 
     Byte-level BPE merges never cross its pre-tokens, and a blank before a visible character
     always starts a pre-token; so a text is the chain of chunks cut there, and the ids of a chunk
-    can be kept. Chunks not met before are encoded in one batch.
+    can be kept.
     """
 
     def __init__(self, path: str):
@@ -42,9 +42,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = np.uint32(self.tokenizer.token_to_id(SPECIAL)).tobytes() if self.tokenizer.token_to_id(SPECIAL) is not None else None
+        self.ranked = self._ranked(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ranked(self, path: str):
+        """The same vocabulary and merges in tiktoken, which merges a new chunk in under half the
+        time; None if the merges of the file are not in the order of their ids."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merged = [vocab["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            return None
+        # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def fresh(self, chunks: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            run = self.ranked.encode_ordinary
+            return [run(x) for x in chunks]
+        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in run(chunks, add_special_tokens=False)]
+
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
@@ -73,11 +101,10 @@ class Encoder:
         fresh = {}
         if missing:
             todo = list(missing)
-            run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
             for at in range(0, len(todo), 20_000):
                 some = todo[at : at + 20_000]
-                for x, e in zip(some, run(some, add_special_tokens=False)):
-                    (young if len(x) <= 64 else fresh)[x] = array("I", e.ids).tobytes()
+                for x, ids in zip(some, self.fresh(some)):
+                    (young if len(x) <= 64 else fresh)[x] = array("I", ids).tobytes()
         out = []
         for parts in split:
             done = [b"".join([young[x] if x in young else fresh[x] for x in part]) for part in parts]
