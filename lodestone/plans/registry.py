@@ -22,13 +22,19 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from lodestone.plans import table_queries  # noqa: F401  registers itself
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["usage_anti_join"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
