@@ -57,7 +57,12 @@ def manifests(files: DataFrame) -> DataFrame:
     kind = "struct<name:string,dependencies:map<string,string>,devDependencies:map<string,string>,peerDependencies:map<string,string>,optionalDependencies:map<string,string>>"
     parsed = files.where(F.col("path").endswith("package.json")).select(F.regexp_replace("path", "/?package.json$", "").alias("package_dir"), F.from_json(F.decode("content", "UTF-8"), kind).alias("m"))
     sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-    pairs = F.concat(*[F.transform(F.coalesce(F.map_keys(f"m.{s}"), F.array().cast("array<string>")), lambda k, s=s: F.struct(k.alias("dep"), F.lit(s).alias("section"))) for s in sections])
+
+    def named(section):
+        keys = F.coalesce(F.map_keys(f"m.{section}"), F.array().cast("array<string>"))
+        return F.transform(keys, lambda k: F.struct(k.alias("dep"), F.lit(section).alias("section")))
+
+    pairs = F.concat(*[named(s) for s in sections])
     return parsed.select("package_dir", F.col("m.name").alias("package"), F.explode(pairs).alias("p")).select("package_dir", "package", "p.dep", "p.section")
 
 
