@@ -182,7 +182,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                 lo[~reached] = -reach
             open_ &= reached & (width > 1)
             sent.unpersist()
-            hi = np.where(open_, lo + width, hi)
+            hi = np.where(open_, lo + width, lo)  # a query that is done counts no more
             width = np.array([max(1, -(-int(w) // bins)) for w in width], kind)
         sent = spark.sparkContext.broadcast((block, lo, exact))
         parts.append(vectors.mapInArrow(_filter(scale, sent, k), "q int, query_id long, vec_id long, score long"))
