@@ -104,7 +104,7 @@ TEMPLATES = (
 )
 #: Wordings of licenses themselves: (label, keyword, expression).
 TEXTS = (
-    ("mit", "sublicense", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd-2", "redistribution", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-3", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
