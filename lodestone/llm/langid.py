@@ -72,14 +72,18 @@ class Model:
     def _build(self, lang, gram, n, least, cells) -> bool:
         size, L = DEPTH, len(self.languages)
         levels = {}
+        keys = np.zeros(0, np.int64)
         for k in range(size, 0, -1):  # a shorter sequence's counts are those of the ways it ends
-            keys, at = np.unique(gram & ((1 << 8 * k) - 1), return_inverse=True)
-            table = np.zeros((len(keys), L))
+            ends, at = np.unique(gram & ((1 << 8 * k) - 1), return_inverse=True)
+            table = np.zeros((len(ends), L))
             np.add.at(table, (at, lang), n)
-            levels[k] = (keys, table)
-            if k > 1:
-                kept = table.sum(axis=1) >= least
-                levels[k] = (keys[kept], table[kept])
+            kept = table.sum(axis=1) >= (least if k > 1 else 0)
+            # Beginnings and ends of the longer ones belong to the trie, even if nothing was counted.
+            keys = np.unique(np.concatenate([ends[kept], keys >> 8, keys & ((1 << 8 * k) - 1)]))
+            counts = np.zeros((len(keys), L))
+            there = np.isin(ends, keys)
+            counts[np.searchsorted(keys, ends[there])] = table[there]
+            levels[k] = (keys, counts)
         seen = levels[1][0]
         width = len(seen) + 1
         if max(len(levels[size][0]) * L, (len(levels[size - 1][0]) + 1) * width) > cells and least < 1 << 40:
