@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import materialised, table
+
 #: Labelled rows that are learned from at most (in expectation, picked by a hash of doc_id).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 #: Voters that are single words found in the sample, at most.
 MINED = 400
 #: Slots of hashed words of the linear classifier.
@@ -156,21 +158,21 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """Learns from ``labelled`` (doc_id, text, toxic); rows with a null toxic are left out.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
+    """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) has a label for;
+    rows with a null id or label are left out, and of several labels the highest counts.
 
-    Words that stand out in toxic rows become voters of their own beside the hand-written ones;
-    they are counted in Spark over the bounded sample. Only the sample's votes and hashed words
-    reach the driver. Without any labelled row every score is 0.
+    The sample is picked by a hash of doc_id on both sides before they are joined, so only its
+    own texts are moved. Words that stand out in toxic rows become voters of their own beside the
+    hand-written ones; they are counted in Spark. Only the sample's votes and hashed words reach
+    the driver. Without any labelled row every score is close to 0.
     """
-    spark = labelled.sparkSession
-    labelled = labelled.where("toxic is not null").select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    total = labelled.count()
-    if not total:
-        return Classifier(Voters([]), np.zeros(SLOTS + len(Voters([]).names)), -30.0)
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, sample_rows / total) * (1 << 30)))
-    base = picked.select("toxic").groupBy("toxic").count().collect()
-    rows = {r["toxic"]: r["count"] for r in base}
+    spark = docs.sparkSession
+    given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    total = given.count()
+    near = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 30))
+    picked = materialised(docs.where(near).select("doc_id", "text").join(given.where(near), "doc_id"))
+    rows = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     counts = picked.select("text", "toxic").mapInArrow(_mined, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = F.log((F.col("toxic") + 0.5) / (rows.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (rows.get(0, 0) + 1))
     best = counts.where("toxic >= 3").withColumn("lift", lift).where("lift > 2").orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "word").limit(MINED).collect()
@@ -180,7 +182,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     if not len(seen):
         return Classifier(voters, np.zeros(SLOTS + len(voters.names)), -30.0)
     labels = seen["toxic"].to_numpy()
-    votes = np.zeros((len(seen), len(voters.names)))
+    votes = np.zeros((len(seen), len(voters.names)), np.float32)
     for i, f in enumerate(seen["fired"]):
         votes[i, np.asarray(f, np.int64)] = 1
     posterior, _, _ = label_model(votes, labels)
@@ -212,18 +214,24 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_scored(sent), "doc_id long, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a label, without those that are held out (crc32 of doc_id mod 4 is 2)."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    given = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out).select("doc_id", "text").join(given.where(~held_out), "doc_id")
+def _passed(sent, threshold, at):
+    def run(batches):
+        model = sent.value
+        for b in batches:
+            yield b.filter(pa.array([model.score(x) < threshold for x in b.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def reject(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (text, and any others) that score below ``threshold``, unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_passed(sent, threshold, docs.columns.index("text")), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled rows that are not held out."""
-    from lodestone.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = train(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
