@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, materialised, table
+from lodestone.llm.common import components, materialised, spread, table
 
 SEED = 42
 #: Fingerprints of one shard tree; larger shards are cut into trees of this size.
@@ -75,6 +75,43 @@ class BKTree:
         return found
 
 
+class FlatTree:
+    """A BK-tree as arrays, to be searched for many probes at once.
+
+    A round holds (probe, node) pairs: it measures them, keeps those within the radius, and goes on
+    to the children on edges within the radius of the measured distance.
+    """
+
+    def __init__(self, tree: BKTree):
+        values, edges, begin, count, at = [], [], [], [], 0
+        todo = [(tree.root, 0)] if tree.root else []
+        while at < len(todo):  # breadth first: the children of a node lie side by side
+            (value, children), edge = todo[at]
+            values.append(value)
+            edges.append(edge)
+            begin.append(len(todo))
+            count.append(len(children))
+            todo += [(c, d) for d, c in children.items()]
+            at += 1
+        self.values = np.array(values, np.uint64)
+        self.edges, self.begin, self.count = (np.array(x, np.int64) for x in (edges, begin, count))
+
+    def within(self, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probe index, node index) of all pairs at ``radius`` or fewer bits."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        probe, node = np.arange(len(probes)), np.zeros(len(probes), np.int64)
+        while len(probe) and len(self.values):
+            d = np.bitwise_count(probes[probe] ^ self.values[node]).astype(np.int64)
+            hit = d <= radius
+            found.append((probe[hit], node[hit]))
+            n = self.count[node]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            probe, node, d = np.repeat(probe, n), np.repeat(self.begin[node], n) + nth, np.repeat(d, n)
+            go = np.abs(self.edges[node] - d) <= radius
+            probe, node = probe[go], node[go]
+        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -101,8 +138,39 @@ def _masks(blocks: int, agree: int) -> list[int]:
     return [sum(c) for c in combinations(parts, agree)]
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n nodes is connected with by the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _linked(radius):
+    def many(tree_fps, probe_fps):
+        tree = BKTree()
+        for x in tree_fps:
+            tree.add(x)
+        flat, probes = FlatTree(tree), np.array(probe_fps, np.uint64)
+        every, at = np.unique(np.concatenate([flat.values, probes]), return_inverse=True)
+        label = np.arange(len(every))
+        for begin in range(0, len(probes), 128):  # bounds the pairs that are held
+            probe, node = flat.within(probes[begin : begin + 128], radius)
+            a, b = at[len(flat.values) + begin + probe], at[node]
+            known = np.nonzero(label != np.arange(len(every)))[0]
+            label = _labels(len(every), np.concatenate([a, known]), np.concatenate([b, label[known]]))
+        moved = np.nonzero(label != np.arange(len(every)))[0]
+        return list(zip(every[moved].astype(np.int64).tolist(), every[label[moved]].astype(np.int64).tolist()))
+
     def forest(tree_fps, probe_fps):
+        if len(tree_fps) * len(probe_fps) > 1024:
+            return many(tree_fps, probe_fps)
         parent = {}
 
         def top(x):
@@ -153,8 +221,8 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, agree: int = 2, tree
     cut into trees of about ``tree`` members, and each tree meets each part of its shard once, so
     that neither a popular block nor a large group of copies is gathered in one task. The trees
     travel with the shuffle to their probes, as no bound is known for all of them together. A
-    tree's part of the answer is a spanning forest of its links, so there are fewer edges than
-    members; the components are those of all links.
+    tree's part of the answer is a forest that connects what its links connect, so there are fewer
+    edges than members; an edge says that two are connected, not how far apart they are.
     """
     shards = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_masks(blocks, agree))])
     keyed = fps.select("fp", F.explode(shards).alias("s")).select("fp", "s.t", "s.k")
@@ -198,5 +266,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, 2 bits."""
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
