@@ -213,9 +213,9 @@ def rendered(vectors: DataFrame, note: float = 0.0625, rate: int = RATE) -> Data
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint classes of the melodies of all embeddings; for the classes of those whose id is
     divisible by 50, how many other classes align with them and which aligns best."""
-    from lodestone.llm.common import table
+    from lodestone.llm.common import spread, table
 
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     members, pairs = matches(fingerprints(rendered(vectors)), vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("rec_id")))
     best = Window.partitionBy("query_class").orderBy("bit_error", F.desc("votes"), "class_id")
     links = pairs.withColumn("n", F.row_number().over(best)).groupBy("query_class").agg(

@@ -225,9 +225,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose crc32 mod 3 is not 1."""
-    from lodestone.llm.common import table
+    from lodestone.llm.common import spread, table
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = train(docs.where(~held_out))
     return identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

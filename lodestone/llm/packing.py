@@ -233,6 +233,6 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 1024 ids of the 50k byte-level vocabulary."""
     import public_tokenizers
 
-    from lodestone.llm.common import table
+    from lodestone.llm.common import spread, table
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -282,7 +282,7 @@ def op8_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every document in the 32k piece vocabulary, as digests."""
     import public_tokenizers
 
-    from lodestone.llm.common import table
+    from lodestone.llm.common import spread, table
 
-    found = digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"))
     return found.withColumn("scores", F.array_join(F.transform("scores", lambda x: x.cast("decimal(20,3)").cast("string")), ","))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised, table
+from lodestone.llm.common import materialised, spread, table
 
 #: Labelled rows that are learned from at most (in expectation, picked by a hash of doc_id).
 SAMPLE_ROWS = 12_000
@@ -231,7 +231,7 @@ def reject(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) ->
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled rows that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = train(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
