@@ -11,7 +11,6 @@ coordinates and merges overlapping ones into the spans to remove.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ ANCHOR = 12
 BLOCK = 1 << 17
 #: Keys that a task gathers before it deals them out.
 FLUSH = 1 << 21
-#: Parts for each shuffle partition; one part is resolved at a time, which bounds memory.
-PARTS = 16
+#: Parts for each shuffle partition; one part is resolved at a time.
+PARTS = 1
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -87,11 +86,30 @@ def _windows(words: np.ndarray, window: int) -> np.ndarray:
     return _rolled(words, window, _BASES[1])
 
 
+def _batch(kind: int, part: np.ndarray, keys: np.ndarray, rows: np.ndarray, twice: np.ndarray):
+    """Entries as one row of packed arrays for each part. kind: 0 for answers, 1 for questions."""
+    order = np.argsort(part, kind="stable") if kind else np.lexsort((rows, part))
+    part, keys, rows = part[order], keys[order], rows[order]
+    twice = twice[order] if kind else np.zeros(0, bool)
+    cut = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(part))
+    packed = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()) for x in (keys, rows, twice)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind, np.int32)), pa.array(part[cut].astype(np.int32)), *packed], names=_NAMES)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x.view(_U) * _U(0x9E3779B97F4A7C15)) >> _U(33)
+
+
+_NAMES = ["kind", "part", "keys", "rows", "twice"]
+_DEALT = "kind int, part int, keys binary, rows binary, twice binary"
+
+
 class _Dealer:
     """Gathers keys of rows and deals them to parts by key, one row of packed arrays for each part.
 
-    A key met twice by this task is known to repeat: every row that has it is still told, but by
-    one entry for each row; of its other occurrences nothing more is sent.
+    A key met twice by this task is known to repeat: its rows here are answered at once, and one
+    flagged entry tells the others. So a reducer gets a key once from each task at most.
     """
 
     def __init__(self, parts: int):
@@ -105,47 +123,22 @@ class _Dealer:
         self.size += len(keys)
 
     def deal(self):
-        keys, rows, twice = (np.concatenate(x) for x in (self.keys or [np.zeros(0, _U)], self.rows or [np.zeros(0, np.int64)], self.twice or [np.zeros(0, bool)]))
+        if not self.size:
+            return
+        keys, rows, twice = (np.concatenate(x) for x in (self.keys, self.rows, self.twice))
         self.keys, self.rows, self.twice, self.size = [], [], [], 0
-        part = (keys >> _U(20)) % _U(self.parts)
-        order = np.lexsort((keys, part))
-        keys, rows, twice, part = keys[order], rows[order], twice[order], part[order]
-        # All that this task has of a repeated key is answered here; one flagged entry tells the others.
-        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        order = np.argsort(keys, kind="stable")
+        keys, rows, twice = keys[order], rows[order], twice[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
         group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1) > 1
-        known = (np.bincount(group, twice, minlength=1) > 0) | many
-        here = known[group] if len(keys) else np.zeros(0, bool)
-        yield from _answers(rows[here], keys[here])
-        send = new
-        cut = np.nonzero(np.concatenate([[True], part[send][1:] != part[send][:-1]]))[0] if send.any() else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], int(send.sum()))
-        k, r, t, p = keys[send], rows[send], here[send], part[send]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(p[cut].astype(np.int32)), pa.array([k[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-                pa.array([r[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([t[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
-            ],
-            names=["part", "keys", "rows", "twice"],
-        )
-
-
-def _answers(rows: np.ndarray, keys: np.ndarray):
-    """Repeated keys by row, in the form of dealt parts (part -1, the row's number as its rows)."""
-    if not len(rows):
-        return
-    order = np.argsort(rows, kind="stable")
-    rows, keys = rows[order], keys[order]
-    cut = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
-    ends = np.append(cut[1:], len(rows))
-    n = len(cut)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, -1, np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([rows[a : a + 1].tobytes() for a in cut], pa.binary()), pa.array([b""] * n, pa.binary())],
-        names=["part", "keys", "rows", "twice"],
-    )
+        known = ((np.bincount(group) > 1) | (np.bincount(group, twice) > 0))[group]
+        yield _answers(self.parts, rows[known], keys[known])
+        yield _batch(1, _mixed(keys[new]) % _U(self.parts), keys[new], rows[new], known[new])
 
 
-_DEALT = "part int, keys binary, rows binary, twice binary"
+def _answers(parts: int, rows: np.ndarray, keys: np.ndarray):
+    """Repeated keys, dealt by the row that has them."""
+    return _batch(0, _mixed(rows) % _U(parts), keys, rows, None)
 
 
 def _anchor_keys(window, anchor, parts):
@@ -168,7 +161,7 @@ def _edge_keys(window, anchor, parts):
         dealer = _Dealer(parts)
         for b in batches:
             for row, text, known in zip(*(b.column(x).to_pylist() for x in ("row_key", "text", "known"))):
-                repeated = np.frombuffer(b"".join(known), _U)
+                repeated = np.frombuffer(known, _U)
                 got = []
                 for _, w in _blocks((text or "").encode("utf-8", "surrogatepass"), window):
                     got.append(_windows(w, window)[np.isin(_anchored(w, window, anchor)[0], repeated)])
@@ -181,68 +174,75 @@ def _edge_keys(window, anchor, parts):
     return run
 
 
-def _resolved(batches):
-    """Of each part, the keys that several entries have or that one is flagged to repeat."""
-    held, part, rows_out, keys_out, size = [], None, [], [], 0
-
-    def solve():
-        keys, rows, twice = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in enumerate((_U, np.int64, bool)))
-        order = np.argsort(keys, kind="stable")
-        keys, rows, twice = keys[order], rows[order], twice[order]
-        group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
-        again = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
-        fine = again[group] & ~twice  # flagged entries were answered where they came from
-        return rows[fine], keys[fine]
-
-    def out():
-        for b in _answers(np.concatenate(rows_out), np.concatenate(keys_out)) if size else ():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("rows").to_pylist()), np.int64)), b.column("keys")], names=["row_key", "keys"])
-
+def _by_part(batches, kind):
+    """(part, keys, rows, twice) of the entries of a kind; rows of the input come sorted by part."""
+    held, part = [], None
     for b in batches:
-        for p, *x in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for k, p, *x in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if k != kind:
+                continue
             if p != part and held:
-                r, k = solve()
-                rows_out.append(r)
-                keys_out.append(k)
-                size += len(r)
+                yield part, *(np.concatenate([np.frombuffer(y[i], t) for y in held]) for i, t in enumerate((_U, np.int64, bool)))
                 held = []
-                if size > FLUSH:
-                    yield from out()
-                    rows_out, keys_out, size = [], [], 0
             part = p
             held.append(x)
     if held:
-        r, k = solve()
-        rows_out.append(r)
-        keys_out.append(k)
-        size += len(r)
-    yield from out()
+        yield part, *(np.concatenate([np.frombuffer(y[i], t) for y in held]) for i, t in enumerate((_U, np.int64, bool)))
 
 
-def _told(batches):
-    """Answers that were given where the keys came from."""
-    for b in batches:
-        rows = np.frombuffer(b"".join(b.column("rows").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), b.column("keys")], names=["row_key", "keys"])
+def _resolved(parts):
+    """Answers to the questions of each part: the keys that several entries have or one is flagged
+    to repeat. Answers among the input pass."""
 
+    def run(batches):
+        passed, source = [], iter(batches)
+        found_rows, found_keys, size = [], [], 0
+
+        def questions():
+            for b in source:
+                kinds = np.asarray(b.column(0))
+                if (kinds == 0).any():
+                    passed.append(b.filter(pa.array(kinds == 0)))
+                yield b
+
+        for _, keys, rows, twice in _by_part(questions(), 1):
+            while passed:
+                yield passed.pop()
+            order = np.argsort(keys, kind="stable")
+            keys, rows, twice = keys[order], rows[order], twice[order]
+            group = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])) - 1
+            again = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
+            fine = again[group] & ~twice  # flagged entries were answered where they came from
+            found_rows.append(rows[fine])
+            found_keys.append(keys[fine])
+            size += int(fine.sum())
+            if size > FLUSH:
+                yield _answers(parts, np.concatenate(found_rows), np.concatenate(found_keys))
+                found_rows, found_keys, size = [], [], 0
+        if size:
+            yield _answers(parts, np.concatenate(found_rows), np.concatenate(found_keys))
+        while passed:
+            yield passed.pop()
 
-def _repeated(dealt: DataFrame) -> DataFrame:
+    return run
+
+
+def _gathered(batches):
+    """One row for each row_key: all its repeated keys."""
+    for _, keys, rows, _ in _by_part(batches, 0):
+        order = np.argsort(rows, kind="stable")
+        rows, keys = rows[order], keys[order]
+        cut = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
+        for at in range(0, len(cut), 5000):
+            some = cut[at : at + 5000]
+            ends = np.append(cut[at + 1 : at + 5000], cut[at + 5000] if at + 5000 < len(cut) else len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array([keys[a:b].tobytes() for a, b in zip(some, ends)], pa.binary())], names=["row_key", "known"])
+
+
+def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
     """(row_key, known): for each row the packed keys that occur more than once anywhere."""
-    dealt = dealt.withColumn("to", F.when(F.col("part") < 0, F.xxhash64("rows")).otherwise(F.col("part").cast("long")))
-    met = dealt.repartition("to").sortWithinPartitions("part").select("part", "keys", "rows", "twice")
-    return met.mapInArrow(_split, "row_key long, keys binary").groupBy("row_key").agg(F.collect_list("keys").alias("known"))
-
-
-def _split(batches):
-    """Answers pass, parts are resolved. Rows come sorted, answers (part -1) first."""
-    source = iter(batches)
-    for b in source:
-        n = int((np.asarray(b.column("part")) < 0).sum())
-        if n:
-            yield from _told([b.slice(0, n)])
-        if n < b.num_rows:
-            yield from _resolved(chain([b.slice(n)], source))
-            return
+    asked = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_resolved(parts), _DEALT)
+    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, "row_key long, known binary")
 
 
 def _kept(window):
@@ -254,7 +254,7 @@ def _kept(window):
                 words = raw.split()
                 gone = 0
                 if known:
-                    repeated = np.frombuffer(b"".join(known), _U)
+                    repeated = np.frombuffer(known, _U)
                     edge = np.zeros(len(words) + 1, np.int32)
                     for at, w in _blocks(raw, window):
                         hit = at + np.nonzero(np.isin(_windows(w, window), repeated))[0]
@@ -294,9 +294,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row_key = F.xxhash64(F.col("doc_id"), F.col("text"))
     texts = docs.select(row_key.alias("row_key"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-    anchors = _repeated(texts.select("row_key", "text").mapInArrow(_anchor_keys(window, anchor, parts), _DEALT))
-    hung = texts.join(anchors, "row_key").select("row_key", "text", "known")
-    edges = _repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT))
+    anchors = _repeated(texts.select("row_key", "text").mapInArrow(_anchor_keys(window, anchor, parts), _DEALT), parts)
+    # ``rest`` comes along for nothing else than that both joins can read one and the same exchange.
+    hung = texts.join(anchors, "row_key").select("row_key", "text", "known", "rest")
+    edges = _repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts)
     found = texts.join(edges, "row_key", "left").select(F.col("rest").alias("row"), "text", "known")
     kind = T.StructType([
         T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"])), T.StructField("kept_text", T.StringType()),
@@ -307,9 +308,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in repeated windows of 35 words, removed."""
-    from lodestone.llm.common import table
+    from lodestone.llm.common import spread, table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return remove_repeats(docs).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
