@@ -34,7 +34,7 @@ KINDS = (
 )
 _ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: What a text must have one of for the patterns to be tried: every pattern implies it.
-_GATE = rf"[0-9]{{3}}|@|\d\.\d|[0-9A-Fa-f]{{32}}|(?<![\p{{L}}])(?:{_TITLES})\.? "
+_GATE = rf"[0-9]{{3}}|@|\d\.\d|[0-9A-Fa-f]{{32}}|AKIA[0-9A-Z]|gh[opsu]_|sk-[A-Za-z0-9]|[A-Z]{{2}}\d{{2}} ?[A-Z0-9]|(?<![\p{{L}}])(?:{_TITLES})\.? "
 
 # Given names by gender and script, from which surrogates are drawn.
 NAMES = {
