@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -119,8 +120,8 @@ def _signed(x: int) -> int:
 def _fingerprints(words):
     def run(batches):
         for b in batches:
-            fps = [_signed(fingerprint(x, words)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [_signed(fingerprint(x, words)) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], "fp"])
 
     return run
 
@@ -252,16 +253,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest
-    doc_id stays, once if it is repeated. Rows without a doc_id stay. ``how``: as near_duplicates."""
-    found = near_duplicates(docs.where("doc_id is not null"), **how)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+def one_of_each(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that are left when of each component one stays: that with the smallest
+    doc_id, of several such rows the one with the smallest hash h of the whole row, once if it is
+    repeated. Rows without a doc_id stay. ``labelled`` makes rows (doc_id, h, component) of rows
+    (doc_id, h, text)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*columns).alias("h"), F.struct(*columns).alias("row"))
+    found = labelled(rows.select("doc_id", "h", F.col("row.text").cast("string").alias("text")))
+    times = found.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = materialised(times.groupBy("component").agg(F.min(F.struct("doc_id", "h", "n")).alias("one")).select("one.*"))
+    kept = rows.join(first.select("doc_id", "h"), ["doc_id", "h"], "left_semi")
     if first.where("n > 1").limit(1).count():
-        again = first.where("n > 1").select("doc_id")
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        again = first.where("n > 1").select("doc_id", "h")
+        kept = kept.join(again, ["doc_id", "h"], "left_anti").unionByName(kept.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null")).select(*columns)
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, tree: int = TREE) -> DataFrame:
+    """The rows of ``docs`` without those whose fingerprints link, as near_duplicates has it; see
+    one_of_each. Fingerprints alone decide; similar.keep_one compares the shingles."""
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        marked = materialised(rows.mapInArrow(_fingerprints(words), "doc_id long, h long, fp long"))
+        joined = components(links(marked.select("fp").distinct(), radius, blocks, agree, tree)).withColumnRenamed("node", "fp")
+        return marked.join(joined, "fp", "left").select("doc_id", "h", F.coalesce("component", "fp").alias("component"))
+
+    return one_of_each(docs, labelled)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

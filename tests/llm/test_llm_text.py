@@ -232,6 +232,14 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(near, words=5, radius=9, blocks=9, agree=3).collect()) == [1, 3]
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """One row stays of each component, also where a doc_id is there with several texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = docs(spark, [a]).unionAll(docs(spark, [a, b, c], 5).withColumn("doc_id", F.lit(5).cast("long"))).unionAll(docs(spark, [c], 9))
+    for keep in (lambda d: simhash.keep_one(d, words=5, radius=9, blocks=9, agree=3),):
+        assert sorted((r["doc_id"], r["text"]) for r in keep(rows).collect()) == [(1, a), (5, b), (5, c)]
+
+
 # --- repeated passages
 
 
