@@ -1,0 +1,201 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles, found without loss.
+
+Texts with a similarity of 4/5 or more share one of the rarest shingles of each (its prefix), so
+texts meet under those shingles and no pair is missed, whatever the order of rarity is. A pair links
+only after its shingle sets were compared. Shingles are 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import components, materialised
+from lodestone.llm.simhash import SEED, _signed, one_of_each
+
+#: Texts from which frequent shingles are learned, and how many of them are told apart. Both bear
+#: on the order of rarity, so on time, and not on what is found.
+SAMPLE, FREQUENT = 20_000, 1 << 16
+#: Words of 64 bits in a parity signature.
+SIGNATURE = 8
+_SETS = "doc_id long, h long, fp long, n long, z binary, " + ", ".join(f"w{i} long" for i in range(SIGNATURE))
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes (uint64) of the shingles of a text; words as in simhash.fingerprint."""
+    return _hashed(_words(text), words)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashed(found: list[bytes], words: int) -> np.ndarray:
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = xxhash.xxh64_intdigest
+    if len(found) < words:
+        return np.array([h(b" ".join(found), SEED)], np.uint64)
+    return np.unique(np.array([h(b" ".join(x), SEED) for x in zip(*(found[i:] for i in range(words)))], np.uint64))
+
+
+def signature(x: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash bucket. Two signatures differ in at most as many bits as
+    the sets differ in shingles."""
+    n = 64 * SIGNATURE
+    odd = np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _slices(batches):
+    """Few rows at a time, which bounds what a worker holds."""
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            yield b.slice(at, 512)
+
+
+def _sets(words):
+    def run(batches):
+        for b in _slices(batches):
+            ids, sizes, packed, signs = [], [], [], []
+            for t in b.column(2).to_pylist():
+                found = _words(t)
+                x = _hashed(found, words)
+                ids.append(_signed(xxhash.xxh3_64_intdigest(x.tobytes())))
+                sizes.append(len(x))
+                packed.append(zlib.compress(b" ".join(found), 1))  # a third of the hashes' size
+                signs.append(signature(x))
+            signs = np.array(signs, np.int64).reshape(-1, SIGNATURE)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), *(pa.array(signs[:, i]) for i in range(SIGNATURE))],
+                names=["doc_id", "h", "fp", "n", "z", *(f"w{i}" for i in range(SIGNATURE))],
+            )
+
+    return run
+
+
+def _unpacked(z: bytes, words: int) -> np.ndarray:
+    return _hashed(zlib.decompress(z).split(), words)
+
+
+def _opened(words):
+    def run(batches):
+        for b in _slices(batches):
+            all_of = [_unpacked(z, words).view(np.int64) for z in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *all_of]))], names=["key"])
+
+    return run
+
+
+def _prefixes(frequent, words):
+    """Rows (key, fp, n, pos) of the n - ceil(4n/5) + 1 first shingles of each set: those that are
+    not in ``frequent`` before those that are, the latter in its order. A pair of 4/5 shares one."""
+    by_hash = np.argsort(frequent)
+    values = frequent[by_hash]
+
+    def run(batches):
+        for b in _slices(batches):
+            keys, ids, sizes, places = ([np.zeros(0, np.int64)] for _ in range(4))
+            for fp, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = _unpacked(z, words)
+                n = len(x)
+                if not n:
+                    continue
+                rank = np.zeros(n, np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                    rank = np.where(values[at] == x, by_hash[at] + 1, 0)
+                first = np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]
+                keys.append(x[first].view(np.int64))
+                ids.append(np.full(len(first), fp, np.int64))
+                sizes.append(np.full(len(first), n, np.int64))
+                places.append(np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, sizes, places)], names=["key", "fp", "n", "pos"])
+
+    return run
+
+
+def _compared(words):
+    def run(batches):
+        for b in _slices(batches):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = _unpacked(x, words), _unpacked(y, words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(5 * both >= 4 * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Whether two sets of n and m whose first common shingle is at these places can overlap enough."""
+    return 9 * F.least(n - pos, m - at) >= 4 * (n + m)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 4/5: d different shingles of n + m in both
+    sizes, 9 d <= n + m. The signatures rule most others out before texts are moved."""
+    signs = [f"w{i}" for i in range(SIGNATURE)]
+    side = lambda of, c, *names: of.select(F.col("fp").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in names])
+    both = pairs.join(side(sets, "a", "n", *signs), "a").join(side(sets, "b", "n", *signs), "b")
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in signs), F.lit(0))
+    left = materialised(both.where(9 * differ <= F.col("a_n") + F.col("b_n")).select("a", "b"))
+    nodes = materialised(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    nodes = F.broadcast(nodes) if nodes.count() <= FREQUENT else nodes
+    texts = materialised(sets.select("fp", "z").join(nodes, "fp", "left_semi"))
+    return left.join(side(texts, "a", "z"), "a").join(side(texts, "b", "z"), "b").select("a", "b", "a_z", "b_z").mapInArrow(_compared(words), "a long, b long")
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def links(sets: DataFrame, words: int = 5) -> DataFrame:
+    """Edges (a, b) between sets (fp, n, z and signature; distinct fp): all are pairs of similarity
+    4/5 or more, and every such pair is connected by them.
+
+    Under each shingle all sets first meet one, that in which the shingle comes first: of edited
+    copies the original. Then those that are not connected yet meet each other, so that a large
+    group of copies is not expanded into its pairs.
+    """
+    every = max(1, sets.count() // SAMPLE)
+    known = sets.where(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(every)) == 0).select("z").mapInArrow(_opened(words), "key long")
+    often = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "key").limit(FREQUENT)
+    frequent = often.orderBy("n", "key").select("key").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    keyed = sets.select("fp", "z").mapInArrow(_prefixes(frequent, words), "key long, fp long, n long, pos long")
+    of = Window.partitionBy("key")
+    met = keyed.withColumn("first", F.first(F.struct("fp", "n", "pos")).over(of.orderBy("pos", "fp"))).withColumn("m", F.count(F.lit(1)).over(of))
+    met = materialised(met.where("m > 1"))
+    others = met.where("fp <> first.fp")
+    near = others.where(_possible(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos"))).select(*_pair(F.col("fp"), F.col("first.fp"))).distinct()
+    edges = materialised(_alike(near, sets, words))
+    label = components(edges).withColumnRenamed("node", "fp")
+    rest = others.where("m > 2").select("key", "fp", "n", "pos").join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    apart = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    rest = materialised(rest.join(apart, "key", "left_semi"))
+    x, y = rest.alias("x"), rest.alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
+    meet = meet & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    more = x.join(y, meet).select(*_pair(F.col("x.fp"), F.col("y.fp"))).distinct().join(near, ["a", "b"], "left_anti")
+    return edges.unionAll(_alike(more, sets, words))
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: texts with a Jaccard similarity of 4/5 or more
+    of their shingles of ``words`` words link, directly or through others, and of linked rows one
+    stays; see simhash.one_of_each. Null and empty texts are alike. Rows without a doc_id stay."""
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        found = rows.mapInArrow(_sets(words), _SETS)
+        whole = F.struct("n", "z", *(f"w{i}" for i in range(SIGNATURE)))
+        sets = materialised(found.groupBy("fp").agg(F.first(whole).alias("x")).select("fp", "x.*"))
+        joined = components(links(sets, words)).withColumnRenamed("node", "fp")
+        return found.select("doc_id", "h", "fp").join(joined, "fp", "left").select("doc_id", "h", F.coalesce("component", "fp").alias("component"))
+
+    return one_of_each(docs, labelled)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, licenses, packing, segmentation, simhash, substrings, surrogates, toxicity
+from lodestone.llm import langid, licenses, packing, segmentation, simhash, similar, substrings, surrogates, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 KINDS = "doc_id long, text string, labels int, score string, row string, kind int, found string, n int"
@@ -232,14 +232,47 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(near, words=5, radius=9, blocks=9, agree=3).collect()) == [1, 3]
 
 
+def plain_shingles(text, k=5):
+    w = (text or "").split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+
 def test_repeated_ids_lose_no_text(spark):
     """One row stays of each component, also where a doc_id is there with several texts."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
     rows = docs(spark, [a]).unionAll(docs(spark, [a, b, c], 5).withColumn("doc_id", F.lit(5).cast("long"))).unionAll(docs(spark, [c], 9))
-    for keep in (lambda d: simhash.keep_one(d, words=5, radius=9, blocks=9, agree=3),):
+    for keep in (lambda d: simhash.keep_one(d, words=5, radius=9, blocks=9, agree=3), similar.keep_one):
         assert sorted((r["doc_id"], r["text"]) for r in keep(rows).collect()) == [(1, a), (5, b), (5, c)]
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Every pair of 4/5 is connected and no component lacks such pairs, on sf0.01 and planted edits."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = random.Random(5)
+    for t in rng.sample([t for t in texts if t and len(t.split()) > 60], 60):  # edited copies about the border
+        w = t.split()
+        for i in rng.sample(range(len(w)), max(1, len(w) // rng.choice((40, 50, 60)))):
+            w[i] = f"edit{rng.random()}"
+        texts.append(" ".join(w))
+    sets = [frozenset(plain_shingles((t or "").encode().lower().decode())) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            n, m = len(sets[i]), len(sets[j])
+            if 5 * min(n, m) >= 4 * max(n, m) and 5 * (both := len(sets[i] & sets[j])) >= 4 * (n + m - both):
+                low, high = sorted((top(i), top(j)))
+                parent[high] = low
+    got = sorted(r["doc_id"] for r in similar.keep_one(docs(spark, texts)).select("doc_id").collect())
+    want = [i + 1 for i in range(len(texts)) if top(i) == i]
+    assert got == want and len(want) < len(texts)
+
+
 # --- repeated passages
 
 
