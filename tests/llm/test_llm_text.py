@@ -273,6 +273,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == want and len(want) < len(texts)
 
 
+def test_edited_copies_beyond_the_blocks(spark):
+    """Pairs of 4/5 whose fingerprints share no three of nine blocks or lie beyond nine bits."""
+    texts, lost = [], 0
+    masks = simhash._masks(9, 3)
+    for i in range(100):
+        w = [f"t{i}w{j}" for j in range(120)]
+        v = [f"edit{i}" if j in (30 + i % 9, 80 + i % 7) else x for j, x in enumerate(w)]
+        a, b = (simhash.fingerprint(" ".join(x), 5) for x in (w, v))
+        lost += (a ^ b).bit_count() > 9 or not any(a & m == b & m for m in masks)
+        texts += [" ".join(w), " ".join(v)]
+    assert lost > 10
+    assert sorted(r["doc_id"] for r in similar.keep_one(docs(spark, texts)).collect()) == list(range(1, 201, 2))
+
+
 # --- repeated passages
 
 
