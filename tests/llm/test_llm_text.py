@@ -287,6 +287,13 @@ def test_edited_copies_beyond_the_blocks(spark):
     assert sorted(r["doc_id"] for r in similar.keep_one(docs(spark, texts)).collect()) == list(range(1, 201, 2))
 
 
+def test_unrelated_texts_with_near_fingerprints_stay(spark):
+    texts = [" ".join(f"t{i}w{j}" for j in range(6)) for i in range(1500)]
+    fps = np.array([simhash.fingerprint(t, 5) for t in texts], np.uint64)
+    assert sum(int((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 9).sum()) for i in range(len(fps))) > 0
+    assert similar.keep_one(docs(spark, texts)).count() == len(texts)
+
+
 # --- repeated passages
 
 
