@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -14,129 +15,114 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import components, materialised, spread, table
 
 SEED = 42
-#: Fingerprints of one shard tree; larger shards are cut into trees of this size.
-TREE = 1024
-
-
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of a whole text: A-Z lower-cased, words cut at ASCII white space, shingles
-    of ``words`` words with repeats (all words if fewer), a bit set if set in over half of the
-    shingles' XXH64. A text without words has fingerprint 0."""
+#: Members of a shard tree; what is done about larger shards is said in ``links`` and ``alike``.
+TREE = 2048
+#: Rows of whole shards that a task holds at a time, and (probe, node) pairs of a search.
+SLAB, PAIRS = 1 << 15, 1 << 20
+#: A side is broadcast if it has at most so many rows of two longs.
+BROADCAST = 1 << 16
+
+# Near duplicates of whole texts: words of 64 bits of the wide fingerprint, the radius in bits, the
+# bits at which pairs of similarity 0.8 differ on average, the share of such pairs that no table may
+# bring together, and the least number of tables.
+WIDE, WIDE_RADIUS, WIDE_MEAN, MISSED, LEAST_TABLES = 4, 64, 40, 0.01, 24
+#: Members of an oversized shard that the others are measured against, in expectation.
+PIVOTS = 64
+
+_LANES = np.uint64(0x0101010101010101)
+_MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:, None]
+
+
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the shingles of a text, repeats included: A-Z lower-cased, words cut at ASCII white
+    space, shingles of ``words`` words (all words if fewer, none without a word)."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
     h = xxhash.xxh64_intdigest
     if len(found) < words:
-        hashes = [h(b" ".join(found), SEED)]
-    else:
-        hashes = [h(b" ".join(x), SEED) for x in zip(*(found[i:] for i in range(words)))]
-    n = len(hashes)
-    a = np.array(hashes, np.uint64)
+        return np.array([h(b" ".join(found), SEED)] if found else [], np.uint64)
+    return np.array([h(b" ".join(x), SEED) for x in zip(*(found[i:] for i in range(words)))], np.uint64)
+
+
+def _majority(a: np.ndarray) -> np.ndarray:
+    """One word for each row of hashes: the bits that are set in over half of them."""
+    n = a.shape[1]
+    if not n:
+        return np.zeros(len(a), np.uint64)
     cuts = np.arange(0, n, 255)
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((len(a), 64), np.int64)
     for shift in range(8):  # eight one-byte counters in each word, emptied every 255 hashes
-        lanes = np.add.reduceat((a >> np.uint64(shift)) & np.uint64(0x0101010101010101), cuts)
-        counts[shift::8] = lanes.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.nonzero(2 * counts > n)[0].tolist()))
-
-
-class BKTree:
-    """Children of a node are keyed by their Hamming distance to it."""
-
-    def __init__(self):
-        self.root = None
-
-    def add(self, x: int) -> None:
-        if self.root is None:
-            self.root = (x, {})
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ x).bit_count()
-            if d == 0:
-                return
-            if (child := node[1].get(d)) is None:
-                node[1][d] = (x, {})
-                return
-            node = child
-
-    def within(self, x: int, radius: int) -> list[int]:
-        """All members at ``radius`` or fewer bits: only edges d - radius .. d + radius can lead there."""
-        found, todo = [], [self.root] if self.root else []
-        while todo:
-            y, children = todo.pop()
-            d = (x ^ y).bit_count()
-            if d <= radius:
-                found.append(y)
-            if children:
-                if len(children) > 2 * radius:
-                    todo += [children[k] for k in range(d - radius, d + radius + 1) if k in children]
-                else:
-                    todo += [c for k, c in children.items() if abs(k - d) <= radius]
-        return found
-
-
-class FlatTree:
-    """A BK-tree as arrays, to be searched for many probes at once.
-
-    A round holds (probe, node) pairs: it measures them, keeps those within the radius, and goes on
-    to the children on edges within the radius of the measured distance.
-    """
+        lanes = np.add.reduceat((a >> np.uint64(shift)) & _LANES, cuts, axis=1)
+        counts[:, shift::8] = lanes.view(np.uint8).reshape(len(a), -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
-    def __init__(self, tree: BKTree):
-        values, edges, begin, count, at = [], [], [], [], 0
-        todo = [(tree.root, 0)] if tree.root else []
-        while at < len(todo):  # breadth first: the children of a node lie side by side
-            (value, children), edge = todo[at]
-            values.append(value)
-            edges.append(edge)
-            begin.append(len(todo))
-            count.append(len(children))
-            todo += [(c, d) for d, c in children.items()]
-            at += 1
-        self.values = np.array(values, np.uint64)
-        self.edges, self.begin, self.count = (np.array(x, np.int64) for x in (edges, begin, count))
-
-    def within(self, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(probe index, node index) of all pairs at ``radius`` or fewer bits."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        probe, node = np.arange(len(probes)), np.zeros(len(probes), np.int64)
-        while len(probe) and len(self.values):
-            d = np.bitwise_count(probes[probe] ^ self.values[node]).astype(np.int64)
-            hit = d <= radius
-            found.append((probe[hit], node[hit]))
-            n = self.count[node]
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            probe, node, d = np.repeat(probe, n), np.repeat(self.begin[node], n) + nth, np.repeat(d, n)
-            go = np.abs(self.edges[node] - d) <= radius
-            probe, node = probe[go], node[go]
-        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash of a whole text; a text without words has fingerprint 0."""
+    return int(_majority(_hashes(text, words)[None, :])[0])
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def wide_fingerprint(distinct: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE words of a set of shingle hashes, each mixed anew for every word."""
+    x = distinct[None, :] * _MIX
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(x ^ (x >> np.uint64(29)))
 
-def _fingerprints(words):
-    def run(batches):
-        for b in batches:
-            fps = [_signed(fingerprint(x, words)) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], "fp"])
 
-    return run
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+class BKTrees:
+    """A BK-tree for each group of fingerprints, as arrays: children of a node are keyed by their
+    Hamming distance to it. All trees are grown, and searched, a level at a time.
 
+    ``values`` is (members, words), ``group`` the group of each member. A member that equals a
+    node is not inserted; ``same`` has it and that node.
+    """
 
-def _masks(blocks: int, agree: int) -> list[int]:
-    """Masks of every choice of ``agree`` blocks. Two fingerprints that differ in at most
-    blocks - agree bits agree on that many blocks at least, so under one of the masks."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(parts, agree)]
+    def __init__(self, values: np.ndarray, group: np.ndarray, groups: int):
+        n, far = len(values), 64 * values.shape[1] + 1
+        self.values, self.edge = values, np.zeros(n, np.int64)
+        self.root = np.full(groups, -1)
+        parent, same = np.full(n, -1), []
+        self.root[group[::-1]] = np.arange(n)[::-1]
+        todo = np.nonzero(self.root[group] != np.arange(n))[0]
+        at = self.root[group[todo]]
+        while len(todo):
+            d = _distance(values[todo], values[at])
+            if (equal := d == 0).any():
+                same.append((todo[equal], at[equal]))
+                todo, at, d = todo[~equal], at[~equal], d[~equal]
+            order = np.argsort(at * far + d, kind="stable")
+            todo, at, d = todo[order], at[order], d[order]
+            new = np.ones(len(todo), bool)
+            new[1:] = (at[1:] != at[:-1]) | (d[1:] != d[:-1])
+            child = todo[new]
+            parent[child], self.edge[child] = at[new], d[new]
+            at, todo = child[np.cumsum(new) - 1][~new], todo[~new]
+        self.same = tuple(np.concatenate([np.zeros(0, np.int64), *(s[i] for s in same)]) for i in (0, 1))
+        born = np.nonzero(parent >= 0)[0]
+        self.children = born[np.argsort(parent[born], kind="stable")]
+        self.count = np.bincount(parent[born], minlength=n)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def within(self, probes: np.ndarray, group: np.ndarray, radius: int):
+        """(probe, node, distance) of all pairs of a group at ``radius`` or fewer bits: from a node
+        only edges within the radius of the measured distance are followed."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        probe = np.nonzero(self.root[group] >= 0)[0]
+        node = self.root[group[probe]]
+        while len(probe):
+            d = _distance(probes[probe], self.values[node])
+            hit = d <= radius
+            found.append((probe[hit], node[hit], d[hit]))
+            n = self.count[node]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            probe, node, d = np.repeat(probe, n), self.children[np.repeat(self.begin[node], n) + nth], np.repeat(d, n)
+            go = np.abs(self.edge[node] - d) <= radius
+            probe, node = probe[go], node[go]
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,116 +139,376 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _linked(radius):
-    def many(tree_fps, probe_fps):
-        tree = BKTree()
-        for x in tree_fps:
-            tree.add(x)
-        flat, probes = FlatTree(tree), np.array(probe_fps, np.uint64)
-        every, at = np.unique(np.concatenate([flat.values, probes]), return_inverse=True)
-        label = np.arange(len(every))
-        for begin in range(0, len(probes), 128):  # bounds the pairs that are held
-            probe, node = flat.within(probes[begin : begin + 128], radius)
-            a, b = at[len(flat.values) + begin + probe], at[node]
-            known = np.nonzero(label != np.arange(len(every)))[0]
-            label = _labels(len(every), np.concatenate([a, known]), np.concatenate([b, label[known]]))
-        moved = np.nonzero(label != np.arange(len(every)))[0]
-        return list(zip(every[moved].astype(np.int64).tolist(), every[label[moved]].astype(np.int64).tolist()))
-
-    def forest(tree_fps, probe_fps):
-        if len(tree_fps) * len(probe_fps) > 1024:
-            return many(tree_fps, probe_fps)
-        parent = {}
-
-        def top(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        tree = BKTree()
-        for x in tree_fps:
-            tree.add(x)
-        pairs = []
-        for x in probe_fps:
-            for y in tree.within(x, radius):
-                a, b = top(x), top(y)
-                if a != b:
-                    parent[a] = b
-                    pairs.append((_signed(x), _signed(y)))
-        return pairs
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a minimum spanning forest by d: at every distance it connects
+    what all links up to that distance connect."""
+    order = np.argsort(d, kind="stable")
+    a, b = a[order], b[order]
+    label, live, keep = np.arange(n), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return order[np.sort(np.concatenate(keep))]
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[live]], live)
+        np.minimum.at(best, label[b[live]], live)
+        pick = np.unique(best[best < len(a)])
+        keep.append(pick)
+        label = _labels(n, label[a[pick]], label[b[pick]])[label]
+
+
+def _tree_links(group, values, in_tree, asks, radius):
+    """(row, row, distance) of the links between rows that ask and rows in the tree of a group."""
+    trees, askers = np.nonzero(in_tree)[0], np.nonzero(asks)[0]
+    grown = BKTrees(values[trees], group[trees], int(group[-1]) + 1 if len(group) else 0)
+    found = [(trees[grown.same[0]], trees[grown.same[1]], np.zeros(len(grown.same[0]), np.int64))]
+    sizes = np.bincount(group[trees], minlength=int(group[-1]) + 1 if len(group) else 0)[group[askers]]
+    part = np.cumsum(sizes) // PAIRS
+    for p in np.unique(part):
+        some = askers[part == p]
+        probe, node, d = grown.within(values[some], group[some], radius)
+        probe, node = some[probe], trees[node]
+        once = (probe < node) | ((probe != node) & ~(asks[node] & in_tree[probe]))
+        found.append((probe[once], node[once], d[once]))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _arrays(batch: pa.RecordBatch, names) -> list[np.ndarray]:
+    return [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
+
+
+def _slabs(batches, names):
+    """Columns of a sorted input as arrays, whole groups (of the first column) at a time."""
+    held, size = [], 0
+    for b in batches:
+        held.append(_arrays(b, names))
+        size += b.num_rows
+        if size >= SLAB:
+            all_of = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(all_of[0], all_of[0][-1]))
+            if cut:
+                yield [c[:cut] for c in all_of]
+            held, size = [[c[cut:] for c in all_of]], size - cut
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+
+
+def _words(n: int) -> list[str]:
+    return [f"w{i}" for i in range(n)]
+
+
+def _row_kind(n: int) -> str:
+    return "id long, " + ", ".join(f"{w} long" for w in _words(n))
+
+
+def _edges(ids, a, b, d) -> pa.RecordBatch:
+    x, y = ids[a], ids[b]
+    real = x != y
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[real]), pa.array(np.maximum(x, y)[real])], names=["a", "b"])
+
+
+def _linked(n_words: int, radius: int):
+    """Rows (g, role, id, words) sorted by g: role 1 is in the tree of its group, 2 asks, 3 both."""
 
     def run(batches):
-        held, key = [], None
+        for g, role, ids, *w in _slabs(batches, ["g", "role", "id", *_words(n_words)]):
+            group, values = _numbered(g), np.stack(w, axis=1).view(np.uint64)
+            a, b, d = _tree_links(group, values, (role & 1) > 0, (role & 2) > 0, radius)
+            some = spanning_forest(len(ids), a, b, d)
+            yield _edges(ids, a[some], b[some], d[some])
+
+    return run
 
-        def solve():
-            tree = [f for f, c in held if c == key[2]]
-            return forest(tree, tree if key[2] == key[3] else [f for f, c in held if c == key[3]])
 
+def _in_trees(rows: DataFrame, n_words: int, radius: int) -> DataFrame:
+    dealt = rows.select("g", "role", "id", *_words(n_words)).repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(_linked(n_words, radius), "a long, b long")
+
+
+def _keyed(masks: list[list[int]], n_words: int, below: int = 0):
+    """Rows (g, t, id, words) for each mask t of a row, or for those under its present mask t, which
+    are ``below`` in number: g is a hash of t and the masked words."""
+    table = np.array(masks, np.uint64).reshape(len(masks), n_words)
+
+    def run(batches):
         for b in batches:
-            out = []
-            for *k, c, f in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if k != key:
-                    if held:
-                        out += solve()
-                    held, key = [], k
-                held.append((f & (1 << 64) - 1, c))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = solve() if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            ids, *w = _arrays(b, ["id", *_words(n_words)])
+            values, n = np.stack(w, axis=1).view(np.uint64), below or len(masks)
+            t = np.tile(np.arange(n), len(ids))
+            if below:
+                t += np.repeat(_arrays(b, ["t"])[0].astype(np.int64) * below, n)
+            row = np.repeat(np.arange(len(ids)), n)
+            g = t.astype(np.uint64)
+            for i in range(n_words):
+                g = (g ^ (values[row, i] & table[t, i])) * np.uint64(0x9E3779B97F4A7C15)
+                g ^= g >> np.uint64(29)
+            g *= np.uint64(0xBF58476D1CE4E5B9)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g.view(np.int64)), pa.array(t.astype(np.int32)), *(pa.array(x[row]) for x in (ids, *w))], names=["g", "t", "id", *_words(n_words)]
+            )
 
     return run
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int = 4, agree: int = 2, tree: int = TREE) -> DataFrame:
-    """Edges (a, b) that connect pairs of distinct fingerprints (column fp) within the radius: all
-    pairs of up to blocks - agree differing bits, so simply all if that is the radius.
+def _dealt(rows: DataFrame, masks: list[list[int]], n_words: int, below: int = 0) -> DataFrame:
+    return rows.mapInArrow(_keyed(masks, n_words, below), f"g long, t int, {_row_kind(n_words)}")
+
+
+def _oversized(keyed: DataFrame, tree: int) -> DataFrame | None:
+    """(g, n) of the shards with more than ``tree`` members, or None."""
+    big = materialised(keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree))
+    n = big.count()
+    return (F.broadcast(big) if n <= BROADCAST else big) if n else None
 
-    Fingerprints are dealt to shards by each choice of ``agree`` of their ``blocks``. A shard is
-    cut into trees of about ``tree`` members, and each tree meets each part of its shard once, so
-    that neither a popular block nor a large group of copies is gathered in one task. The trees
-    travel with the shuffle to their probes, as no bound is known for all of them together. A
-    tree's part of the answer is a forest that connects what its links connect, so there are fewer
-    edges than members; an edge says that two are connected, not how far apart they are.
+
+def block_masks(blocks: int, agree: int, under: list[int] | None = None) -> list[int]:
+    """Masks of every choice of ``agree`` of ``blocks`` equal parts of 64 bits; below given masks, of
+    the bits that are not in them. Two fingerprints that differ in at most blocks - agree bits
+    agree under one of the masks, and below it under one again."""
+    out = []
+    for mask in under or [0]:
+        free = [i for i in range(64) if not mask >> i & 1]
+        cuts = [round(len(free) * i / blocks) for i in range(blocks + 1)]
+        parts = [sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:])]
+        out += [mask | sum(c) for c in combinations(parts, agree)]
+    return out
+
+
+def links(fps: DataFrame, radius: int = 2, blocks: int = 4, tree: int = TREE) -> DataFrame:
+    """Edges (a, b) that connect all pairs of distinct fingerprints (column fp) within the radius.
+
+    Fingerprints are dealt to shards by each choice of blocks - radius of their ``blocks``, on
+    which a pair within the radius agrees at least once. A shard of more than ``tree`` members
+    is dealt anew by the bits that its members need not share, until it is small: so neither a
+    popular block nor a group of copies is gathered in one task, and rows grow by a constant
+    factor at most. The tree of a shard travels with the shuffle to its probes. A tree's part of
+    the answer is a spanning forest of true links, so there are fewer edges than members.
     """
-    shards = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(_masks(blocks, agree))])
-    keyed = fps.select("fp", F.explode(shards).alias("s")).select("fp", "s.t", "s.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cut = keyed.join(sizes, ["t", "k"]).withColumn("cuts", F.ceil(F.col("n") / tree).cast("int"))
-    cut = cut.withColumn("c", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cuts")).cast("int"))
-    met = cut.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    met = met.select("t", "k", F.least("c", "x").alias("i"), F.greatest("c", "x").alias("j"), "c", "fp")
-    dealt = met.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    return dealt.mapInArrow(_linked(radius), "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, tree: int = TREE) -> DataFrame:
+    masks = block_masks(blocks, blocks - radius)
+    each = len(masks)
+    keyed = _dealt(fps.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), [[m] for m in masks], 1)
+    found = None
+    while True:
+        big = _oversized(keyed, tree) if min(64 - m.bit_count() for m in masks) >= blocks else None
+        fit = keyed if big is None else keyed.join(big, "g", "left_anti")
+        part = _in_trees(fit.withColumn("role", F.lit(3)), 1, radius)
+        found = part if found is None else found.unionAll(part)
+        if big is None:
+            return found.distinct()
+        masks = block_masks(blocks, blocks - radius, masks)
+        keyed = _dealt(keyed.join(big, "g", "left_semi"), [[m] for m in masks], 1, each)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, tree: int = TREE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Rows link at ``radius`` or fewer differing fingerprint bits, directly or through others;
-    component_id is the smallest doc_id of the linked rows. Null and empty texts have fingerprint
-    0 and link like any other; rows without a doc_id link but do not name a component; repeated
-    rows appear as often as they are there; an empty table gives an empty result.
+    component_id is the smallest doc_id of the linked rows. Texts of any length are read whole. Null
+    and empty texts have fingerprint 0 and link like any other; rows without a doc_id link but do
+    not name a component; repeated rows appear as often as they are there; an empty table gives an
+    empty result.
     """
     marked = materialised(fingerprints(docs, words))
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(groups.select("fp"), radius, blocks, agree, tree))
+    joined = components(links(groups.select("fp"), radius, blocks, tree))
     labelled = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     named = labelled.join(lowest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The rows of ``docs`` that are left when of each component one stays: that with the smallest
-    doc_id, of several such rows the one with the smallest hash h of the whole row, once if it is
-    repeated. Rows without a doc_id stay. ``labelled`` makes rows (doc_id, h, component) of rows
-    (doc_id, h, text)."""
+def _fingerprints(words):
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(x, words) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+
+    return run
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+
+
+def wide_tables(n: int) -> list[list[int]]:
+    """Masks for n wide fingerprints: as many bits as leave a few hundred unlike members in a shard, in
+    as many tables as bring all but MISSED of the pairs together that differ in WIDE_MEAN bits. The
+    bits of neighbouring tables are disjoint, being cut from random orders of all bits."""
+    total = 64 * WIDE
+    bits = min(48, max(6, math.ceil(math.log2(max(2, n))) - 8))
+    meet = math.prod((total - WIDE_MEAN - i) / (total - i) for i in range(bits))
+    deal, out = np.random.default_rng(SEED), []
+    for i in range(max(LEAST_TABLES, math.ceil(math.log(MISSED) / math.log(1 - meet)))):
+        at = i % (total // bits)
+        order = deal.permutation(total) if at == 0 else order
+        mask = [0] * WIDE
+        for bit in order[at * bits : (at + 1) * bits].tolist():
+            mask[bit // 64] |= 1 << bit % 64
+        out.append(mask)
+    return out
+
+
+def _around(radius: int, near: int):
+    """Rows (g, shard, role, id, words) sorted by g: pivots of a shard (role 1) and a piece of its
+    members (role 2). Gives the members again, ``core`` if they are within ``near`` bits of the
+    largest set of linked pivots; and edges, from those to a pivot and between the pivots."""
+    names = ["g", "shard", "role", "id", *_words(WIDE)]
+    out = ["shard", "a", "b", "core", *_words(WIDE)]
+
+    def run(batches):
+        for g, shard, role, ids, *w in _slabs(batches, names):
+            group, values = _numbered(g), np.stack(w, axis=1).view(np.uint64)
+            pivot = role == 1
+            a, b, d = _tree_links(group, values, pivot, pivot, near)
+            label = _labels(len(ids), a, b)
+            sizes = np.bincount(label[pivot], minlength=len(ids))
+            order = np.nonzero(pivot)[0]
+            order = order[np.lexsort((ids[label[order]], -sizes[label[order]], group[order]))]
+            first = order[np.concatenate([[True], group[order[1:]] != group[order[:-1]]])] if len(order) else order
+            chosen = np.full(int(group[-1]) + 1, -1)
+            chosen[group[first]] = label[first]
+            inner = pivot & (label == chosen[group])
+            some = spanning_forest(len(ids), a, b, d)
+            some = some[inner[a[some]] & inner[b[some]]]
+            x, y, e = _tree_links(group, values, inner, ~pivot, near)
+            asks = np.where(pivot[x], y, x)
+            to = np.where(pivot[x], x, y)
+            order = np.lexsort((ids[to], e, asks))
+            asks, to = asks[order], to[order]
+            one = np.concatenate([[True], asks[1:] != asks[:-1]]) if len(asks) else np.zeros(0, bool)
+            best = np.full(len(ids), -1)
+            best[asks[one]] = to[one]
+            members = np.nonzero(~pivot)[0]
+            core = best[members] >= 0
+            target = pa.array(np.where(core, ids[best[members]], 0), mask=~core)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[members]), pa.array(ids[members]), target, pa.array(core), *(pa.array(c[members]) for c in w)], names=out)
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ids[a[some]]), pa.array(ids[b[some]]), pa.array(np.ones(n, bool)), *(pa.nulls(n, pa.int64()) for _ in w)], names=out)
+
+    return run
+
+
+def _oversized_links(keyed: DataFrame, big: DataFrame, tree: int) -> DataFrame:
+    """Edges in shards of more than ``tree`` members, which are mostly one group of near copies.
+
+    Pieces of such a shard are measured against the tree of its pivots, a random sample. Members
+    close to the largest set of linked pivots get an edge to one of them and need not meet each
+    other; the rest, which is put in trees, meets every member.
+    """
+    words = _words(WIDE)
+    share = lambda key, n, salt: F.pmod(F.xxhash64("id", key, F.lit(salt)), n)
+    of = materialised(keyed.join(big, "g").withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")).select("g", "n", "pieces", "id", *words))
+    piece = lambda x: F.xxhash64("g", x)
+    pivots = of.where(share(F.col("g"), F.ceil(F.col("n") / PIVOTS), 1) == 0)
+    pivots = pivots.select("g", "id", *words, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p")).withColumn("role", F.lit(1))
+    members = of.withColumn("p", share(F.col("g"), F.col("pieces"), 2).cast("int")).withColumn("role", F.lit(2))
+    dealt = pivots.unionByName(members.drop("n", "pieces")).select(piece("p").alias("piece"), F.col("g").alias("shard"), "role", "id", *words)
+    dealt = dealt.withColumnRenamed("piece", "g").repartition("g").sortWithinPartitions("g")
+    kind = "shard long, a long, b long, core boolean, " + ", ".join(f"{w} long" for w in words)
+    told = materialised(dealt.mapInArrow(_around(WIDE_RADIUS, WIDE_MEAN), kind))
+    rest = told.where("not core").select(F.col("shard").alias("g"), F.col("a").alias("id"), *words)
+    chunks = rest.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / tree).cast("int").alias("chunks"))
+    sizes = big.withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")).select("g", "pieces").join(chunks, "g")
+    group = F.xxhash64("g", "p", "c").alias("g")
+    mine = rest.join(sizes, "g").withColumn("c", share(F.col("g"), F.col("chunks"), 3).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    all_of = of.select("g", "id", *words).join(sizes, "g").withColumn("p", share(F.col("g"), F.col("pieces"), 2).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = lambda x, role: x.select(group, F.lit(role).alias("role"), "id", *words)
+    met = _in_trees(side(mine, 1).unionAll(side(all_of, 2)), WIDE, WIDE_RADIUS)
+    straight = told.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return straight.unionAll(met)
+
+
+def candidates(sets: DataFrame, tree: int = TREE) -> DataFrame:
+    """Pairs (a, b) of rows (id, w0 and on; distinct ids) that connect those within WIDE_RADIUS bits
+    of each other that meet in a shard: each pair at WIDE_MEAN bits does but for a share of MISSED
+    (see wide_tables), closer ones sooner."""
+    masks = wide_tables(sets.count())
+    keyed = _dealt(sets.select("id", *_words(WIDE)), masks, WIDE)
+    big = _oversized(keyed, tree)
+    if big is None:
+        return _in_trees(keyed.withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS).distinct()
+    fit = _in_trees(keyed.join(big, "g", "left_anti").withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS)
+    return fit.unionAll(_oversized_links(keyed, big, tree)).distinct()
+
+
+def _sets(words):
+    def run(batches):
+        for b in batches:
+            ids, sizes, prints = [], [], []
+            for text in b.column(2).to_pylist():
+                x = np.unique(_hashes(text, words))
+                ids.append(xxhash.xxh3_64_intdigest(x.tobytes()))
+                sizes.append(len(x))
+                prints.append(wide_fingerprint(x))
+            w = np.array(prints, np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(w[:, i]) for i in range(WIDE))],
+                names=["doc_id", "h", "id", "n", *_words(WIDE)],
+            )
+
+    return run
+
+
+def _zipped(batches):
+    for b in batches:
+        z = [zlib.compress((x or "").encode("utf-8", "surrogatepass"), 1) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["id", "z"])
+
+
+def _compared(words):
+    of = lambda z: np.unique(_hashes(zlib.decompress(z).decode("utf-8", "surrogatepass"), words))
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = of(x.as_py()), of(y.as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(5 * both >= 4 * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of sets (id, one: doc_id and h of a row with that set) whose texts have an
+    exact Jaccard similarity of 4/5 or more of their distinct shingles."""
+    nodes = materialised(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "one.*"), "id"))
+    n = nodes.count()
+    texts = rows.join(F.broadcast(nodes) if n <= BROADCAST else nodes, ["doc_id", "h"]).select("id", "text").mapInArrow(_zipped, "id long, z binary").dropDuplicates(["id"])
+    texts = materialised(texts)
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("z").alias(f"{c}_z"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_z", "b_z").mapInArrow(_compared(words), "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, and any others) without near duplicates, unchanged.
+
+    Two texts link if the Jaccard similarity of their distinct shingles of ``words`` words is 4/5
+    or more, directly or through others; of linked rows one stays: that with the smallest doc_id, of
+    several such rows the one with the smallest hash of the whole row, once if it is repeated.
+    Links are looked for with SimHash: of each distinct shingle set one fingerprint of 256 bits is
+    searched in BK-trees for others within 64 bits, and the pairs found are compared exactly; see
+    ``candidates`` for the share that may be lost. Texts of any length are read whole. Null and
+    empty texts are alike. Rows without a doc_id stay; an empty table gives an empty result; columns
+    may have any names, as they travel in a struct.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*columns).alias("h"), F.struct(*columns).alias("row"))
-    found = labelled(rows.select("doc_id", "h", F.col("row.text").cast("string").alias("text")))
-    times = found.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    first = materialised(times.groupBy("component").agg(F.min(F.struct("doc_id", "h", "n")).alias("one")).select("one.*"))
+    texts = rows.select("doc_id", "h", F.col("row.text").cast("string").alias("text"))
+    found = materialised(texts.mapInArrow(_sets(words), f"doc_id long, h long, id long, n long, {_row_kind(WIDE).split(', ', 1)[1]}"))
+    whole = F.struct("n", *_words(WIDE))
+    sets = materialised(found.groupBy("id").agg(F.first(whole).alias("x"), F.min(F.struct("doc_id", "h")).alias("one")).select("id", "x.*", "one"))
+    pairs = materialised(candidates(sets.where("n > 0"), tree))
+    joined = components(verified(pairs, sets, texts, words)).withColumnRenamed("node", "id")
+    times = found.groupBy("id", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(joined, "id", "left")
+    first = times.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct("doc_id", "h", "n")).alias("one"))
+    first = materialised(first.select("one.*"))
     kept = rows.join(first.select("doc_id", "h"), ["doc_id", "h"], "left_semi")
     if first.where("n > 1").limit(1).count():
         again = first.where("n > 1").select("doc_id", "h")
@@ -270,18 +516,6 @@ def one_of_each(docs: DataFrame, labelled: Callable[[DataFrame], DataFrame]) ->
     return kept.select("row.*").unionByName(docs.where("doc_id is null")).select(*columns)
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, agree: int = 2, tree: int = TREE) -> DataFrame:
-    """The rows of ``docs`` without those whose fingerprints link, as near_duplicates has it; see
-    one_of_each. Fingerprints alone decide; similar.keep_one compares the shingles."""
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        marked = materialised(rows.mapInArrow(_fingerprints(words), "doc_id long, h long, fp long"))
-        joined = components(links(marked.select("fp").distinct(), radius, blocks, agree, tree)).withColumnRenamed("node", "fp")
-        return marked.join(joined, "fp", "left").select("doc_id", "h", F.coalesce("component", "fp").alias("component"))
-
-    return one_of_each(docs, labelled)
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, 2 bits."""
     found = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

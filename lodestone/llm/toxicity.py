@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialised, spread, table
 
-#: Labelled rows that are learned from at most (in expectation, picked by a hash of doc_id).
-SAMPLE_ROWS = 12_000
-#: Voters that are single words found in the sample, at most.
-MINED = 400
-#: Slots of hashed words of the linear classifier.
+#: Rows with and without a label that are learned from at most (in expectation, picked by a hash of
+#: doc_id).
+SAMPLE_ROWS, UNLABELLED_ROWS = 12_000, 6_000
+#: Voters that are single words found in the labelled sample: at most so many; in so many toxic rows
+#: at least; and with this log ratio of their frequency in toxic and clean rows at least.
+MINED, MINED_ROWS, MINED_LIFT = 400, 3, 2.0
+#: Rows without a label count for at most this share of those with one, so that they refine what the
+#: labels say and cannot outvote it.
+UNLABELLED_SHARE = 0.2
+#: Voters depend on each other from this correlation on, given the class.
+DEPENDENT = 0.2
+#: Slots of hashed words of the linear classifier; words that meet in one share a weight.
 SLOTS = 1 << 16
 THRESHOLD = 0.3
 
@@ -28,6 +35,14 @@ LEXICON = {
     "insult_fr": "idiot idiote imbécile connard abruti minable ordure crétin stupide dégoûtant",
     "insult_es": "idiota imbécil estúpido estúpida basura asqueroso inútil payaso escoria tonto",
     "profanity": "damn shit fuck fucking bitch bastard crap ass asshole hell",
+    "contempt_en": "useless hopeless ridiculous laughable coward liar fraud hypocrite parasite degenerate lowlife nobody weakling pig rat snake",
+    "contempt_de": "feigling lügner heuchler parasit schwein ratte drecksack schwachkopf vollidiot penner",
+    "contempt_fr": "lâche menteur hypocrite parasite porc rat salaud salope bouffon débile",
+    "contempt_es": "cobarde mentiroso hipócrita parásito cerdo rata cabrón imbéciles bufón patético",
+    "threat_de": "töten umbringen sterben verrecken schlagen erschießen verbrennen",
+    "threat_fr": "tuer crever mourir frapper brûler détruire pendre",
+    "threat_es": "matar morir golpear quemar destruir colgar reventar",
+    "hate": "hate hatred despise loathe hass hasse verachte haine déteste odio odias desprecio",
 }
 # Patterns, each with words or strings of which a text must have one to be searched at all.
 PATTERNS = {
@@ -35,6 +50,10 @@ PATTERNS = {
     "second_person": (r"\b(?:you|du|tu|vous|usted)\b\W+(?:\w+\W+){0,3}(?:idiot\w*|moron|stupid|loser|scum|trash|clown)\b", {"idiot", "idiots", "moron", "stupid", "loser", "scum", "trash", "clown"}),
     "addressed": (r"\b(?:shut up|get lost|go away|hate you|nobody likes)\b", {"shut", "lost", "away", "hate", "nobody"}),
     "masked": (r"\b\w+[*#@$]{2,}\w+\b", ["**", "##", "@@", "$$"]),
+    "wish_of_harm": (r"\b(?:hope|wish) (?:you|they|he|she) (?:all )?(?:die|rot|burn|suffer|choke)\b", {"die", "rot", "burn", "suffer", "choke"}),
+    "named": (r"\b(?:such an?|what an?|total|complete|utter|absolute) (?:idiot|moron|fool|loser|clown|joke|disgrace|failure)\b", {"idiot", "moron", "fool", "loser", "clown", "joke", "disgrace", "failure"}),
+    "stretched": (r"([a-z])\1{3,}", [3 * x for x in "aeiouhsznrlmo"]),
+    "question_storm": (r"\?[!?]{2,}", ["??", "?!"]),
 }
 #: Share of capitals among ASCII letters from which a text counts as shouted.
 SHOUTED = 0.3
@@ -100,36 +119,66 @@ def _voted(sent):
     return run
 
 
+def _tree(votes: np.ndarray, post: np.ndarray, on: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The parent of each voter, or -1: the maximum spanning forest of the voters' correlations given
+    the class, without those up to DEPENDENT."""
+    left = votes - (post[:, None] * on + (1 - post)[:, None] * off).astype(votes.dtype)
+    cov = (left.T @ left).astype(np.float64) / max(1, len(post))
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    corr = cov / scale[:, None] / scale[None, :]  # voters that exclude each other share no evidence
+    m = len(scale)
+    parent, best, link, todo = np.full(m, -1), np.zeros(m), np.full(m, -1), np.ones(m, bool)
+    for _ in range(m):
+        at = int(np.argmax(np.where(todo, best, -1)))
+        parent[at], todo[at] = link[at], False
+        nearer = todo & (corr[at] > DEPENDENT) & (corr[at] > best)
+        best[nearer], link[nearer] = corr[at][nearer], at
+    return parent
+
+
+def _rates(q: np.ndarray, votes: np.ndarray, above: np.ndarray, both: np.ndarray):
+    """Under row weights q: how often each voter fires, and how often if its parent does not or does;
+    the latter two are drawn to the first where the parent's state is seldom seen."""
+    total, fired, up, joint = q.sum(), q @ votes, q @ above, q @ both
+    base = np.clip((fired + 0.1) / (total + 1), 1e-4, 1 - 1e-4)
+    quiet = (fired - joint + 5 * base) / (total - up + 5)
+    told = (joint + 5 * base) / (up + 5)
+    return base, np.clip(quiet, 1e-4, 1 - 1e-4), np.clip(told, 1e-4, 1 - 1e-4)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30):
     """Posterior of toxicity of each row under a generative model of the voters.
 
-    Every voter fires with one probability on toxic rows and another on clean ones (its
-    accuracies); the given label is one more voter, whose own error is estimated too. Voters that
-    still correlate given the class share their evidence: a voter's weight is divided by one plus
-    its correlations above 0.2 with the others. All is estimated by expectation-maximisation,
-    starting from the labels. Returns (posterior, rates on clean and toxic rows, weights).
+    Given the class, every voter fires with a probability that depends on whether one other voter
+    fires, its parent in a tree of the strongest correlations; so accuracies and correlations are
+    both parameters. The given label is one more voter, with an error of its own; it abstains where
+    ``labels`` is negative. All is estimated by expectation-maximisation over rows with and without
+    label, beginning with independent voters on the labelled rows; the tree is laid anew in three of
+    the rounds. Returns (posterior, rates on clean and toxic rows, parents).
     """
-    n = len(labels)
-    post = np.where(labels == 1, 0.9, 0.05)
-    weights = np.ones(votes.shape[1])
+    given, known = labels == 1, labels >= 0
+    post, weight = np.where(given, 0.9, 0.05), known.astype(np.float64)
+    full = np.where(known, 1.0, min(1.0, UNLABELLED_SHARE * known.sum() / max(1, (~known).sum())))
+    parent = np.full(votes.shape[1], -1)
+    above = both = np.zeros_like(votes)
     for step in range(rounds):
-        prior = (post.sum() + 1) / (n + 2)
-        on = (post @ votes + 0.1) / (post.sum() + 1)
-        off = ((1 - post) @ votes + 0.1) / ((1 - post).sum() + 1)
-        told_on = np.clip((post @ (labels == 1) + 1) / (post.sum() + 2), 0.5, 0.99)
-        told_off = np.clip(((1 - post) @ (labels == 1) + 1) / ((1 - post).sum() + 2), 0.01, 0.5)
-        if step in (3, rounds // 2):
-            left = votes - post[:, None] * on - (1 - post)[:, None] * off
-            cov = left.T @ left / n
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.abs(cov / scale[:, None] / scale[None, :])
-            np.fill_diagonal(corr, 0)
-            weights = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=1))
-        fire, quiet = np.log(on / off) * weights, np.log((1 - on) / (1 - off)) * weights
-        logit = np.log(prior / (1 - prior)) + votes @ fire + (1 - votes) @ quiet
-        logit += np.where(labels == 1, np.log(told_on / told_off), np.log((1 - told_on) / (1 - told_off)))
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, (off, on), weights
+        prior = ((weight * post).sum() + 1) / (weight.sum() + 2)
+        q = {1: (weight * post).astype(votes.dtype), 0: (weight * (1 - post)).astype(votes.dtype)}
+        on, off = (_rates(q[c], votes, above, both)[0].astype(np.float64) for c in (1, 0))
+        if step in (1, 6, rounds // 2):
+            parent = _tree(votes, post, on, off)
+            above = np.where(parent >= 0, votes[:, parent], 0).astype(votes.dtype)
+            both = votes * above
+        told = {c: ((q[c] * (given & known)).sum() + 1) / ((q[c] * known).sum() + 2) for c in (1, 0)}
+        told = {1: np.clip(told[1], 0.5, 0.99), 0: np.clip(told[0], 0.01, 0.5)}
+        logit = np.full(len(labels), np.log(prior / (1 - prior)))
+        for c, sign in ((1, 1), (0, -1)):
+            _, quiet, up = (x.astype(np.float64) for x in _rates(q[c], votes, above, both))
+            l00, l10, l01, l11 = np.log(1 - quiet), np.log(quiet), np.log(1 - up), np.log(up)
+            logit += sign * (l00.sum() + votes @ (l10 - l00) + above @ (l01 - l00) + both @ (l11 - l10 - l01 + l00))
+            logit += sign * np.where(known, np.where(given, np.log(told[c]), np.log(1 - told[c])), 0)
+        post, weight = 1 / (1 + np.exp(-np.clip(logit, -30, 30))), full
+    return post, (off, on), parent
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 150, penalty: np.ndarray | None = None):
@@ -158,41 +207,67 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) has a label for;
-    rows with a null id or label are left out, and of several labels the highest counts.
+def _fitted(n_voters: int):
+    """The linear classifier's weights and bias from all voted rows, which one task has: the sample
+    is bounded. Labels are null for rows without one."""
+
+    def run(batches):
+        slots, fired, labels = [], [], []
+        for b in batches:
+            labels += [-1 if x is None else x for x in b.column(0).to_pylist()]
+            fired += [np.asarray(x, np.int64) for x in b.column(1).to_pylist()]
+            slots += [np.unique(np.asarray(x, np.int64)) for x in b.column(2).to_pylist()]
+        labels = np.array(labels, np.int64)
+        known = labels >= 0
+        weights, bias = np.zeros(SLOTS + n_voters), -30.0
+        if known.any():
+            votes = np.zeros((len(labels), n_voters), np.float32)
+            for i, f in enumerate(fired):
+                votes[i, f] = 1
+            posterior, _, _ = label_model(votes, labels)
+            # The label model says which rows are toxic; how far given labels follow that keeps the score's scale.
+            p, y = posterior[known], labels[known]
+            follow = np.array([((1 - p) @ y + 0.5) / ((1 - p).sum() + 1), (p @ y + 0.5) / (p.sum() + 1)])
+            target = np.clip(posterior * follow[1] + (1 - posterior) * follow[0], 1e-4, 1 - 1e-4)
+            features = [np.concatenate([s, SLOTS + f]) for s, f in zip(slots, fired)]
+            penalty = np.full(SLOTS + n_voters, 1e-3)
+            penalty[SLOTS:] = 1e-5
+            weights, bias = fit_linear(features, target, len(penalty), penalty=penalty)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    The sample is picked by a hash of doc_id on both sides before they are joined, so only its
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Classifier:
+    """Learns from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) has a label for,
+    and from some of those it has none for; rows with a null id or label are left out, and of
+    several labels the highest counts.
+
+    The samples are picked by a hash of doc_id on both sides before they are joined, so only their
     own texts are moved. Words that stand out in toxic rows become voters of their own beside the
-    hand-written ones; they are counted in Spark. Only the sample's votes and hashed words reach
-    the driver. Without any labelled row every score is close to 0.
+    hand-written ones; they are counted in Spark. One task fits the model, as the sample is bounded;
+    the driver gets the words and the weights only. Without any labelled row every score is close
+    to 0; an empty text scores as one in which nothing fires.
     """
     spark = docs.sparkSession
     given = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    total = given.count()
-    near = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 30))
-    picked = materialised(docs.where(near).select("doc_id", "text").join(given.where(near), "doc_id"))
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    total, all_of = given.count(), docs.count()
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("toxicity")), F.lit(1 << 30))
+    near = lambda rows, of: part < int(min(1.0, rows / max(1, of)) * (1 << 30))
+    few = near(unlabelled_rows, all_of - total)
+    none = docs.where(few).join(given.where(few), "doc_id", "left_anti").select("text", F.lit(None).cast("int").alias("toxic"))
+    told = docs.where(near(sample_rows, total)).join(given.where(near(sample_rows, total)), "doc_id").select("text", "toxic")
+    picked = materialised(told.unionAll(none))
     rows = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
-    counts = picked.select("text", "toxic").mapInArrow(_mined, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = picked.where("toxic is not null").mapInArrow(_mined, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = F.log((F.col("toxic") + 0.5) / (rows.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (rows.get(0, 0) + 1))
-    best = counts.where("toxic >= 3").withColumn("lift", lift).where("lift > 2").orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "word").limit(MINED).collect()
+    best = counts.where(F.col("toxic") >= MINED_ROWS).withColumn("lift", lift).where(F.col("lift") > MINED_LIFT).orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "word").limit(MINED).collect()
     voters = Voters([r["word"] for r in best])
     sent = spark.sparkContext.broadcast(voters)
-    seen = picked.select("text", "toxic").mapInArrow(_voted(sent), "toxic int, fired array<int>, slots array<int>").toPandas()
-    if not len(seen):
-        return Classifier(voters, np.zeros(SLOTS + len(voters.names)), -30.0)
-    labels = seen["toxic"].to_numpy()
-    votes = np.zeros((len(seen), len(voters.names)), np.float32)
-    for i, f in enumerate(seen["fired"]):
-        votes[i, np.asarray(f, np.int64)] = 1
-    posterior, _, _ = label_model(votes, labels)
-    # The label model says which rows are toxic; how far given labels follow that keeps the score's scale.
-    follow = np.array([((1 - posterior) @ labels + 0.5) / ((1 - posterior).sum() + 1), (posterior @ labels + 0.5) / (posterior.sum() + 1)])
-    target = np.clip(posterior * follow[1] + (1 - posterior) * follow[0], 1e-4, 1 - 1e-4)
-    features = [np.concatenate([np.unique(np.asarray(s, np.int64)), SLOTS + np.asarray(f, np.int64)]) for s, f in zip(seen["slots"], seen["fired"])]
-    penalty = np.full(SLOTS + len(voters.names), 1e-3)
-    penalty[SLOTS:] = 1e-5
-    return Classifier(voters, *fit_linear(features, target, len(penalty), penalty=penalty))
+    voted = picked.mapInArrow(_voted(sent), "toxic int, fired array<int>, slots array<int>")
+    fit = voted.repartition(1).mapInArrow(_fitted(len(voters.names)), "weights binary, bias double").first()
+    return Classifier(voters, np.frombuffer(fit["weights"], "<f8"), fit["bias"])
 
 
 def _scored(sent):
@@ -224,7 +299,11 @@ def _passed(sent, threshold, at):
 
 
 def reject(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (text, and any others) that score below ``threshold``, unchanged."""
+    """The rows of ``docs`` (text, and any others) that score below ``threshold``, unchanged.
+
+    Whole texts are read; null and empty ones score as in ``score``; rows without an id and repeated
+    rows are judged like any other; an empty table gives an empty result; columns may have any names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_passed(sent, threshold, docs.columns.index("text")), docs.schema)
 
