@@ -19,7 +19,7 @@ from lodestone.functions.paths import kept
 from lodestone.functions.values import key_match
 from lodestone.operators import cascade, catalogue, changes, dead, facts as types, graph, usages
 from lodestone.plans.envelope import Envelope, Failure, cap_list
-from lodestone.plans.sqlbatch import BatchResult, Request, run_batch
+from lodestone.plans.sqlbatch import BatchResult, Request, first_line, run_batch
 
 # The columns of every operation's table (i: int, others text).
 TABLES = {
@@ -94,7 +94,7 @@ class Engine:
         try:
             got = o.run(self, **args)
         except Exception as x:  # noqa: BLE001  an operation's error is data
-            return Envelope(failure=Failure("bad_args" if isinstance(x, (ValueError, TypeError)) else "op_threw", str(x).splitlines()[0]))
+            return Envelope(failure=Failure("bad_args" if isinstance(x, (ValueError, TypeError)) else "op_threw", first_line(x)))
         if got.ok and o.table:
             got.df = projected(got.df, o.table)
         if got.ok and limit is not None:

@@ -2,7 +2,8 @@
 
 Producers are DataFrames registered as views under their aliases, so Catalyst optimises through
 them. A statement passes only if its parsed plan consists of query nodes, reads nothing but the
-aliases (and its own CTEs), and calls no function that leaves SQL.
+aliases (and its own CTEs), and calls only built-in functions of the allowed groups. What is run
+is the text that was parsed, in parentheses behind the aliases, and it is checked once more as such.
 """
 
 from __future__ import annotations
@@ -20,13 +21,20 @@ from lodestone.plans.envelope import Envelope, Failure, Truncation, merged_fresh
 TABLE_ROWS = 100_000
 RESULT_ROWS = 1_000
 _ALIAS = re.compile(r"^[a-z_][a-z0-9_]{0,30}$")
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_OUTSIDE = re.compile(r"\b(?:reflect|try_reflect|java_method|input_file_name|read_files|from_avro)\s*\(", re.I)
+#: Groups of built-in functions that compute from their arguments alone; those of the groups that are
+#: left out may call Java, read files or tell about the session.
+_GROUPS = frozenset(
+    "agg_funcs array_funcs binary_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs date_funcs generator_funcs hash_funcs json_funcs "
+    "lambda_funcs map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs".split()
+)
+_NAMED = frozenset(["typeof"])
+_NEVER = frozenset(["current_user", "user", "session_user", "current_catalog", "current_database", "current_schema", "raise_error", "input_file_name", "input_file_block_start", "input_file_block_length"])
+_TABLE_FUNCTIONS = frozenset(["explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"])
 #: Nodes of the parsed plan that only read.
 _QUERY_NODES = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Join", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation",
     "UnresolvedWith", "UnresolvedHaving", "OneRowRelation", "UnresolvedInlineTable", "WithWindowDefinition", "Generate", "LateralJoin", "Offset", "UnresolvedSubqueryColumnAliases",
-    "Window", "Pivot", "Unpivot", "LocalRelation", "Tail", "UnresolvedOrdinal", "Sample", "ResolvedInlineTable", "UnresolvedTableValuedFunction",
+    "Window", "Pivot", "Unpivot", "LocalRelation", "Tail", "UnresolvedOrdinal", "Sample", "ResolvedInlineTable", "UnresolvedTableValuedFunction", "UnresolvedSubqueryColumnAliases",
 }
 
 
@@ -73,16 +81,6 @@ def plan_aliases(requests: Sequence[Request]) -> list[str]:
     return out
 
 
-def _walk(node):
-    yield node
-    for children in (node.children(), node.innerChildren()):
-        it = children.iterator()
-        while it.hasNext():
-            yield from _walk(it.next())
-    for expression in _iterate(node.expressions()):
-        yield from _plans_in(expression)
-
-
 def _iterate(seq):
     if seq is not None:
         it = seq.iterator()
@@ -90,47 +88,96 @@ def _iterate(seq):
             yield it.next()
 
 
-def _plans_in(expression):
-    """Plans of the subqueries in an expression."""
-    if expression.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _walk(node):
+    """All nodes of a plan, and all expressions in them, subqueries included."""
+    yield node, None
+    for children in (node.children(), node.innerChildren()):
+        for child in _iterate(children):
+            yield from _walk(child)
+    for expression in _iterate(node.expressions()):
+        yield from _inside(expression)
+
+
+def _inside(expression):
+    yield None, expression
+    if _kind(expression) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "TableSubquery", "FunctionTableSubqueryArgumentExpression"):
         yield from _walk(expression.plan())
     for child in _iterate(expression.children()):
-        yield from _plans_in(child)
+        yield from _inside(child)
+
+
+def _parts(names) -> list[str]:
+    return [str(x) for x in _iterate(names)]
+
+
+def _builtin_group(spark: SparkSession, name: str) -> str | None:
+    """The group of a built-in function, or None if there is none of that name."""
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    found = catalyst.analysis.FunctionRegistry.builtin().lookupFunction(catalyst.FunctionIdentifier(name))
+    return str(found.get().getGroup()) if found.isDefined() else None
+
+
+def _check_function(spark: SparkSession, names: list[str], table: bool = False) -> None:
+    name = names[-1].lower()
+    if len(names) != 1 or name in _NEVER or not (name in _TABLE_FUNCTIONS if table else name in _NAMED or _builtin_group(spark, name) in _GROUPS):
+        raise Refused(f"function not allowed: {'.'.join(names)}")
+
+
+def first_line(error: BaseException) -> str:
+    return (str(error).strip().splitlines() or [type(error).__name__])[0]
 
 
 def check_read_only(spark: SparkSession, sql: str, aliases: Sequence[str]) -> None:
     """Raises Refused unless ``sql`` is one SELECT (or WITH) over the aliases."""
-    bare = _COMMENT.sub(" ", sql).strip()
-    if not re.match(r"(?:select|with|\()\b|\(", bare, re.I):
-        raise Refused("only SELECT or WITH is read-only")
-    if m := _OUTSIDE.search(bare):
-        raise Refused(f"function not allowed: {m[0].rstrip('( ')}")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # the JVM's parse error, whatever its class
-        raise Refused("not a single valid statement: " + str(e).splitlines()[0]) from None
-    ctes, relations = set(), []
-    for node in _walk(plan):
-        name = node.nodeName()
-        kind = node.getClass().getSimpleName()
-        if kind not in _QUERY_NODES and name not in _QUERY_NODES:
-            raise Refused(f"not read-only: {name}")
-        if kind == "UnresolvedWith":
-            for pair in _iterate(node.cteRelations()):
-                ctes.add(str(pair._1()).lower())
-        if kind == "UnresolvedRelation":
-            relations.append(".".join(str(x) for x in _iterate(node.multipartIdentifier())))
+        raise Refused("not a single valid statement: " + first_line(getattr(e, "java_exception", None) and Exception(e.java_exception.getMessage()) or e)) from None
+    known, ctes, relations = {a.lower() for a in aliases}, set(), []
+    for node, expression in _walk(plan):
+        if expression is not None:
+            kind = _kind(expression)
+            if "UnresolvedIdentifier" in kind:
+                raise Refused("names are written out, not computed")
+            if kind == "UnresolvedFunction":
+                _check_function(spark, _parts(expression.nameParts()))
+            elif kind == "UnresolvedGenerator":
+                _check_function(spark, [str(expression.name().funcName())], True)
+            elif kind == "UnresolvedTableValuedFunction":
+                _check_function(spark, _parts(expression.name()), True)
+            continue
+        kind = _kind(node)
+        if kind not in _QUERY_NODES and node.nodeName() not in _QUERY_NODES:
+            raise Refused(f"not read-only: {node.nodeName()}")
+        if kind == "UnresolvedTableValuedFunction":
+            _check_function(spark, _parts(node.name()), True)
+        elif kind == "UnresolvedWith":
+            ctes.update(str(pair._1()).lower() for pair in _iterate(node.cteRelations()))
+        elif kind == "UnresolvedRelation":
+            relations.append(_parts(node.multipartIdentifier()))
     for r in relations:
-        if r.lower() not in ctes and r.lower() not in {a.lower() for a in aliases}:
-            raise Refused(f"no such table: {r}")
+        if len(r) != 1 or r[0].lower() not in ctes | known:
+            raise Refused(f"no such table: {'.'.join(r)}")
+    # A CTE's name is only known inside its own query; beside it the name must mean nothing else.
+    for c in ctes - known:
+        if spark.catalog.tableExists(f"`{c.replace('`', '``')}`"):
+            raise Refused(f"name is taken: {c}")
 
 
 def _bounded(df: DataFrame, rows: int | None) -> tuple[DataFrame, bool]:
-    """The bound is a count of its own; a limit enters the plan only where it cuts. None: no bound."""
+    """The first ``rows`` rows, and whether there are more. A frame within the bound is computed once
+    and kept; None: no bound, and nothing is computed."""
     if rows is None:
         return df, False
-    over = df.limit(rows + 1).count() > rows
-    return (df.orderBy(*[c for c, t in df.dtypes if not t.startswith(("map", "array", "struct"))]).limit(rows), True) if over else (df, False)
+    kept = df.limit(rows + 1).persist()
+    if kept.count() <= rows:
+        return kept, False
+    kept.unpersist()
+    return df.orderBy(*[c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]).limit(rows), True
 
 
 def run_batch(spark: SparkSession, requests: Sequence[Request], sql: str, table_rows: int | None = TABLE_ROWS, result_rows: int | None = RESULT_ROWS) -> BatchResult:
@@ -147,7 +194,7 @@ def run_batch(spark: SparkSession, requests: Sequence[Request], sql: str, table_
             got = r.produce()
             made[alias] = got if isinstance(got, Envelope) else Envelope(got)
         except Exception as e:  # noqa: BLE001  a producer's failure is data
-            made[alias] = Envelope(failure=Failure("op_threw", f"{r.name}: {e}"))
+            made[alias] = Envelope(failure=Failure("op_threw", f"{r.name}: {first_line(e)}"))
     broken = {a: e.failure for a, e in made.items() if not e.ok}
     if broken:
         return BatchResult(Envelope(failure=Failure("producer_failed", "; ".join(f"{a}: {f.message}" for a, f in broken.items()))), made)
@@ -162,10 +209,10 @@ def run_batch(spark: SparkSession, requests: Sequence[Request], sql: str, table_
         notes.append(f"partial tables: {', '.join(bounded)}; NOT IN over them is not to be trusted")
     out = select(spark, tables, sql)
     if out.ok and result_rows is not None:
-        total = out.df.limit(result_rows + 1).count()
-        if total > result_rows:
+        shown = out.df.limit(result_rows + 1).persist()
+        if shown.count() > result_rows:
             out.truncated = Truncation(result_rows, out.df.count(), "add a LIMIT or aggregate")
-            out.df = out.df.limit(result_rows)
+        out.df = shown.limit(result_rows) if out.truncated else shown
     out.notes, out.bounded_tables, out.freshness = notes + out.notes, bounded, merged_freshness([e.freshness for e in made.values()])
     return BatchResult(out, made)
 
@@ -174,16 +221,18 @@ def select(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str) -> En
     """One statement over named frames. The views exist only while it is analysed."""
     names = {alias: f"v_{uuid.uuid4().hex}" for alias in tables}
     heads = ", ".join(f"`{a}` AS (SELECT * FROM {names[a]})" for a in tables)
-    text = _COMMENT.sub(" ", sql).strip().rstrip(";")
-    # The aliases become CTEs in front of the statement's own.
-    joined = re.sub(r"^with\b(\s+recursive\b)?", lambda m: f"WITH{' RECURSIVE' if m[1] else ''} {heads},", text, count=1, flags=re.I) if re.match(r"with\b", text, re.I) else f"WITH {heads} {text}"
+    # The statement stays as it is, in parentheses behind the aliases; newlines end its comments.
+    whole = f"WITH {heads}\n(\n{sql.strip().rstrip(';').rstrip()}\n)"
     try:
+        check_read_only(spark, whole, [*tables, *names.values()])
         for alias, df in tables.items():
             df.createOrReplaceTempView(names[alias])
-        return Envelope(spark.sql(joined))
+        return Envelope(spark.sql(whole))
+    except Refused as e:
+        return Envelope(failure=Failure("bad_args", str(e)))
     except PySparkException as e:
         shown = "; ".join(f"{a}({', '.join(d.columns)})" for a, d in tables.items())
-        return Envelope(failure=Failure("bad_args", f"{str(e).splitlines()[0]} -- tables: {shown}"))
+        return Envelope(failure=Failure("bad_args", f"{first_line(e)} -- tables: {shown}"))
     finally:
         for name in names.values():
             spark.catalog.dropTempView(name)

@@ -24,13 +24,34 @@ def test_anti_join(spark):
     "INSERT INTO renders VALUES ('x', 'y')", "UPDATE renders SET encloser = 'x'", "DELETE FROM renders", "SELECT 1; DROP TABLE renders", "PRAGMA user_version", "ATTACH DATABASE 'x' AS y",
     "WITH a AS (SELECT 1) DELETE FROM renders", "WITH a AS (SELECT 1) INSERT INTO renders SELECT * FROM a", "/* SELECT */ DROP TABLE renders", "-- SELECT\nINSERT INTO renders SELECT 1",
     "SELECT * FROM parquet.`/tmp`", "SELECT java_method('java.lang.System', 'exit', 1)", "SELECT * FROM elsewhere", "SELECT 1 WHERE EXISTS (SELECT 1 FROM elsewhere)", "SELECT (SELECT max(x) FROM elsewhere)", "SET a = b",
+    "'; DROP TABLE renders; --", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') FROM renders",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM renders", "SELECT * FROM IDENTIFIER('renders')", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')",
+    "WITH `text./etc/hostname` AS (SELECT 1) SELECT * FROM text.`/etc/hostname`", "SELECT * FROM range(10)", "SELECT input_file_name() FROM renders", "SELECT current_user() FROM renders", "SELECT system.builtin.reflect('a', 'b')",
+    "SELECT encloser FROM renders WHERE encloser IN (SELECT reflect('java.lang.System', 'getProperty', 'user.home'))", "SELECT transform(array(1), x -> java_method('java.lang.System', 'nanoTime')) FROM renders",
+    "SELECT * FROM renders LATERAL VIEW explode(array(reflect('java.lang.System', 'getProperty', 'user.home'))) t AS x", "SELECT 1 FROM renders ORDER BY (SELECT max(x) FROM elsewhere)", "EXPLAIN SELECT 1", "SHOW TABLES",
+    "SELECT 1) UNION ALL (SELECT 2", "", "WITH elsewhere AS (SELECT * FROM renders) SELECT 1 FROM (SELECT * FROM elsewhere), parquet.`/tmp/x`", "CACHE TABLE renders", "SELECT * FROM renders TABLESAMPLE (1 ROWS), csv.`/etc/passwd`",
 ])
 def test_hostile_statements_are_refused(spark, sql):
     assert batch(spark, sql).sql.failure.code == "bad_args"
 
 
+def test_what_is_checked_is_what_runs(spark):
+    out = batch(spark, "SELECT 'a/*' AS b, \"*/' AS b, value FROM text.`/etc/hostname` --\" AS c FROM forms")
+    assert [tuple(r) for r in out.sql.df.collect()] == [("a/*", "*/' AS b, value FROM text.`/etc/hostname` --")]
+
+
+def test_names_of_other_tables_are_taken(spark):
+    spark.range(1).createOrReplaceTempView("secret_view")
+    try:
+        assert "taken" in batch(spark, "SELECT * FROM secret_view, (WITH secret_view AS (SELECT 1) SELECT * FROM secret_view)").sql.failure.message
+    finally:
+        spark.catalog.dropTempView("secret_view")
+
+
 def test_queries_that_pass(spark):
     for sql in (
+        "SELECT encloser FROM renders WHERE encloser = 'a--b' OR encloser = '/* x */'", "/* head */ SELECT encloser -- tail\nFROM renders -- end", "-- SELECT\nWITH a AS (SELECT 1 AS x) (SELECT x FROM a) ;", "SELECT 1 AS `drop table`, 'INSERT; --' AS s",
+        "SELECT transform(collect_set(encloser), x -> upper(x)) AS a, typeof(1) AS b FROM renders", "SELECT e FROM renders LATERAL VIEW explode(array(encloser, symbol)) t AS e", "WITH a AS (SELECT encloser FROM renders), b AS (SELECT * FROM a) SELECT x.encloser FROM a x, b y",
         "WITH a AS (SELECT * FROM renders) SELECT count(*) AS n FROM a", "SELECT encloser, row_number() OVER (ORDER BY encloser) AS n FROM renders ORDER BY n LIMIT 1",
         "SELECT r.encloser FROM renders r JOIN forms f ON r.encloser = f.encloser UNION ALL SELECT encloser FROM forms", "SELECT symbol, count(*) FILTER (WHERE encloser = 'A') AS n FROM renders GROUP BY symbol HAVING count(*) > 1",
     ):
