@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 1024
-#: Partially filled windows that a task holds at most; then they are cut together and sent out.
+#: Partially filled windows that a task holds at most, which bounds its memory; then they are settled.
 MAX_OPEN = 4096
 #: Entries of a generation of the chunk cache of a Python worker.
 CACHE = 300_000
@@ -125,13 +125,14 @@ class Packer:
 
     ``levels[h]`` counts the partially filled windows that hold h ids. A piece goes where the sum
     of the squared counts afterwards is least (a new window is level 0); ties take the fullest.
+    ``moved`` counts the ids that ``settle`` took out of the window the rule had put them in.
     """
 
     def __init__(self, window: int, first_id: int, max_open: int):
         self.window, self.next, self.max_open = window, first_id, max_open
         self.levels = np.zeros(window + 1, np.int64)
         self.stacks: list[list[list]] = [[] for _ in range(window + 1)]
-        self.open = 0
+        self.open = self.moved = 0
         self.rows: list[tuple] = []
 
     def add(self, piece) -> None:
@@ -158,17 +159,38 @@ class Packer:
         self.stacks[h + size].append(held)
         self.open += 1
         if self.open >= self.max_open:
-            self.flush()
-
-    def flush(self) -> None:
-        """Sends out all open windows: their pieces, fullest window first, are cut into full
-        windows; the last one is cut into sequences whose lengths are powers of two."""
-        pieces = [p for h in range(self.window, 0, -1) for held in self.stacks[h] for p in held]
+            self.settle()
+
+    def settle(self) -> None:
+        """Closes all open windows without padding: the fullest are filled up from the emptiest, whose
+        pieces move as they are or are cut where a window is full. Only the very last window is cut
+        into sequences whose lengths are powers of two. All other pieces stay where the rule put them."""
+        windows = [held for h in range(self.window, 0, -1) for held in self.stacks[h]]
+        fills = [h for h in range(self.window, 0, -1) for _ in self.stacks[h]]
         self.levels[:] = 0
         self.stacks = [[] for _ in range(self.window + 1)]
         self.open = 0
-        left = sum(len(p[3]) // 4 for p in pieces)
-        room, held = self._length(left), []
+        low, high = 0, len(windows) - 1
+        while low < high:
+            room = self.window - fills[low]
+            doc_id, start, total, ids = windows[high].pop()
+            take = min(room, len(ids) // 4)
+            windows[low].append((doc_id, start, total, ids[: 4 * take]))
+            if 4 * take < len(ids):
+                windows[high].append((doc_id, start + take, total, ids[4 * take :]))
+            fills[low] += take
+            fills[high] -= take
+            self.moved += take
+            if fills[low] == self.window:
+                self._emit(windows[low])
+                low += 1
+            if low < high and not fills[high]:
+                high -= 1
+        if low == high and fills[low]:
+            self._in_powers(windows[low], fills[low])
+
+    def _in_powers(self, pieces, left: int) -> None:
+        room, held = 1 << (left.bit_length() - 1), []
         for doc_id, start, total, ids in pieces:
             while ids:
                 cut = min(room, len(ids) // 4)
@@ -176,10 +198,7 @@ class Packer:
                 ids, start, room, left = ids[4 * cut :], start + cut, room - cut, left - cut
                 if not room:
                     self._emit(held)
-                    room, held = self._length(left), []
-
-    def _length(self, left: int) -> int:
-        return self.window if left >= self.window else 1 << max(0, left.bit_length() - 1)
+                    room, held = 1 << max(0, left.bit_length() - 1), []
 
     def _emit(self, held) -> None:
         offset = 0
@@ -209,7 +228,7 @@ def _packed(path: str, window: int, max_open: int):
                 if len(packer.rows) > 20_000:
                     yield batch(packer.rows)
                     packer.rows = []
-        packer.flush()
+        packer.settle()
         yield batch(packer.rows)
 
     return run
@@ -221,10 +240,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, max_open: int =
     A document's ids are those of the tokenizer file ``tokenizer`` without special tokens added,
     then id 0; a null or empty text is id 0 alone. Documents longer than a window are cut into
     full windows, and the rest is placed online by the sum-of-squares rule. Each task packs the
-    documents of its own partition in their order, without a shuffle; what is left open at its end
-    (or once ``max_open`` windows are open, which bounds memory) is cut into full windows and a
-    last one in powers of two, which need no padding. Rows of one doc_id are separate documents
-    if the table repeats it; an empty table gives an empty result. One row per piece: see COLUMNS.
+    documents of its own partition in their order, without a shuffle; windows that are open at its
+    end (or once ``max_open`` are, which bounds memory) are filled up from the emptiest of them, and
+    the last one is cut in powers of two, so that nothing is padded. Texts of any length are read
+    whole. Rows of one doc_id are separate documents if the table repeats it, and those without one
+    are packed too; an empty table gives an empty result. One row per piece: see COLUMNS.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packed(tokenizer, window, max_open), COLUMNS)
 

@@ -508,6 +508,29 @@ def test_sum_of_squares_rule():
         assert p.levels.tolist()[1:16] == levels[1:16]
 
 
+def test_settling_moves_little(spark):
+    """Of the ids that the rule places, few are moved when the windows of a task are settled, one
+    window at most is cut in powers of two, and pieces that were cut are as few as windows filled."""
+    lengths = [1 + r["n"] // 4 for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.coalesce("n_chars", F.lit(0)).alias("n")).collect()]
+    random.seed(10)
+    random.shuffle(lengths)
+    for docs_in_task, most in ((1250, 0.15), (8000, 0.04)):
+        p = packing.Packer(1024, 0, packing.MAX_OPEN)
+        placed = 0
+        for i, n in enumerate(lengths[:docs_in_task]):
+            for start in range(0, n, 1024):
+                size = min(1024, n - start)
+                placed += size % 1024
+                p.add((i, start, n, b"\1\0\0\0" * size))
+        p.settle()
+        sizes = {}
+        for r in p.rows:
+            sizes[r[5]] = sizes.get(r[5], 0) + r[2]
+        assert sum(sizes.values()) == sum(lengths[:docs_in_task]) and p.moved <= most * placed, (docs_in_task, p.moved / placed)
+        odd_ones = [n for n in sizes.values() if n != 1024]
+        assert len(odd_ones) <= 10 and sum(odd_ones) < 1024 and all(n & (n - 1) == 0 for n in odd_ones)
+
+
 # --- personal data
 
 
