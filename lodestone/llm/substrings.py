@@ -1,11 +1,13 @@
 """Removal of long passages that repeat anywhere in the corpus, on a compacted de Bruijn graph.
 
-The edges of the graph are token k-mers: the windows of ``window`` consecutive words. On the way
-along a document, neighbouring windows share their minimiser (the least hash of the shorter
-k-mers inside), so a nonbranching stretch of edges compacts to that one anchor. A first Spark join
-finds the anchors that occur twice or more; only stretches that hang on them are opened into
-edges again, a second join finds the repeated edges, and a last pass verifies them at their source
-coordinates and merges overlapping ones into the spans to remove.
+Edges of the graph are token k-mers, the windows of ``window`` consecutive words; nodes are the
+(window - 1)-mers between them. Only edges that occur twice or more are of interest. They are found
+in two joins: windows that share a minimiser (the least hash of the shorter k-mers inside) meet
+under it first, and only those under a repeated minimiser are joined as edges. Then the degrees of
+the nodes are counted: where all occurrences of a node come from one repeated edge and go on to one,
+the path does not branch and compacts. What is left of a document's repeated edges are a few
+compacted paths with source coordinates; the words there are digested and compared before anything
+is removed, so that equal hashes alone remove nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import materialised
+
 WINDOW = 35
 #: Words of the k-mers that compete to be a window's anchor.
 ANCHOR = 12
@@ -26,11 +30,11 @@ ANCHOR = 12
 BLOCK = 1 << 17
 #: Keys that a task gathers before it deals them out.
 FLUSH = 1 << 21
-#: Parts for each shuffle partition; one part is resolved at a time.
-PARTS = 1
+#: Bytes of the digest by which the words of two paths are compared.
+DIGEST = 16
 
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -86,6 +90,33 @@ def _windows(words: np.ndarray, window: int) -> np.ndarray:
     return _rolled(words, window, _BASES[1])
 
 
+def _nodes(words: np.ndarray, window: int) -> np.ndarray:
+    return _rolled(words, window - 1, _BASES[2])
+
+
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int, by which it deals rows to partitions."""
+    turn = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def part_names(n: int) -> np.ndarray:
+    """For each of n partitions an int that Spark deals to it, so that parts and tasks are the same."""
+    names = np.full(n, -1)
+    at = 0
+    while (names < 0).any():
+        some = np.arange(at, at + 8 * n)
+        to = np.mod(_murmur(some).astype(np.int64), n)
+        names[to[::-1]] = np.where(names[to[::-1]] < 0, some[::-1], names[to[::-1]])
+        at += 8 * n
+    return names
+
+
 def _batch(kind: int, part: np.ndarray, keys: np.ndarray, rows: np.ndarray, twice: np.ndarray):
     """Entries as one row of packed arrays for each part. kind: 0 for answers, 1 for questions."""
     order = np.argsort(part, kind="stable") if kind else np.lexsort((rows, part))
@@ -112,7 +143,7 @@ class _Dealer:
     flagged entry tells the others. So a reducer gets a key once from each task at most.
     """
 
-    def __init__(self, parts: int):
+    def __init__(self, parts: np.ndarray):
         self.parts, self.keys, self.rows, self.twice, self.size = parts, [], [], [], 0
 
     def add(self, row: int, keys: np.ndarray) -> None:
@@ -133,12 +164,16 @@ class _Dealer:
         group = np.cumsum(new) - 1
         known = ((np.bincount(group) > 1) | (np.bincount(group, twice) > 0))[group]
         yield _answers(self.parts, rows[known], keys[known])
-        yield _batch(1, _mixed(keys[new]) % _U(self.parts), keys[new], rows[new], known[new])
+        yield _batch(1, _part(self.parts, keys[new]), keys[new], rows[new], known[new])
 
 
-def _answers(parts: int, rows: np.ndarray, keys: np.ndarray):
+def _part(parts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return parts[(_mixed(keys) % _U(len(parts))).astype(np.int64)]
+
+
+def _answers(parts: np.ndarray, rows: np.ndarray, keys: np.ndarray):
     """Repeated keys, dealt by the row that has them."""
-    return _batch(0, _mixed(rows) % _U(parts), keys, rows, None)
+    return _batch(0, _part(parts, rows), keys, rows, None)
 
 
 def _anchor_keys(window, anchor, parts):
@@ -239,44 +274,125 @@ def _gathered(batches):
             yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array([keys[a:b].tobytes() for a, b in zip(some, ends)], pa.binary())], names=["row_key", "known"])
 
 
-def _repeated(dealt: DataFrame, parts: int) -> DataFrame:
+def _repeated(dealt: DataFrame, parts: np.ndarray) -> DataFrame:
     """(row_key, known): for each row the packed keys that occur more than once anywhere."""
     asked = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_resolved(parts), _DEALT)
     return asked.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, "row_key long, known binary")
 
 
-def _kept(window):
+def _hits(raw: bytes, n: int, known: bytes, window: int):
+    """(whether each of the n - window + 1 windows is a repeated edge, its hash, the hash of the node
+    at each word, the node after the last window included)."""
+    repeated = np.frombuffer(known, _U)
+    hit, edge, node = np.zeros(n - window + 1, bool), np.zeros(n - window + 1, _U), np.zeros(n - window + 2, _U)
+    for at, w in _blocks(raw, window):
+        edges = _windows(w, window)
+        hit[at : at + len(edges)] = np.isin(edges, repeated)
+        edge[at : at + len(edges)] = edges
+        node[at : at + len(edges) + 1] = _nodes(w, window)
+    return hit, edge, node
+
+
+def _ways(hit: np.ndarray, edge: np.ndarray):
+    """At each node on a repeated edge: its place, and one hash of the edges it is come by and left by."""
+    none = np.zeros(1, _U)
+    into, out = np.concatenate([none, np.where(hit, edge, _U(0))]), np.concatenate([np.where(hit, edge, _U(0)), none])
+    at = np.nonzero((into != 0) | (out != 0))[0]
+    way = (into[at] * _U(_BASES[0])) ^ ((out[at] + _U(1)) * _U(_BASES[1]))
+    return at, way ^ (way >> _U(29))
+
+
+def _node_ways(window):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                rows, nodes, ways = ([np.zeros(0, np.int64)] for _ in range(3))
+                for row, text, known in zip(*(some.column(x).to_pylist() for x in ("row_key", "text", "known"))):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    hit, edge, node = _hits(raw, len(raw.split()), known, window)
+                    place, way = _ways(hit, edge)
+                    both = np.unique(np.stack([node[place], way]), axis=1)
+                    rows.append(np.full(both.shape[1], row, np.int64))
+                    nodes.append(both[0].view(np.int64))
+                    ways.append(both[1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, nodes, ways)], names=["row_key", "node", "way"])
+
+    return run
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()[:DIGEST]
+
+
+def _compacted(window):
+    """The paths of each row: maximal runs of repeated edges without a branching node inside."""
+
     def run(batches):
         for b in batches:
-            texts, counts, removed, digests = [], [], [], []
-            for text, known in zip(b.column("text").to_pylist(), b.column("known").to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            out = []
+            for row, text, known, branching in zip(*(b.column(x).to_pylist() for x in ("row_key", "text", "known", "branching"))):
+                raw = text.encode("utf-8", "surrogatepass")
                 words = raw.split()
-                gone = 0
-                if known:
-                    repeated = np.frombuffer(known, _U)
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    for at, w in _blocks(raw, window):
-                        hit = at + np.nonzero(np.isin(_windows(w, window), repeated))[0]
-                        np.add.at(edge, hit, 1)
-                        np.add.at(edge, hit + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    gone = int(len(words) - keep.sum())
-                if gone:
-                    words = [w for w, k in zip(words, keep.tolist()) if k]
-                joined = b" ".join(words)
-                texts.append(joined.decode("utf-8", "surrogatepass") if gone else text)
-                counts.append(len(words) + gone)
-                removed.append(gone)
-                digests.append(hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
-                names=["row", "kept_text", "n_words", "n_removed", "kept_sha256"],
-            )
+                hit, _, node = _hits(raw, len(words), known, window)
+                cut = np.isin(node[: len(hit)], np.array(branching or [], np.int64).view(_U))
+                begins = hit & (cut | ~np.concatenate([[False], hit[:-1]]))
+                ends = np.nonzero(hit & np.concatenate([begins[1:] | ~hit[1:], [True]]))[0]
+                for i, j in zip(np.nonzero(begins)[0].tolist(), ends.tolist()):
+                    out.append((row, i, j - i + window, _digest(words[i : j + window])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["row_key", "start", "n", "digest"])
 
     return run
 
 
+def _kept(batches):
+    for b in batches:
+        texts, counts, removed, digests = [], [], [], []
+        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            words = (text or "").encode("utf-8", "surrogatepass").split()
+            gone = 0
+            if spans:
+                keep = np.ones(len(words), bool)
+                for x in spans:
+                    # The words at the coordinates are those that were compared.
+                    if keep[x["start"] : x["start"] + x["n"]].any() and _digest(words[x["start"] : x["start"] + x["n"]]) == x["digest"]:
+                        keep[x["start"] : x["start"] + x["n"]] = False
+                gone = int(len(words) - keep.sum())
+            if gone:
+                words = [w for w, k in zip(words, keep.tolist()) if k]
+            joined = b" ".join(words)
+            texts.append(joined.decode("utf-8", "surrogatepass") if gone else text)
+            counts.append(len(words) + gone)
+            removed.append(gone)
+            digests.append(hashlib.sha256(joined).hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+            names=["row", "kept_text", "n_words", "n_removed", "kept_sha256"],
+        )
+
+
+def paths(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+    """(row_key, start, n, digest): the compacted paths of all rows, in words from 0.
+
+    A node branches if its occurrences on repeated edges differ in the edge they come by or the edge
+    they leave by; the end of a repeated stretch counts as a difference. Ways are combined in each
+    task, so a passage that very many documents share is one entry of each.
+    """
+    on = texts.join(edges, "row_key").select("row_key", "text", "known", "rest")
+    ways = on.select("row_key", "text", "known").mapInArrow(_node_ways(window), "row_key long, node long, way long")
+    branching = ways.groupBy("node").agg(F.min("way").alias("low"), F.max("way").alias("high")).where("low <> high").select("node")
+    mine = ways.select("row_key", "node").join(branching, "node").groupBy("row_key").agg(F.collect_set("node").alias("branching"))
+    return on.join(mine, "row_key", "left").select("row_key", "text", "known", "branching").mapInArrow(_compacted(window), "row_key long, start long, n long, digest binary")
+
+
+def verified_spans(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+    """(row_key, spans): the paths of each row whose words stand at other coordinates too."""
+    found = materialised(paths(texts, edges, window))
+    again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
+    return found.join(again, "digest").groupBy("row_key").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Marks and removes the words of ``docs`` (doc_id, text, and any others) that lie in a repeated window.
 
@@ -285,25 +401,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     another row. Result: (row, kept_text, n_words, n_removed, kept_sha256), ``row`` being the
     untouched input row as a struct, so that no column name can clash; kept_text is the text
     itself where nothing is removed, else the kept words joined by one blank, and kept_sha256 the
-    digest of the kept words joined so. A null text has no words and stays null. A repeated row
-    repeats all its windows. An empty table gives an empty result.
+    digest of the kept words joined so. A null text has no words and stays null; texts of any length
+    are read whole, in overlapping blocks. A repeated row repeats all its windows. An empty table
+    gives an empty result.
 
-    Windows are compared by 64-bit hashes. The keys of a task are combined before they are dealt,
-    so a passage that very many documents share reaches a reducer once for each task.
+    Edges are found by 64-bit hashes; a path is removed only where the words of another occurrence
+    have the same SHA-256 (its first DIGEST bytes). The keys of a task are combined before they are
+    dealt, so a passage that very many documents share reaches a reducer once for each task.
     """
-    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = part_names(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     row_key = F.xxhash64(F.col("doc_id"), F.col("text"))
     texts = docs.select(row_key.alias("row_key"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     anchors = _repeated(texts.select("row_key", "text").mapInArrow(_anchor_keys(window, anchor, parts), _DEALT), parts)
-    # ``rest`` comes along for nothing else than that both joins can read one and the same exchange.
+    # ``rest`` comes along for nothing else than that all joins can read one and the same exchange.
     hung = texts.join(anchors, "row_key").select("row_key", "text", "known", "rest")
-    edges = _repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts)
-    found = texts.join(edges, "row_key", "left").select(F.col("rest").alias("row"), "text", "known")
+    edges = materialised(_repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts))
+    spans = verified_spans(texts, edges, window)
     kind = T.StructType([
         T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"])), T.StructField("kept_text", T.StringType()),
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
     ])
-    return found.mapInArrow(_kept(window), kind)
+    return texts.join(spans, "row_key", "left").select(F.col("rest").alias("row"), "text", "spans").mapInArrow(_kept, kind)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
