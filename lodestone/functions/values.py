@@ -122,3 +122,19 @@ def fnv1a64(text: pd.Series) -> pd.Series:
 
 def symbol_id(name: Column, path: Column, line: Column, col: Column, root_tag: Column) -> Column:
     return F.concat(F.lit("ts:"), name, F.lit("@"), path, F.lit(":"), line.cast("string"), F.lit(":"), col.cast("string"), F.lit("~"), root_tag)
+
+
+def package_name(spec: Column) -> Column:
+    """The package that a bare specifier addresses: two segments under a scope, else one."""
+    parts = F.split(spec, "/")
+    return F.when(spec.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(F.get(parts, F.lit(0)))
+
+
+def template_head(text: Column) -> Column:
+    """The text before the first ``${`` of a bare template literal, which all its values begin with;
+    null where there is none to rely on: other expressions, a wrapped template, an empty head, or
+    one with escapes, backticks or line ends."""
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    head = F.substring_index(inner, "${", 1)
+    bare = (F.length(text) >= 2) & text.startswith("`") & text.endswith("`")
+    return F.when(bare & (head != "") & ~head.rlike(r"[\\\\`\r\n]"), head)

@@ -144,33 +144,50 @@ def trace_field(reads: DataFrame) -> DataFrame:
     return reads.where("role <> 'write'").select("field", relation.alias("relation"), "site", F.when(relation == "rendered-in", "certain").otherwise("partial").alias("confidence")).where("relation is not null")
 
 
-def widening_verdict(to_any, forward, backward):
-    """How a value's type changes along a flow: columns of (verdict, confidence, go on)."""
-    verdict = F.when(to_any, "any").when(forward & ~backward, "widened").when(backward & ~forward, "narrowed").otherwise("same")
-    return verdict, F.when(to_any, "dynamic").otherwise("certain"), ~to_any
+def widening_verdict(rows: DataFrame) -> DataFrame:
+    """Adds verdict, confidence, note and go (whether the walk goes on) to flows (forward, backward:
+    assignability of the source to the sink and back; src_any, src_unknown, sink_any, sink_unknown,
+    src_literal, sink_union). Only a sink that is strictly wider is a widening; the verdict of all
+    others is null. Flags that are not known count as false."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+    loose, to_any, to_unknown = flag("src_any") | flag("src_unknown"), flag("sink_any") & ~flag("src_any"), flag("sink_unknown") & ~flag("sink_any") & ~(flag("src_any") | flag("src_unknown"))
+    wider = ~loose & ~flag("sink_any") & ~flag("sink_unknown") & flag("forward") & ~flag("backward")
+    verdict = (
+        F.when(to_any, "to-any").when(to_unknown, "to-unknown").when(wider & flag("src_literal") & ~flag("sink_literal"), "literal-widening")
+        .when(wider & flag("sink_union"), "union-widened").when(wider, "narrowing-lost")
+    )
+    note = F.when(to_any, "the type is erased here").when(to_unknown, "the type is lost until it is narrowed again")
+    return rows.withColumns({"verdict": verdict, "confidence": F.when(to_any | to_unknown, "dynamic").otherwise("certain"), "note": note, "go": ~(to_any | to_unknown)})
 
 
 def trace_widening(flows: DataFrame, seeds: DataFrame, depth: int = 16, nodes: int = 200) -> tuple[DataFrame, Closure]:
-    """Forward value flow (src, dst, relation, to_any, forward, backward); any stops the walk, as do
-    reassignments and returns, which are leaves."""
-    verdict, confidence, go = widening_verdict(F.col("to_any"), F.col("forward"), F.col("backward"))
-    rows = flows.withColumn("verdict", verdict).withColumn("confidence", confidence)
-    found = closure(rows.where(go & F.col("relation").isin("passed-to", "assigned-to")), seeds, depth, nodes)
+    """Forward value flow (src, dst, relation and the flags of widening_verdict); any and unknown stop
+    the walk, as do reassignments and returns, which are leaves."""
+    rows = widening_verdict(flows)
+    found = closure(rows.where(F.col("go") & F.col("relation").isin("passed-to", "assigned-to")), seeds, depth, nodes)
     reached = found.nodes.select("node").unionByName(seeds.select("node")).distinct()
-    return rows.join(reached, rows["src"] == reached["node"], "left_semi").select("src", "relation", "dst", "verdict", "confidence").distinct(), found
-
-
-def owner(calls: DataFrame, steps: int = 32) -> DataFrame:
-    """The nearest marked ancestor of each call. calls: id, parent, marked. Rows (id, owner)."""
-    up = materialised(calls.select("id", "parent", F.when(F.col("marked"), F.col("id")).alias("own")))
-    state = up.select("id", F.col("parent").alias("at"), F.lit(None).cast(up.schema["id"].dataType).alias("owner"))
-    parents = up.select(F.col("id").alias("at"), F.col("parent").alias("_next"), F.col("own").alias("_own"))
-    for _ in range(steps):
-        moved = state.join(parents, "at", "left")
-        state = materialised(moved.select("id", F.when(F.coalesce("owner", "_own").isNull(), F.col("_next")).alias("at"), F.coalesce("owner", "_own").alias("owner")))
-        if not state.where("at is not null").limit(1).count():
+    return rows.join(reached, rows["src"] == reached["node"], "left_semi").select("src", "relation", "dst", "verdict", "confidence", "note").distinct(), found
+
+
+def owner(calls: DataFrame) -> DataFrame:
+    """The nearest marked ancestor of each call. calls: id, parent, marked. Rows (id, owner).
+
+    Ways up are doubled in each round, so rounds are logarithmic in the depth. A parent cycle without
+    a marked call has no owner.
+    """
+    start = calls.select("id", F.col("parent").alias("at"), F.when(F.col("marked"), F.col("id")).alias("own"))
+    # jump: from a call that is not marked to where the search goes on, or what it found.
+    jump = materialised(start.select("id", F.when(F.col("own").isNull(), F.col("at")).alias("at"), F.col("own").alias("found")))
+    for _ in range(64):
+        onward = jump.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("found").alias("_found"))
+        open_ = jump.where("found is null and at is not null")
+        if not open_.limit(1).count():
             break
-    return state.select("id", "owner")
+        moved = open_.join(onward, "at", "left").select("id", F.when(F.col("_found").isNull(), F.col("_at")).alias("at"), F.col("_found").alias("found"))
+        moved = moved.where("at is null or found is not null or at <> id")
+        jump = materialised(jump.where("found is not null or at is null").unionByName(moved))
+    up = jump.select(F.col("id").alias("parent"), F.col("found").alias("owner"))
+    return calls.select("id", "parent").join(up, "parent", "left").select("id", "owner")
 
 
 class CycleError(ValueError):

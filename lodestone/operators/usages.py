@@ -65,6 +65,15 @@ def text_hits(lines: DataFrame, word: str, text: str = "text") -> DataFrame:
     return lines.where(F.instr(text, word) > 0).withColumn("hits", n.cast("long")).where("hits > 0").withColumn("confidence", F.lit("unresolved"))
 
 
+def text_spans(lines: DataFrame, word: str, text: str = "text") -> DataFrame:
+    """Each place of the word in a line, as col (from 1) and end_col (exclusive); always of confidence
+    ``unresolved``."""
+    parts = F.split(F.col(text), word_regex(word), -1)
+    before = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x)) + (n - 1) * len(word) + 1)
+    found = lines.where((F.instr(text, word) > 0) & (F.size(parts) > 1)).withColumn("col", F.explode(before))
+    return found.withColumn("end_col", F.col("col") + len(word)).withColumn("confidence", F.lit("unresolved"))
+
+
 def text_overlay(hits: DataFrame, refs: DataFrame, same: Sequence[str], overlap: Column | None = None) -> DataFrame:
     """Textual hits that no semantic reference covers. ``overlap`` (over columns of h and r) may
     ask for intersecting spans beside the equal columns, which keep it a hash join."""

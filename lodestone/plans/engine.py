@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import kept
-from lodestone.functions.values import key_match
+from lodestone.functions.values import key_match, template_head
 from lodestone.operators import cascade, catalogue, changes, dead, facts as types, graph, usages
 from lodestone.plans.envelope import Envelope, Failure, cap_list
 from lodestone.plans.sqlbatch import BatchResult, Request, first_line, run_batch
@@ -169,12 +169,16 @@ def find_usages(e, symbols, role=None, group_by=None, include=(), exclude=(), co
         out = out.withColumn("role", F.col("roles")).withColumn("program", F.col("programs")).withColumn("ref_file", F.col("site.file")).withColumn("ref_line", F.col("site.line")).withColumn("ref_col", F.col("site.col"))
         return Envelope(out.withColumn("file", F.col("encloser_file")).withColumn("confidence", F.lit("certain")).withColumn("provenance", F.lit("type")), notes=notes)
     if merge_declarations:
-        rows = rows.groupBy("symbol", "file", "start", "line", "col", "role").agg(F.array_join(F.sort_array(F.collect_set("symbol_id")), ",").alias("decls"))
+        site = ["symbol", "file", "start", "line", "col", "role"]
+        ids = rows.groupBy(*site).agg(F.array_join(F.sort_array(F.collect_set("symbol_id")), ",").alias("decls"))
+        rows = usages.first_program(rows, site, ["program_rank", "symbol_id"]).join(ids, site)
     out = rows.withColumn("confidence", F.lit("certain")).withColumn("provenance", F.lit("type"))
     if text:
-        hits = usages.text_hits(e["text_lines"], text)
-        clear = usages.text_overlay(hits, rows.select("file", "line").distinct(), ["file", "line"])
-        out = out.unionByName(clear.select("file", "line", "confidence").withColumn("symbol", F.lit(text)).withColumn("provenance", F.lit("heuristic:text")), allowMissingColumns=True)
+        hits = usages.text_spans(e["text_lines"], text)
+        ends = F.when(F.col("end_line") > F.col("line"), F.lit(1 << 30)).otherwise(F.coalesce("end_col", F.col("col") + F.length("symbol")))
+        spans = rows.select("file", "line", "col", ends.alias("end_col")) if {"end_line", "end_col"} <= set(rows.columns) else rows.select("file", "line", "col", (F.col("col") + F.length("symbol")).alias("end_col"))
+        clear = usages.text_overlay(hits, spans, ["file", "line"], (F.col("h.col") < F.col("r.end_col")) & (F.col("r.col") < F.col("h.end_col")))
+        out = out.unionByName(clear.select("file", "line", "col", "confidence").withColumn("symbol", F.lit(text)).withColumn("provenance", F.lit("heuristic:text")), allowMissingColumns=True)
     return Envelope(out, notes=notes)
 
 
@@ -260,10 +264,9 @@ def find_unused_i18n_keys(e, prefix=None, include=(), exclude=(), partials="list
     notes: list[str] = []
     keys = catalogue.lookup(e["locale_keys"], prefix=prefix) if prefix else e["locale_keys"]
     calls = e["literal_calls"]
-    heads = F.regexp_extract("text", r"^`([^$`]*)\.\$\{", 1)
-    dynamic = calls.where("dynamic").select(heads.alias("key"))
-    headless = bool(dynamic.where("key = ''").limit(1).count())
-    found = dead.unused_keys(keys, calls.where("not dynamic").select(F.col("arg").alias("key")), dynamic.where("key <> ''"), headless)
+    dynamic = calls.where("dynamic").select(template_head(F.col("text")).alias("key"))
+    headless = bool(dynamic.where("key is null").limit(1).count())
+    found = dead.unused_keys(keys, calls.where("not dynamic").select(F.col("arg").alias("key")), dynamic.where("key is not null"), headless)
     if partials == "hide":
         found = found.where("confidence = 'certain'")
     return Envelope(_counted_filter(found, include, exclude, notes), notes=notes)
@@ -390,7 +393,7 @@ def trace_field_to_render(e, field):
 @op("trace_type_widening", "flow_edges", table="trace")
 def trace_type_widening(e, node, depth=16, nodes=200):
     rows, c = graph.trace_widening(e["flow_edges"], e.spark.createDataFrame([(node,)], "node string"), depth, nodes)
-    return _closed(c, rows.select(F.col("src").alias("from"), "relation", F.col("dst").alias("to"), "confidence", F.col("verdict").alias("note")))
+    return _closed(c, rows.select(F.col("src").alias("from"), "relation", F.col("dst").alias("to"), "confidence", F.concat_ws(": ", "verdict", "note").alias("note")))
 
 
 @op("rename_symbol", "refs")

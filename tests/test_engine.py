@@ -55,6 +55,17 @@ def test_usages(engine):
     assert "not found: Ghost" in out.notes and "2 rows excluded by the path filter" in out.notes and out.df.count() == 1
 
 
+def test_text_overlay_is_by_span(spark, engine):
+    """A hit stays unless a reference covers its very place; other places of the line are hits."""
+    lines = spark.createDataFrame([("a.tsx", 1, "Input, and Input xInput"), ("b.tsx", 4, "Input + Input"), ("d.md", 2, "an Input, Input")], "file string, line int, text string")
+    e = Engine(spark, {**engine.facts, "text_lines": lines})
+    out = e.run("find_usages", symbols=["Input"], text="Input")
+    assert out.ok, out.failure
+    hits = sorted((r["file"], r["line"], r["col"]) for r in out.df.where("confidence = 'unresolved'").collect())
+    assert hits == [("a.tsx", 1, 12), ("b.tsx", 4, 9), ("d.md", 2, 4), ("d.md", 2, 11)]
+    assert got(engine, "find_usages", "file", "encloser", "decls", symbols=["A"], merge_declarations=True) == [("c.tsx", "C", "id:A")]
+
+
 def test_dead_things(engine):
     assert got(engine, "find_unused_exports", "name") == [("Az",), ("B",)]
     assert got(engine, "find_unused_i18n_keys", "key", "confidence") == [("dead", "certain"), ("dead", "certain"), ("t.k", "dynamic")]

@@ -42,8 +42,10 @@ def test_text_hits_use_ascii_boundaries(spark):
 def test_dead_ladders(spark):
     keys = spark.createDataFrame([("a.b",), ("a.bc",), ("x.y",), ("used",)], "key string")
     used = spark.createDataFrame([("used",)], "key string")
+    for head, demoted in (("a.b", {"a.b", "a.bc"}), ("a.bc", {"a.bc"}), ("a.", {"a.b", "a.bc"}), ("x.y.longer", set())):
+        found = rows(dead.unused_keys(keys, used, spark.createDataFrame([(head,)], "key string")), "key", "confidence")
+        assert {k for k, c in found if c == "dynamic"} == demoted and len(found) == 3
     heads = spark.createDataFrame([("a.b",)], "key string")
-    assert rows(dead.unused_keys(keys, used, heads), "key", "confidence") == [("a.b", "dynamic"), ("a.bc", "certain"), ("x.y", "certain")]
     assert {r[1] for r in rows(dead.unused_keys(keys, used, heads, any_dynamic=True), "key", "confidence")} == {"dynamic"}
     locales = spark.createDataFrame([("en",), ("ru",)], "locale string")
     defined = spark.createDataFrame([("a", "en"), ("b", "en"), ("b", "ru")], "key string, locale string")
@@ -67,6 +69,11 @@ def test_phantom_deps(spark):
     )
     m = spark.createDataFrame([("emr", "react"), ("emr", "@types/geojson")], "package_dir string, dep string")
     assert rows(dead.phantom_deps(i, m), "spec", "sites") == [("@mui/material", 2)]
+    sub = [("emr", "@a/emr", x, False, "x", n) for n, x in enumerate(("react/jsx-runtime", "@a/emr/sub", "fs/promises", "#own", "/abs", "", "left/pad", "left", "@s/p/q"))]
+    found = dead.phantom_deps(spark.createDataFrame(sub, i.schema), m)
+    assert rows(found, "spec", "sites") == [("@s/p", 1), ("left", 2)]
+    placed = spark.createDataFrame([(*r, where) for r, where in zip(sub[-3:], ("src/left.ts", "node_modules/left/i.js", None))], i.schema.add("resolved", "string"))
+    assert rows(dead.phantom_deps(placed, m), "spec", "sites") == [("@s/p", 1), ("left", 1)]
 
 
 def test_closure_is_shortest_path_and_capped(spark):
@@ -91,6 +98,25 @@ def test_affected_and_importers(spark):
     assert graph.subtree_verdict(sub).first()["safe"] is False
 
 
+def test_owner_of_deep_calls(spark):
+    """A chain of 200 calls, a cycle without a marked call, and a parent that is not there."""
+    calls = [(0, None, True)] + [(i, i - 1, i == 90) for i in range(1, 200)] + [(500, 501, False), (501, 500, False), (600, 999, False), (700, 700, False)]
+    got = dict(rows(graph.owner(spark.createDataFrame(calls, "id long, parent long, marked boolean")), "id", "owner"))
+    assert got == {0: None, **{i: 0 if i <= 90 else 90 for i in range(1, 200)}, 500: None, 501: None, 600: None, 700: None}
+
+
+def test_widening_counts_strictly_wider_sinks(spark):
+    flags = ("forward", "backward", "src_any", "src_unknown", "src_literal", "sink_any", "sink_unknown", "sink_literal", "sink_union")
+    cases = [
+        (dict(forward=1, backward=1, sink_any=1), "to-any", "dynamic", False), (dict(forward=1, backward=1, sink_any=1, src_any=1), None, "certain", True), (dict(forward=1, sink_unknown=1), "to-unknown", "dynamic", False),
+        (dict(forward=1, sink_unknown=1, src_any=1), None, "certain", True), (dict(forward=1, src_any=1), None, "certain", True), (dict(forward=1, backward=1), None, "certain", True), (dict(backward=1), None, "certain", True),
+        (dict(), None, "certain", True), (dict(forward=1, src_literal=1), "literal-widening", "certain", True), (dict(forward=1, src_literal=1, sink_literal=1, sink_union=1), "union-widened", "certain", True),
+        (dict(forward=1, sink_union=1), "union-widened", "certain", True), (dict(forward=1), "narrowing-lost", "certain", True),
+    ]
+    df = spark.createDataFrame([(i, *(bool(c.get(f)) for f in flags)) for i, (c, *_) in enumerate(cases)], "i int, " + ", ".join(f"{f} boolean" for f in flags))
+    assert rows(graph.widening_verdict(df), "i", "verdict", "confidence", "go") == sorted([(i, *want) for i, (_, *want) in enumerate(cases)], key=repr)
+
+
 def test_trace_and_owner(spark):
     edges = spark.createDataFrame([("save", "todos", "certain")], "mutation string, key string, confidence string")
     affects = spark.createDataFrame([("todos", "useTodos", "certain"), ("other", "q", "certain")], "key string, query string, confidence string")

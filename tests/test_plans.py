@@ -5,6 +5,7 @@ import json
 import pytest
 
 from lodestone.plans import envelope, registry, render, sqlbatch
+from lodestone.plans.engine import OPS
 from lodestone.sources import repo
 from lodestone.streaming import refresh
 
@@ -125,8 +126,83 @@ def test_sources(spark, tmp_path):
 
 def test_endpoints(spark, tmp_path):
     (tmp_path / "api.d.ts").write_text('export interface paths {\n    "/users/{id}": {\n        get: operations["x"];\n        put?: never;\n        delete: {};\n    };\n}\n')
-    got = {(r["path"], r["method"], r["path_params"]) for r in repo.endpoint_cards(repo.walk(spark, str(tmp_path))).collect()}
-    assert got == {("/users/{id}", "GET", "id"), ("/users/{id}", "DELETE", "id")}
+    got = {(r["path"], r["method"], tuple(r["path_params"]), r["confidence"]) for r in repo.endpoint_cards(repo.walk(spark, str(tmp_path))).collect()}
+    assert got == {("/users/{id}", "GET", ("id",), "unresolved"), ("/users/{id}", "DELETE", ("id",), "partial")}
+
+
+def tree(root):
+    """A small repository: one package, two locales, sheets, an API and code that uses them."""
+    put = lambda path, text: ((root / path).parent.mkdir(parents=True, exist_ok=True), (root / path).write_text(text))
+    put("apps/emr/package.json", '{"name": "@a/emr", "dependencies": {"react": "1", "lodash": "4"}, "devDependencies": {"@types/geojson": "1"}}')
+    put("package.json", '{"name": "root", "dependencies": {"@mui/material": "5"}}')
+    put("apps/emr/src/App.tsx", """import React from 'react';
+import { Button } from '@mui/material/Button';
+import fp from 'lodash/fp';
+import { readFile } from 'fs/promises';
+import type { Point } from 'geojson';
+import x from '#internal/x';
+import styles from './app.module.scss';
+import { helper } from './lib/helper';
+export const App = ({ s }) => { t('title'); t(`App.${s}`); return <div className={clsx('one', s && 'two', { three: s })}><p className={styles.root}>{helper}</p><Button/></div>; };
+// Button in a comment
+""")
+    put("apps/emr/src/lib/helper.ts", "import styles from '../other.scss';\nexport const helper = styles['used-one'];\nexport * from './deep';\n")
+    put("apps/emr/src/lib/deep/index.ts", "export const d = () => import('@mui/material');\n")
+    put("apps/emr/src/App.test.tsx", "import { App } from './App';\n")
+    put("apps/emr/src/app.module.scss", ".root { color: red; composes: base from './other.scss'; }\n.dead { top: 0 }\n.panel .root { color: blue !important }\n:global(.shell) { left: 0 }\n.half { .tied { top: 1px } }\n")
+    put("apps/emr/src/other.scss", ".used-one { top: 0 }\n.base { top: 0 }\n.gone { top: 0 }\n.mix { @extend .kept; }\n.kept { left: 0 }\n")
+    put("locales/en.json", '{\n  "title": "Hi",\n  "App": { "a": "A" },\n  "orphan": { "neverUsed": "x" },\n  "onlyInEn": "e"\n}\n')
+    put("locales/ru.json", '{\n  "App": { "a": "A" },\n  "orphan": { "neverUsed": "x" }\n}\n')
+    put("locales/de.json", '{ "title": "x", ')
+    put("api.d.ts", 'export interface paths {\n    "/users/{id}": {\n        get: operations["getUser"];\n        put?: never;\n        post: operations["lost"];\n    };\n}\nexport interface operations {\n    getUser: {\n        parameters: { path: { id: string }; query?: { deep: boolean } };\n        responses: { 200: { content: { "application/json": components["schemas"]["User"] } }; 404: never };\n    };\n}\n')
+
+
+def test_operations_on_the_text_of_a_tree(spark, tmp_path):
+    """Sources give what the operations read, with nothing put in by hand."""
+    from lodestone.plans.engine import Engine
+
+    tree(tmp_path)
+    root = f"file:{tmp_path}"
+    e = Engine(spark, repo.facts(spark, str(tmp_path)))
+
+    def got(name, *columns, **args):
+        out = e.run(name, **args)
+        assert out.ok, (name, out.failure)
+        return sorted((tuple(x.replace(f"{root}/", "") if isinstance(x, str) else x for x in r) for r in out.df.select(*columns).collect()), key=repr)
+
+    assert got("find_phantom_deps", "package_dir", "spec", "sites") == [("apps/emr", "@mui/material", 1)]
+    assert got("find_unused_i18n_keys", "key", "file", "line", "confidence") == [
+        ("App.a", "locales/en.json", 3, "dynamic"), ("App.a", "locales/ru.json", 2, "dynamic"), ("onlyInEn", "locales/en.json", 5, "certain"), ("orphan.neverUsed", "locales/en.json", 4, "certain"), ("orphan.neverUsed", "locales/ru.json", 3, "certain"),
+    ]
+    assert got("find_missing_i18n_keys", "key", "locale", "usage_line") == [("title", "ru", 9)]
+    assert got("list_endpoints", "method", "path", "path_params", "query", "response", "status", "confidence") == [
+        ("GET", "/users/{id}", "id", "{ deep: boolean }", "User", 200, "certain"), ("POST", "/users/{id}", "id", None, None, None, "unresolved"),
+    ]
+    assert got("css_cascade", "prop", "value", "winner_selector", "important", css_class="root") == [("color", "blue", ".panel .root", 1)]
+    assert got("find_unused_scss_classes", "name", "confidence") == [
+        ("dead", "certain"), ("gone", "certain"), ("half", "partial"), ("kept", "partial"), ("mix", "certain"), ("panel", "partial"), ("shell", "dynamic"), ("tied", "partial"),
+    ]
+    assert got("importers_of", "file", "line", module=f"{root}/apps/emr/src/lib/helper.ts") == [("apps/emr/src/App.tsx", 8)]
+    assert got("importers_of", "file", module=f"{root}/apps/emr/src/lib/deep/index.ts") == [("apps/emr/src/lib/helper.ts",)]
+    assert got("affected", "file", "depth", files=[f"{root}/apps/emr/src/lib/deep/index.ts"]) == [("apps/emr/src/App.test.tsx", 3)]
+    assert got("i18n_lookup", "key", "locale", value="Hi") == [("title", "en")]
+    assert got("scss_classes", "name", file=f"{root}/apps/emr/src/app.module.scss") == [("dead",), ("half",), ("panel",), ("root",), ("shell",), ("tied",)]
+    assert {r["token"] for r in e["class_tokens"].collect()} >= {"one", "two", "three"}
+    assert [r["file"].rsplit("/", 1)[-1] for r in e["locale_failures"].collect()] == ["de.json"]
+    needed = {name: op.needs for name, op in OPS.items() if set(op.needs) <= set(e.facts)}
+    assert {"find_phantom_deps", "find_unused_i18n_keys", "find_missing_i18n_keys", "list_endpoints", "css_cascade", "importers_of", "affected", "find_unused_scss_classes", "scss_classes", "i18n_lookup", "move_file"} <= set(needed)
+
+
+def test_wrapped_templates_demote_all(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.values import package_name, template_head
+
+    texts = [("`App.${s}`", "App."), ("`App.${s}`.toLowerCase()", None), ("`a.${x}` + s", None), ("tag`a.${x}`", None), ("`${x}.y`", None), ("k", None), ("`a\\n.${x}`", None), ("`plain`", "plain"), ("`a\n${x}`", None), ("`", None), ("`a.b.${x}.c.${y}`", "a.b.")]
+    rows = spark.createDataFrame(texts, "text string, head string")
+    assert [(r["text"], r["h"]) for r in rows.select("text", template_head(F.col("text")).alias("h")).collect()] == texts
+    names = [("@mui/material/Button", "@mui/material"), ("lodash/fp", "lodash"), ("react", "react"), ("@a/b", "@a/b")]
+    assert [(r["s"], r["n"]) for r in spark.createDataFrame(names, "s string, n string").select("s", package_name(F.col("s")).alias("n")).collect()] == names
 
 
 def test_refresh_stream(spark, tmp_path):
