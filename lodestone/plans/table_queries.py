@@ -127,17 +127,18 @@ def unused_exports(spark, sf):
 
 @register("unused_classes", """
 WITH acc AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_discount >= 0.1)
-SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'dynamic' WHEN s_nationkey IN (1, 2, 3) THEN 'partial' WHEN s_suppkey % 7 = 0 THEN 'partial' ELSE 'certain' END AS confidence
-FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM acc)""")
+SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'dynamic' WHEN s_nationkey IN (1, 2, 3) OR s_suppkey % 13 = 0 THEN 'partial' WHEN s_suppkey % 7 = 0 THEN 'partial' ELSE 'certain' END AS confidence
+FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM acc) AND s_suppkey % 11 <> 0""")
 def unused_classes(spark, sf):
-    """Suppliers as classes: a negative balance is a global sheet, some nations are linked, every seventh entangled."""
+    """Suppliers as classes: a negative balance is a global sheet, some nations are linked, every seventh
+    entangled; every eleventh is composed by its sheet, every thirteenth by one that is not known."""
     classes = _t(spark, sf, "supplier").select(
         F.lit("sheet").alias("file"), F.col("s_suppkey").cast("string").alias("name"), "s_suppkey", (F.col("s_acctbal") < 0).alias("global"), F.col("s_nationkey").isin(1, 2, 3).alias("linked"),
         (F.col("s_suppkey") % 7 == 0).alias("entangled"), F.lit(False).alias("interpolated"),
     )
     used = _t(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity = 50 and l_discount >= 0.1").select(F.lit("sheet").alias("file"), F.col("l_suppkey").cast("string").alias("name"))
-    none = classes.select("file", "name").limit(0)
-    return dead.unused_classes(classes, used, none).select("s_suppkey", "confidence")
+    composed = classes.where("s_suppkey % 11 = 0").select("file", "name").unionByName(classes.where("s_suppkey % 13 = 0").select(F.lit(None).cast("string").alias("file"), "name"))
+    return dead.unused_classes(classes, used, composed).select("s_suppkey", "confidence")
 
 
 @register("unused_keys", f"""
@@ -175,26 +176,27 @@ def unused_props(spark, sf):
 WITH s AS (SELECT c_nationkey AS package, s_nationkey AS spec FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
            JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity >= 49),
 d AS (SELECT a.n_nationkey AS package, b.n_nationkey AS dep FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
-SELECT CAST(package AS VARCHAR) AS package_dir, CAST(spec AS VARCHAR) AS spec, CAST(count(*) AS BIGINT) AS sites FROM s
+SELECT CAST(package AS VARCHAR) AS package_dir, '@n/' || spec AS spec, CAST(count(*) AS BIGINT) AS sites FROM s
 WHERE package <> spec AND NOT EXISTS (SELECT 1 FROM d WHERE d.package = s.package AND d.dep = s.spec) GROUP BY 1, 2""")
 def phantom_deps(spark, sf):
-    """Customer nations import from supplier nations; those of their own region are declared."""
+    """Customer nations import subpaths of supplier nations; the packages of their own region are declared."""
     line = _t(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select("l_orderkey", "l_suppkey")
     s = line.join(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     s = s.join(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     text = lambda c: F.col(c).cast("string")
-    imports = s.select(text("c_nationkey").alias("package_dir"), text("c_nationkey").alias("package"), text("s_nationkey").alias("spec"), F.lit(False).alias("type_only"), text("l_orderkey").alias("file"), F.lit(1).alias("line"))
+    imports = s.select(text("c_nationkey").alias("package_dir"), F.concat(F.lit("@n/"), "c_nationkey").alias("package"), F.concat(F.lit("@n/"), "s_nationkey", F.lit("/sub/path")).alias("spec"), F.lit(False).alias("type_only"), text("l_orderkey").alias("file"), F.lit(1).alias("line"))
     a = _t(spark, sf, "nation").select("n_regionkey", text("n_nationkey").alias("package_dir"))
-    b = _t(spark, sf, "nation").select("n_regionkey", text("n_nationkey").alias("dep"))
+    b = _t(spark, sf, "nation").select("n_regionkey", F.concat(F.lit("@n/"), "n_nationkey").alias("dep"))
     return dead.phantom_deps(imports, a.join(b, "n_regionkey").select("package_dir", "dep")).select("package_dir", "spec", "sites")
 
 
 @register("importers", """
-WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS module, url FROM pages)
-SELECT module, CAST(count(*) AS BIGINT) AS sites, CAST(count(DISTINCT url) AS BIGINT) AS files FROM p GROUP BY 1""")
+SELECT 'o/' || l_orderkey AS file, CAST(count(*) AS BIGINT) AS sites FROM lineitem WHERE l_partkey = (SELECT min(p_partkey) FROM part WHERE p_size > 25) GROUP BY 1""")
 def importers(spark, sf):
-    p = _t(spark, sf, "pages").select(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("module"), "url")
-    return p.groupBy("module").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("url").alias("files"))
+    """Line items as imports of parts by orders; the importers of the first large part."""
+    line = _t(spark, sf, "lineitem").select(F.concat(F.lit("o/"), "l_orderkey").alias("file"), F.concat(F.lit("p/"), "l_partkey").alias("resolved"), F.lit("").alias("spec"))
+    first = _t(spark, sf, "part").where("p_size > 25").agg(F.min("p_partkey")).first()[0]
+    return graph.importers(line, f"p/{first}").groupBy("file").agg(F.count(F.lit(1)).alias("sites"))
 
 
 @register("subtree_importers", """
@@ -213,6 +215,12 @@ def subtree_importers(spark, sf):
 _BUY = "SELECT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 49"
 
 
+def _bought_together(spark, sf) -> DataFrame:
+    buy = _t(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+    pairs = buy.alias("a").join(buy.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.p") != F.col("b.p")))
+    return pairs.select(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).distinct()
+
+
 @register("impact_closure", f"""
 WITH RECURSIVE e AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM ({_BUY}) a JOIN ({_BUY}) b ON a.o = b.o AND a.p <> b.p),
 w AS (SELECT (SELECT min(src) FROM e) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3),
@@ -220,40 +228,51 @@ m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
 SELECT node, CAST(depth AS INTEGER) AS depth FROM m WHERE depth > 0""")
 def impact_closure(spark, sf):
     """Parts bought together at 49 or more, from the least such part, three steps."""
-    buy = _t(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
-    edges = buy.alias("a").join(buy.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.p") != F.col("b.p"))).select(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).distinct()
+    edges = _bought_together(spark, sf)
     return graph.closure(edges, edges.agg(F.min("src").alias("node")), 3).nodes.select("node", "depth")
 
 
+@register("impact_capped", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM ({_BUY}) a JOIN ({_BUY}) b ON a.o = b.o AND a.p <> b.p),
+w AS (SELECT (SELECT min(src) FROM e) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4),
+m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
+SELECT node, CAST(depth AS INTEGER) AS depth FROM m WHERE depth > 0 ORDER BY depth, node LIMIT 7""")
+def impact_capped(spark, sf):
+    """The same parts as symbols and their enclosers, by the impact operation with its node cap."""
+    refs = _bought_together(spark, sf).select(F.col("src").alias("symbol_id"), F.col("dst").alias("encloser_id"), F.lit("call").alias("role"))
+    return graph.impact(refs, refs.agg(F.min("symbol_id").alias("node")), 4, 7).nodes.select("node", "depth")
+
+
 @register("trace_hops", """
 SELECT DISTINCT 'r' || n_regionkey AS "from", 'holds' AS relation, 'n' || n_nationkey AS "to", 'certain' AS confidence FROM nation
-UNION SELECT 'n' || c_nationkey, 'holds', 'c' || c_custkey, 'certain' FROM customer WHERE c_acctbal > 9000
-UNION SELECT 'c' || o_custkey, 'placed', o_orderstatus, 'partial' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000""")
+UNION SELECT 'n' || c_nationkey, 'holds', 'c' || c_custkey, 'certain' FROM customer
+UNION SELECT 'c' || o_custkey, 'placed', o_orderstatus, 'partial' FROM orders JOIN customer ON o_custkey = c_custkey""")
 def trace_hops(spark, sf):
     def hop(df, a, relation, b, seq, confidence="certain"):
         return df.select(a.alias("from"), F.lit(relation).alias("relation"), b.alias("to"), F.lit(confidence).alias("confidence"), F.lit(seq).alias("seq"))
 
-    rich = _t(spark, sf, "customer").where("c_acctbal > 9000")
+    people = _t(spark, sf, "customer")
     named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return graph.hops(
-        hop(_t(spark, sf, "nation"), named("r", "n_regionkey"), "holds", named("n", "n_nationkey"), 0), hop(rich, named("n", "c_nationkey"), "holds", named("c", "c_custkey"), 1),
-        hop(_t(spark, sf, "orders").select("o_custkey", "o_orderstatus").join(rich.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi"), named("c", "o_custkey"), "placed", F.col("o_orderstatus"), 2, "partial"),
+        hop(_t(spark, sf, "nation"), named("r", "n_regionkey"), "holds", named("n", "n_nationkey"), 0), hop(people, named("n", "c_nationkey"), "holds", named("c", "c_custkey"), 1),
+        hop(_t(spark, sf, "orders").select("o_custkey", "o_orderstatus").join(people.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi"), named("c", "o_custkey"), "placed", F.col("o_orderstatus"), 2, "partial"),
     )
 
 
 @register("cascade_winner", """
 WITH d AS (SELECT l_orderkey, l_suppkey, l_returnflag = 'R' AS i, l_quantity AS a, l_discount AS b, l_tax AS c, l_shipdate AS pos, l_extendedprice AS v FROM lineitem),
 k AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY i DESC, a DESC, b DESC, c DESC) AS r FROM d),
-t AS (SELECT l_orderkey, l_suppkey, any_value(i) AS i FROM k WHERE r = 1 GROUP BY 1, 2)
-SELECT l_orderkey, CAST(min(l_suppkey) AS BIGINT) AS winner_file, CAST(any_value(i) AS BIGINT) AS important, CAST(count(*) AS BIGINT) AS tied_files,
-       CASE WHEN count(*) > 1 THEN 'partial' ELSE 'certain' END AS confidence FROM t GROUP BY 1""")
+t AS (SELECT l_orderkey, l_suppkey, any_value(i) AS i FROM k WHERE r = 1 GROUP BY 1, 2),
+f AS (SELECT l_orderkey, CAST(min(l_suppkey) AS BIGINT) AS winner_file, CAST(any_value(i) AS BIGINT) AS important, CAST(count(*) AS BIGINT) AS tied_files FROM t GROUP BY 1),
+v AS (SELECT l_orderkey, v AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, pos DESC, v DESC) AS n FROM k WHERE r = 1)
+SELECT l_orderkey, value, winner_file, important, tied_files, CASE WHEN tied_files > 1 THEN 'partial' ELSE 'certain' END AS confidence FROM f JOIN v USING (l_orderkey) WHERE n = 1""")
 def cascade_winner(spark, sf):
     """Line items of an order as declarations of one property, suppliers as files."""
     d = _t(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_suppkey").alias("file"), (F.col("l_returnflag") == "R").alias("important"), F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"),
         F.col("l_shipdate").alias("pos"), F.col("l_extendedprice").alias("value"),
     )
-    return cascade.winners(d, ["l_orderkey"]).select("l_orderkey", F.col("winner_file").cast("long").alias("winner_file"), "important", "tied_files", "confidence")
+    return cascade.winners(d, ["l_orderkey"]).select("l_orderkey", "value", F.col("winner_file").cast("long").alias("winner_file"), "important", "tied_files", "confidence")
 
 
 _CONF = "CASE o_orderstatus WHEN 'F' THEN 'certain' WHEN 'P' THEN 'partial' ELSE 'dynamic' END"
@@ -268,13 +287,13 @@ def worst_confidence(spark, sf):
 
 
 @register("key_match", """
-WITH q AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages WHERE page_id % 5 = 0),
+WITH q AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages),
 e AS (SELECT DISTINCT s[1] AS host, s[2] AS seg FROM q WHERE len(s) >= 2)
 SELECT host, seg, page_id, CASE WHEN regexp_matches(seg, '^[0-9]+$') OR regexp_matches(s[2], '^[0-9]+$') THEN 'partial' ELSE 'certain' END AS confidence
 FROM e JOIN q ON q.s[1] = e.host AND len(s) >= 2 WHERE s[2] = seg OR regexp_matches(seg, '^[0-9]+$') OR regexp_matches(s[2], '^[0-9]+$')""")
 def key_match_query(spark, sf):
     """Url segments as query keys, numbers as dynamic segments; first two segments as invalidations."""
-    q = _t(spark, sf, "pages").where("page_id % 5 = 0").select("page_id", F.split(F.regexp_replace("url", r"^https?://", ""), "/").alias("s"))
+    q = _t(spark, sf, "pages").select("page_id", F.split(F.regexp_replace("url", r"^https?://", ""), "/").alias("s"))
     seg = lambda x: F.struct(F.when(x.rlike("^[0-9]+$"), "dynamic").otherwise("static").alias("kind"), x.alias("value"))
     queries = q.select("page_id", F.col("s")[0].alias("q_host"), F.transform("s", seg).alias("query"))
     e = q.where("size(s) >= 2").select(F.col("s")[0].alias("host"), F.col("s")[1].alias("seg")).distinct().withColumn("edge", F.transform(F.array("host", "seg"), seg))
@@ -324,45 +343,44 @@ def discrimination(spark, sf):
 
 
 @register("json_flatten", """
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+SELECT CAST(event_id AS VARCHAR) AS event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, CAST(1 AS BIGINT) AS line FROM events""")
 def json_flatten(spark, sf):
-    return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """The properties of events as locale files."""
+    from lodestone.sources.repo import locale_keys
+
+    files = _t(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.encode("props", "utf-8").alias("content"))
+    return locale_keys(files).select(F.col("file").alias("event_id"), "key", "value", "line")
 
 
 @register("snapshot_diff", """
-WITH b AS (SELECT user_id, count(*) AS n FROM events WHERE ts < (SELECT quantile_disc(ts, 0.01) FROM events) GROUP BY 1),
-a AS (SELECT user_id, count(*) AS n FROM events WHERE ts < (SELECT quantile_disc(ts, 0.05) FROM events) AND event_type <> 'error' GROUP BY 1)
+WITH c AS (SELECT make_timestamp(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2) AS cut FROM events),
+b AS (SELECT user_id, count(*) AS n FROM events WHERE ts < (SELECT cut FROM c) GROUP BY 1),
+a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'added' WHEN a.user_id IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.n IS DISTINCT FROM b.n""")
 def snapshot_diff(spark, sf):
-    """Counts by user at two cuts in time; the cuts are exact percentiles of the timestamps."""
-    ev = _t(spark, sf, "events").select("user_id", "event_type", "ts")
-    rank = ev.groupBy("ts").agg(F.count(F.lit(1)).alias("c"))
-    total = ev.count()
-    rows = rank.orderBy("ts").withColumn("_", F.lit(0))
-    from pyspark.sql import Window
-
-    cum = rows.withColumn("cum", F.sum("c").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = {q: cum.where(F.col("cum") >= F.lit(total * q)).agg(F.min("ts")).first()[0] for q in (0.01, 0.05)}
-    b = ev.where(F.col("ts") < F.lit(cut[0.01])).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    a = ev.where((F.col("ts") < F.lit(cut[0.05])) & (F.col("event_type") != "error")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Events by user up to half of the time, and all but the errors at its end."""
+    ev = _t(spark, sf, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    low, high = ev.agg(F.min("us"), F.max("us")).first()
+    b = ev.where(F.col("us") < low + (high - low) // 2).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    a = ev.where("event_type <> 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     return changes.snapshot_diff(b, a, "user_id", "n")
 
 
 @register("introduced_diagnostics", """
-SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_partkey <= 200 EXCEPT ALL
-SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'A' AND l_partkey <= 200""")
+SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL
+SELECT l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'A'""")
 def introduced_diagnostics(spark, sf):
-    line = _t(spark, sf, "lineitem").where("l_partkey <= 200").select("l_partkey", "l_quantity", "l_returnflag")
+    line = _t(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_returnflag")
     return changes.introduced(line.where("l_returnflag = 'A'"), line.where("l_returnflag = 'R'"), "l_partkey", "l_quantity")
 
 
 @register("edit_conflicts", """
-WITH e AS (SELECT l_suppkey AS file, CAST(l_partkey AS BIGINT) * 100 AS b, CAST(l_partkey AS BIGINT) * 100 + CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.09),
+WITH e AS (SELECT l_suppkey AS file, CAST(l_partkey AS BIGINT) * 100 AS b, CAST(l_partkey AS BIGINT) * 100 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
 r AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e)
 SELECT file, CAST(count(*) AS BIGINT) AS conflicts FROM r WHERE b < reach GROUP BY 1""")
 def edit_conflicts(spark, sf):
-    line = _t(spark, sf, "lineitem").where("l_returnflag = 'A' and l_discount >= 0.09")
+    line = _t(spark, sf, "lineitem")
     begin = F.col("l_partkey").cast("long") * 100
     edits = line.select(F.col("l_suppkey").alias("file"), begin.alias("begin"), (begin + F.col("l_quantity").cast("long")).alias("end"))
     return changes.edit_conflicts(edits).groupBy("file").agg(F.count(F.lit(1)).alias("conflicts"))
@@ -384,26 +402,68 @@ def lookup(spark, sf):
 
 @register("enclosing_declaration", """
 WITH d AS (SELECT o_orderkey AS decl_id, o_custkey AS file, o_orderkey AS b, o_orderkey + 200 AS e FROM orders),
-r AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS start FROM orders WHERE o_totalprice > 100000),
+r AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS start FROM orders),
 m AS (SELECT r.file, r.start, decl_id, row_number() OVER (PARTITION BY r.file, r.start ORDER BY e - b, decl_id) AS n FROM r LEFT JOIN d ON d.file = r.file AND b <= start AND start < e)
 SELECT file, start, decl_id AS encloser_id FROM m WHERE n = 1""")
 def enclosing_declaration(spark, sf):
     """Orders as declarations reaching over 200 keys within their customer; the innermost one wins."""
     o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     d = o.select(F.col("o_orderkey").alias("decl_id"), F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("begin"), (F.col("o_orderkey") + 200).alias("end"))
-    r = o.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("ref_id"), F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("start")).distinct()
+    r = o.select(F.col("o_orderkey").alias("ref_id"), F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("start")).distinct()
     return usages.enclosed(r, d).select("file", "start", "encloser_id")
 
 
 @register("affected_tests", f"""
 WITH RECURSIVE e AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM ({_BUY}) a JOIN ({_BUY}) b ON a.o = b.o AND a.p <> b.p),
-w AS (SELECT (SELECT max(src) FROM e) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3)
-SELECT CASE WHEN node % 2 = 0 THEN 'p/' || node || '.test.ts' ELSE 'p/' || node || '.ts' END AS file, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE node % 2 = 0 GROUP BY node""")
+w AS (SELECT (SELECT max(src) FROM e) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 5),
+m AS (SELECT CASE WHEN node % 2 = 0 THEN 'p/' || node || '.test.ts' ELSE 'p/' || node || '.ts' END AS file, min(depth) AS depth FROM w GROUP BY 1),
+c AS (SELECT * FROM (SELECT * FROM m WHERE depth > 0 ORDER BY depth, file LIMIT 9) UNION ALL SELECT * FROM m WHERE depth = 0)
+SELECT file, CAST(depth AS INTEGER) AS depth FROM c WHERE file LIKE '%.test.ts'""")
 def affected_tests(spark, sf):
-    """Parts bought together as files that import one another; even ones are tests."""
-    buy = _t(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
-    pairs = buy.alias("a").join(buy.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.p") != F.col("b.p"))).select(F.col("a.p").alias("x"), F.col("b.p").alias("y")).distinct()
+    """Parts bought together as files that import one another; even ones are tests. Five steps, nine files."""
     name = lambda c: F.concat(F.lit("p/"), F.col(c).cast("string"), F.when(F.col(c) % 2 == 0, ".test.ts").otherwise(".ts"))
-    imports = pairs.select(name("y").alias("file"), name("x").alias("resolved"))
-    changed = pairs.agg(F.max("x").alias("x")).select(name("x").alias("file"))
-    return graph.affected_tests(imports, changed, depth=3, nodes=None)[0].select("file", "depth")
+    pairs = _bought_together(spark, sf)
+    imports = pairs.select(name("dst").alias("file"), name("src").alias("resolved"))
+    changed = pairs.agg(F.max("src").alias("x")).select(name("x").alias("file"))
+    return graph.affected_tests(imports, changed, depth=5, nodes=9)[0].select("file", "depth")
+
+
+@register("sql_bounds", """
+WITH t AS (SELECT p_partkey, p_brand FROM part ORDER BY p_partkey, p_brand LIMIT 150)
+SELECT p_brand, CAST(count(*) AS BIGINT) AS n, CAST(min(p_partkey) AS BIGINT) AS least FROM t GROUP BY 1 ORDER BY 1 LIMIT 3""")
+def sql_bounds(spark, sf):
+    """A batch whose table and result are both cut at their bounds."""
+    part = _t(spark, sf, "part").select("p_partkey", "p_brand")
+    out = run_batch(spark, [Request("parts", lambda: part)], "SELECT p_brand, count(*) AS n, min(p_partkey) AS least FROM t GROUP BY p_brand ORDER BY p_brand", table_rows=150, result_rows=3)
+    assert out.sql.bounded_tables == ["t"] and out.sql.truncated.total > 3
+    return out.sql.df
+
+
+@register("trace_invalidation", """
+WITH e AS (SELECT r_name AS m, n_name AS k, n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey = 0),
+q AS (SELECT n_name AS k, 'c' || c_custkey AS q, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN (SELECT k FROM e)),
+h AS (SELECT DISTINCT q, o_orderpriority AS h, o_orderpriority < '3' AS component FROM q JOIN orders ON o_custkey = c_custkey),
+s AS (SELECT DISTINCT h, component, h || ' at ' || event_type AS s FROM (SELECT DISTINCT h, component FROM h) CROSS JOIN (SELECT DISTINCT event_type FROM events))
+SELECT m AS "from", 'invalidates' AS relation, k AS "to", 'certain' AS confidence FROM e UNION SELECT k, 'affects', q, 'partial' FROM q
+UNION SELECT q, 'in', h, 'certain' FROM h UNION SELECT h, CASE WHEN component THEN 'mounted-at' ELSE 'used-by' END, s, 'certain' FROM s""")
+def trace_invalidation(spark, sf):
+    """Regions as mutations, nations as keys, customers as queries, priorities as hosts, event types as sites."""
+    nation = _t(spark, sf, "nation")
+    edges = _t(spark, sf, "region").where("r_regionkey = 0").join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("mutation"), F.col("n_name").alias("key"), F.lit("certain").alias("confidence"))
+    query = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    affects = _t(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key"), query.alias("query"), F.lit("partial").alias("confidence"))
+    hosts = _t(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("query"), F.col("o_orderpriority").alias("host"), F.when(F.col("o_orderpriority") < "3", "component").otherwise("hook").alias("kind")).distinct()
+    kinds = [r[0] for r in _t(spark, sf, "events").select("event_type").distinct().collect()]
+    mounts = hosts.select("host").distinct().select("host", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("k")).select("host", F.concat("host", F.lit(" at "), "k").alias("site"))
+    return graph.trace_invalidation(edges, affects, hosts, mounts).select("from", "relation", "to", "confidence")
+
+
+@register("widening_verdicts", """
+WITH f AS (SELECT l_quantity > 25 AS fw, l_discount > 0.05 AS bw, l_tax > 0.07 AS any_, l_returnflag = 'R' AS lit, l_linestatus = 'O' AS uni FROM lineitem),
+v AS (SELECT CASE WHEN any_ THEN 'to-any' WHEN fw AND NOT bw AND lit THEN 'literal-widening' WHEN fw AND NOT bw AND uni THEN 'union-widened' WHEN fw AND NOT bw THEN 'narrowing-lost' END AS verdict FROM f)
+SELECT verdict, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1""")
+def widening_verdicts(spark, sf):
+    """Line items as value flows, their figures as what the types allow."""
+    line = _t(spark, sf, "lineitem")
+    flows = line.select((F.col("l_quantity") > 25).alias("forward"), (F.col("l_discount") > 0.05).alias("backward"), (F.col("l_tax") > 0.07).alias("sink_any"), (F.col("l_returnflag") == "R").alias("src_literal"), (F.col("l_linestatus") == "O").alias("sink_union"))
+    return graph.widening_verdict(flows).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
