@@ -30,6 +30,10 @@ ANCHOR = 12
 BLOCK = 1 << 17
 #: Keys that a task gathers before it deals them out.
 FLUSH = 1 << 21
+#: Digests up to which they are broadcast, 1 MB of them.
+BROADCAST = 1 << 16
+#: Binary logarithm of the most bits of the filter of branching nodes that tasks are sent.
+FILTER = 28
 #: Bytes of the digest by which the words of two paths are compared.
 DIGEST = 16
 
@@ -305,18 +309,18 @@ def _ways(hit: np.ndarray, edge: np.ndarray):
 def _node_ways(window):
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                rows, nodes, ways = ([np.zeros(0, np.int64)] for _ in range(3))
-                for row, text, known in zip(*(some.column(x).to_pylist() for x in ("row_key", "text", "known"))):
+            for at in range(0, b.num_rows, 2048):
+                some, found = b.slice(at, 2048), [np.zeros((2, 0), _U)]
+                for text, known in zip(*(some.column(x).to_pylist() for x in ("text", "known"))):
                     raw = text.encode("utf-8", "surrogatepass")
                     hit, edge, node = _hits(raw, len(raw.split()), known, window)
                     place, way = _ways(hit, edge)
-                    both = np.unique(np.stack([node[place], way]), axis=1)
-                    rows.append(np.full(both.shape[1], row, np.int64))
-                    nodes.append(both[0].view(np.int64))
-                    ways.append(both[1].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, nodes, ways)], names=["row_key", "node", "way"])
+                    found.append(np.stack([node[place], way]))
+                both = np.concatenate(found, axis=1)
+                both = both[:, np.lexsort(both)]
+                new = np.ones(both.shape[1], bool)
+                new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in both], names=["node", "way"])
 
     return run
 
@@ -325,17 +329,32 @@ def _digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()[:DIGEST]
 
 
-def _compacted(window):
+def node_filter(branching: DataFrame) -> np.ndarray:
+    """Bits of the nodes (column node), by their last bits: 16 or more for each node as long as that is
+    within 1 << FILTER. A node without a bit does not branch; where a bit is set for another node,
+    paths are cut without need, but in all rows alike. The size is bounded, whatever the input is."""
+    bits = 1 << min(FILTER, max(12, int(branching.count()).bit_length() + 4))
+    slot = branching.select(F.col("node").bitwiseAND(bits - 1).alias("slot"))
+    words = slot.selectExpr("cast(slot div 64 as int) as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(_U)
+
+
+def _compacted(window, sent):
     """The paths of each row: maximal runs of repeated edges without a branching node inside."""
 
     def run(batches):
+        bits = sent.value
         for b in batches:
             out = []
-            for row, text, known, branching in zip(*(b.column(x).to_pylist() for x in ("row_key", "text", "known", "branching"))):
+            for row, text, known in zip(*(b.column(x).to_pylist() for x in ("row_key", "text", "known"))):
                 raw = text.encode("utf-8", "surrogatepass")
                 words = raw.split()
                 hit, _, node = _hits(raw, len(words), known, window)
-                cut = np.isin(node[: len(hit)], np.array(branching or [], np.int64).view(_U))
+                slot = node[: len(hit)] & _U(64 * len(bits) - 1)
+                cut = (bits[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63)) & _U(1)) > 0
                 begins = hit & (cut | ~np.concatenate([[False], hit[:-1]]))
                 ends = np.nonzero(hit & np.concatenate([begins[1:] | ~hit[1:], [True]]))[0]
                 for i, j in zip(np.nonzero(begins)[0].tolist(), ends.tolist()):
@@ -377,19 +396,22 @@ def paths(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
 
     A node branches if its occurrences on repeated edges differ in the edge they come by or the edge
     they leave by; the end of a repeated stretch counts as a difference. Ways are combined in each
-    task, so a passage that very many documents share is one entry of each.
+    task, so a passage that very many documents share is one entry of each. Where paths are cut
+    reaches the tasks as a filter of bounded size; see node_filter.
     """
-    on = texts.join(edges, "row_key").select("row_key", "text", "known", "rest")
-    ways = on.select("row_key", "text", "known").mapInArrow(_node_ways(window), "row_key long, node long, way long")
+    on = texts.join(edges, "row_key").select("row_key", "text", "known")
+    ways = on.mapInArrow(_node_ways(window), "node long, way long")
     branching = ways.groupBy("node").agg(F.min("way").alias("low"), F.max("way").alias("high")).where("low <> high").select("node")
-    mine = ways.select("row_key", "node").join(branching, "node").groupBy("row_key").agg(F.collect_set("node").alias("branching"))
-    return on.join(mine, "row_key", "left").select("row_key", "text", "known", "branching").mapInArrow(_compacted(window), "row_key long, start long, n long, digest binary")
+    sent = texts.sparkSession.sparkContext.broadcast(node_filter(materialised(branching)))
+    return on.mapInArrow(_compacted(window, sent), "row_key long, start long, n long, digest binary")
 
 
 def verified_spans(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
     """(row_key, spans): the paths of each row whose words stand at other coordinates too."""
     found = materialised(paths(texts, edges, window))
-    again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
+    # Kept apart from the join, so that a digest with very many paths can be split there.
+    again = materialised(found.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest"))
+    again = F.broadcast(again) if again.count() <= BROADCAST else again
     return found.join(again, "digest").groupBy("row_key").agg(F.collect_set(F.struct("start", "n", "digest")).alias("spans"))
 
 
@@ -415,7 +437,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     anchors = _repeated(texts.select("row_key", "text").mapInArrow(_anchor_keys(window, anchor, parts), _DEALT), parts)
     # ``rest`` comes along for nothing else than that all joins can read one and the same exchange.
     hung = texts.join(anchors, "row_key").select("row_key", "text", "known", "rest")
-    edges = materialised(_repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts))
+    edges = _repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts)
     spans = verified_spans(texts, edges, window)
     kind = T.StructType([
         T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"])), T.StructField("kept_text", T.StringType()),
