@@ -474,7 +474,55 @@ def test_license_anchors_cover_the_rules():
     """Every rule's own wording has one of the anchors that open the gate."""
     for _, _, _, word, x in licenses.rules():
         plain = x.replace("[cs]", "c").replace("\\", "")
-        assert any(a in plain for a in licenses.ANCHORS) or "cc0" in plain, x
+        assert any(a in plain for a in licenses.GATE), x
+    assert "" not in licenses.GATE and all(len(a) > 1 for a in licenses.GATE)
+
+
+def plain_licenses(text):
+    """Labels and score by loops: all places of all rules, each unless inside one as good or better."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(licenses._UPPER, licenses._LOWER)))
+    line, places = " " + " ".join(words) + " ", []
+    for label, priority, score, word, x in licenses.rules():
+        if word in line:
+            for m in re.finditer(rf" (?:{x})(?= )", line):
+                start = line[: m.start()].count(" ")
+                places.append((start, -(start + len(m[0].split())), priority, label, score))
+    places.sort()
+    kept = [a for i, a in enumerate(places) if not any(b[2] <= a[2] and b[1] <= a[1] for b in places[:i])]
+    base = {label for phrase, label in licenses.BASE if f" {phrase} " in line}
+    return sorted({a[3] for a in kept} | base), max([a[4] for a in kept] + [0.95 if base else 0.0])
+
+
+def test_license_rules_against_plain_version(spark):
+    """On sf0.01, on every wording with optional parts written out or left out, and on mixtures."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    written = []
+    for _, _, _, _, x in licenses.rules():
+        for keep in (True, False):
+            y = x
+            while (z := re.sub(r"\((?:\?:)?([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: m[1] if keep or not m[2] else "", y)) != y:
+                y = z
+            y = y.split("|")[0] if "|" in y else y
+            y = re.sub(r"\\[wS]\*", "", re.sub(r"\[(.)[^\]]*\]", r"\1", y))
+            written.append(re.sub(r"\s+", " ", re.sub(r"(.)\?", r"\1" if keep else "", y)).strip())
+    random.seed(11)
+    mixed = [" ".join(random.choice(written) for _ in range(3)) + ". Under the MIT license" * (i % 2) for i in range(150)]
+    texts += written + mixed
+    got = licenses.scan(docs(spark, texts)).select("doc_id", "found.labels", "found.score").orderBy("doc_id").collect()
+    hits = 0
+    for t, r in zip(texts, got):
+        want = plain_licenses(t)
+        assert (r["labels"], r["score"]) == want, (t or "")[:300]
+        hits += bool(want[0])
+    assert hits > 600
+    seen = {label for t in written for label in plain_licenses(t)[0]}
+    assert seen >= {label for label, *_ in licenses.TEXTS}
+
+
+def test_license_columns_may_clash(spark):
+    d = docs(spark, ["MIT license", None]).withColumns({"_scan": F.lit(1), "_hits": F.lit("h"), "_row": F.lit(2), "found": F.lit(3), "a.b": F.lit(4), "row": F.lit(5)})
+    got = licenses.scan(d).orderBy("doc_id").first()
+    assert (got["_scan"], got["_hits"], got["_row"], got["a.b"], got["row"], got["found"]["labels"]) == (1, "h", 2, 4, 5, ["mit"])
 
 
 def test_license_edges(spark):
