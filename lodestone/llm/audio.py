@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialised
+from lodestone.llm.common import materialised, scratch, spread
 
 RATE = 4000
 FRAME, HOP = 1024, 256
 CLASSES = 12
 #: Frames that a filter looks at.
 SPAN = 16
-#: Consecutive integers that a common passage must share to be found.
-RUN = 3
+#: Integers of queries that are searched for at a time, and matches that a task holds.
+BLOCK, MATCHES = 1 << 18, 1 << 22
 #: Aligned recordings: least votes at the peak, and most bit errors of the overlap.
 VOTES, BIT_ERROR = 4, 0.15
 #: Quantiser steps of the log ratios of the filters.
@@ -140,54 +140,165 @@ def fingerprints(recordings: DataFrame, rate: int = RATE) -> DataFrame:
     return recordings.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("samples").cast("array<double>")).mapInArrow(_printed(rate), "rec_id long, ints binary")
 
 
-def _runs(batches):
-    for b in batches:
-        ids, keys = [], []
-        for c, ints in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(ints, "<u4").astype(np.uint64)
-            if len(x) >= RUN:
-                h = np.zeros(len(x) - RUN + 1, np.uint64)
-                for i in range(RUN):
-                    h = (h ^ x[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                h = np.unique(h)
-                ids.append(np.full(len(h), c, np.int64))
-                keys.append(h.view(np.int64))
-        none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or [none])), pa.array(np.concatenate(keys or [none]))], names=["class_id", "key"])
-
-
-def _aligned(batches):
-    for b in batches:
-        got = [align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int32())))],
-            names=["query_class", "class_id", "offset", "votes", "bit_error", "overlap"],
-        )
-
-
-def matches(prints: DataFrame, queries: DataFrame, votes: int = VOTES, bit_error: float = BIT_ERROR) -> tuple[DataFrame, DataFrame]:
+class Index:
+    """The integers of a block of recordings, sorted, with the recording and place of each."""
+
+    def __init__(self, block: list[tuple[int, bytes]]):
+        self.ids = np.array([c for c, _ in block], np.int64)
+        self.prints = [np.frombuffer(x, "<u4") for _, x in block]
+        ints = np.concatenate([np.zeros(0, np.uint32), *self.prints])
+        order = np.argsort(ints, kind="stable")
+        self.ints = ints[order]
+        self.owner = np.repeat(np.arange(len(block)), [len(x) for x in self.prints])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in self.prints)])[order]
+        self.reach = max((len(x) for x in self.prints), default=0)
+
+    def peaks(self, x: np.ndarray):
+        """(recording of the block, offset, votes) at the peak of each offset histogram with ``x``, the
+        smallest offset of several; matches are counted in parts, so few are held at a time."""
+        left, right = np.searchsorted(self.ints, x, "left"), np.searchsorted(self.ints, x, "right")
+        many = right - left
+        width, kinds, votes = len(x) + self.reach + 1, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part = np.cumsum(many) // MATCHES
+        for p in np.unique(part[many > 0]):
+            at = np.nonzero((part == p) & (many > 0))[0]
+            which = np.repeat(at, many[at])
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+            hit = np.repeat(left[at], many[at]) + nth
+            kinds = np.concatenate([kinds, key := self.owner[hit] * width + (self.place[hit] - which + len(x))])
+            votes = np.concatenate([votes, np.ones(len(key), np.int64)])
+            kinds, back = np.unique(kinds, return_inverse=True)
+            votes = np.bincount(back, votes, len(kinds)).astype(np.int64)
+        owner, offset = kinds // width, kinds % width - len(x)
+        order = np.lexsort((offset, -votes, owner))
+        first = np.ones(len(order), bool)
+        first[1:] = owner[order[1:]] != owner[order[:-1]]
+        best = order[first]
+        return owner[best], offset[best], votes[best]
+
+
+def _searched(sent, votes, bit_error):
+    def run(batches):
+        index = sent.value
+        for b in batches:
+            out = []
+            for c, ints in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(ints, "<u4")
+                for q, offset, n in zip(*(v.tolist() for v in index.peaks(x))):
+                    if n < votes or index.ids[q] == c:
+                        continue
+                    a, y = index.prints[q][max(0, offset) :], x[max(0, -offset) :]
+                    overlap = min(len(a), len(y))
+                    error = int(np.bitwise_count(a[:overlap] ^ y[:overlap]).sum()) / (32 * overlap)
+                    if error <= bit_error:
+                        out.append((int(index.ids[q]), c, offset, n, error, overlap))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _PAIR.split(", ")])
+
+    return run
+
+
+_PAIR = "query_class long, class_id long, offset int, votes int, bit_error double, overlap int"
+
+
+def _blocks(rows, size: int):
+    block, held = [], 0
+    for r in rows:
+        block.append((r["class_id"], bytes(r["ints"])))
+        held += len(r["ints"]) // 4
+        if held >= size:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def matches(prints: DataFrame, queries: DataFrame, votes: int = VOTES, bit_error: float = BIT_ERROR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Aligns the recordings ``queries`` (rec_id) with all of ``prints`` (rec_id, ints).
 
     Returns (members, pairs). members: (rec_id, class_id), recordings with the same fingerprint
     being one class named by its smallest rec_id. pairs: between a class with a query and another
-    class: (query_class, class_id, offset, votes, bit_error, overlap). Candidates are all pairs
-    that share RUN consecutive integers; a pair is kept at ``votes`` or more and ``bit_error`` or
-    less. Recordings without a fingerprint, or with an empty one, are classes of their own without
-    pairs; rows without rec_id take no part.
+    class: (query_class, class_id, offset, votes, bit_error, overlap), at the peak of the offset
+    histogram, where it has ``votes`` or more and the bit error is ``bit_error`` or less. Nothing is
+    left out: queries are sent in blocks of about ``block`` integers, and every recording is looked
+    up in each, so that work is the product of queries and recordings, without a shuffle, and an
+    integer that very many recordings have (silence) gathers them nowhere. Recordings of any length
+    are used whole. Those without a fingerprint, or with an empty one, are classes of their own
+    without pairs; rows without rec_id take no part; repeated rows are members of one class each.
     """
+    spark = prints.sparkSession
     prints = materialised(prints.where("rec_id is not null").withColumn("h", F.xxhash64(F.coalesce("ints", F.lit(b"")), F.when(F.coalesce(F.length("ints"), F.lit(0)) == 0, F.col("rec_id")))))
     classes = materialised(prints.groupBy("h").agg(F.min("rec_id").alias("class_id"), F.first("ints").alias("ints")))
     members = prints.join(classes.select("h", "class_id"), "h").select("rec_id", "class_id", "ints")
     full = classes.where("length(ints) > 0").select("class_id", "ints")
     asked = members.join(queries.select(F.col("rec_id").cast("long").alias("rec_id")).distinct(), "rec_id").select("class_id").distinct()
-    keys = full.mapInArrow(_runs, "class_id long, key long")
-    mine = keys.join(asked, "class_id").select(F.col("class_id").alias("query_class"), "key")
-    met = mine.join(keys, "key").where("query_class <> class_id").select("query_class", "class_id").distinct()
-    left = full.select(F.col("class_id").alias("query_class"), F.col("ints").alias("a"))
-    both = met.join(left, "query_class").join(full.withColumnRenamed("ints", "b"), "class_id").select("query_class", "class_id", "a", "b")
-    found = both.mapInArrow(_aligned, "query_class long, class_id long, offset int, votes int, bit_error double, overlap int")
-    return members, found.where((F.col("votes") >= votes) & (F.col("bit_error") <= bit_error))
+    base = scratch(spark, "audio")
+    written = 0
+    for some in _blocks(full.join(asked, "class_id").toLocalIterator(), block):
+        sent = spark.sparkContext.broadcast(Index(some))
+        spread(full).mapInArrow(_searched(sent, votes, bit_error), _PAIR).write.parquet(f"{base}/part={written}")
+        sent.unpersist()
+        written += 1
+    return members, spark.read.schema(_PAIR).parquet(base) if written else spark.createDataFrame([], _PAIR)
+
+
+def decoded(wav: bytes) -> tuple[np.ndarray, int] | None:
+    """(samples from -1 to 1, one channel; rate) of a WAV file of integer or float PCM, or None."""
+    if len(wav) < 12 or wav[:4] != b"RIFF" or wav[8:12] != b"WAVE":
+        return None
+    at, form, data = 12, None, None
+    while at + 8 <= len(wav):
+        size = int.from_bytes(wav[at + 4 : at + 8], "little")
+        if wav[at : at + 4] == b"fmt " and size >= 16:
+            kind, channels, rate, _, _, bits = np.frombuffer(wav[at + 8 : at + 24], np.dtype("<u2,<u2,<u4,<u4,<u2,<u2"))[0].tolist()
+            kind = int.from_bytes(wav[at + 32 : at + 34], "little") if kind == 0xFFFE and size >= 26 else kind
+            form = (kind, channels, rate, bits)
+        elif wav[at : at + 4] == b"data":
+            data = wav[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    if not form or data is None or not form[1] or not form[2]:
+        return None
+    kind, channels, rate, bits = form
+    width = bits // 8
+    if not width or (kind, bits) not in ((1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
+        return None
+    raw = np.frombuffer(data[: len(data) // (width * channels) * width * channels], np.uint8).reshape(-1, width)
+    if kind == 3:
+        x = raw.reshape(-1).view(f"<f{width}").astype(np.float64)
+    elif bits == 8:
+        x = raw[:, 0].astype(np.float64) / 128 - 1
+    else:
+        wide = np.zeros((len(raw), 4), np.uint8)
+        wide[:, 4 - width :] = raw
+        x = wide.reshape(-1).view("<i4").astype(np.float64) / 2**31
+    return x.reshape(-1, channels).mean(axis=1), rate
+
+
+def resampled(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
+    """Samples at another rate: averaged over the new step where that is the longer one, else between
+    neighbours."""
+    n = int(len(x) * to / rate)
+    if rate <= to:
+        return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x) if n else np.zeros(0)
+    total = np.concatenate([[0.0], np.cumsum(x)])
+    edge = np.interp(np.arange(n + 1) * rate / to, np.arange(len(total)), total)
+    return np.diff(edge) * to / rate
+
+
+def recordings(media: DataFrame, rate: int = RATE) -> DataFrame:
+    """(rec_id, samples) of a media column (rec_id, content: a WAV file in each row) at ``rate``; samples
+    are null where the content is null or no PCM in WAV, empty where it has no sample."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                some, out = b.slice(at, 64), []
+                for x in some.column(1).to_pylist():
+                    got = decoded(x) if x is not None else None
+                    out.append(None if got is None else resampled(*got, rate))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.float64()))], names=["rec_id", "samples"])
+
+    return media.select(F.col("rec_id").cast("long").alias("rec_id"), F.col("content").cast("binary")).mapInArrow(run, "rec_id long, samples array<double>")
 
 
 def rendered(vectors: DataFrame, note: float = 0.0625, rate: int = RATE) -> DataFrame:
@@ -213,7 +324,7 @@ def rendered(vectors: DataFrame, note: float = 0.0625, rate: int = RATE) -> Data
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint classes of the melodies of all embeddings; for the classes of those whose id is
     divisible by 50, how many other classes align with them and which aligns best."""
-    from lodestone.llm.common import spread, table
+    from lodestone.llm.common import table
 
     vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     members, pairs = matches(fingerprints(rendered(vectors)), vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("rec_id")))

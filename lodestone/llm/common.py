@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +34,34 @@ def ship(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Only a
-    session without one (a local test) gets a folder of its own."""
+    local session without one (a test) gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/lodestone-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/lodestone-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables that a query writes and reads again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discarded(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``scratch`` gave."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of actions that are over: it does when the driver's
+    garbage is collected, which a driver with little to do may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -50,8 +73,9 @@ def components(edges: DataFrame) -> DataFrame:
     being its smallest node. Nodes without an edge do not appear.
 
     Alternates large-star and small-star steps until the edge set no longer changes. Each step is
-    a min-aggregation (combined before the shuffle) and a join, so that a node with very many
-    neighbours is never gathered in one task; rounds are logarithmic in practice.
+    a min-aggregation (combined before the shuffle) and a join of the edges with one row for each
+    node; the edges of a node with very many neighbours are one key of that join, which adaptive
+    execution splits. Rounds are logarithmic in practice.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = materialised(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialised
+from lodestone.llm.common import discarded, materialised, released, scratch
 
 WINDOW = 35
 #: Words of the k-mers that compete to be a window's anchor.
@@ -306,25 +306,64 @@ def _ways(hit: np.ndarray, edge: np.ndarray):
     return at, way ^ (way >> _U(29))
 
 
-def _node_ways(window):
+_WAYS = "part int, nodes binary, ways binary"
+
+
+def _node_ways(window, parts):
+    """The distinct (node, way) of a task, dealt to parts by node: one row of packed arrays for each."""
+
+    def dealt(nodes, ways):
+        nodes, ways = np.concatenate(nodes), np.concatenate(ways)
+        part = _part(parts, nodes)
+        order = np.lexsort((ways, nodes, part))
+        nodes, ways, part = nodes[order], ways[order], part[order]
+        new = np.ones(len(nodes), bool)
+        new[1:] = (nodes[1:] != nodes[:-1]) | (ways[1:] != ways[:-1])
+        nodes, ways, part = nodes[new], ways[new], part[new]
+        cut = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(part))
+        packed = [pa.array([x[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()) for x in (nodes, ways)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *packed], names=["part", "nodes", "ways"])
+
     def run(batches):
+        nodes, ways, size = [np.zeros(0, _U)], [np.zeros(0, np.uint32)], 0
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                some, found = b.slice(at, 2048), [np.zeros((2, 0), _U)]
-                for text, known in zip(*(some.column(x).to_pylist() for x in ("text", "known"))):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    hit, edge, node = _hits(raw, len(raw.split()), known, window)
-                    place, way = _ways(hit, edge)
-                    found.append(np.stack([node[place], way]))
-                both = np.concatenate(found, axis=1)
-                both = both[:, np.lexsort(both)]
-                new = np.ones(both.shape[1], bool)
-                new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in both], names=["node", "way"])
+            for text, known in zip(*(b.column(x).to_pylist() for x in ("text", "known"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                hit, edge, node = _hits(raw, len(raw.split()), known, window)
+                place, way = _ways(hit, edge)
+                nodes.append(node[place])
+                ways.append((way >> _U(32)).astype(np.uint32))
+                size += len(place)
+                if size > FLUSH:
+                    yield dealt(nodes, ways)
+                    nodes, ways, size = [np.zeros(0, _U)], [np.zeros(0, np.uint32)], 0
+        yield dealt(nodes, ways)
 
     return run
 
 
+def _branching(batches):
+    """The nodes of each part that have more than one way; rows come sorted by part."""
+
+    def of(held):
+        nodes, ways = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in ((0, _U), (1, np.uint32)))
+        order = np.lexsort((ways, nodes))
+        nodes, ways = nodes[order], ways[order]
+        return np.unique(nodes[1:][(nodes[1:] == nodes[:-1]) & (ways[1:] != ways[:-1])])
+
+    held, part = [], None
+    for b in batches:
+        for p, *x in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if p != part and held:
+                yield pa.RecordBatch.from_arrays([pa.array(of(held).view(np.int64))], names=["node"])
+                held = []
+            part = p
+            held.append(x)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(of(held).view(np.int64))], names=["node"])
+
+
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()[:DIGEST]
 
@@ -391,24 +430,30 @@ def _kept(batches):
         )
 
 
-def paths(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
-    """(row_key, start, n, digest): the compacted paths of all rows, in words from 0.
+def _on_edges(texts: DataFrame, window: int, anchor: int, parts: np.ndarray) -> DataFrame:
+    """(row_key, text, known) of the rows with repeated edges; known: their hashes, packed. All three
+    joins with the texts read one exchange."""
+    anchors = _repeated(texts.mapInArrow(_anchor_keys(window, anchor, parts), _DEALT), parts)
+    hung = texts.join(anchors, "row_key").select("row_key", "text", "known")
+    return texts.join(_repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts), "row_key")
+
+
+def paths(on: DataFrame, window: int, parts: np.ndarray) -> DataFrame:
+    """(row_key, start, n, digest): the compacted paths of rows (row_key, text, known), in words from 0.
 
     A node branches if its occurrences on repeated edges differ in the edge they come by or the edge
     they leave by; the end of a repeated stretch counts as a difference. Ways are combined in each
     task, so a passage that very many documents share is one entry of each. Where paths are cut
     reaches the tasks as a filter of bounded size; see node_filter.
     """
-    on = texts.join(edges, "row_key").select("row_key", "text", "known")
-    ways = on.mapInArrow(_node_ways(window), "node long, way long")
-    branching = ways.groupBy("node").agg(F.min("way").alias("low"), F.max("way").alias("high")).where("low <> high").select("node")
-    sent = texts.sparkSession.sparkContext.broadcast(node_filter(materialised(branching)))
+    dealt = on.mapInArrow(_node_ways(window, parts), _WAYS).repartition("part").sortWithinPartitions("part")
+    sent = on.sparkSession.sparkContext.broadcast(node_filter(materialised(dealt.mapInArrow(_branching, "node long"))))
     return on.mapInArrow(_compacted(window, sent), "row_key long, start long, n long, digest binary")
 
 
-def verified_spans(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+def verified_spans(on: DataFrame, window: int, parts: np.ndarray) -> DataFrame:
     """(row_key, spans): the paths of each row whose words stand at other coordinates too."""
-    found = materialised(paths(texts, edges, window))
+    found = materialised(paths(on, window, parts))
     # Kept apart from the join, so that a digest with very many paths can be split there.
     again = materialised(found.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest"))
     again = F.broadcast(again) if again.count() <= BROADCAST else again
@@ -431,14 +476,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     have the same SHA-256 (its first DIGEST bytes). The keys of a task are combined before they are
     dealt, so a passage that very many documents share reaches a reducer once for each task.
     """
-    parts = part_names(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    parts = part_names(int(spark.conf.get("spark.sql.shuffle.partitions")))
     row_key = F.xxhash64(F.col("doc_id"), F.col("text"))
     texts = docs.select(row_key.alias("row_key"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-    anchors = _repeated(texts.select("row_key", "text").mapInArrow(_anchor_keys(window, anchor, parts), _DEALT), parts)
-    # ``rest`` comes along for nothing else than that all joins can read one and the same exchange.
-    hung = texts.join(anchors, "row_key").select("row_key", "text", "known", "rest")
-    edges = _repeated(hung.mapInArrow(_edge_keys(window, anchor, parts), _DEALT), parts)
-    spans = verified_spans(texts, edges, window)
+    base = scratch(spark, "substrings")
+    _on_edges(texts.select("row_key", "text"), window, anchor, parts).write.parquet(base)
+    released(spark)
+    spans = materialised(verified_spans(spark.read.parquet(base), window, parts))
+    discarded(spark, base)
     kind = T.StructType([
         T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"])), T.StructField("kept_text", T.StringType()),
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import scratch
+
 #: Queries scored at a time: the broadcast block holds at most this many vectors.
 QUERY_BLOCK = 4096
 #: Bins of a histogram pass.
@@ -153,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     norm = vectors.mapInArrow(_norms(scale), "norm double").agg(F.max("norm")).first()[0]
     if norm is None:
         return empty
-    parts = []
+    base, blocks, kept = scratch(spark, "topk"), 0, "q int, query_id long, vec_id long, score long"
     asked = queries.where("vec_id is not null and embedding is not null").distinct()
     for rows in _blocks(asked.toLocalIterator(), query_block):
         block, n = _grouped(rows, scale)
@@ -185,14 +187,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
             hi = np.where(open_, lo + width, lo)  # a query that is done counts no more
             width = np.array([max(1, -(-int(w) // bins)) for w in width], kind)
         sent = spark.sparkContext.broadcast((block, lo, exact))
-        parts.append(vectors.mapInArrow(_filter(scale, sent, k), "q int, query_id long, vec_id long, score long"))
-    if not parts:
+        # What a block finds is written out, so that neither broadcasts nor the plan grow with the blocks.
+        vectors.mapInArrow(_filter(scale, sent, k), kept).write.parquet(f"{base}/part={blocks}")
+        sent.unpersist()
+        blocks += 1
+    if not blocks:
         return empty
     best = Window.partitionBy("part", "q").orderBy(F.desc("score"), "vec_id")
-    out = None
-    for i, part in enumerate(parts):
-        part = part.withColumn("part", F.lit(i))
-        out = part if out is None else out.unionAll(part)
+    out = spark.read.schema(f"{kept}, part int").parquet(base)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

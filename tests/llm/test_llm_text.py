@@ -412,13 +412,12 @@ def test_equal_hashes_alone_remove_nothing(spark):
     words = [[f"w{random.randrange(10**6)}" for _ in range(90)] for _ in range(4)]
     words[3][20:70] = words[2][10:60]
     texts = [" ".join(w) for w in words]
-    rows = spark.createDataFrame([(i, t, (i,)) for i, t in enumerate(texts)], "row_key long, text string, rest struct<doc_id: long>")
-    forged = [(i, bytearray(np.concatenate([substrings._windows(w, 35) for _, w in substrings._blocks(t.encode(), 35)]).tobytes())) for i, t in enumerate(texts)]
-    edges = spark.createDataFrame(forged, "row_key long, known binary")
-    got = {r["row_key"]: sorted((x["start"], x["n"]) for x in r["spans"]) for r in substrings.verified_spans(rows, edges, 35).collect()}
+    forged = [(i, t, bytearray(np.concatenate([substrings._windows(w, 35) for _, w in substrings._blocks(t.encode(), 35)]).tobytes())) for i, t in enumerate(texts)]
+    on, parts = spark.createDataFrame(forged, "row_key long, text string, known binary"), substrings.part_names(4)
+    got = {r["row_key"]: sorted((x["start"], x["n"]) for x in r["spans"]) for r in substrings.verified_spans(on, 35, parts).collect()}
     assert got == {2: [(10, 50)], 3: [(20, 50)]}
     # One path: the shared passage does not branch, and what lies around it is in paths of its own.
-    found = [tuple(r) for r in substrings.paths(rows, edges, 35).select("row_key", "start", "n").collect()]
+    found = [tuple(r) for r in substrings.paths(on, 35, parts).select("row_key", "start", "n").collect()]
     assert len(found) == 8 and {(r, s, n) for r, s, n in found if r < 2} == {(0, 0, 90), (1, 0, 90)}
 
 

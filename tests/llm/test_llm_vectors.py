@@ -84,6 +84,70 @@ def test_audio_matches(spark):
     assert audio.fingerprints(df.limit(0)).count() == 0
 
 
+def test_audio_against_aligning_all_pairs(spark):
+    """Every pair that aligns is found, from noisy copies cut anywhere, and with long silence; also in
+    small blocks."""
+    rng = np.random.default_rng(8)
+    base = [tone(rng.integers(0, 40, 40), n=250) for _ in range(6)]
+    rows = [*base, *(b[int(rng.integers(0, 2000)) :] for b in base)]
+    rows += [x + rng.normal(0, noise, len(x)) for b in base for noise in (0.02, 0.1, 0.2) for x in (b[int(rng.integers(0, 2500)) :],)]
+    rows += [np.concatenate([np.zeros(6000), b[:4000]]) for b in base[:3]]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rows)], "rec_id long, samples array<double>")
+    prints = audio.fingerprints(df)
+    ints = {r["rec_id"]: np.frombuffer(bytes(r["ints"]), "<u4") for r in prints.collect()}
+    want = set()
+    for q in range(0, len(rows), 2):
+        for c in range(len(rows)):
+            offset, votes, error, overlap = audio.align(ints[q], ints[c])
+            if c != q and votes >= audio.VOTES and error <= audio.BIT_ERROR:
+                want.add((q, c, offset, votes, round(error, 9), overlap))
+    for block in (audio.BLOCK, 60):
+        _, pairs = audio.matches(prints, df.where("rec_id % 2 = 0"), block=block)
+        assert {(*tuple(r)[:4], round(r["bit_error"], 9), r["overlap"]) for r in pairs.collect()} == want
+    assert len(want) > 20
+
+
+def test_peaks_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    block = [(i, rng.integers(0, 5, 40).astype("<u4").tobytes()) for i in range(5)]
+    x = rng.integers(0, 5, 30).astype("<u4")
+    index = audio.Index(block)
+    whole = [v.tolist() for v in index.peaks(x)]
+    monkeypatch.setattr(audio, "MATCHES", 7)
+    assert [v.tolist() for v in index.peaks(x)] == whole
+    for q, offset, votes in zip(*whole):
+        assert audio.align(np.frombuffer(block[q][1], "<u4"), x)[:2] == (offset, votes)
+
+
+def test_wav_columns(spark, tmp_path):
+    import io
+    import wave
+
+    t = np.arange(8000) / 8000
+    x = 0.5 * np.sin(2 * np.pi * 440 * t)
+
+    def wav(width, channels, rate=8000):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setparams((channels, width, rate, 0, "NONE", ""))
+            full = (x * (2 ** (8 * width - 1) - 1)).astype(np.int64) + (128 if width == 1 else 0)
+            f.writeframes(b"".join(int(v).to_bytes(width, "little", signed=width > 1) * channels for v in full))
+        return out.getvalue()
+
+    for width, most in ((1, 0.02), (2, 1e-4), (3, 1e-6), (4, 1e-7)):
+        for channels in (1, 2):
+            got, rate = audio.decoded(wav(width, channels))
+            assert rate == 8000 and len(got) == len(x) and np.abs(got - x).max() < most
+    data = x.astype("<f4").tobytes()
+    head = b"RIFF" + (36 + len(data)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\3\0\1\0" + (8000).to_bytes(4, "little") + (32000).to_bytes(4, "little") + b"\4\0\x20\0data" + len(data).to_bytes(4, "little")
+    assert np.abs(audio.decoded(head + data)[0] - x).max() < 1e-6
+    assert audio.decoded(b"") is None and audio.decoded(b"RIFFxxxxWAVE") is None and audio.decoded(head[:30]) is None
+    assert len(audio.resampled(x, 8000, 4000)) == 4000 and len(audio.resampled(x, 2000, 4000)) == 16000
+    rows = [(1, bytearray(wav(2, 1))), (2, None), (3, bytearray(b"no audio")), (4, bytearray(wav(2, 1)[:44]))]
+    got = {r["rec_id"]: r["samples"] for r in audio.recordings(spark.createDataFrame(rows, "rec_id long, content binary")).collect()}
+    assert len(got[1]) == 4000 and got[2] is None and got[3] is None and got[4] == []
+
+
 def test_components(spark):
     import random
 
