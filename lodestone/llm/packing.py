@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 
@@ -15,24 +14,17 @@ from pyspark.sql import functions as F
 WINDOW = 1024
 #: Partially filled windows that a task holds at most, which bounds its memory; then they are settled.
 MAX_OPEN = 4096
-#: Entries of a generation of the chunk cache of a Python worker.
-CACHE = 300_000
 #: The one special token of the vocabulary, which the tokenizer finds in texts.
 SPECIAL = "<|endoftext|>"
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_RUN = re.compile(r" \s")
-_CHUNK = re.compile(r"(?= \S)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
-
-    Byte-level BPE merges never cross its pre-tokens, and a blank before a visible character
-    always starts a pre-token; so a text is the chain of chunks cut there, and the ids of a chunk
-    can be kept.
-    """
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizers library gives
+    them. The special token, which that library finds in texts, cuts a text; between, tiktoken
+    merges over the same vocabulary in half the time."""
 
     def __init__(self, path: str):
         import os
@@ -43,12 +35,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = np.uint32(self.tokenizer.token_to_id(SPECIAL)).tobytes() if self.tokenizer.token_to_id(SPECIAL) is not None else None
         self.ranked = self._ranked(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def _ranked(self, path: str):
-        """The same vocabulary and merges in tiktoken, which merges a new chunk in under half the
-        time; None if the merges of the file are not in the order of their ids."""
+        """The same vocabulary and merges in tiktoken; None if the merges of the file are not in the
+        order of their ids."""
         import json
 
         import public_tokenizers
@@ -66,52 +56,13 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def fresh(self, chunks: list[str]) -> list[list[int]]:
-        if self.ranked is not None:
-            run = self.ranked.encode_ordinary
-            return [run(x) for x in chunks]
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in run(chunks, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if text[-1] == " " or _RUN.search(text):
-            return [x for x in _CHUNK.split(text) if x]
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *(" " + x for x in rest)]
-
-    def parts(self, text: str) -> list[list[str]]:
-        if self.special is not None and SPECIAL in text:
-            return [self.chunks(x) for x in text.split(SPECIAL)]
-        return [self.chunks(text)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(x) for x in texts]
-        young, old = self.young, self.old
-        missing = set()
-        for parts in split:
-            for part in parts:
-                for x in part:
-                    if x not in young:
-                        if (got := old.get(x)) is not None:
-                            young[x] = got
-                        else:
-                            missing.add(x)
-        fresh = {}
-        if missing:
-            todo = list(missing)
-            for at in range(0, len(todo), 20_000):
-                some = todo[at : at + 20_000]
-                for x, ids in zip(some, self.fresh(some)):
-                    (young if len(x) <= 64 else fresh)[x] = array("I", ids).tobytes()
-        out = []
-        for parts in split:
-            done = [b"".join([young[x] if x in young else fresh[x] for x in part]) for part in parts]
-            out.append(done[0] if len(done) == 1 else self.special.join(done))
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
-        return out
+        if self.ranked is None:
+            run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            return [array("I", e.ids).tobytes() for e in run(texts, add_special_tokens=False)]
+        run = self.ranked.encode_ordinary
+        ids = lambda text: array("I", run(text)).tobytes() if text else b""
+        return [self.special.join(map(ids, x.split(SPECIAL))) if self.special is not None and SPECIAL in x else ids(x) for x in texts]
 
 
 def encoder(path: str) -> Encoder:
