@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +55,32 @@ def discarded(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of actions that are over: it does when the driver's
-    garbage is collected, which a driver with little to do may put off for long."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Actions inside leave no shuffle files behind: what they made is written, so nothing reads them
+    again, and else they would stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """Cuts the lineage with a Parquet table in a folder that ``scratch`` gave: compressed, and read by
+    column."""
+    with _tidy(df.sparkSession):
+        df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def components(edges: DataFrame) -> DataFrame:

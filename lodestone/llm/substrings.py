@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import discarded, materialised, released, scratch
+from lodestone.llm.common import discarded, materialised, scratch, written
 
 WINDOW = 35
 #: Words of the k-mers that compete to be a window's anchor.
@@ -481,9 +481,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     row_key = F.xxhash64(F.col("doc_id"), F.col("text"))
     texts = docs.select(row_key.alias("row_key"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     base = scratch(spark, "substrings")
-    _on_edges(texts.select("row_key", "text"), window, anchor, parts).write.parquet(base)
-    released(spark)
-    spans = materialised(verified_spans(spark.read.parquet(base), window, parts))
+    on = written(_on_edges(texts.select("row_key", "text"), window, anchor, parts), base)
+    spans = materialised(verified_spans(on, window, parts))
     discarded(spark, base)
     kind = T.StructType([
         T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != "text"])), T.StructField("kept_text", T.StringType()),
