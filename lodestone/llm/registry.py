@@ -1,8 +1,7 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL; the pipeline of several is in corpus_pipeline."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lodestone.llm import audio, langid, licenses, packing, segmentation, simhash, substrings, surrogates, topk, toxicity
 
 
@@ -18,7 +17,6 @@ def queries():
         "op8_segmentation": segmentation.op8_segmentation,
         "op9_substrings": substrings.op9_substrings,
         "op10_audio": audio.op10_audio,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -201,3 +201,36 @@ def test_pipeline(spark, sf, tmp_path):
     assert sizes[0] > sizes[1] > sizes[2] == sizes[3] == sizes[4] > 0.6 * sizes[0]
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Nulls, repeated rows, a long text, columns whose names the operators use themselves; and none at all."""
+    own = ["row", "rest", "h", "id", "n", "one", "fp", "score", "_key", "_k", "_text", "row_key", "known", "spans", "kept_text", "new_text", "found", "a.b", "component", "part"]
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    words = " ".join(f"w{i}" for i in range(60))
+    extra = [(None, "no id", "en", "s", 5), (900001, None, None, None, None), (900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, "word " * 30_000, "en", "s", 150_000), (900004, words, "en", "s", 9), (900005, f"{words} end x@y.de", "en", "s", 9)]
+    docs = base.unionByName(spark.createDataFrame(extra, base.schema)).withColumns({c: F.lit(i) for i, c in enumerate(own)})
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "packing"
+        none = stage(spark, empty, sf)
+        assert none.count() == 0, name
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        if last:
+            assert {r["doc_id"] for r in rows} >= {None, 900001, 900002, 900003}
+            continue
+        assert out.columns == docs.columns and none.columns == docs.columns, name
+        by = {}
+        for r in rows:
+            by.setdefault(r["doc_id"], []).append(r)
+            assert all(r[c] == i for i, c in enumerate(own)), name
+        assert None in by and by[None][0]["text"] == "no id", name
+        if name == "near_duplicates":
+            assert len(by[900001]) == 1 and 900002 not in by and 900005 not in by and by[900004][0]["text"] == words
+        elif name == "toxicity":
+            assert len(by[900001]) == 2 and by[900003][0]["text"] == "word " * 30_000
+        else:
+            assert len(rows) == docs.count() and by[900001][0]["text"] is None and by[900002][0]["text"] == ""
+            assert name != "pii" or "x@y.de" not in by[900005][0]["text"]
+            assert name != "substrings" or (by[900003][0]["text"], by[900004][0]["text"], by[900005][0]["text"]) == ("", "", "end x@y.de")
