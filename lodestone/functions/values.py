@@ -31,9 +31,10 @@ def elided(text: Column, limit: int) -> Column:
 
 
 def camel_regex(query: str) -> str:
-    """Humps of a name in order: ``uAF`` finds ``useAppForm``."""
-    humps = re.findall(r"[A-Z]?[^A-Z]+|[A-Z]", query)
-    return "^" + "[a-z0-9_$]*".join(re.escape(h) for h in humps)
+    """Humps of a name in order, from any hump on: ``uAF`` finds ``useAppForm`` and ``getUserAppForm``."""
+    first, *rest = re.findall(r"[A-Z]?[^A-Z]+|[A-Z]", query) or [""]
+    inner = re.escape(first[:1].upper() + first[1:])
+    return f"(?:^{re.escape(first)}|(?<=[a-z0-9_$]){inner})" + "".join("[a-z0-9_$]*" + re.escape(h) for h in rest)
 
 
 def match_rank(name: Column, query: str) -> Column:

@@ -14,7 +14,8 @@ from lodestone.functions.storage import materialised
 
 @dataclass
 class Closure:
-    """Nodes (node, depth) without the seeds, and what cut the walk short, if anything."""
+    """Nodes (node, depth) without the seeds, what cut the walk short, if anything, and how many nodes of
+    the next or the cut level are known to be left out."""
 
     nodes: DataFrame
     capped: str | None
@@ -40,13 +41,12 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, nodes: int | None =
         if nodes is not None:
             size = step.count()
             if have + size > nodes:
-                step, capped = step.orderBy("node").limit(nodes - have), "nodes"
+                step, capped, left = step.orderBy("node").limit(nodes - have), "nodes", have + size - nodes
         frontier = materialised(step.withColumn("depth", F.lit(level)))
         size = frontier.count()
         have += size
         seen = materialised(seen.unionByName(frontier)) if level % 4 == 0 else seen.unionByName(frontier)
         if not size or capped:
-            left = 0 if not capped else -1
             break
     return Closure(seen.where("depth > 0"), capped, left)
 

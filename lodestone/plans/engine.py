@@ -12,13 +12,14 @@ import inspect
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import kept
 from lodestone.functions.values import key_match, template_head
 from lodestone.operators import cascade, catalogue, changes, dead, facts as types, graph, usages
 from lodestone.plans.envelope import Envelope, Failure, cap_list
+from lodestone.plans.intake import normalised
 from lodestone.plans.sqlbatch import BatchResult, Request, first_line, run_batch
 
 # The columns of every operation's table (i: int, others text).
@@ -86,15 +87,18 @@ class Engine:
         if name not in OPS:
             return Envelope(failure=Failure("unknown_op", f"{name}; there are {', '.join(sorted(OPS))}"))
         o = OPS[name]
+        known = set(inspect.signature(o.run).parameters) - {"e"}
+        taken = normalised(args, own=known)
+        args = taken.args
         if gone := [f for f in o.needs if f not in self.facts]:
             return Envelope(failure=Failure("unavailable", f"{name} needs {', '.join(gone)}"))
-        known = set(inspect.signature(o.run).parameters) - {"e"}
         if extra := set(args) - known:
             return Envelope(failure=Failure("bad_args", f"{name} does not take {', '.join(sorted(extra))}; it takes {', '.join(sorted(known))}"))
         try:
             got = o.run(self, **args)
         except Exception as x:  # noqa: BLE001  an operation's error is data
             return Envelope(failure=Failure("bad_args" if isinstance(x, (ValueError, TypeError)) else "op_threw", first_line(x)))
+        got.notes = [*taken.notes, *got.notes]
         if got.ok and o.table:
             got.df = projected(got.df, o.table)
         if got.ok and limit is not None:
@@ -311,7 +315,9 @@ def invalidations_for(e, mutation):
     # Joined on the first segment where both sides have a plain one; the few open keys meet all queries.
     first = lambda c: F.when(F.get(c, F.lit(0))["kind"] == "static", F.get(c, F.lit(0))["value"])
     edges, queries = edges.withColumn("_a", first(F.col("segments"))), queries.withColumn("_b", first(F.col("q_segments")))
-    near = edges.where("_a is not null and not is_all").join(queries, F.col("_a") == F.col("_b")).unionByName(edges.where("_a is null or is_all").join(queries, F.lit(True))).unionByName(edges.where("_a is not null and not is_all").join(queries.where("_b is null"), F.lit(True)))
+    open_ = edges.where("_a is null or is_all")  # of one mutation, so a handful
+    open_ = F.broadcast(open_) if open_.limit(1001).count() <= 1000 else open_
+    near = edges.where("_a is not null and not is_all").join(queries, F.col("_a") == F.col("_b")).unionByName(open_.join(queries, F.lit(True))).unionByName(edges.where("_a is not null and not is_all").join(queries.where("_b is null"), F.lit(True)))
     hit = near.withColumn("confidence", match).where("confidence is not null").select("_edge", "affects", "confidence")
     shown = F.array_join(F.transform("segments", lambda s: F.coalesce(s["value"], F.lit("*"))), ".")
     return Envelope(edges.join(hit, "_edge", "left").withColumn("key", shown).withColumn("broad", F.col("is_all").cast("long")))
@@ -428,4 +434,5 @@ def constant_columns(df: DataFrame) -> dict[str, object]:
 def dominant(df: DataFrame, column: str, seq: Column) -> DataFrame:
     """The most frequent value of a column, the first seen of several."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("_first"))
-    return counts.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "_first"))).where("_r = 1").select(column, "n")
+    best = counts.agg(F.min(F.struct((-F.col("n")).alias("m"), "_first", F.col(column).alias("v"))).alias("b")).where("b is not null")
+    return best.select(F.col("b.v").alias(column), (-F.col("b.m")).alias("n"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
 # Other names of arguments.
-ALIASES = {"symbol": "name", "path": "file", "include": "include", "pathInclude": "include", "pathExclude": "exclude", "groupBy": "group_by", "exportedOnly": "exported_only", "collapseImports": "collapse_imports", "mergeDeclarations": "merge_declarations", "testGlobs": "test_globs", "newName": "new_name"}
+ALIASES = {"symbol": "name", "path": "file", "pathInclude": "include", "pathExclude": "exclude", "groupBy": "group_by", "exportedOnly": "exported_only", "collapseImports": "collapse_imports", "mergeDeclarations": "merge_declarations", "testGlobs": "test_globs", "newName": "new_name"}
 
 _ID = re.compile(r"^ts:(?P<name>.+)@(?P<file>.+):(?P<line>\d+):(?P<col>\d+)~(?P<tag>[0-9a-f]{8})$")
 _PLACE = re.compile(r"^(?P<file>[^:\s]+\.[A-Za-z]+):(?P<line>\d+)(?::(?P<col>\d+))?$")
@@ -36,12 +36,12 @@ def decoded(symbol_id: str) -> dict | None:
     return {**m.groupdict(), "line": int(m["line"]), "col": int(m["col"])} if m else None
 
 
-def normalised(args: Mapping, lists: Sequence[str] = ("symbols", "include", "exclude", "files", "targets", "members", "symbol_ids", "kinds")) -> Taken:
-    """Other names replaced, single values of list arguments wrapped, nested arrays flattened; what
-    was changed is said."""
+def normalised(args: Mapping, lists: Sequence[str] = ("symbols", "include", "exclude", "files", "targets", "members", "symbol_ids", "kinds"), own: Collection[str] = ()) -> Taken:
+    """Other names replaced (but for those in ``own``, which the operation takes as they are), single
+    values of list arguments wrapped, nested arrays flattened; what was changed is said."""
     out = Taken({})
     for key, value in args.items():
-        name = ALIASES.get(key, key)
+        name = key if key in own else ALIASES.get(key, key)
         if name != key:
             out.notes.append(f"{key} is taken as {name}")
         if name in lists:

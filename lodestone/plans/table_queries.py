@@ -308,6 +308,15 @@ def fuzzy_search(spark, sf):
     return catalogue.search_symbol(symbols, "bolt").select("id", "name", "rank")
 
 
+@register("camel_search", """
+SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank FROM part WHERE p_size % 5 < 4""")
+def camel_search(spark, sf):
+    """Names made of sizes: the query itself, begun with it, with it inside, by its humps, and another."""
+    kind = F.col("p_size") % 5
+    name = F.when(kind == 0, "uBF").when(kind == 1, "UBFirst").when(kind == 2, F.concat(F.lit("x"), "p_partkey", F.lit("ubf"))).when(kind == 3, F.concat(F.lit("getUser"), "p_partkey", F.lit("BrandForm"))).otherwise("useFormBrand")
+    return catalogue.search_symbol(_t(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name")), "uBF").select("id", "rank")
+
+
 @register("kind_histogram", "SELECT p_type AS kind, CAST(count(DISTINCT p_name) AS BIGINT) AS names FROM part GROUP BY 1")
 def kind_histogram(spark, sf):
     return catalogue.kind_histogram(_t(spark, sf, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name")))

@@ -83,6 +83,20 @@ def test_lookups_and_graph(engine):
     assert constant_columns(engine["function_decls"].select("file", "name")) == {"file": "a.tsx"}
 
 
+def test_other_names_of_arguments(engine):
+    out = engine.run("find_usages", symbols="Input", pathExclude="a.tsx", groupBy="enclosing")
+    assert out.ok and [r["encloser"] for r in out.df.collect()] == ["B"] and "groupBy is taken as group_by" in out.notes
+
+
+def test_dominant(spark, engine):
+    from pyspark.sql import functions as F
+
+    from lodestone.plans.engine import dominant
+
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (4, "b"), (5, "c")], "i int, v string")
+    assert [tuple(r) for r in dominant(df, "v", F.col("i")).collect()] == [("b", 2)] and dominant(df.limit(0), "v", F.col("i")).count() == 0
+
+
 def test_failures_are_data(engine, tmp_path):
     assert engine.run("nope").failure.code == "unknown_op" and engine.run("member_usages", x=1).failure.code == "bad_args"
     assert engine.run("construction_sites", target="T").failure.code == "unavailable" and engine.run("i18n_lookup", key="a", value="b").failure.code == "bad_args"
