@@ -249,7 +249,7 @@ def decoded(wav: bytes) -> tuple[np.ndarray, int] | None:
     at, form, data = 12, None, None
     while at + 8 <= len(wav):
         size = int.from_bytes(wav[at + 4 : at + 8], "little")
-        if wav[at : at + 4] == b"fmt " and size >= 16:
+        if wav[at : at + 4] == b"fmt " and size >= 16 and at + 24 <= len(wav):
             kind, channels, rate, _, _, bits = np.frombuffer(wav[at + 8 : at + 24], np.dtype("<u2,<u2,<u4,<u4,<u2,<u2"))[0].tolist()
             kind = int.from_bytes(wav[at + 32 : at + 34], "little") if kind == 0xFFFE and size >= 26 else kind
             form = (kind, channels, rate, bits)

@@ -513,7 +513,8 @@ def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
     if first.where("n > 1").limit(1).count():
         again = first.where("n > 1").select("doc_id", "h")
         kept = kept.join(again, ["doc_id", "h"], "left_anti").unionByName(kept.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]))
-    return kept.select("row.*").unionByName(docs.where("doc_id is null")).select(*columns)
+    kept = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null")).select(*columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

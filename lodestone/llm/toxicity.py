@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import materialised, spread, table
 
@@ -289,11 +290,12 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(_scored(sent), "doc_id long, score double")
 
 
-def _passed(sent, threshold, at):
+def _passed(sent, threshold):
     def run(batches):
         model = sent.value
         for b in batches:
-            yield b.filter(pa.array([model.score(x) < threshold for x in b.column(at).to_pylist()], pa.bool_()))
+            keep = pa.array([model.score(x) < threshold for x in b.column(0).to_pylist()], pa.bool_())
+            yield b.select([1]).filter(keep)
 
     return run
 
@@ -305,7 +307,9 @@ def reject(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) ->
     rows are judged like any other; an empty table gives an empty result; columns may have any names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_passed(sent, threshold, docs.columns.index("text")), docs.schema)
+    rows = docs.select(F.col("text").cast("string"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.mapInArrow(_passed(sent, threshold), T.StructType([T.StructField("row", docs.schema)]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
