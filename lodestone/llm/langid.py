@@ -61,13 +61,17 @@ def _counted(batches):
 class Model:
     """Cost tables: ``tables[k]`` leads from a sequence of k bytes and a byte to that of k + 1;
     ``costs[k][id]`` is the code length in bits of the last byte of sequence ``id`` of k bytes for
-    every language; ``escapes[k][id]`` that of leaving the context ``id`` of k bytes."""
+    every language; ``escapes[k][id]`` that of leaving the context ``id`` of k bytes.
+
+    ``cells`` bounds the largest table, so what is broadcast: sequences of two bytes and more that were
+    seen fewer times than ``least`` (over all languages) leave the trees, and ``least`` doubles from 1
+    until the tables fit. Their contexts then escape to shorter ones, as for unseen sequences."""
 
     def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int = MODEL_CELLS):
         self.languages = languages
-        least = 1
-        while not self._build(lang, gram, n.astype(np.float64), least, cells):
-            least += 1
+        self.least = 1
+        while not self._build(lang, gram, n.astype(np.float64), self.least, cells):
+            self.least *= 2
 
     def _build(self, lang, gram, n, least, cells) -> bool:
         size, L = DEPTH, len(self.languages)

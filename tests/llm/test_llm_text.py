@@ -74,6 +74,22 @@ def test_language_model_is_ppm(spark):
     assert np.allclose(model.bits([langid.cleaned(long)])[0] / 150_000, model.bits([langid.cleaned(long[: 21 * 100])])[0] / 100, rtol=0.01)
 
 
+def test_language_model_within_fewer_cells():
+    """Where the bound bites, rare sequences leave, tables fit, and languages are still told apart."""
+    random.seed(13)
+    train = {"aa": " ".join(random.choice(["the", "cat", "sat", "with", "them"]) for _ in range(400)), "bb": " ".join(random.choice(["der", "hund", "und", "schön", "mann"]) for _ in range(400))}
+    rows = []
+    for i, t in enumerate(train.values()):
+        g, n = np.unique(langid._packed(np.frombuffer(langid.cleaned(t + " " + "".join(chr(97 + random.randrange(26)) for _ in range(300))), np.uint8)), return_counts=True)
+        rows += [(i, int(x), int(c)) for x, c in zip(g, n)]
+    columns = [np.array([r[k] for r in rows], np.int64) for k in range(3)]
+    whole, small = langid.Model(["aa", "bb"], *columns), langid.Model(["aa", "bb"], *columns, cells=6000)
+    assert whole.least == 1 < small.least and max(len(t) for t in small.tables.values()) <= 6000 < max(len(t) for t in whole.tables.values())
+    for model in (whole, small):
+        got = [lang for lang, _ in model.predict(["the cat with them", "und der mann", "schön der hund", None])]
+        assert got == ["aa", "bb", "bb", "und"], model.least
+
+
 def test_language_edges(spark):
     model = langid.train(docs(spark, ["the cat and the dog"] * 3 + ["der hund und die katze"] * 3).withColumn("lang", F.when(F.col("doc_id") <= 3, "en").otherwise("de")))
     got = langid.identify(odd(spark), model).collect()
