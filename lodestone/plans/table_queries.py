@@ -236,11 +236,11 @@ def impact_closure(spark, sf):
 WITH RECURSIVE e AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM ({_BUY}) a JOIN ({_BUY}) b ON a.o = b.o AND a.p <> b.p),
 w AS (SELECT (SELECT min(src) FROM e) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4),
 m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
-SELECT node, CAST(depth AS INTEGER) AS depth FROM m WHERE depth > 0 ORDER BY depth, node LIMIT 7""")
+SELECT node, CAST(depth AS INTEGER) AS depth FROM m WHERE depth > 0 ORDER BY depth, node LIMIT 3""")
 def impact_capped(spark, sf):
     """The same parts as symbols and their enclosers, by the impact operation with its node cap."""
     refs = _bought_together(spark, sf).select(F.col("src").alias("symbol_id"), F.col("dst").alias("encloser_id"), F.lit("call").alias("role"))
-    return graph.impact(refs, refs.agg(F.min("symbol_id").alias("node")), 4, 7).nodes.select("node", "depth")
+    return graph.impact(refs, refs.agg(F.min("symbol_id").alias("node")), 4, 3).nodes.select("node", "depth")
 
 
 @register("trace_hops", """
@@ -426,15 +426,15 @@ def enclosing_declaration(spark, sf):
 WITH RECURSIVE e AS (SELECT DISTINCT a.p AS src, b.p AS dst FROM ({_BUY}) a JOIN ({_BUY}) b ON a.o = b.o AND a.p <> b.p),
 w AS (SELECT (SELECT max(src) FROM e) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 5),
 m AS (SELECT CASE WHEN node % 2 = 0 THEN 'p/' || node || '.test.ts' ELSE 'p/' || node || '.ts' END AS file, min(depth) AS depth FROM w GROUP BY 1),
-c AS (SELECT * FROM (SELECT * FROM m WHERE depth > 0 ORDER BY depth, file LIMIT 9) UNION ALL SELECT * FROM m WHERE depth = 0)
+c AS (SELECT * FROM (SELECT * FROM m WHERE depth > 0 ORDER BY depth, file LIMIT 3) UNION ALL SELECT * FROM m WHERE depth = 0)
 SELECT file, CAST(depth AS INTEGER) AS depth FROM c WHERE file LIKE '%.test.ts'""")
 def affected_tests(spark, sf):
-    """Parts bought together as files that import one another; even ones are tests. Five steps, nine files."""
+    """Parts bought together as files that import one another; even ones are tests. Five steps, three files."""
     name = lambda c: F.concat(F.lit("p/"), F.col(c).cast("string"), F.when(F.col(c) % 2 == 0, ".test.ts").otherwise(".ts"))
     pairs = _bought_together(spark, sf)
     imports = pairs.select(name("dst").alias("file"), name("src").alias("resolved"))
     changed = pairs.agg(F.max("src").alias("x")).select(name("x").alias("file"))
-    return graph.affected_tests(imports, changed, depth=5, nodes=9)[0].select("file", "depth")
+    return graph.affected_tests(imports, changed, depth=5, nodes=3)[0].select("file", "depth")
 
 
 @register("sql_bounds", """
