@@ -63,6 +63,8 @@ class Op:
 
 
 OPS: dict[str, Op] = {}
+#: Operations whose answers further programs could add to.
+LOWER_BOUNDS = frozenset(["find_usages", "importers_of", "find_unused_exports", "member_usages", "impact", "affected", "construction_sites", "discrimination_sites"])
 
 
 def op(name: str, *needs: str, table: str | None = None):
@@ -74,10 +76,11 @@ def op(name: str, *needs: str, table: str | None = None):
 
 
 class Engine:
-    """Operations over one root's facts."""
+    """Operations over one root's facts. ``undiscovered`` names programs that the facts leave out:
+    answers that they could add to are then lower bounds, and say so."""
 
-    def __init__(self, spark: SparkSession, facts: Mapping[str, DataFrame], root: str = "."):
-        self.spark, self.facts, self.root = spark, dict(facts), root
+    def __init__(self, spark: SparkSession, facts: Mapping[str, DataFrame], root: str = ".", undiscovered: Sequence[str] = ()):
+        self.spark, self.facts, self.root, self.undiscovered = spark, dict(facts), root, list(undiscovered)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.facts[name]
@@ -99,6 +102,10 @@ class Engine:
         except Exception as x:  # noqa: BLE001  an operation's error is data
             return Envelope(failure=Failure("bad_args" if isinstance(x, (ValueError, TypeError)) else "op_threw", first_line(x)))
         got.notes = [*taken.notes, *got.notes]
+        if left := [x for x in self.undiscovered if x not in args.get("programs", ())]:
+            if got.ok and name in LOWER_BOUNDS:
+                got.complete = False
+                got.notes.insert(0, f"!! a lower bound: {len(left)} programs are not loaded: {', '.join(left[:5])}")
         if got.ok and o.table:
             got.df = projected(got.df, o.table)
         if got.ok and limit is not None:
@@ -150,14 +157,33 @@ def search_symbol(e, query, kind=None, exported_only=False, include=(), exclude=
 
 
 @op("find_usages", "refs")
-def find_usages(e, symbols, role=None, group_by=None, include=(), exclude=(), collapse_imports=False, merge_declarations=False, kind=None, exported_only=False, text=None):
-    """Sites of up to twenty symbols, flat or by encloser; ``text`` adds hits of that word elsewhere."""
+def find_usages(e, symbols, role=None, group_by=None, include=(), exclude=(), collapse_imports=False, merge_declarations=False, kind=None, exported_only=False, text=None, file=None, programs=()):
+    """Sites of up to twenty symbols, flat or by encloser; ``text`` adds hits of that word elsewhere.
+
+    ``programs`` adds the references of further programs (facts ``refs_other``) to this call. With a
+    ``file``, a name that is no symbol of its own but a member declared there is looked up as that
+    member; of several such members the call names them instead of choosing.
+    """
     if len(symbols) > 20:
         raise ValueError("at most 20 symbols")
     notes: list[str] = []
-    known = {r[0] for r in e["refs"].where(F.col("symbol").isin(list(symbols))).select("symbol").distinct().collect()}
-    notes += [f"not found: {s}" for s in symbols if s not in known]
-    rows = e["refs"].where(F.col("symbol").isin(list(symbols)) & (F.col("role") != "jsx-closing"))
+    refs = e["refs"]
+    if programs and "refs_other" in e.facts:
+        refs = refs.unionByName(e["refs_other"].where(F.col("program").isin(list(programs))), allowMissingColumns=True)
+    wanted = F.col("symbol").isin(list(symbols))
+    known = {r[0] for r in refs.where(wanted).select("symbol").distinct().collect()}
+    for s in [s for s in symbols if s not in known]:
+        members = []
+        if file and "symbols" in e.facts:
+            members = e["symbols"].where((F.col("file") == file) & F.col("container").isNotNull() & ((F.col("name") == s) | (F.concat_ws(".", "container", "name") == s))).select("id", "container", "name", "line").orderBy("line").limit(20).collect()
+        if len(members) > 1:
+            raise ValueError(f"{s} is one of several members of {file}: " + ", ".join(f"{m['container']}.{m['name']} at line {m['line']} ({m['id']})" for m in members))
+        if members:
+            wanted = wanted | (F.col("symbol_id") == members[0]["id"])
+            notes.append(f"{s} is taken as the member {members[0]['container']}.{members[0]['name']}")
+        else:
+            notes.append(f"not found: {s}")
+    rows = refs.where(wanted & (F.col("role") != "jsx-closing"))
     rows = usages.first_program(rows, ["symbol_id", "symbol", "file", "start"], ["program_rank", "program"])
     rows = _counted_filter(rows, include, exclude, notes)
     roles = {r["role"]: r["n"] for r in usages.role_breakdown(rows).collect()}

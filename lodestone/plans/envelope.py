@@ -40,6 +40,7 @@ class Envelope:
     notes: list[str] = field(default_factory=list)
     freshness: Freshness = field(default_factory=Freshness)
     failure: Failure | None = None
+    complete: bool = True
 
     @property
     def ok(self) -> bool:

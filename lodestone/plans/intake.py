@@ -36,7 +36,7 @@ def decoded(symbol_id: str) -> dict | None:
     return {**m.groupdict(), "line": int(m["line"]), "col": int(m["col"])} if m else None
 
 
-def normalised(args: Mapping, lists: Sequence[str] = ("symbols", "include", "exclude", "files", "targets", "members", "symbol_ids", "kinds"), own: Collection[str] = ()) -> Taken:
+def normalised(args: Mapping, lists: Sequence[str] = ("symbols", "include", "exclude", "files", "targets", "members", "symbol_ids", "kinds", "programs"), own: Collection[str] = ()) -> Taken:
     """Other names replaced (but for those in ``own``, which the operation takes as they are), single
     values of list arguments wrapped, nested arrays flattened; what was changed is said."""
     out = Taken({})
@@ -60,3 +60,43 @@ def log_call(path: str, tool: str, args: Mapping, ok: bool, began: float, cwd: s
     now = time.time()
     with open(path, "a", encoding="utf-8") as f:
         f.write(json.dumps({"ts": int(now * 1000), "durationMs": int((now - began) * 1000), "tool": tool, "ok": ok, "cwd": cwd, "args": dict(args)}, ensure_ascii=False, default=str) + "\n")
+
+
+@dataclass(frozen=True)
+class Config:
+    """Settings of a root: unknown names and wrong kinds are refused, not skipped."""
+
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    locales: str = "/locales?/[^/]+\\.json$"
+    translate: tuple[str, ...] = ("t",)
+    table_rows: int = 100_000
+    result_rows: int = 1_000
+
+
+def config(text: str) -> Config:
+    """The settings of a JSON text; raises ValueError with every fault it has."""
+    try:
+        given = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"not JSON: {e}") from None
+    if not isinstance(given, dict):
+        raise ValueError("an object is wanted")
+    faults, taken = [], {}
+    for key, value in given.items():
+        if key not in Config.__dataclass_fields__:
+            faults.append(f"no setting {key}; there are {', '.join(Config.__dataclass_fields__)}")
+            continue
+        like = getattr(Config(), key)
+        if isinstance(like, tuple):
+            if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
+                faults.append(f"{key} takes a list of texts")
+            value = tuple(value) if isinstance(value, list) else value
+        elif isinstance(like, int) and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
+            faults.append(f"{key} takes a number from 1 on")
+        elif isinstance(like, str) and not isinstance(value, str):
+            faults.append(f"{key} takes a text")
+        taken[key] = value
+    if faults:
+        raise ValueError("; ".join(faults))
+    return Config(**taken)

@@ -88,6 +88,23 @@ def test_other_names_of_arguments(engine):
     assert out.ok and [r["encloser"] for r in out.df.collect()] == ["B"] and "groupBy is taken as group_by" in out.notes
 
 
+def test_lower_bounds_programs_and_members(spark, engine):
+    more = spark.createDataFrame([ref("Input", "q.tsx", 2, "jsx", "Q", program="q"), ref("Input", "r.tsx", 2, "jsx", "R", program="r")], REFS)
+    symbols = engine["symbols"].unionByName(spark.createDataFrame([("id:load", "load", "method", "Store", "s.ts", 3, 1, False, True, True, "t"), ("id:x1", "x", "property", "P", "s.ts", 5, 1, False, False, True, "t"), ("id:x2", "x", "property", "Q", "s.ts", 9, 1, False, False, True, "t")], engine["symbols"].schema))
+    member = spark.createDataFrame([("id:load", "Store.load", *ref("load", "t.ts", 4, "call", "T")[2:])], REFS)
+    e = Engine(spark, {**engine.facts, "refs": engine["refs"].unionByName(member), "refs_other": more, "symbols": symbols}, undiscovered=["q", "r"])
+    out = e.run("find_usages", symbols=["Input"])
+    assert not out.complete and out.notes[0].startswith("!! a lower bound: 2 programs") and out.df.count() == 3
+    out = e.run("find_usages", symbols=["Input"], programs=["q"])
+    assert not out.complete and "1 programs are not loaded: r" in out.notes[0] and out.df.count() == 4
+    assert e.run("find_usages", symbols=["Input"], programs=["q", "r"]).complete and e.run("i18n_lookup").complete and engine.run("find_usages", symbols=["Input"]).complete
+    out = e.run("find_usages", symbols=["load"], file="s.ts")
+    assert "load is taken as the member Store.load" in out.notes and [r["file"] for r in out.df.collect()] == ["t.ts"]
+    failed = e.run("find_usages", symbols=["x"], file="s.ts").failure
+    assert failed.code == "bad_args" and "P.x at line 5" in failed.message and "Q.x at line 9" in failed.message
+    assert "not found: nope" in e.run("find_usages", symbols=["nope"], file="s.ts").notes
+
+
 def test_dominant(spark, engine):
     from pyspark.sql import functions as F
 

@@ -39,3 +39,14 @@ def test_git_tables(spark, tmp_path):
     assert [r[0] for r in git.changed_since(spark, str(tmp_path), "HEAD").collect()] == ["a.ts", "b.ts"]
     assert git.log(spark, str(tmp_path)).first()["subject"] == "first"
     assert [r["line"] for r in git.blame(spark, str(tmp_path), "a.ts").orderBy("line").collect()] == [1, 2]
+
+
+def test_config_is_strict():
+    import pytest
+
+    from lodestone.plans.intake import Config, config
+
+    assert config("{}") == Config() and config('{"include": ["src/**"], "table_rows": 5}') == Config(include=("src/**",), table_rows=5)
+    for text, fault in (('{"includes": []}', "no setting includes"), ('{"include": "x"}', "list of texts"), ('{"table_rows": true}', "number"), ('{"locales": 1}', "a text"), ("[]", "object"), ("{", "not JSON")):
+        with pytest.raises(ValueError, match=fault):
+            config(text)

@@ -117,6 +117,47 @@ def test_widening_counts_strictly_wider_sinks(spark):
     assert rows(graph.widening_verdict(df), "i", "verdict", "confidence", "go") == sorted([(i, *want) for i, (_, *want) in enumerate(cases)], key=repr)
 
 
+def test_roles_by_syntax(spark):
+    from lodestone.operators import classify
+
+    a = lambda *kinds: [{"kind": k.rstrip("!"), "on_name": k.endswith("!")} for k in kinds]
+    cases = [
+        (a("Identifier"), True, False, None, "decl"), (a("Identifier", "ExportSpecifier", "ImportDeclaration"), False, False, None, "reexport"), (a("Identifier", "ImportSpecifier"), False, True, None, "import"),
+        (a("Identifier", "JsxSelfClosingElement!"), False, False, None, "jsx"), (a("Identifier", "JsxAttribute", "JsxOpeningElement"), False, False, None, "read"), (a("Identifier", "JsxClosingElement!"), False, False, None, "jsx-closing"),
+        (a("Identifier", "TypeNode", "CallExpression!"), False, False, None, "type"), (a("Identifier", "CallExpression!"), False, False, None, "call"), (a("Identifier", "CallExpression", "NewExpression!"), False, False, None, "call"),
+        (a("Identifier", "PropertySignature!"), False, False, None, "type"), (a("Identifier", "PropertySignature"), False, True, None, "write"), (a("Identifier"), False, True, "member-read", "read"), (a("Identifier"), False, True, "local-write", "write"), (a(), False, False, None, "read"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a array<struct<kind:string,on_name:boolean>>, d boolean, w boolean, m string, want string")
+    assert df.withColumn("got", classify.role(F.col("a"), F.col("d"), F.col("w"), F.col("m"))).where("not (got <=> want)").collect() == []
+    assert df.select(classify.role(F.col("a"), F.col("d"), F.col("w"), None, F.lit(True)).alias("r")).distinct().collect()[0]["r"] == "decl"
+
+
+def test_query_registries(spark):
+    from lodestone.operators import classify
+
+    shape = "struct<kind:string,value:string,elements:array<struct<kind:string,value:string>>>"
+    v = lambda k, x=None, e=None: {"kind": k, "value": x, "elements": e}
+    el = lambda *xs: [{"kind": k, "value": x} for k, x in xs]
+    p = lambda *xs: [{"name": n, "kind": k, "value": x} for n, k, x in xs]
+    calls = [
+        (1, None, "useQuery", "Todos", "a", 1, v("array", None, el(("string", "todos"), ("number", "1"))), None), (2, None, "useInfiniteQuery", "More", "a", 2, v("array", None, el(("string", "todos"), ("identifier", None))), None),
+        (3, None, "useQuery", "One", "a", 3, v("string", "one"), None), (4, None, "useQuery", "Made", "a", 4, v("call"), None), (5, None, "useQuery", "None", "a", 5, None, None),
+        (10, None, "useMutation", "Save", "b", 1, None, None), (11, 10, "onSuccess", None, "b", 2, None, None), (12, 11, "invalidateQueries", None, "b", 3, v("array", None, el(("string", "todos"))), p(("queryKey", "array", None))),
+        (13, 11, "refetchQueries", None, "b", 4, None, None), (14, 11, "removeQueries", None, "b", 5, v("string", "one"), p(("queryKey", "string", "one"), ("exact", "boolean", "true"))),
+        (15, 11, "invalidateQueries", None, "b", 6, v("string", "one"), p(("queryKey", "string", "one"), ("predicate", "function", None))), (16, 11, "invalidateQueries", None, "b", 7, None, p(("exact", "identifier", None))),
+        (20, None, "invalidateQueries", None, "c", 1, v("string", "one"), None),
+    ]
+    df = spark.createDataFrame(calls, f"id long, parent long, callee string, host string, file string, line int, key {shape}, props array<struct<name:string,kind:string,value:string>>")
+    queries, mutations, edges = classify.query_registries(df)
+    assert [(r["id"], [(s["kind"], s["value"]) for s in r["segments"] or []], r["opaque"], r["confidence"]) for r in queries.orderBy("id").collect()] == [
+        (1, [("static", "todos"), ("static", "1")], None, "certain"), (2, [("static", "todos"), ("dynamic", None)], None, "partial"), (3, [("static", "one")], None, "certain"), (4, [], "call", "dynamic"), (5, [], None, "unresolved"),
+    ]
+    assert rows(mutations, "id", "host") == [(10, "Save")]
+    assert rows(edges, "id", "mutation_id", "method", "is_all", "is_exact", "narrowed") == [
+        (12, 10, "invalidateQueries", False, False, False), (13, 10, "refetchQueries", True, False, False), (14, 10, "removeQueries", False, True, False), (15, 10, "invalidateQueries", False, False, True), (16, 10, "invalidateQueries", True, False, True),
+    ]
+
+
 def test_trace_and_owner(spark):
     edges = spark.createDataFrame([("save", "todos", "certain")], "mutation string, key string, confidence string")
     affects = spark.createDataFrame([("todos", "useTodos", "certain"), ("other", "q", "certain")], "key string, query string, confidence string")
