@@ -127,7 +127,10 @@ def trace_invalidation(edges: DataFrame, affects: DataFrame, hosts: DataFrame, m
 
 def trace_prop(passes: DataFrame, seed: DataFrame, depth: int = 12, nodes: int = 300) -> tuple[DataFrame, Closure]:
     """A prop through the component tree. passes: component, prop, child, child_prop, how (explicit,
-    renamed, spread, derived). A spread or derived pass is reported and not followed."""
+    renamed, spread, derived); of several ways into one child prop the first of these counts. A spread
+    or derived pass is reported and not followed."""
+    order = F.when(F.col("how") == "explicit", 0).when(F.col("how") == "renamed", 1).when(F.col("how") == "spread", 2).otherwise(3)
+    passes = passes.groupBy("component", "prop", "child", "child_prop").agg(F.min_by("how", order).alias("how"))
     node = lambda a, b: F.concat_ws("#", a, b)
     rows = passes.withColumn("src", node("component", "prop")).withColumn("dst", node("child", "child_prop"))
     found = closure(rows.where("how in ('explicit', 'renamed')"), seed.select(node("component", "prop").alias("node")), depth, nodes)

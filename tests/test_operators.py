@@ -167,7 +167,7 @@ def test_trace_and_owner(spark):
     assert [r[1] for r in rows(out, "from", "relation", "to")] == ["mounted-at", "invalidates", "affects", "in"] or out.count() == 4
     calls = spark.createDataFrame([(1, None, True), (2, 1, False), (3, 2, False), (4, None, False)], "id long, parent long, marked boolean")
     assert rows(graph.owner(calls)) == [(1, None), (2, 1), (3, 1), (4, None)]
-    passes = spark.createDataFrame([("A", "x", "B", "y", "explicit"), ("B", "y", "C", "z", "spread"), ("C", "z", "D", "w", "explicit")], "component string, prop string, child string, child_prop string, how string")
+    passes = spark.createDataFrame([("A", "x", "B", "y", "explicit"), ("A", "x", "B", "y", "spread"), ("B", "y", "C", "z", "spread"), ("B", "y", "C", "z", "derived"), ("C", "z", "D", "w", "explicit")], "component string, prop string, child string, child_prop string, how string")
     hops, _ = graph.trace_prop(passes, spark.createDataFrame([("A", "x")], "component string, prop string"))
     assert rows(hops, "from", "relation", "to") == [("A#x", "passes", "B#y"), ("B#y", "spreads", "C#z")]
 
