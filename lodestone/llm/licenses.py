@@ -354,14 +354,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         for label, priority, score, word, x in rules()
     ])
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    lower = F.lower(whole)
-    gate = F.lit(False)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # Lower-cased once, in a projection of its own: the gate asks it many times.
+    docs, columns = docs.select(row.alias("_row"), whole.alias("_whole"), F.lower(whole).alias("_lower")), docs.columns
+    whole, lower, gate = F.col("_whole"), F.col("_lower"), F.lit(False)
     for x in GATE:
         gate = gate | F.contains(lower, F.lit(x))
     # Only texts that pass the gate are split into words; the others have no detection.
     words = F.when(gate, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(whole, _UPPER, _LOWER), _GAPS, " ")), F.lit(" ")))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    step = docs.select(row.alias("_row"), F.struct(F.regexp_count(whole, F.lit(_WORDS)).cast("long").alias("n"), words.alias("words")).alias("_scan"))
+    step = docs.select("_row", F.struct(F.regexp_count(whole, F.lit(_WORDS)).cast("long").alias("n"), words.alias("words")).alias("_scan"))
     n, words = F.col("_scan.n"), F.col("_scan.words")
     bases = []
     for phrase, label in BASE:
@@ -381,7 +382,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array_sort(F.array_union(base_labels, F.coalesce(F.col("_hits.rules.labels"), none))).alias("labels"),
         F.greatest(F.coalesce(F.col("_hits.rules.score"), F.lit(0.0)), F.when(F.size(base) > 0, 0.95).otherwise(0.0)).alias("score"),
     )
-    return step.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c != "found"], found.alias("found"))
+    return step.select(*[F.col("_row").getField(c).alias(c) for c in columns if c != "found"], found.alias("found"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
