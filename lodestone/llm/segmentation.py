@@ -59,6 +59,7 @@ class Segmenter:
         signs = re.escape("".join(c for c in string.punctuation + "\n" if c not in joined))
         self.chunk = re.compile(f"{BLANK}*[^\\W\\d_]+(?=[{signs}{BLANK}]|$)|{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.texts = [p.replace(BLANK, " ") for p in self.pieces]
+        self.raw = [bytes([self.bytes_of[i]]) if i in self.bytes_of else x.encode("utf-8", "surrogatepass") for i, x in enumerate(self.texts)]
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.lists: dict[str, list] = {}
@@ -185,16 +186,19 @@ class Segmenter:
         """The ``n`` best segmentations of a whole text: (score, ids as unsigned 32-bit bytes), best
         first; fewer if there are no more; one without pieces for a null or empty text."""
         chunks = self.chunks(text or "")
-        firsts = [self.chunk_best(c) for c in chunks]
-        total = float(sum(x[0] for x in firsts))
+        firsts, i = list(map(self.young.get, chunks)), -1
+        for _ in range(firsts.count(None)):
+            i = firsts.index(None, i + 1)
+            firsts[i] = self.chunk_best(chunks[i])
+        scores, costs, pieces = zip(*firsts) if firsts else ((), (), ())
+        total = float(sum(scores))
         results: list[tuple[float, dict]] = [(0.0, {})]
-        costs = [x[1] for x in firsts]
         for at in sorted(heapq.nsmallest(n - 1, range(len(costs)), key=costs.__getitem__)):
             some = self.chunk_list(chunks[at], n)
             merged = [(cost + some[0][0] - s, r | {at: ids} if k else r) for cost, r in results for k, (s, ids) in enumerate(some)]
             results = sorted(merged, key=lambda x: x[0])[:n]
-        whole = b"".join([x[2] for x in firsts])
-        ends = [0, *accumulate(len(x[2]) for x in firsts)] if len(results) > 1 else []
+        whole = b"".join(pieces)
+        ends = [0, *accumulate(map(len, pieces))] if len(results) > 1 else []
         out = []
         for cost, changed in results:
             parts, at = [], 0
@@ -212,8 +216,7 @@ class Segmenter:
             return ""
         if min(seq) >= self.first_plain:
             return "".join(map(self.texts.__getitem__, seq))[1:]
-        raw = b"".join(bytes([self.bytes_of[i]]) if i in self.bytes_of else self.texts[i].encode("utf-8", "surrogatepass") for i in seq)
-        return raw.decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, seq)).decode("utf-8", "replace")[1:]
 
 
 def segmenter(path: str) -> Segmenter:
