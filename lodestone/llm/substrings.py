@@ -442,7 +442,8 @@ def paths(on: DataFrame, window: int, parts: np.ndarray) -> DataFrame:
     """(row_key, start, n, digest): the compacted paths of rows (row_key, text, known), in words from 0.
 
     A node branches if its occurrences on repeated edges differ in the edge they come by or the edge
-    they leave by; the end of a repeated stretch counts as a difference. Ways are combined in each
+    they leave by; the end of a repeated stretch counts as a difference. Ways are compared by 32 bits of
+    their hash, so one branching node in 4 billion is missed. Ways are combined in each
     task, so a passage that very many documents share is one entry of each. Where paths are cut
     reaches the tasks as a filter of bounded size; see node_filter.
     """
