@@ -56,35 +56,39 @@ def _marked(batches):
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "fails", "text_key"])
 
 
-def _counted(batches):
+def _counted(most: int):
     """Partial arrays: for each part met, documents by label class, order and removing step."""
     table, wide = first_failures(), len(FILTERS) + 1
     size = 4 * len(ORDERS) * wide
     cells = np.arange(len(ORDERS)) * wide + table  # by failure set and order
-    sums: dict[str, np.ndarray] = {}
 
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
-
-    for b in batches:
-        parts = b.column(0).dictionary_encode()
-        codes = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        fails, label = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
-        # Equal documents first: those of one part, label class and failure set count as one, weighted.
-        met, times = np.unique((codes * 4 + label) * 32 + fails, return_counts=True)
-        owner, label, fails = met // 128, met // 32 % 4, met % 32
-        at = label[:, None] * (len(ORDERS) * wide) + cells[fails]
-        bounds = np.searchsorted(owner, np.arange(len(parts.dictionary) + 1))
-        for k, part in enumerate(parts.dictionary.to_pylist()):
-            own = slice(bounds[k], bounds[k + 1])
-            weights = np.repeat(times[own], len(ORDERS))
-            counts = np.bincount(at[own].ravel(), weights, size).astype(np.int64)
-            sums[part] = sums[part] + counts if part in sums else counts
-        if len(sums) >= PARTS:
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+        for b in batches:
+            parts = b.column(0).dictionary_encode()
+            codes = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            fails, label = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            # Equal documents first: those of one part, label class and failure set count as one, weighted.
+            met, times = np.unique((codes * 4 + label) * 32 + fails, return_counts=True)
+            owner, label, fails = met // 128, met // 32 % 4, met % 32
+            at = label[:, None] * (len(ORDERS) * wide) + cells[fails]
+            bounds = np.searchsorted(owner, np.arange(len(parts.dictionary) + 1))
+            for k, part in enumerate(parts.dictionary.to_pylist()):
+                own = slice(bounds[k], bounds[k + 1])
+                weights = np.repeat(times[own], len(ORDERS))
+                counts = np.bincount(at[own].ravel(), weights, size).astype(np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+            if len(sums) >= most:
+                yield batch()
+                sums.clear()
+        if sums:
             yield batch()
-            sums.clear()
-    if sums:
-        yield batch()
+
+    return run
 
 
 _ROWS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
@@ -137,7 +141,7 @@ def failures(docs: DataFrame) -> DataFrame:
     return marked.join(least, "text_key", "left").select("doc_id", "part", F.col("fails").bitwiseOR(copied * 16).alias("fails"))
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, parts: int = PARTS) -> DataFrame:
     """What each of the filters of ``failures`` removes at each step of each of their 120 orders, by part.
 
     One row per part, order and step, zeros included; see _ROWS. ``labels`` (doc_id, quality, toxic):
@@ -148,7 +152,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     flag = lambda name: F.max(F.coalesce(F.col(name) == 1, F.lit(False)).cast("int"))
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((flag("quality") * 2 + flag("toxic")).alias("label")).where("label > 0")
     known = failures(docs).join(labels, "doc_id", "left").select("part", "fails", F.coalesce("label", F.lit(0)).alias("label"))
-    sums = known.mapInArrow(_counted, "part string, counts binary")
+    sums = known.mapInArrow(_counted(parts), "part string, counts binary")
     return sums.repartition("part").sortWithinPartitions("part").mapInArrow(_reported, _ROWS)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import audio, audit, bestfit, langid, licenses, packing, segmentation, simhash, substrings, surrogates, topk, toxicity
+from lodestone.llm import audio, audit, bestfit, langid, licenses, packing, segmentation, simhash, substrings, surrogates, topk, toxicity, trie
 
 
 def queries():
@@ -17,10 +17,11 @@ def queries():
         "op8_segmentation": segmentation.op8_segmentation,
         "op9_substrings": substrings.op9_substrings,
         "op10_audio": audio.op10_audio,
+        "op11_trie": trie.op11_trie,
         "op12_bestfit": bestfit.op12_bestfit,
         "op13_filters": audit.op13_filters,
     }
 
 
 def oracle_sql():
-    return {"op4_topk": topk.SQL, "op9_substrings": substrings.SQL, "op13_filters": audit.SQL}
+    return {"op4_topk": topk.SQL, "op9_substrings": substrings.SQL, "op11_trie": trie.SQL, "op13_filters": audit.SQL}

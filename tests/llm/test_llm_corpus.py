@@ -1,6 +1,8 @@
 """Whole-document packing, filter audit and conversation trie against plain versions."""
 
+import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -9,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import audit, bestfit, wordids
+from lodestone.llm import audit, bestfit, trie, wordids
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -139,7 +141,7 @@ def plain_audit(docs, labels):
     return {k: tuple(x) for k, x in out.items()}
 
 
-def test_audit_against_plain_version(spark, monkeypatch):
+def test_audit_against_plain_version(spark):
     rng = np.random.default_rng(6)
     words = ["alpha", "Beta", "b", "c$", "d", "é", "\x1c", "X|Y"]
     texts = [None, "", "", " \t\n", "A", "é" * 300, "a\x1cb " * 150, "same " * 250, "C" * 5]
@@ -153,8 +155,7 @@ def test_audit_against_plain_version(spark, monkeypatch):
     known = spark.createDataFrame([(*x, "clash") for x in labels], "doc_id long, quality int, toxic int, label string")
     want = plain_audit(docs, labels)
     for parts in (1024, 1):
-        monkeypatch.setattr(audit, "PARTS", parts)
-        got = {tuple(r)[:3]: tuple(r)[3:] for r in audit.audit(df, known).collect()}
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in audit.audit(df, known, parts).collect()}
         assert got == want and len(got) == 600 * len({p or "" for _, _, p in docs})
     assert audit.audit(df.limit(0), known).count() == 0
     assert {tuple(r)[:3]: tuple(r)[3:] for r in audit.audit(df, known.limit(0)).collect()} == plain_audit(docs, [])
@@ -164,3 +165,75 @@ def test_first_failures_table():
     table = audit.first_failures()
     assert table.shape == (32, 120) and (table[0] == 5).all() and (np.sort(table[31]) == 0).all()
     assert table[0b00101, audit.ORDERS.index("BCADE")] == 1
+
+
+def plain_trie(rows):
+    """(Every prefix of every rebuilt conversation in a dictionary.)"""
+    own = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            digest = hashlib.sha256(f"{len(r)}:{r}{x}".encode()).digest()[:16]
+            own.setdefault(c, []).append(((t is not None, t or 0, r.encode(), x[:16].encode(), digest), (r, x)))
+    own = {c: [y for _, y in sorted(v, key=lambda z: z[0])] for c, v in own.items()}
+    built = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + v[h:]
+    members, kids, leaves, saved = {}, {}, {}, {}
+    for c, v in built.items():
+        for d in range(len(v) + 1):
+            members.setdefault(tuple(v[:d]), []).append(c)
+    for k in members:
+        if k:
+            kids.setdefault(k[:-1], []).append(k)
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in kids.get(k, [])) or 1
+        saved[k] = sum(saved[x] for x in kids.get(k, [])) + ((len(members[k]) - 1) * len(k[-1][1]) if k else 0)
+    out = []
+    for k, m in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in m if len(built[c]) == len(k)))
+        out.append((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(kids.get(k, [])), leaves[k], saved[k], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: r[:2])
+
+
+def talks(rng, n, letters, longest):
+    rows = []
+    for c in rng.choice(np.arange(-250, 900), n, replace=False).tolist():
+        for t in range(int(rng.integers(1, longest))):
+            rows.append((c, t, ["user", "system", None][int(rng.integers(0, 3)) if t % 5 == 4 else 0], letters[int(rng.integers(0, len(letters)))]))
+    return rows
+
+
+def trie_of(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "conv_id long, turn long, role string, text string, depth string, a int").repartition(7)
+    return sorted((tuple(r) for r in trie.prefix_trie(df, **options).collect()), key=lambda r: r[:2])
+
+
+@pytest.fixture
+def torn(spark):
+    """Many partitions, none put together again: conversations, segments, nodes and groups are cut."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed, letters, longest, segment", [(1, ["a"], 40, 3), (2, ["a", "bé"], 9, 64), (3, ["a", "b", None], 30, 4), (4, ["x"] * 9 + ["y"], 70, 5)])
+def test_trie_in_torn_partitions(torn, seed, letters, longest, segment):
+    rng = np.random.default_rng(seed)
+    rows = talks(rng, 120, letters, longest)
+    rows += [(c, t, "user", "same") for c in range(1000, 1150) for t in range(3)] + [(1200, t, "u", "long" * (t % 7)) for t in range(400)]
+    assert trie_of(torn, rows, segment=segment, block=7) == plain_trie(rows)
+
+
+def test_trie_edges(spark):
+    assert trie_of(spark, []) == [] and trie_of(spark, [(None, 1, "user", "x")]) == []
+    odd = [(7, None, None, None), (7, None, "b", ""), (7, 3, "a", "é\U0001f600"), (7, 3, "a", "é\U0001f600"), (7, 3, "a", "z" * 20 + "1"), (7, 3, "a", "z" * 20 + "2")]
+    rows = odd + [(100, None, "a", "q" * 50_000), (101, 5, "a", "q")] + [(c, 0, "", "") for c in (-1, -100, -150)] + [(None, 0, "a", "b")] + [(300, t, "u", "t") for t in range(65)]
+    assert trie_of(spark, rows) == plain_trie(rows)
+    # A conversation whose base is absent and which has no turn beyond its first h: only the root has it.
+    c = next(c for c in range(501, 600) if zlib.crc32(str(c).encode()) % 6 > 1)
+    assert trie_of(spark, [(c, 0, "u", "x")]) == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
