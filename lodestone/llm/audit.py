@@ -135,8 +135,10 @@ def failures(docs: DataFrame) -> DataFrame:
     """
     columns = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text")
     marked = written(docs.select(*columns).mapInArrow(_marked, _MARKED), scratch(docs.sparkSession, "marked"))
-    # Only texts that several doc_ids have go into the join; its key may be a hot text, which adaptive execution splits.
+    # Only texts that several doc_ids have go into the join. They are written first: a join of two plain
+    # exchanges is one whose hot text adaptive execution splits.
     least = marked.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = written(least.select("text_key", "least"), scratch(docs.sparkSession, "copied"))
     copied = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).cast("int")
     return marked.join(least, "text_key", "left").select("doc_id", "part", F.col("fails").bitwiseOR(copied * 16).alias("fails"))
 
@@ -151,6 +153,7 @@ def audit(docs: DataFrame, labels: DataFrame, parts: int = PARTS) -> DataFrame:
     """
     flag = lambda name: F.max(F.coalesce(F.col(name) == 1, F.lit(False)).cast("int"))
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((flag("quality") * 2 + flag("toxic")).alias("label")).where("label > 0")
+    labels = written(labels, scratch(docs.sparkSession, "labels"))
     known = failures(docs).join(labels, "doc_id", "left").select("part", "fails", F.coalesce("label", F.lit(0)).alias("label"))
     sums = known.mapInArrow(_counted(parts), "part string, counts binary")
     return sums.repartition("part").sortWithinPartitions("part").mapInArrow(_reported, _ROWS)
