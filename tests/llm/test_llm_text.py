@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -836,6 +837,36 @@ def test_nbest_against_all_paths(pieces):
         assert all(pieces.decode(i) == text for _, i in got), text
 
 
+@pytest.mark.parametrize("length", [100, 400, 1000])
+def test_runs_of_one_character_end(pieces, length):
+    signs = [*map(chr, range(33, 127)), "\n", "\t", "é", "漢"]
+    for c in [" ", *signs]:
+        for text in (c * length, "Title " + c * length, f"some prose, and {c * length} more prose"):
+            began = time.process_time()
+            got = pieces.nbest(text)
+            assert time.process_time() - began < 5 and 1 <= len(got) <= 4
+            assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True) and len({i for _, i in got}) == len(got)
+            assert all(pieces.decode(i) == text for _, i in got)
+
+
+def test_long_runs_end(pieces):
+    for c in " -.a=f\n":
+        began = time.process_time()
+        got = pieces.nbest(f"prose {c * 100_000} prose")
+        assert time.process_time() - began < 20 and len(got) == 4, c
+
+
+def test_nbest_of_a_run_against_dynamic_program(pieces):
+    """The four best scores by keeping the four best of every prefix."""
+    for text in ("-" * 300, "a" * 300, "prose " + "." * 150 + " x", " " * 260):
+        shown = segmentation.BLANK + text.replace(" ", segmentation.BLANK)
+        best = [[0.0]] + [[] for _ in shown]
+        for at in range(len(shown)):
+            for end, s, _ in pieces._edges(shown, at):
+                best[end] = sorted(best[end] + [x + s for x in best[at]], reverse=True)[:4]
+        assert [s for s, _ in pieces.nbest(text)] == best[-1]
+
+
 def test_segmentation_edges(spark, pieces):
     import public_tokenizers
 
