@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import kept
 from lodestone.functions.storage import materialised
+from lodestone.operators.walks import Chain, Walk, dependents, dependents_walk, typed_walk
 
 
 @dataclass
@@ -38,12 +39,11 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, nodes: int | None =
             left = step.count()
             capped = "depth" if left else capped
             break
-        if nodes is not None:
-            size = step.count()
-            if have + size > nodes:
-                step, capped, left = step.orderBy("node").limit(nodes - have), "nodes", have + size - nodes
         frontier = materialised(step.withColumn("depth", F.lit(level)))
         size = frontier.count()
+        if nodes is not None and have + size > nodes:
+            capped, left = "nodes", have + size - nodes
+            frontier, size = materialised(frontier.orderBy("node").limit(nodes - have)), nodes - have
         have += size
         seen = materialised(seen.unionByName(frontier)) if level % 4 == 0 else seen.unionByName(frontier)
         if not size or capped:
@@ -55,11 +55,10 @@ def by_depth(found: DataFrame) -> DataFrame:
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def impact(refs: DataFrame, seeds: DataFrame, depth: int = 3, nodes: int = 200) -> Closure:
+def impact(refs: DataFrame, seeds: DataFrame, depth: int = 3, nodes: int | None = 200, fan_out: int | None = None, callables: DataFrame | None = None) -> Walk:
     """What depends on the seeds: enclosers of references to them, then of references to those.
-    refs: symbol_id, encloser_id, role; pure declarations are no dependence."""
-    edges = refs.where("role <> 'decl' and encloser_id is not null").select(F.col("symbol_id").alias("src"), F.col("encloser_id").alias("dst"))
-    return closure(edges, seeds, depth, nodes)
+    refs: symbol_id, encloser_id, role, and maybe encloser_kind; pure declarations are no dependence."""
+    return dependents_walk(dependents(refs), seeds, depth, nodes, fan_out, callables)
 
 
 # Names of test files.
@@ -108,37 +107,64 @@ def hops(*parts: DataFrame) -> DataFrame:
     return every.groupBy("from", "relation", "to").agg(first).select("from", "relation", "to", *[F.col(f"_f.{c}").alias(c) for c in rest])
 
 
-def trace_invalidation(edges: DataFrame, affects: DataFrame, hosts: DataFrame, mounts: DataFrame) -> DataFrame:
-    """mutation -invalidates-> key -affects-> query -in-> host -mounted-at / used-by-> site.
+def trace_invalidation(edges: DataFrame, affects: DataFrame, hosts: DataFrame, mounts: DataFrame, uses: DataFrame | None = None, depth: int = 12, limit: int = 50) -> DataFrame:
+    return invalidation_trace(edges, affects, hosts, mounts, uses, depth, limit)[0]
 
-    edges: mutation, key, confidence; affects: key, query, confidence; hosts: query, host, kind;
-    mounts: host, site."""
-    def hop(df, a, relation, b, seq, confidence="certain"):
-        return df.select(F.col(a).alias("from"), F.lit(relation).alias("relation"), F.col(b).alias("to"), F.lit(None).cast("string").alias("to_loc"), (F.col("confidence") if confidence is None else F.lit(confidence)).alias("confidence"), F.lit("heuristic:react-query").alias("provenance"), F.lit(None).cast("string").alias("note"), F.lit(seq).alias("seq"))
+
+def invalidation_trace(edges: DataFrame, affects: DataFrame, hosts: DataFrame, mounts: DataFrame, uses: DataFrame | None = None, depth: int = 12, limit: int = 50) -> tuple[DataFrame, DataFrame, bool]:
+    """mutation -invalidates-> key -affects-> query -in-> host; a component is mounted-at its sites, a
+    hook is used-by others, which are components or hooks again, and so on until components.
+
+    edges: mutation, key, confidence; affects: key, query, confidence; hosts: query, host, kind
+    (component, hook, or what is neither and leads no further); mounts: host, site; uses: host (a hook),
+    user, kind, and maybe order, at most ``limit`` for each hook. Without ``uses`` the mounts of a
+    hook are its users. Sites are places, not hosts: what renders anew are the components. Gives the
+    hops, notes (node, note: cut chains, hooks without users, components without mounts, hosts that are
+    neither) and whether anything was cut.
+    """
+    def hop(df, a, relation, b, seq, confidence="certain", provenance="heuristic:react-query"):
+        return df.select(F.col(a).alias("from"), F.lit(relation).alias("relation"), F.col(b).alias("to"), F.lit(None).cast("string").alias("to_loc"), (F.col("confidence") if confidence is None else F.lit(confidence)).alias("confidence"), F.lit(provenance).alias("provenance"), F.lit(None).cast("string").alias("note"), F.lit(seq).alias("seq"))
 
     reached = edges.select("mutation", "key").join(affects.select("key", "query").distinct(), "key").select("query").distinct()
     mine = hosts.join(reached, "query", "left_semi")
-    ends = mounts.join(mine.select("host", "kind").distinct(), "host")
-    return hops(
-        hop(edges, "mutation", "invalidates", "key", 0, None), hop(affects.join(edges.select("key"), "key", "left_semi"), "key", "affects", "query", 1, None), hop(mine, "query", "in", "host", 2),
-        hop(ends.where("kind = 'component'"), "host", "mounted-at", "site", 3), hop(ends.where("kind <> 'component'"), "host", "used-by", "site", 3),
+    head = [hop(edges, "mutation", "invalidates", "key", 0, None), hop(affects.join(edges.select("key"), "key", "left_semi"), "key", "affects", "query", 1, None), hop(mine, "query", "in", "host", 2)]
+    if uses is None:
+        ends = mounts.join(mine.select("host", "kind").distinct(), "host")
+        found = hops(*head, hop(ends.where("kind = 'component'"), "host", "mounted-at", "site", 3), hop(ends.where("kind <> 'component'"), "host", "used-by", "site", 3))
+        return found, mine.limit(0).select(F.col("host").alias("node"), F.lit("").alias("note")), False
+    flow = uses.select(F.col("host").alias("src"), F.col("user").alias("dst"), "kind", F.lit("certain").alias("confidence"), *[c for c in ("order",) if c in uses.columns])
+    chain = typed_walk(mine.select(F.col("host").alias("node"), "kind"), flow, F.col("kind") == "hook", "used-by", depth, limit, "no users found")
+    used = chain.hops.select("from", "relation", "to", "confidence", (F.col("depth") + 2).alias("seq")).withColumns({"to_loc": F.lit(None).cast("string"), "provenance": F.lit("type"), "note": F.lit(None).cast("string")})
+    shown = chain.nodes.where("kind = 'component'").select(F.col("node").alias("host"))
+    placed = mounts.join(shown, "host", "left_semi")
+    found = hops(*head, used, hop(placed, "host", "mounted-at", "site", 1000, provenance="syntactic"))
+    bare = shown.join(mounts.select("host"), "host", "left_anti").select(F.col("host").alias("node"), F.lit("no static mount site").alias("note"))
+    neither = chain.nodes.where("kind not in ('component', 'hook')").select("node", F.lit("neither a component nor a hook").alias("note"))
+    return found, chain.notes.unionByName(bare).unionByName(neither), chain.truncated
+
+
+def prop_trace(passes: DataFrame, seed: DataFrame, depth: int = 12, limit: int | None = 300) -> Chain:
+    """A prop through the component tree. passes: component, prop, child, child_prop, how (explicit,
+    renamed, spread, derived), and maybe child_kind (what is no component is a sink). Of several ways
+    into one child the plainest counts: under one name, under another, by a spread, in an expression.
+    A spread or derived pass is a hop that leads no further, as the prop's name or value is not known
+    behind it. At most ``limit`` passes of one component are followed."""
+    how = F.when(F.col("how") == "explicit", F.when(F.col("child_prop") == F.col("prop"), 0).otherwise(1)).when(F.col("how") == "renamed", 1).when(F.col("how") == "spread", 2).otherwise(3)
+    kind = F.col("child_kind") if "child_kind" in passes.columns else F.lit("component")
+    passes = passes.withColumns({"_way": how, "_kind": kind}).groupBy("component", "prop", "child", "child_prop").agg(F.min(F.struct("_way", "how", "_kind")).alias("_w"))
+    node = lambda a, b: F.concat_ws("#", a, b)
+    edges = passes.select(
+        node("component", "prop").alias("src"), node("child", "child_prop").alias("dst"), F.col("_w._kind").alias("kind"),
+        F.when(F.col("_w.how") == "explicit", "partial").otherwise("dynamic").alias("confidence"), F.col("_w.how").alias("note"), F.col("_w.how").isin("explicit", "renamed").alias("go"), F.col("_w._way").cast("long").alias("order"),
     )
+    relation = F.when(F.col("note") == "explicit", "passes").when(F.col("note") == "renamed", "renames").when(F.col("note") == "spread", "spreads").otherwise("derives")
+    start = seed.select(node("component", "prop").alias("node"), F.lit("component").alias("kind"))
+    return typed_walk(start, edges, F.col("kind") == "component", relation, depth, limit, None)
 
 
-def trace_prop(passes: DataFrame, seed: DataFrame, depth: int = 12, nodes: int = 300) -> tuple[DataFrame, Closure]:
-    """A prop through the component tree. passes: component, prop, child, child_prop, how (explicit,
-    renamed, spread, derived); of several ways into one child prop the first of these counts. A spread
-    or derived pass is reported and not followed."""
-    order = F.when(F.col("how") == "explicit", 0).when(F.col("how") == "renamed", 1).when(F.col("how") == "spread", 2).otherwise(3)
-    passes = passes.groupBy("component", "prop", "child", "child_prop").agg(F.min_by("how", order).alias("how"))
-    node = lambda a, b: F.concat_ws("#", a, b)
-    rows = passes.withColumn("src", node("component", "prop")).withColumn("dst", node("child", "child_prop"))
-    found = closure(rows.where("how in ('explicit', 'renamed')"), seed.select(node("component", "prop").alias("node")), depth, nodes)
-    on_way = found.nodes.select("node").unionByName(seed.select(node("component", "prop").alias("node"))).distinct()
-    relation = F.when(F.col("how") == "explicit", "passes").when(F.col("how") == "renamed", "renames").when(F.col("how") == "spread", "spreads").otherwise("derives")
-    confidence = F.when(F.col("how") == "explicit", "partial").otherwise("dynamic")
-    out = rows.join(on_way, rows["src"] == on_way["node"], "left_semi").select(F.col("src").alias("from"), relation.alias("relation"), F.col("dst").alias("to"), confidence.alias("confidence")).distinct()
-    return out, found
+def trace_prop(passes: DataFrame, seed: DataFrame, depth: int = 12, nodes: int | None = 300) -> tuple[DataFrame, Chain]:
+    chain = prop_trace(passes, seed, depth, nodes)
+    return chain.hops.select("from", "relation", "to", "confidence").distinct(), chain
 
 
 def trace_field(reads: DataFrame) -> DataFrame:

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import kept
 from lodestone.functions.values import key_match, template_head
-from lodestone.operators import cascade, catalogue, changes, dead, facts as types, graph, usages
+from lodestone.operators import cascade, catalogue, changes, dead, facts as types, graph, modules, usages
 from lodestone.plans.envelope import Envelope, Failure, cap_list
 from lodestone.plans.intake import normalised
 from lodestone.plans.sqlbatch import BatchResult, Request, first_line, run_batch
 
+# Kinds of symbols that are called or constructed.
+CALLABLE_KINDS = ("function", "local function", "method", "class", "constructor")
+
 # The columns of every operation's table (i: int, others text).
 TABLES = {
     "search_symbol": "id name kind container file line:i col:i confidence",
@@ -123,19 +126,23 @@ class Engine:
 
 
 def cross_root_sql(requests: Sequence[tuple[Engine, str, str | None, dict]], sql: str, **bounds) -> BatchResult:
-    """Producers of several engines under one SELECT, in one plan."""
+    """Producers of several engines under one SELECT, in one plan. With more than one root each table has
+    a last column ``root``."""
+    several = len({e.root for e, *_ in requests}) > 1
+
     def produce(e: Engine, name: str, args: dict):
         def go() -> Envelope:
-            if name in OPS and OPS[name].table is None:
-                raise ValueError(f"{name} has no table")
             got = e.run(name, **{k: v for k, v in args.items() if k != "limit"})
             if not got.ok:
                 raise ValueError(got.failure.message)
+            if several:
+                got.df = got.df.withColumn("root", F.lit(e.root))
             return got
 
         return go
 
-    return run_batch(requests[0][0].spark, [Request(n, produce(e, n, args), alias) for e, n, alias, args in requests], sql, **bounds)
+    tabular = lambda n: n not in OPS or OPS[n].table is not None
+    return run_batch(requests[0][0].spark, [Request(n, produce(e, n, args), alias, tabular(n)) for e, n, alias, args in requests], sql, **bounds)
 
 
 def _counted_filter(df: DataFrame, include: Sequence[str], exclude: Sequence[str], notes: list[str]) -> DataFrame:
@@ -243,9 +250,7 @@ def importers_of(e, module, subtree=False):
 @op("find_unused_exports", "symbols", "refs")
 def find_unused_exports(e, include=(), exclude=()):
     notes: list[str] = ["entry points appear by design"]
-    real = e["refs"].where("role not in ('decl', 'reexport')").select(F.col("symbol_id").alias("id"))
-    reexported = e["refs"].where("role = 'reexport'").select(F.col("symbol_id").alias("id")).distinct().withColumn("_re", F.lit(True))
-    left = dead.unused(e["symbols"].where("exported").join(reexported, "id", "left"), real, ["id"], (F.coalesce("_re", F.lit(False)), "partial"))
+    left = modules.unused_exports(e["symbols"], e["refs"], e.facts.get("imports"), e.facts.get("exports"), e.undiscovered)
     return Envelope(_counted_filter(left.withColumn("symbol", F.col("id")), include, exclude, notes), notes=notes)
 
 
@@ -274,14 +279,20 @@ def find_unused_scss_classes(e, include=(), exclude=()):
 
 
 @op("css_cascade", "css_rules", "css_decls")
-def css_cascade(e, css_class, include=(), exclude=()):
+def css_cascade(e, css_class, file=None, include=(), exclude=()):
+    """The winning declaration of each property of a class. ``file``: the sheet that owns the class (without
+    it, the only sheet that has it); classes of one name in other sheets are other classes."""
     notes: list[str] = []
     rules = _counted_filter(e["css_rules"].where(F.array_contains("subject_classes", css_class)), include, exclude, notes)
-    decls = e["css_decls"].join(rules.select("file", "rule_ix", "selector", "a", "b", "c", "interpolated"), ["file", "rule_ix"])
-    won = cascade.winners(decls.withColumn("value", F.struct("value", "selector", "interpolated")), ["prop"])
-    out = won.select("prop", F.col("value.value").alias("value"), "specificity", "winner_file", F.col("value.selector").alias("winner_selector"), "important",
-                     F.when(F.col("value.interpolated"), "partial").otherwise(F.col("confidence")).alias("confidence"), F.when(F.col("tied_files") > 1, F.concat(F.lit("ambiguous with "), F.col("tied_files") - 1, F.lit(" files"))).alias("note"))
-    return Envelope(out, notes=notes)
+    sheets = [r[0] for r in rules.select("file").distinct().limit(2).collect()]
+    owner = file or (sheets[0] if len(sheets) == 1 else None)
+    if not sheets:
+        notes.append(f"no rule has .{css_class} as its subject")
+    elif owner is None:
+        notes.append("several sheets have rules for this class and no owning one is given: all of them count as other modules")
+    if [s for s in sheets if s != owner]:
+        notes.append("rules of other modules are named by syntax alone: there the name is that of another class, unless composed, global or put on the same element")
+    return Envelope(cascade.explained(e["css_decls"], rules, css_class, owner), notes=notes)
 
 
 @op("i18n_lookup", "locale_keys")
@@ -385,9 +396,39 @@ def _closed(c: graph.Closure, df: DataFrame) -> Envelope:
 
 
 @op("impact", "refs")
-def impact(e, symbol_ids, depth=3, nodes=200):
-    c = graph.impact(e["refs"], e.spark.createDataFrame([(s,) for s in symbol_ids], "node string"), min(depth, 12), min(nodes, 2000))
-    return _closed(c, c.nodes)
+def impact(e, symbol_ids, depth=3, nodes=200, kind=None, exported_only=False, include=(), exclude=()):
+    """Dependents by depth. The filters are a view: what they hide was walked through, and is counted."""
+    callables = None
+    if "symbols" in e.facts and "callable" in e["symbols"].columns:
+        callables = e["symbols"].where(F.col("callable") | F.col("kind").isin(*CALLABLE_KINDS)).select(F.col("id").alias("node"))
+    nodes = min(nodes, 2000)
+    walk = graph.impact(e["refs"], e.spark.createDataFrame([(s,) for s in symbol_ids], "node string"), min(depth, 12), nodes, nodes, callables)
+    told = walk.disclosures().first()
+    notes = [f"depth {r['depth']}: {r['n']}" for r in graph.by_depth(walk.nodes).orderBy("depth").collect()]
+    if walk.capped:
+        notes.append(f"!! incomplete: capped by {walk.capped}, {told['boundary_nodes']} nodes are not looked up")
+    if told["hubs"]:
+        notes.append(f"!! {told['hubs']} nodes have more direct dependents than are followed ({nodes})")
+    if told["dead_ends"]:
+        notes.append(f"!! {told['dead_ends']} modules run or read a dependent at their top level and can't be looked up; what depends on them is not here")
+    if told["value_reads"]:
+        notes.append(f"partial: {told['value_reads']} dependents read a callable as a value (reads_as_value); calls through it are not followed")
+    if told["complete"]:
+        notes.append("complete")
+    out = walk.nodes
+    if kind or exported_only or include or exclude:
+        known = e["refs"].where("encloser_id is not null").groupBy(F.col("encloser_id").alias("node")).agg(
+            F.min("encloser_kind").alias("_kind"), F.max("encloser_exported").alias("_exported"), F.min("file").alias("file")
+        )
+        out = out.join(known, "node", "left")
+        shown = F.lit(True) if kind is None else F.coalesce(F.col("_kind") == kind, F.lit(False))
+        shown = shown & (F.coalesce("_exported", F.lit(False)) if exported_only else F.lit(True))
+        shown = shown & (kept(F.col("file"), include, exclude) if include or exclude else F.lit(True))
+        out = out.where(shown).drop("_kind", "_exported")
+        notes.append(f"{told['nodes'] - out.count()} of {told['nodes']} dependents are hidden by the filter; the walk is not")
+    got = Envelope(out, notes=notes)
+    got.complete = told["complete"]
+    return got
 
 
 @op("affected", "imports")
@@ -405,15 +446,23 @@ def impact_type_error(e):
 
 
 @op("trace_invalidation", "rq_edges", "rq_affects", "rq_hosts", "mounts", table="trace")
-def trace_invalidation(e, mutation):
+def trace_invalidation(e, mutation, depth=12, usages=50):
+    """With the fact ``hook_uses`` (host, user, kind) hooks are followed to the components that use them."""
     edges = e["rq_edges"].where(F.col("mutation") == mutation)
-    return Envelope(graph.trace_invalidation(edges, e["rq_affects"], e["rq_hosts"], e["mounts"]))
+    found, notes, cut = graph.invalidation_trace(edges, e["rq_affects"], e["rq_hosts"], e["mounts"], e.facts.get("hook_uses"), depth, usages)
+    told = [f"{r['node']}: {r['note']}" for r in notes.orderBy("node", "note").limit(51).collect()]
+    got = Envelope(found, notes=told[:50] + ["and more"] * (len(told) > 50))
+    got.complete = not cut
+    return got
 
 
 @op("trace_prop_through_tree", "prop_passes", table="trace")
 def trace_prop_through_tree(e, component, prop, depth=12, nodes=300):
-    rows, c = graph.trace_prop(e["prop_passes"], e.spark.createDataFrame([(component, prop)], "component string, prop string"), depth, nodes)
-    return _closed(c, rows)
+    chain = graph.prop_trace(e["prop_passes"], e.spark.createDataFrame([(component, prop)], "component string, prop string"), depth, nodes)
+    notes = [f"{r['node']}: {r['note']}" for r in chain.notes.orderBy("node", "note").limit(50).collect()]
+    got = Envelope(chain.hops, notes=[*notes, "incomplete: capped" if chain.truncated else "complete"])
+    got.complete = not chain.truncated
+    return got
 
 
 @op("trace_field_to_render", "field_reads", table="trace")

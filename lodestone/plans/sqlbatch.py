@@ -45,12 +45,27 @@ class Request:
     name: str
     produce: Callable[[], Envelope | DataFrame]
     alias: str | None = None
+    tabular: bool = True
 
 
 @dataclass
 class BatchResult:
+    """The answer of the statement and the producers' own, in the order of the requests. What was kept in
+    memory for them goes with ``release`` or at the end of a ``with`` block."""
+
     sql: Envelope
     producers: dict[str, Envelope] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
+
+    def __enter__(self) -> BatchResult:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
 
 
 class Refused(ValueError):
@@ -71,6 +86,8 @@ RESERVED = frozenset(
 def plan_aliases(requests: Sequence[Request]) -> list[str]:
     """Aliases as given, else ``t`` or ``t0``, ``t1`` and on; refused before any producer runs."""
     out = []
+    if without := [r.name for r in requests if not r.tabular]:
+        raise Refused(f"has no table: {', '.join(without)}")
     for i, r in enumerate(requests):
         alias = r.alias or ("t" if len(requests) == 1 else f"t{i}")
         if not _ALIAS.match(alias) or alias in RESERVED:
@@ -132,7 +149,11 @@ def first_line(error: BaseException) -> str:
 
 
 def check_read_only(spark: SparkSession, sql: str, aliases: Sequence[str]) -> None:
-    """Raises Refused unless ``sql`` is one SELECT (or WITH) over the aliases."""
+    """Raises Refused unless ``sql`` is one SELECT (or WITH) over the aliases. ``${`` is refused even in a
+    literal: the session replaces such text by settings, properties and variables of the process
+    before it parses a statement."""
+    if "${" in sql:
+        raise Refused("${ is not allowed, as text would be put in its place; write '$' || '{' for the signs themselves")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # the JVM's parse error, whatever its class
@@ -180,10 +201,16 @@ def _bounded(df: DataFrame, rows: int | None) -> tuple[DataFrame, bool]:
     return df.orderBy(*[c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]).limit(rows), True
 
 
-def run_batch(spark: SparkSession, requests: Sequence[Request], sql: str, table_rows: int | None = TABLE_ROWS, result_rows: int | None = RESULT_ROWS) -> BatchResult:
-    """Runs the producers, then ``sql`` over them. Any refused alias or statement fails the whole call;
-    a failed producer blocks only the SELECT, whose failure names it, and its neighbours stay."""
+def run_batch(
+    spark: SparkSession, requests: Sequence[Request], sql: str, table_rows: int | None = TABLE_ROWS, result_rows: int | None = RESULT_ROWS, returns: str = "all"
+) -> BatchResult:
+    """Runs the producers, then ``sql`` over them. Any refused alias, operation without a table or statement
+    fails the whole call before a producer runs; a failed producer blocks only the SELECT, whose failure
+    names it, and its neighbours stay. ``returns``: ``all``, or ``sql`` for the statement's answer
+    alone. Tables that were kept go as soon as the answer is."""
     try:
+        if returns not in ("all", "sql"):
+            raise Refused(f"returns is all or sql, not {returns}")
         aliases = plan_aliases(requests)
         check_read_only(spark, sql, aliases)
     except Refused as e:
@@ -195,26 +222,33 @@ def run_batch(spark: SparkSession, requests: Sequence[Request], sql: str, table_
             made[alias] = got if isinstance(got, Envelope) else Envelope(got)
         except Exception as e:  # noqa: BLE001  a producer's failure is data
             made[alias] = Envelope(failure=Failure("op_threw", f"{r.name}: {first_line(e)}"))
+    shown_too = made if returns == "all" else {}
     broken = {a: e.failure for a, e in made.items() if not e.ok}
     if broken:
-        return BatchResult(Envelope(failure=Failure("producer_failed", "; ".join(f"{a}: {f.message}" for a, f in broken.items()))), made)
+        return BatchResult(Envelope(failure=Failure("producer_failed", "; ".join(f"{a}: {f.message}" for a, f in broken.items()))), shown_too)
     tables: dict[str, DataFrame] = {}
-    bounded = []
+    bounded, result = [], BatchResult(Envelope(), shown_too)
     for alias, e in made.items():
         tables[alias], over = _bounded(e.df, table_rows)
+        if table_rows is not None and not over:
+            result.held.append(tables[alias])
         if over or e.truncated:
             bounded.append(alias)
     notes = [n for e in made.values() for n in e.notes]
     if bounded:
         notes.append(f"partial tables: {', '.join(bounded)}; NOT IN over them is not to be trusted")
-    out = select(spark, tables, sql)
+    out = result.sql = select(spark, tables, sql)
     if out.ok and result_rows is not None:
-        shown = out.df.limit(result_rows + 1).persist()
-        if shown.count() > result_rows:
+        kept = out.df.limit(result_rows + 1).persist()
+        if kept.count() > result_rows:
             out.truncated = Truncation(result_rows, out.df.count(), "add a LIMIT or aggregate")
-        out.df = shown.limit(result_rows) if out.truncated else shown
+        out.df = kept.limit(result_rows) if out.truncated else kept
+        result.release()
+        result.held.append(kept)
+    elif not out.ok:
+        result.release()
     out.notes, out.bounded_tables, out.freshness = notes + out.notes, bounded, merged_freshness([e.freshness for e in made.values()])
-    return BatchResult(out, made)
+    return result
 
 
 def select(spark: SparkSession, tables: Mapping[str, DataFrame], sql: str) -> Envelope:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.cascade import specificity_of
+from lodestone.sources.program_text import code as without_comments
+from lodestone.sources.program_text import exports, imports, literal_calls
 
 MAX_BYTES = 1 << 20
 # Directories that are never read.
@@ -35,26 +37,6 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.posexplode(text).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
-_IMPORT = r"""(?s)(?:^|[;\n])\s*((?:import|export)\s[^;'"]*?from\s*['"][^'"\n]+['"]|import\s*['"][^'"\n]+['"]|import\s*\(\s*['"][^'"\n]+['"]\s*\))"""
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """(file, line, spec, imports, type_only, dynamic, star_reexport, kind) by syntax alone."""
-    text = F.decode("content", "UTF-8")
-    found = files.select(F.col("path").alias("file"), text.alias("text"), F.posexplode(F.regexp_extract_all(text, F.lit(_IMPORT), F.lit(1))).alias("n", "stmt"))
-    before = F.element_at(F.split("text", _IMPORT, -1), F.col("n") + 1)
-    clause = F.regexp_extract("stmt", r"(?s)^(?:import|export)\s+(.*?)\s*from\s*['\"]", 1)
-    names = F.regexp_replace(F.regexp_replace(clause, r"[{}]|^type\s", " "), r"\s+", " ")
-    kind = F.when(F.col("stmt").startswith("export"), "re-export").when(F.col("stmt").rlike(r"^import\s*\("), "dynamic").when(clause == "", "side-effect").otherwise("import")
-    lines_before = F.aggregate(F.slice(F.split("text", _IMPORT, -1), F.lit(1), F.col("n") + 1), F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit("\n")))
-    inner = F.aggregate(F.slice(F.regexp_extract_all("text", F.lit(_IMPORT), F.lit(0)), F.lit(1), F.col("n") + 1), F.lit(0), lambda a, x: a + F.regexp_count(F.coalesce(F.regexp_substr(x, F.lit(r"(?s)^[;\s]+")), F.lit("")), F.lit("\n")))
-    return found.withColumn("_b", before).select(
-        "file", (lines_before + inner + 1).cast("int").alias("line"), F.regexp_extract("stmt", r"['\"]([^'\"\n]+)['\"]", 1).alias("spec"),
-        F.array_join(F.transform(F.split(F.trim(names), r"\s*,\s*"), lambda x: F.trim(x)), ",").alias("imports"), F.col("stmt").rlike(r"^(?:import|export)\s+type\s").alias("type_only"),
-        (kind == "dynamic").alias("dynamic"), F.col("stmt").rlike(r"^export\s*\*").alias("star_reexport"), kind.alias("kind"),
-    )
-
-
 def manifests(files: DataFrame) -> DataFrame:
     """(package_dir, package, dep, section) of package.json files."""
     kind = "struct<name:string,dependencies:map<string,string>,devDependencies:map<string,string>,peerDependencies:map<string,string>,optionalDependencies:map<string,string>>"
@@ -365,22 +347,6 @@ def class_tokens(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.explode(F.concat(plain, strings, keys)).alias("s")).select("file", F.explode(F.split(F.trim("s"), r"\s+")).alias("token")).where("token <> ''").distinct()
 
 
-def literal_calls(files: DataFrame, names: list[str]) -> DataFrame:
-    """(file, fn, arg, dynamic, text, line, provenance): calls of the given names with their first
-    argument: its value if it is a plain literal, its text as it is written."""
-    call = r"(?<![\w$.])(" + "|".join(re.escape(n) for n in names) + r")\(\s*((?:`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|\([^()]*\)|\[[^\]]*\]|[^\s(),`'\"\[\]]|[ \t]+(?=[^\s,)]))+)"
-    text = F.decode("content", "UTF-8")
-    arg = F.trim(F.regexp_extract("c", call, 2))
-    literal = arg.rlike(r"^'[^'\\]*'$") | arg.rlike(r'^"[^"\\]*"$') | arg.rlike(r"^`[^`$\\]*`$")
-    found = files.select(F.col("path").alias("file"), text.alias("_t"), F.posexplode(F.regexp_extract_all(text, F.lit(call), F.lit(0))).alias("_n", "c"))
-    line = F.aggregate(F.slice(F.split("_t", call, -1), F.lit(1), F.col("_n") + 1), F.lit(1), lambda n, x: n + F.regexp_count(x, F.lit("\n")))
-    inside = F.aggregate(F.slice(F.regexp_extract_all("_t", F.lit(call), F.lit(0)), F.lit(1), F.col("_n")), F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit("\n")))
-    return found.select(
-        "file", F.regexp_extract("c", call, 1).alias("fn"), F.when(literal, F.regexp_replace(arg, r"^['\"`]|['\"`]$", "")).alias("arg"), (~literal).alias("dynamic"),
-        arg.alias("text"), (line + inside).cast("long").alias("line"), F.lit("heuristic:syntax").alias("provenance"),
-    )
-
-
 def _joined_path(base: Column, relative: Column) -> Column:
     """A relative path from a directory, with ``.`` and ``..`` resolved."""
     step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x.isin(".", ""), done).otherwise(F.concat(done, F.array(x)))
@@ -416,7 +382,7 @@ def packages(files: DataFrame) -> DataFrame:
 
 
 def facts(spark: SparkSession, root: str, locales: str = "/locales?/[^/]+\\.json$", translate: Sequence[str] = ("t",)) -> dict[str, DataFrame]:
-    """What the text of a tree gives to the engine's operations: imports, manifests, locale keys and
+    """What the text of a tree gives to the engine's operations: imports, exports, manifests, locale keys and
     failures, translation calls, style rules, declarations, classes, composes and accesses, endpoints,
     text lines. ``locales`` says which files hold translations, ``translate`` how their calls are named."""
     files = walk(spark, root)
@@ -424,8 +390,9 @@ def facts(spark: SparkSession, root: str, locales: str = "/locales?/[^/]+\\.json
     sheets = styles(files.where(F.col("path").rlike(r"\.(?:css|scss|sass|less)$")))
     keys = locale_keys(files.where(F.col("path").rlike(locales)))
     edges = resolved_imports(imports(code), files, packages(files))
+    plain = without_comments(code)
     return {
-        "imports": edges, "manifests": manifests(files), "locale_keys": keys.where("key is not null").drop("error"), "locale_failures": keys.where("error is not null").select("file", "locale", F.col("error").alias("message")),
+        "imports": edges, "exports": exports(code), "manifests": manifests(files), "locale_keys": keys.where("key is not null").drop("error"), "locale_failures": keys.where("error is not null").select("file", "locale", F.col("error").alias("message")),
         "literal_calls": literal_calls(code, list(translate)), "css_rules": css_rules(sheets), "css_decls": css_decls(sheets), "css_classes": css_classes(sheets), "css_composes": css_composes(sheets),
-        "css_accesses": css_accesses(code, edges), "class_tokens": class_tokens(code), "endpoints": endpoint_cards(code), "text_lines": lines(code),
+        "css_accesses": css_accesses(plain, edges), "class_tokens": class_tokens(plain), "endpoints": endpoint_cards(code), "text_lines": lines(code),
     }
