@@ -107,8 +107,7 @@ def unused_exports(symbols: DataFrame, refs: DataFrame, imports: DataFrame | Non
     for rows in marks[1:]:
         every = every.unionByName(rows)
     least = every.groupBy("file", "name").agg(F.min("rank").alias("_rank"))
-    last = next(i for i, (name, _) in enumerate(REASONS) if name == "computed") if computed else None
-    notes = F.element_at(F.array(*[F.lit(text) for _, text in REASONS]), F.coalesce("_rank", F.lit(last)) + 1)
+    notes = F.coalesce(*[F.when(F.col("_rank") == rank, text) for rank, (_, text) in enumerate(REASONS)], F.lit(dict(REASONS)["computed"] if computed else None))
     unseen = F.lit(f"programs that are not loaded may use it: {', '.join(undiscovered[:3])}" if undiscovered else None)
     out = left.join(least, ["file", "name"], "left").withColumn("note", F.coalesce(notes, unseen))
     return out.withColumn("confidence", F.when(F.col("note").isNull(), "certain").otherwise("partial")).select(*symbols.columns, "confidence", "note")

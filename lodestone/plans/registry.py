@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lodestone.plans import table_queries  # noqa: F401  registers itself
+    from lodestone.plans import fact_queries, table_queries  # noqa: F401  register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
