@@ -26,8 +26,11 @@ BROADCAST = 1 << 16
 # bits at which pairs of similarity 0.8 differ on average, the share of such pairs that no table may
 # bring together, and the least number of tables.
 WIDE, WIDE_RADIUS, WIDE_MEAN, MISSED, LEAST_TABLES = 4, 64, 40, 0.01, 24
-#: Members of an oversized shard that the others are measured against, in expectation.
-PIVOTS = 64
+#: Members of an oversized shard that the others are measured against, in expectation, and how often
+#: new ones are taken from those that no pivot was near to.
+PIVOTS, PEELS = 256, 4
+#: Links of a member that are compared in each round after a link that stood for them failed.
+ROUNDS = (8, 64, 512, 1 << 62)
 
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:, None]
@@ -353,10 +356,10 @@ def wide_tables(n: int) -> list[list[int]]:
     return out
 
 
-def _around(radius: int, near: int):
+def _around(near: int):
     """Rows (g, shard, role, id, words) sorted by g: pivots of a shard (role 1) and a piece of its
-    members (role 2). Gives the members again, ``core`` if they are within ``near`` bits of the
-    largest set of linked pivots; and edges, from those to a pivot and between the pivots."""
+    members (role 2). Gives the members again (b null), ``core`` if they are within ``near`` bits of a
+    pivot; and edges, from those to the nearest pivot and along a spanning forest of the pivots."""
     names = ["g", "shard", "role", "id", *_words(WIDE)]
     out = ["shard", "a", "b", "core", *_words(WIDE)]
 
@@ -364,20 +367,10 @@ def _around(radius: int, near: int):
         for g, shard, role, ids, *w in _slabs(batches, names):
             group, values = _numbered(g), np.stack(w, axis=1).view(np.uint64)
             pivot = role == 1
-            a, b, d = _tree_links(group, values, pivot, pivot, near)
-            label = _labels(len(ids), a, b)
-            sizes = np.bincount(label[pivot], minlength=len(ids))
-            order = np.nonzero(pivot)[0]
-            order = order[np.lexsort((ids[label[order]], -sizes[label[order]], group[order]))]
-            first = order[np.concatenate([[True], group[order[1:]] != group[order[:-1]]])] if len(order) else order
-            chosen = np.full(int(group[-1]) + 1, -1)
-            chosen[group[first]] = label[first]
-            inner = pivot & (label == chosen[group])
+            a, b, d = _tree_links(group, values, pivot, pivot, WIDE_RADIUS)
             some = spanning_forest(len(ids), a, b, d)
-            some = some[inner[a[some]] & inner[b[some]]]
-            x, y, e = _tree_links(group, values, inner, ~pivot, near)
-            asks = np.where(pivot[x], y, x)
-            to = np.where(pivot[x], x, y)
+            x, y, e = _tree_links(group, values, pivot, ~pivot, near)
+            asks, to = np.where(pivot[x], y, x), np.where(pivot[x], x, y)
             order = np.lexsort((ids[to], e, asks))
             asks, to = asks[order], to[order]
             one = np.concatenate([[True], asks[1:] != asks[:-1]]) if len(asks) else np.zeros(0, bool)
@@ -393,47 +386,129 @@ def _around(radius: int, near: int):
     return run
 
 
-def _oversized_links(keyed: DataFrame, big: DataFrame, tree: int) -> DataFrame:
-    """Edges in shards of more than ``tree`` members, which are mostly one group of near copies.
+def _piece(key, n, salt: int):
+    return F.pmod(F.xxhash64("id", key, F.lit(salt)), n)
 
-    Pieces of such a shard are measured against the tree of its pivots, a random sample. Members
-    close to the largest set of linked pivots get an edge to one of them and need not meet each
-    other; the rest, which is put in trees, meets every member.
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _rest_links(of: DataFrame, rest: DataFrame, tree: int) -> DataFrame:
+    """Edges between ``rest`` (g, id, words) and all members ``of`` (g, n, id, words) of their shards: the
+    rest, in trees of ``tree``, is asked by every piece of the members. Rows grow as the product of both
+    only where a shard has more than ``tree`` in the rest."""
+    chunks = rest.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / tree).cast("int").alias("chunks"))
+    sizes = of.select("g", F.ceil(F.col("n") / tree).cast("int").alias("pieces")).distinct().join(chunks, "g")
+    words = _words(WIDE)
+    mine = rest.join(sizes, "g").withColumn("c", _piece(F.col("g"), F.col("chunks"), 3).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    all_of = of.select("g", "id", *words).join(sizes, "g").withColumn("p", _piece(F.col("g"), F.col("pieces"), 2).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = lambda x, role: x.select(F.xxhash64("g", "p", "c").alias("g"), F.lit(role).alias("role"), "id", *words)
+    return _in_trees(side(mine, 1).unionAll(side(all_of, 2)), WIDE, WIDE_RADIUS)
+
+
+def _oversized_links(of: DataFrame, tree: int) -> DataFrame:
+    """Edges in shards of more than ``tree`` members ``of`` (g, n, id, words), which are groups of near copies.
+
+    All members of a shard are measured against its pivots, a random sample: each gets an edge to the
+    nearest one and need not meet the others. From those that have none near new pivots are taken, for
+    all members again, until few are left; these meet every member. A round makes a row for each
+    member and PIVOTS rows for ``tree`` members.
     """
     words = _words(WIDE)
-    share = lambda key, n, salt: F.pmod(F.xxhash64("id", key, F.lit(salt)), n)
-    of = materialised(keyed.join(big, "g").withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")).select("g", "n", "pieces", "id", *words))
-    piece = lambda x: F.xxhash64("g", x)
-    pivots = of.where(share(F.col("g"), F.ceil(F.col("n") / PIVOTS), 1) == 0)
-    pivots = pivots.select("g", "id", *words, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p")).withColumn("role", F.lit(1))
-    members = of.withColumn("p", share(F.col("g"), F.col("pieces"), 2).cast("int")).withColumn("role", F.lit(2))
-    dealt = pivots.unionByName(members.drop("n", "pieces")).select(piece("p").alias("piece"), F.col("g").alias("shard"), "role", "id", *words)
-    dealt = dealt.withColumnRenamed("piece", "g").repartition("g").sortWithinPartitions("g")
+    rest, found = of, None
     kind = "shard long, a long, b long, core boolean, " + ", ".join(f"{w} long" for w in words)
-    told = materialised(dealt.mapInArrow(_around(WIDE_RADIUS, WIDE_MEAN), kind))
-    rest = told.where("not core").select(F.col("shard").alias("g"), F.col("a").alias("id"), *words)
-    chunks = rest.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / tree).cast("int").alias("chunks"))
-    sizes = big.withColumn("pieces", F.ceil(F.col("n") / tree).cast("int")).select("g", "pieces").join(chunks, "g")
-    group = F.xxhash64("g", "p", "c").alias("g")
-    mine = rest.join(sizes, "g").withColumn("c", share(F.col("g"), F.col("chunks"), 3).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    all_of = of.select("g", "id", *words).join(sizes, "g").withColumn("p", share(F.col("g"), F.col("pieces"), 2).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = lambda x, role: x.select(group, F.lit(role).alias("role"), "id", *words)
-    met = _in_trees(side(mine, 1).unionAll(side(all_of, 2)), WIDE, WIDE_RADIUS)
-    straight = told.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return straight.unionAll(met)
+    for peel in range(PEELS):
+        left = rest.groupBy("g").agg(F.count(F.lit(1)).alias("left"))
+        # The members of shards of which few are left have met their pivots already.
+        large = materialised(left.where(F.col("left") > tree))
+        if not large.limit(1).count():
+            break
+        pivots = rest.join(large, "g").where(_piece(F.col("g"), F.ceil(F.col("left") / PIVOTS), 11 + peel) == 0).select("g", F.ceil(F.col("n") / tree).cast("int").alias("pieces"), "id", *words)
+        pivots = pivots.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("role", F.lit(1))
+        members = of.join(large, "g", "left_semi").withColumn("p", _piece(F.col("g"), F.ceil(F.col("n") / tree), 2).cast("int")).withColumn("role", F.lit(2))
+        side = lambda x: x.select(F.xxhash64("g", "p").alias("piece"), F.col("g").alias("shard"), "role", "id", *words)
+        dealt = side(pivots).unionByName(side(members)).withColumnRenamed("piece", "g").repartition("g").sortWithinPartitions("g")
+        told = materialised(dealt.mapInArrow(_around(WIDE_MEAN), kind))
+        straight = _ordered(told)
+        found = straight if found is None else found.unionAll(straight)
+        alone = told.where("not core").select(F.col("shard").alias("g"), F.col("a").alias("id")).join(rest.join(large, "g", "left_semi"), ["g", "id"]).select(rest.columns)
+        rest = materialised(rest.join(large, "g", "left_anti").unionByName(alone))
+    met = _rest_links(of, rest.select("g", "id", *words), tree)
+    return met if found is None else found.unionAll(met)
+
+
+def _windowed(low: int, high: int):
+    """Rows (g, id, words, component) sorted by g: the links of each member whose rank by distance is
+    from ``low`` to ``high``, if they lead to another component; and a row with a null a for a shard in which
+    some rank beyond."""
+
+    def run(batches):
+        for g, ids, label, *w in _slabs(batches, ["g", "id", "component", *_words(WIDE)]):
+            group, values = _numbered(g), np.stack(w, axis=1).view(np.uint64)
+            every = np.ones(len(ids), bool)
+            a, b, d = _tree_links(group, values, every, every, WIDE_RADIUS)
+            x, y, e = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+            order = np.lexsort((ids[y], e, x))
+            x, y = x[order], y[order]
+            first = np.searchsorted(x, x)
+            rank, cross = np.arange(len(x)) - first, label[x] != label[y]
+            some = cross & (rank >= low) & (rank < high)
+            yield _edges(ids, x[some], y[some], None)
+            if (cross & (rank >= high)).any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+class Candidates:
+    """Pairs (a, b) of rows (id, w0 and on; distinct ids) that stand for those within WIDE_RADIUS bits of
+    each other that meet in a shard: each pair at WIDE_MEAN bits does but for a share of MISSED (see
+    wide_tables), closer ones sooner.
+
+    ``first`` has the spanning forests of the shards. Once its pairs are compared, ``more`` gives, round by
+    round, what the failed ones stood for: all links between members that are not connected by then.
+    """
+
+    def __init__(self, sets: DataFrame, tree: int = TREE):
+        self.sets, self.tree = sets.select("id", *_words(WIDE)), tree
+        self.keyed = _dealt(self.sets, wide_tables(sets.count()), WIDE)
+        self.big = _oversized(self.keyed, tree)
+        self.fit = self.keyed if self.big is None else self.keyed.join(self.big, "g", "left_anti")
+        self.of = None if self.big is None else materialised(self.keyed.join(self.big, "g").select("g", "n", "id", *_words(WIDE)))
+
+    def first(self) -> DataFrame:
+        found = _in_trees(self.fit.withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS)
+        return (found if self.of is None else found.unionAll(_oversized_links(self.of, self.tree))).distinct()
+
+    def more(self, failed: DataFrame, labels, compare) -> None:
+        """``failed``: compared pairs between members that stayed apart; ``labels()`` gives the (node, component)
+        of now, ``compare(pairs)`` compares pairs (a, b) and takes them up. Only shards that have both of
+        a failed pair are searched again."""
+        ids = materialised(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        places = materialised(self.keyed.select("g", "id").join(ids, "id"))
+        both = failed.join(places.select(F.col("id").alias("a"), "g"), "a").join(places.select(F.col("id").alias("b"), "g"), ["b", "g"])
+        shards = materialised(both.select("g").distinct())
+        rows = materialised(self.fit.join(shards, "g", "left_semi").select("g", "id", *_words(WIDE)))
+        if self.of is not None:
+            hit = self.of.join(shards, "g", "left_semi")
+            again = materialised(hit.join(ids, "id", "left_semi"))
+            if again.limit(1).count():
+                compare(_rest_links(hit, again.select("g", "id", *_words(WIDE)), self.tree).distinct())
+        for low, high in zip((0, *ROUNDS), ROUNDS):
+            known = labels().select(F.col("node").alias("id"), "component")
+            named = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            dealt = named.repartition("g").sortWithinPartitions("g", "id").select("g", "id", "component", *_words(WIDE))
+            found = materialised(dealt.mapInArrow(_windowed(low, high), "a long, b long").distinct())
+            pairs = found.where("a is not null")
+            if pairs.limit(1).count():
+                compare(pairs)
+            if not found.where("a is null").limit(1).count():
+                return
 
 
 def candidates(sets: DataFrame, tree: int = TREE) -> DataFrame:
-    """Pairs (a, b) of rows (id, w0 and on; distinct ids) that connect those within WIDE_RADIUS bits
-    of each other that meet in a shard: each pair at WIDE_MEAN bits does but for a share of MISSED
-    (see wide_tables), closer ones sooner."""
-    masks = wide_tables(sets.count())
-    keyed = _dealt(sets.select("id", *_words(WIDE)), masks, WIDE)
-    big = _oversized(keyed, tree)
-    if big is None:
-        return _in_trees(keyed.withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS).distinct()
-    fit = _in_trees(keyed.join(big, "g", "left_anti").withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS)
-    return fit.unionAll(_oversized_links(keyed, big, tree)).distinct()
+    return Candidates(sets, tree).first()
 
 
 def _sets(words):
@@ -486,6 +561,35 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_z", "b_z").mapInArrow(_compared(words), "a long, b long")
 
 
+def _alike(sets: DataFrame, texts: DataFrame, words: int, tree: int) -> DataFrame:
+    """(node, component) of the sets that link by their exact similarity."""
+    search = Candidates(sets.where("n > 0"), tree)
+    tested = materialised(search.first())
+    good = materialised(verified(tested, sets, texts, words))
+    joined = components(good)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        at = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        sides = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+        return sides.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal tested, good, joined
+        new = materialised(apart(pairs.join(tested, ["a", "b"], "left_anti")))
+        if not new.limit(1).count():
+            return
+        tested = materialised(tested.unionAll(new))
+        found = materialised(verified(new, sets, texts, words))
+        if found.limit(1).count():
+            good = materialised(good.unionAll(found))
+            joined = components(good)
+
+    failed = materialised(apart(tested))
+    if failed.limit(1).count():
+        search.more(failed, lambda: joined, compare)
+    return joined
+
+
 def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, and any others) without near duplicates, unchanged.
 
@@ -493,8 +597,8 @@ def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
     or more, directly or through others; of linked rows one stays: that with the smallest doc_id, of
     several such rows the one with the smallest hash of the whole row, once if it is repeated.
     Links are looked for with SimHash: of each distinct shingle set one fingerprint of 256 bits is
-    searched in BK-trees for others within 64 bits, and the pairs found are compared exactly; see
-    ``candidates`` for the share that may be lost. Texts of any length are read whole. Null and
+    searched in BK-trees for others within 64 bits, and the pairs found are compared exactly, those that
+    a failed pair stood for too; see ``Candidates`` for the share that may be lost. Texts of any length are read whole. Null and
     empty texts are alike. Rows without a doc_id stay; an empty table gives an empty result; columns
     may have any names, as they travel in a struct.
     """
@@ -504,8 +608,7 @@ def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
     found = materialised(texts.mapInArrow(_sets(words), f"doc_id long, h long, id long, n long, {_row_kind(WIDE).split(', ', 1)[1]}"))
     whole = F.struct("n", *_words(WIDE))
     sets = materialised(found.groupBy("id").agg(F.first(whole).alias("x"), F.min(F.struct("doc_id", "h")).alias("one")).select("id", "x.*", "one"))
-    pairs = materialised(candidates(sets.where("n > 0"), tree))
-    joined = components(verified(pairs, sets, texts, words)).withColumnRenamed("node", "id")
+    joined = _alike(sets, texts, words, tree).withColumnRenamed("node", "id")
     times = found.groupBy("id", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(joined, "id", "left")
     first = times.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct("doc_id", "h", "n")).alias("one"))
     first = materialised(first.select("one.*"))

@@ -311,6 +311,50 @@ def test_oversized_shards_lose_no_link(spark):
         assert all(np.bitwise_count(values[a] ^ values[b]).sum() <= simhash.WIDE_RADIUS for a, b in edges)
 
 
+def test_rows_of_oversized_shards_follow_their_members(spark, monkeypatch):
+    """One shard that holds two equal groups of near copies: four times the members make about four times
+    the rows, and the groups stay whole."""
+    rows, rounds, in_trees, around = [], [], simhash._in_trees, simhash._around
+    monkeypatch.setattr(simhash, "_in_trees", lambda x, *a: rows.append(x.count()) or in_trees(x, *a))
+    monkeypatch.setattr(simhash, "_around", lambda *a: rounds.append(1) or around(*a))
+    rng = np.random.default_rng(9)
+    base, made = wide(rng, 2), {}
+    for n in (1500, 6000):
+        values = np.concatenate([wide(rng, n // 2, 6, base[0]), wide(rng, n // 2, 6, base[1])])
+        of = sets_of(spark, values).withColumns({"g": F.lit(1).cast("long"), "n": F.lit(n).cast("long")})
+        rows.clear(), rounds.clear()
+        edges = [tuple(r) for r in simhash._oversized_links(of, 256).collect()]
+        made[n] = sum(rows) + len(rounds) * (n + -(-n // 256) * simhash.PIVOTS)
+        assert joined_by(edges) == {frozenset(range(n // 2)), frozenset(range(n // 2, n))}
+        assert len(edges) < 4 * n
+    assert made[6000] < 6 * made[1500] and made[6000] < 5 * 6000
+
+
+def test_families_of_versions_lose_no_pair(spark):
+    """Versions of a text that are about as alike as the threshold: a pair that fails does not take
+    with it those that its tree stood for."""
+    rng, texts, family = random.Random(21), [], []
+    for f in range(24):
+        words = [f"f{f}w{j}" for j in range(150)]
+        for v in range(20):
+            w = list(words)
+            for i in rng.sample(range(150), rng.choice((1, 2, 2, 3, 4))):
+                w[i] = f"e{f}v{v}i{i}"
+            texts.append(" ".join(w))
+            family.append(f)
+    sets = [frozenset(plain_shingles(t)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if family[i] == family[j] and 5 * (both := len(sets[i] & sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    want = sorted(i + 1 for i in range(len(texts)) if label[i] == i)
+    for tree in (simhash.TREE, 12):
+        got = sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, texts), tree=tree).select("doc_id").collect())
+        assert got == want, tree
+
+
 def test_near_duplicates_edges(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd(spark)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (None, None)}
