@@ -54,6 +54,65 @@ def primary_config(files: DataFrame, membership: DataFrame) -> DataFrame:
     return files.select("file").distinct().join(best, "file", "left").withColumn("config", F.coalesce("config", F.lit("(no tsconfig)")))
 
 
+# What a config leaves out unless it says so, and how many configs and members are taken.
+DEFAULT_EXCLUDE = ("node_modules", "bower_components", "jspm_packages")
+MAX_CONFIGS, MAX_MEMBERS = 512, 400_000
+
+
+def _head(pattern: Column) -> Column:
+    """The directories of a pattern before the first part with a wildcard."""
+    parts = F.split(pattern, "/")
+    wild = F.array_position(F.transform(parts, lambda x: x.rlike("[*?]")), True)
+    return F.array_join(F.slice(parts, F.lit(1), (F.when(wild > 0, wild).otherwise(F.size(parts)) - 1).cast("int")), "/")
+
+
+def _pattern_regex(pattern: Column) -> Column:
+    """``**/`` is any directories, ``*`` and ``?`` stay within a part; a last part without a wildcard or an
+    extension is a directory with all below it."""
+    last = F.element_at(F.split(pattern, "/"), -1)
+    whole = F.when(last.rlike(r"[*?.]"), pattern).otherwise(F.concat(pattern, F.lit("/**/*")))
+    out = F.regexp_replace(whole, r"([.+^$(){}|\[\]\\])", r"\\$1")
+    for sign, text in (("**/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("?", "[^/]"), ("\x01", "(?:[^/]+/)*"), ("\x02", ".*")):
+        out = F.replace(out, F.lit(sign), F.lit(text))
+    return F.concat(F.lit("^(?:"), out, F.lit(")$"))
+
+
+def config_members(configs: DataFrame, files: DataFrame, max_configs: int = MAX_CONFIGS, max_members: int = MAX_MEMBERS) -> tuple[DataFrame, str | None]:
+    """(file, config): the TypeScript files that each config includes, and why that is not known, if so.
+
+    configs: config (a path), include, exclude, files (arrays of patterns below its directory, or
+    null); files: path. Without include and files a config includes all below its directory. A pattern meets
+    files by an equality join on its directories before the first wildcard, and the rest is tested on
+    those rows only. Excluded files are left out, but not those that ``files`` names. Over
+    ``max_configs`` configs or ``max_members`` members nothing is grouped: the frame is empty and the reason says so.
+    """
+    none = configs.select("config").limit(0).select(F.col("config").alias("file"), "config")
+    n = configs.limit(max_configs + 1).count()
+    if n == 0 or n > max_configs:
+        return none, "no config found" if n == 0 else f"too many configs (over {max_configs})"
+    folder = F.regexp_replace("config", r"/?[^/]+$", "")
+    below = lambda x: F.when(folder == "", x).otherwise(F.concat(folder, F.lit("/"), x))
+    plain = lambda x: F.regexp_replace(x, r"^(?:\./)+|/+$", "")
+    text = F.array().cast("array<string>")
+    given = F.when(F.col("include").isNull() & F.col("files").isNull(), F.array(F.lit("**/*"))).otherwise(F.coalesce("include", text))
+    wanted = configs.select("config", F.explode(F.array_union(F.transform(given, lambda x: F.struct(below(plain(x)).alias("p"), F.lit(False).alias("named"))), F.transform(F.coalesce("files", text), lambda x: F.struct(below(plain(x)).alias("p"), F.lit(True).alias("named"))))).alias("x"))
+    wanted = wanted.select("config", F.col("x.p").alias("p"), F.col("x.named").alias("named"))
+    program = files.select(F.col("path").alias("file")).distinct().where(F.col("file").rlike(r"\.(?:ts|tsx|cts|mts)$") & ~F.col("file").rlike("(?:^|/)node_modules/"))
+    as_folder = F.when(F.element_at(F.split("p", "/"), -1).rlike("[*?.]"), _head(F.col("p"))).otherwise(F.col("p"))
+    globs = wanted.where("not named").select("config", as_folder.alias("head"), _pattern_regex(F.col("p")).alias("regex"))
+    parts = F.split("file", "/")
+    above = program.select("file", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("head"))
+    met = above.join(F.broadcast(globs), "head").where(F.expr("file rlike regex")).select("file", "config").distinct()
+    out = F.coalesce("exclude", F.array(*[F.lit(x) for x in DEFAULT_EXCLUDE]))
+    barred = configs.select("config", F.explode(F.transform(out, lambda x: _pattern_regex(below(plain(x))))).alias("regex")).groupBy("config").agg(F.array_join(F.collect_list("regex"), "|").alias("barred"))
+    met = met.join(F.broadcast(barred), "config", "left").where(F.col("barred").isNull() | ~F.expr("file rlike barred")).select("file", "config")
+    named = wanted.where("named").select(F.col("p").alias("file"), "config").join(program, "file", "left_semi")
+    members = met.unionByName(named).distinct()
+    if members.limit(max_members + 1).count() > max_members:
+        return none, f"too many members (over {max_members})"
+    return members, None
+
+
 def lookup(defs: DataFrame, key: str | None = None, prefix: str | None = None, value: str | None = None, exact: bool = False, locale: str | None = None) -> DataFrame:
     """Translations by key, by key prefix (whole segments) or by value (substring without case)."""
     if sum(x is not None for x in (key, prefix, value)) > 1:

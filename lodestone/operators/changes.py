@@ -42,6 +42,52 @@ def edit_conflicts(edits: DataFrame, by: str = "file") -> DataFrame:
     return edits.withColumn("reach", F.max("end").over(w)).where("begin < reach")
 
 
+def _grown(edits: DataFrame) -> DataFrame:
+    """Edits (file, begin, end, text) with where their text stands once all of them are applied."""
+    before = Window.partitionBy("file").orderBy("begin", "end", "text").rowsBetween(Window.unboundedPreceding, -1)
+    gain = F.length("text") - (F.col("end") - F.col("begin"))
+    return edits.withColumn("gain", gain.cast("long")).withColumn("_moved", F.coalesce(F.sum("gain").over(before), F.lit(0))).select(
+        "file", "begin", "end", "text", "gain", (F.col("begin") + F.col("_moved")).alias("now"), (F.col("begin") + F.col("_moved") + F.length("text")).alias("now_end")
+    )
+
+
+def composed(first: DataFrame, then: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two plans of edits (file, begin, end, text) as one over the original texts, and what forbids it.
+
+    The places of ``then`` are those of the texts after ``first``; each is moved back by the growth of
+    the edits before it, so applying the one plan gives what applying both in turn gives. Where an edit of ``then``
+    reaches into text that ``first`` wrote, or a plan overlaps itself, there is no such plan: the
+    second frame (file, begin, end, reason) has the conflicts, and the first is empty for all
+    files, not for those alone.
+    """
+    own = [edit_conflicts(p).select("file", "begin", "end", F.lit(r).alias("reason")) for p, r in ((first, "the first plan overlaps itself"), (then, "the second plan overlaps itself"))]
+    grown = _grown(first)
+    marks = grown.select("file", F.col("now").alias("pos"), F.lit(0).alias("kind"), F.col("now_end").alias("to"), "gain", F.lit(None).cast("string").alias("text"))
+    asks = then.select("file", F.col("begin").cast("long").alias("pos"), F.lit(1).alias("kind"), F.col("end").cast("long").alias("to"), F.lit(0).cast("long").alias("gain"), "text")
+    # Edits of the first plan in the order of the texts they made; those that end at or before a place count there.
+    order = Window.partitionBy("file").orderBy("pos", "kind", "to")
+    events = marks.unionByName(asks)
+    so_far, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    is_mark = F.col("kind") == 0
+    seen = events.withColumns({
+        "shift": F.coalesce(F.sum(F.when(is_mark, F.col("gain"))).over(so_far), F.lit(0)),
+        "reach": F.max(F.when(is_mark, F.col("to"))).over(so_far), "last": F.max(F.when(is_mark, F.struct("pos", "to", "gain"))).over(so_far),
+        "next": F.min(F.when(is_mark, F.struct("pos", "to"))).over(behind),
+    }).where(~is_mark)
+    # Text that begins where an edit of the first plan began stands before it, unless that wrote nothing.
+    beside = (F.col("last.pos") == F.col("pos")) & (F.col("last.to") > F.col("pos"))
+    shift = F.col("shift") - F.when(beside, F.col("last.gain")).otherwise(0)
+    bare = F.col("to") == F.col("pos")
+    into = (F.coalesce(F.col("reach"), F.col("pos")) > F.col("pos")) & ~(beside & bare)
+    over = F.coalesce(F.col("next.pos"), F.col("to")) < F.col("to")
+    conflicts = seen.where(into | over).select("file", F.col("pos").alias("begin"), F.col("to").alias("end"), F.lit("reaches into text of the first plan").alias("reason"))
+    conflicts = conflicts.unionByName(own[0]).unionByName(own[1])
+    moved = seen.select("file", (F.col("pos") - shift).alias("begin"), (F.col("to") - shift).alias("end"), "text", F.lit(1).alias("plan"))
+    whole = first.select("file", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "text", F.lit(0).alias("plan")).unionByName(moved)
+    free = conflicts.limit(1).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit(True).alias("_free"))
+    return whole.join(F.broadcast(free)).drop("_free"), conflicts
+
+
 def rename_plan(refs: DataFrame, symbol_id: str, new_name: str) -> DataFrame:
     """The edits that a rename needs; nothing is written."""
     return refs.where(F.col("symbol_id") == symbol_id).select("file", F.col("start").alias("begin"), (F.col("start") + F.length("symbol")).alias("end"), F.lit(new_name).alias("text"))

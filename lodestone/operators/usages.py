@@ -84,12 +84,46 @@ def text_overlay(hits: DataFrame, refs: DataFrame, same: Sequence[str], overlap:
     return h.join(r, on & overlap if overlap is not None else on, "left_anti")
 
 
+def _swept(batches):
+    """Events sorted by file and place, beginnings of spans (kind 0) before references (1): for each
+    reference the least (length, id) among the spans that are open there. What is open is carried from
+    batch to batch; a span that has ended leaves once it comes to the top."""
+    import heapq
+
+    import pyarrow as pa
+
+    file, open_ = None, []
+    for b in batches:
+        out: list[tuple] = []
+        for own, pos, kind, end, decl, ref in zip(*(c.to_pylist() for c in b.columns)):
+            if own != file:
+                file, open_ = own, []
+            if kind == 0:
+                heapq.heappush(open_, (end - pos, decl, end))
+                continue
+            while open_ and open_[0][2] <= pos:
+                heapq.heappop(open_)
+            out.append((ref, own, pos, open_[0][1] if open_ else None))
+        if out:
+            types = [b.schema.field(i).type for i in (5, 0, 1, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["ref_id", "file", "start", "encloser_id"])
+
+
 def enclosed(refs: DataFrame, declarations: DataFrame) -> DataFrame:
     """Each reference with the id of the innermost declaration around it (null: the module).
 
-    refs: ref_id, file, start; declarations: decl_id, file, begin, end (exclusive). The join is on
-    the file, so its candidates are bounded by one file's declarations.
+    refs: ref_id, file, start; declarations: decl_id, file, begin, end (exclusive). One sorted pass over each
+    file: rows out are the references that went in, whatever the number of declarations around
+    them, and a task holds the open declarations of one place only. The shortest one counts, of
+    equally long ones that with the least id. Without a file or a start there is no declaration.
     """
-    d = declarations.select("decl_id", F.col("file").alias("d_file"), "begin", "end")
-    inside = refs.join(d, (F.col("file") == F.col("d_file")) & (F.col("begin") <= F.col("start")) & (F.col("start") < F.col("end")), "left")
-    return inside.groupBy("ref_id", "file", "start").agg(F.min_by("decl_id", F.struct(F.col("end") - F.col("begin"), F.col("decl_id"))).alias("encloser_id"))
+    kind = {c: refs.schema[c].dataType for c in ("ref_id", "file", "start")}
+    place, decl = kind["start"], declarations.schema["decl_id"].dataType
+    none = lambda t: F.lit(None).cast(t)
+    spans = declarations.where("file is not null and begin is not null and end is not null and begin < end").select(
+        F.col("file").cast(kind["file"]).alias("file"), F.col("begin").cast(place).alias("pos"), F.lit(0).alias("kind"), F.col("end").cast(place).alias("end"), F.col("decl_id"), none(kind["ref_id"]).alias("ref_id")
+    )
+    asks = refs.select("file", F.col("start").alias("pos"), F.lit(1).alias("kind"), none(place).alias("end"), none(decl).alias("decl_id"), "ref_id")
+    events = spans.unionByName(asks).repartition("file").sortWithinPartitions("file", "pos", "kind")
+    shape = ", ".join(f"{n} {t.simpleString()}" for n, t in (("ref_id", kind["ref_id"]), ("file", kind["file"]), ("start", place), ("encloser_id", decl)))
+    return events.mapInArrow(_swept, shape)
