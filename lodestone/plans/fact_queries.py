@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, modules, walks
+from lodestone.operators import catalogue, changes, graph, modules, positions, walks
 from lodestone.plans.engine import Engine
 from lodestone.plans.registry import register
 from lodestone.sources import program_text
@@ -212,3 +212,60 @@ def cascade_reasons(spark, sf):
     if not out.ok:
         raise ValueError(out.failure.message)
     return out.df
+
+
+@register("position_index", """
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), 'q', '😀') AS t FROM documents),
+p AS (SELECT doc_id, left(t, (doc_id * 37) % (length(t) + 1)) AS h FROM d), l AS (SELECT *, string_split(h, chr(10))[-1] AS tail FROM p)
+SELECT doc_id, CAST(2 * length(h) - length(replace(h, '😀', '')) AS BIGINT) AS start, CAST(1 + length(h) - length(replace(h, chr(10), '')) AS BIGINT) AS line,
+  CAST(2 * length(tail) - length(replace(tail, '😀', '')) + 1 AS BIGINT) AS col FROM l""")
+def position_index(spark, sf):
+    """A place in each document, whose every q is a sign of two units, and back to its offset."""
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.replace(F.coalesce("text", F.lit("")), F.lit("q"), F.lit("😀")).alias("text"))
+    head = F.substring(F.col("text"), F.lit(1), ((F.col("file") * 37) % (F.length("text") + 1)).cast("int"))
+    wide = F.length(head) * 2 - F.length(F.replace(head, F.lit("😀"), F.lit("")))
+    lines = positions.line_index(docs.withColumn("file", F.col("file").cast("string")))
+    asked = docs.select(F.col("file").alias("ref_id"), F.col("file").cast("string").alias("file"), wide.cast("long").alias("start"))
+    back = positions.offsets_of(positions.located(asked, lines), lines)
+    return back.select(F.col("ref_id").alias("doc_id"), F.col("offset").alias("start"), "line", "col")
+
+
+@register("config_membership", """
+WITH f AS (SELECT 'r' || (p_partkey % 5) || '/n' || (p_partkey % 25) || '/p' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '.js' END AS file,
+  p_partkey % 5 AS r, p_partkey % 25 AS n, CAST(p_partkey AS VARCHAR) AS k, p_size % 3 < 2 AS code FROM part)
+SELECT file, CASE WHEN NOT code THEN '(no tsconfig)' WHEN k LIKE '1%' OR file = 'r0/n0/p0.ts' THEN 'r' || r || '/n' || n || '/tsconfig.json' WHEN n <> r THEN 'r' || r || '/tsconfig.json' ELSE '(no tsconfig)' END AS config FROM f""")
+def config_membership(spark, sf):
+    """Parts as files in folders of 5 by 25, with a config for each region and one below for each nation."""
+    k = F.col("p_partkey")
+    end = F.when(F.col("p_size") % 3 == 0, ".ts").when(F.col("p_size") % 3 == 1, ".tsx").otherwise(".js")
+    number = lambda x: x.cast("string")
+    files = _t(spark, sf, "part").select(F.concat(F.lit("r"), number(k % 5), F.lit("/n"), number(k % 25), F.lit("/p"), number(k), end).alias("path"))
+    texts = lambda *xs: F.array(*xs).cast("array<string>")
+    none = F.lit(None).cast("array<string>")
+    r, n = F.col("r_regionkey"), F.col("n_nationkey")
+    configs = _t(spark, sf, "region").select(F.concat(F.lit("r"), number(r), F.lit("/tsconfig.json")).alias("config"), none.alias("include"), texts(F.concat(F.lit("n"), number(r))).alias("exclude"), none.alias("files"))
+    configs = configs.unionByName(_t(spark, sf, "nation").select(
+        F.concat(F.lit("r"), number(n % 5), F.lit("/n"), number(n), F.lit("/tsconfig.json")).alias("config"), texts(F.lit("./p1*")).alias("include"), none.alias("exclude"), texts(F.lit("p0.ts")).alias("files")
+    ))
+    members, why = catalogue.config_members(configs, files)
+    if why:
+        raise ValueError(why)
+    return catalogue.primary_config(files.select(F.col("path").alias("file")), members)
+
+
+@register("composed_edits", """
+WITH e AS (SELECT l_orderkey AS o, l_linenumber AS n, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2)
+SELECT o AS file, CAST(n * 10 AS BIGINT) AS "begin", CAST(n * 10 + n % 3 AS BIGINT) AS "end", repeat('x', (q % 5)::INT) AS text FROM e
+UNION ALL SELECT o, n * 10 + 5, n * 10 + 7, 'y' || n FROM e WHERE q % 2 = 0""")
+def composed_edits(spark, sf):
+    """Lines of an order as edits of its text, and edits between them whose places count their growth."""
+    n, q = F.col("l_linenumber").cast("long"), F.col("q")
+    lines = _t(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("long").alias("q"))
+    first = lines.select(F.col("l_orderkey").alias("file"), (n * 10).alias("begin"), (n * 10 + n % 3).alias("end"), F.expr("repeat('x', int(q % 5))").alias("text"), n.alias("n"), "q")
+    growth = first.alias("a").join(first.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.n") <= F.col("a.n"))).groupBy("a.file", "a.n", "a.q").agg(F.sum(F.length("b.text") - (F.col("b.end") - F.col("b.begin"))).alias("grown"))
+    place = F.col("n") * 10 + 5 + F.col("grown")
+    then = growth.where(q % 2 == 0).select("file", place.alias("begin"), (place + 2).alias("end"), F.concat(F.lit("y"), F.col("n").cast("string")).alias("text"))
+    plan, conflicts = changes.composed(first.select("file", "begin", "end", "text"), then)
+    if conflicts.limit(1).count():
+        raise ValueError("plans of one order overlap")
+    return plan.select("file", "begin", "end", "text")

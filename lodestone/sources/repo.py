@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.paths import kept
+from lodestone.functions.storage import materialised
 from lodestone.operators.cascade import specificity_of
+from lodestone.plans.intake import Config
 from lodestone.sources.program_text import code as without_comments
 from lodestone.sources.program_text import exports, imports, literal_calls
+from lodestone.sources.walk import IGNORED, bounded_walk, walk_notes
 
 MAX_BYTES = 1 << 20
-# Directories that are never read.
-IGNORED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache")
 
 
 def walk(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -27,6 +29,14 @@ def walk(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.where(inside & (F.col("length") <= MAX_BYTES)).select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime_ms"), "content")
 
 
+def walked(spark: SparkSession, root: str, **bounds) -> tuple[DataFrame, list[str]]:
+    """``walk`` within bounds of depth, entries and time (options of ``WalkSource``), and what it left out. The tree
+    is read once, into the shared folder."""
+    found = materialised(bounded_walk(spark, root, content=True, **bounds))
+    head = root.removeprefix("file://").rstrip("/")
+    return found.where("kind = 'file'").select(F.concat(F.lit(f"file:{head}/"), F.col("path")).alias("path"), "size", "mtime_ms", "content"), walk_notes(found)
+
+
 def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", "size", "mtime_ms", F.sha2("content", 256).alias("hash"))
 
@@ -381,11 +391,22 @@ def packages(files: DataFrame) -> DataFrame:
     return parsed.select(F.regexp_replace("path", "/?package.json$", "").alias("package_dir"), F.get_json_object(F.decode("content", "UTF-8"), "$.name").alias("package"))
 
 
-def facts(spark: SparkSession, root: str, locales: str = "/locales?/[^/]+\\.json$", translate: Sequence[str] = ("t",)) -> dict[str, DataFrame]:
+def facts(spark: SparkSession, root: str, locales: str = Config.locales, translate: Sequence[str] = Config.translate, settings: Config | None = None, bounds: dict | None = None) -> dict[str, DataFrame]:
     """What the text of a tree gives to the engine's operations: imports, exports, manifests, locale keys and
     failures, translation calls, style rules, declarations, classes, composes and accesses, endpoints,
-    text lines. ``locales`` says which files hold translations, ``translate`` how their calls are named."""
-    files = walk(spark, root)
+    text lines. ``locales`` says which files hold translations, ``translate`` how their calls are named;
+    ``settings`` say both, and which files count at all. With ``bounds`` (of ``walked``) the walk is
+    bounded, and the fact ``walk_notes`` (note) has what it left out."""
+    notes: list[str] = []
+    if bounds is None:
+        files = walk(spark, root)
+    else:
+        files, notes = walked(spark, root, **bounds)
+    if settings is not None:
+        locales, translate = settings.locales, settings.translate
+        head = F.regexp_replace("path", "^file:/*", "/")
+        below = F.substring(head, F.lit(len(root.removeprefix("file://").rstrip("/")) + 2), F.length(head))
+        files = files.where(kept(below, settings.include, settings.exclude))
     code = files.where(F.col("path").rlike(r"\.(?:ts|tsx|js|jsx|mts|cts|mjs|cjs)$"))
     sheets = styles(files.where(F.col("path").rlike(r"\.(?:css|scss|sass|less)$")))
     keys = locale_keys(files.where(F.col("path").rlike(locales)))
@@ -395,4 +416,4 @@ def facts(spark: SparkSession, root: str, locales: str = "/locales?/[^/]+\\.json
         "imports": edges, "exports": exports(code), "manifests": manifests(files), "locale_keys": keys.where("key is not null").drop("error"), "locale_failures": keys.where("error is not null").select("file", "locale", F.col("error").alias("message")),
         "literal_calls": literal_calls(code, list(translate)), "css_rules": css_rules(sheets), "css_decls": css_decls(sheets), "css_classes": css_classes(sheets), "css_composes": css_composes(sheets),
         "css_accesses": css_accesses(plain, edges), "class_tokens": class_tokens(plain), "endpoints": endpoint_cards(code), "text_lines": lines(code),
-    }
+    } | ({"walk_notes": spark.createDataFrame([(x,) for x in notes], "note string")} if bounds is not None else {})

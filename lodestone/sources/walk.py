@@ -18,7 +18,7 @@ MAX_BYTES, MAX_DEPTH, MAX_ENTRIES = 1 << 20, 64, 500_000
 #: Directories that a walk is dealt out in, at least, if the tree has them.
 SPLIT = 64
 
-SCHEMA = "kind string, path string, size long, mtime_ms long, n long"
+SCHEMA = "kind string, path string, size long, mtime_ms long, n long, content binary"
 
 
 @dataclass
@@ -45,7 +45,7 @@ class _Visit:
         try:
             names = sorted(os.listdir(os.path.join(self.root, folder)))
         except OSError as e:
-            return [("unreadable", f"{folder or '.'}: {e.strerror}", None, None, 1)], below
+            return [("unreadable", f"{folder or '.'}: {e.strerror}", None, None, 1, None)], below
         for name in names:
             if self.entries >= budget:
                 self.stopped = "entries"
@@ -60,7 +60,7 @@ class _Visit:
             try:
                 found = os.lstat(os.path.join(self.root, path))
             except OSError as e:
-                rows.append(("unreadable", f"{path}: {e.strerror}", None, None, 1))
+                rows.append(("unreadable", f"{path}: {e.strerror}", None, None, 1, None))
                 continue
             if stat.S_ISLNK(found.st_mode):
                 self.links += 1
@@ -70,15 +70,15 @@ class _Visit:
                 else:
                     below.append(path)
             elif stat.S_ISREG(found.st_mode) and not IGNORED_FILES.search(name) and found.st_size <= self.bounds["bytes"]:
-                rows.append(("file", path, found.st_size, int(found.st_mtime * 1000), None))
+                rows.append(("file", path, found.st_size, int(found.st_mtime * 1000), None, None))
         return rows, below
 
     def notes(self):
         for kind, n in (("links", self.links), ("depth", self.deep)):
             if n:
-                yield kind, None, None, None, n
+                yield kind, None, None, None, n, None
         if self.stopped:
-            yield self.stopped, None, None, None, 1
+            yield self.stopped, None, None, None, 1, None
 
 
 class WalkReader(DataSourceReader):
@@ -88,7 +88,7 @@ class WalkReader(DataSourceReader):
             "bytes": int(options.get("maxbytes", MAX_BYTES)), "depth": int(options.get("maxdepth", MAX_DEPTH)), "entries": int(options.get("maxentries", MAX_ENTRIES)),
             "until": time.time() + float(options.get("seconds", 1e9)),
         }
-        self.split = int(options.get("split", SPLIT))
+        self.split, self.content = int(options.get("split", SPLIT)), options.get("content", "false").lower() == "true"
 
     def partitions(self):
         """The upper directories are visited level by level until there are enough to deal out; what is
@@ -108,21 +108,33 @@ class WalkReader(DataSourceReader):
         each, more = divmod(left, len(level)) if level else (0, 0)
         return [head, *(Part(folder, depth, each + (i < more)) for i, folder in enumerate(level))]
 
+    def _filled(self, rows):
+        """Rows with the files' content, if that is asked for."""
+        for row in rows:
+            if self.content and row[0] == "file":
+                try:
+                    with open(os.path.join(self.root, row[1]), "rb") as f:
+                        row = (*row[:5], f.read(self.bounds["bytes"]))
+                except OSError as e:
+                    row = ("unreadable", f"{row[1]}: {e.strerror}", None, None, 1, None)
+            yield row
+
     def read(self, partition: Part):
-        yield from partition.rows
+        yield from self._filled(partition.rows)
         if not partition.folder:
             return
         visit, todo = _Visit(self.root, self.bounds), [(partition.folder, partition.depth)]
         while todo and not visit.stopped:
             folder, depth = todo.pop()
             rows, below = visit.one(folder, depth, partition.budget)
-            yield from rows
+            yield from self._filled(rows)
             todo += [(x, depth + 1) for x in reversed(below)]
         yield from visit.notes()
 
 
 class WalkSource(DataSource):
-    """``spark.read.format("bounded_walk").load(root)``; options maxBytes, maxDepth, maxEntries, seconds.
+    """``spark.read.format("bounded_walk").load(root)``; options maxBytes, maxDepth, maxEntries,
+    seconds, content (whether the files are read).
 
     Rows of kind ``file`` have path (below the root), size and mtime_ms. All others say what is missing:
     ``links`` (n that were not followed), ``depth`` (n directories too deep), ``unreadable`` (with its path), ``entries`` and
