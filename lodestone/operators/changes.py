@@ -89,13 +89,20 @@ def composed(first: DataFrame, then: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rename_plan(refs: DataFrame, symbol_id: str, new_name: str) -> DataFrame:
-    """The edits that a rename needs; nothing is written."""
-    return refs.where(F.col("symbol_id") == symbol_id).select("file", F.col("start").alias("begin"), (F.col("start") + F.length("symbol")).alias("end"), F.lit(new_name).alias("text"))
+    """The edits that a rename needs; nothing is written. A reference that is spelled otherwise (column
+    ``spelled``, where there is one: an alias) stays, a re-export keeps the name that others know, and
+    files of packages are not edited."""
+    mine = refs.where((F.col("symbol_id") == symbol_id) & ~F.contains(F.col("file"), F.lit("node_modules/")))
+    if "spelled" in refs.columns:
+        mine = mine.where(F.coalesce(F.col("spelled") == F.col("symbol"), F.lit(True)))
+    text = F.when(F.col("role") == "reexport", F.concat(F.lit(f"{new_name} as "), F.col("symbol"))).otherwise(new_name) if "role" in refs.columns else F.lit(new_name)
+    return mine.select("file", F.col("start").alias("begin"), (F.col("start") + F.length("symbol")).alias("end"), text.alias("text"))
 
 
 def rename_survivors(refs: DataFrame, plan: DataFrame) -> DataFrame:
-    """References in files that a plan does not touch."""
-    return refs.join(plan.select("file"), "file", "left_anti")
+    """References in files that a plan does not touch and that have the old name (where ``spelled`` tells)."""
+    left = refs.join(plan.select("file").distinct(), "file", "left_anti")
+    return left.where(F.coalesce(F.col("spelled") == F.col("symbol"), F.lit(True))) if "spelled" in refs.columns else left
 
 
 def move_plan(imports: DataFrame, source: str, dest: str) -> DataFrame:

@@ -19,7 +19,7 @@ from lodestone.functions.paths import kept
 from lodestone.functions.values import key_match, template_head
 from lodestone.operators import cascade, catalogue, changes, dead, facts as types, graph, modules, usages
 from lodestone.plans.envelope import Envelope, Failure, cap_list
-from lodestone.plans.intake import normalised
+from lodestone.plans.intake import normalised, target
 from lodestone.plans.sqlbatch import BatchResult, Request, first_line, run_batch
 
 # Kinds of symbols that are called or constructed.
@@ -58,6 +58,13 @@ def projected(df: DataFrame, table: str) -> DataFrame:
     return df.select(*out)
 
 
+# Rows of an answer unless the call says otherwise; producers under SQL have no such limit.
+DEFAULT_LIMITS = {"search_symbol": 25, "find_usages": 200, "importers_of": 200, "find_unused_i18n_keys": 200}
+#: Operations whose own order a limit keeps; others are cut in the order of their columns.
+RANKED = frozenset(["search_symbol"])
+_DEFAULT = -1
+
+
 @dataclass
 class Op:
     run: Callable[..., Envelope]
@@ -88,16 +95,51 @@ class Engine:
     def __getitem__(self, name: str) -> DataFrame:
         return self.facts[name]
 
-    def run(self, name: str, limit: int | None = None, **args) -> Envelope:
-        """One operation. Unknown names, unknown arguments, missing facts and errors are failures as data."""
+    def _addressed(self, text: str, known: set[str]) -> dict:
+        """Arguments of an operation for a target as callers write it: an id, a place or a name."""
+        at = target(text)
+        if set(at) - {"col"} <= known:
+            return {k: v for k, v in at.items() if k in known}
+        if "symbols" in known and "name" in at:
+            return {"symbols": [at["name"]]}
+        if "symbol_id" in at:
+            where = F.col("id") == at["symbol_id"]
+        elif "name" in at:
+            where = F.col("name") == at["name"]
+        else:
+            where = (F.col("file") == at["file"]) & (F.col("line") == at["line"]) & ((F.col("col") == at["col"]) if "col" in at else F.lit(True))
+        found = self.facts["symbols"].where(where).select("id", "name").distinct().orderBy("id").limit(21).collect() if "symbols" in self.facts else []
+        if not found and "symbol_id" in at:
+            found = [{"id": text, "name": None}]
+        if not found:
+            raise ValueError(f"no symbol {'named' if 'name' in at else 'at'} {text}")
+        for argument, column, several in (("symbols", "name", True), ("symbol_ids", "id", True), ("symbol_id", "id", False), ("type_id", "id", False)):
+            if argument in known:
+                values = sorted({r[column] for r in found if r[column] is not None})
+                if len(values) != 1 and not several:
+                    raise ValueError(f"{text} is ambiguous: " + ", ".join(values[:20]))
+                return {argument: values if several else values[0]}
+        raise ValueError("this operation takes no target")
+
+    def run(self, name: str, /, limit: int | None = _DEFAULT, **args) -> Envelope:
+        """One operation. Unknown names, unknown arguments, missing facts and errors are failures as data.
+
+        ``target`` may stand for the arguments that name a symbol: an id, ``file:line[:col]`` or a name.
+        Without a ``limit`` that of DEFAULT_LIMITS holds; None: none."""
         if name not in OPS:
             return Envelope(failure=Failure("unknown_op", f"{name}; there are {', '.join(sorted(OPS))}"))
         o = OPS[name]
         known = set(inspect.signature(o.run).parameters) - {"e"}
         taken = normalised(args, own=known)
         args = taken.args
+        limit = DEFAULT_LIMITS.get(name) if limit == _DEFAULT else limit
         if gone := [f for f in o.needs if f not in self.facts]:
             return Envelope(failure=Failure("unavailable", f"{name} needs {', '.join(gone)}"))
+        if isinstance(args.get("target"), str) and "target" not in known:
+            try:
+                args = {k: v for k, v in args.items() if k != "target"} | self._addressed(args["target"], known)
+            except ValueError as x:
+                return Envelope(failure=Failure("bad_args", first_line(x)))
         if extra := set(args) - known:
             return Envelope(failure=Failure("bad_args", f"{name} does not take {', '.join(sorted(extra))}; it takes {', '.join(sorted(known))}"))
         try:
@@ -112,7 +154,7 @@ class Engine:
         if got.ok and o.table:
             got.df = projected(got.df, o.table)
         if got.ok and limit is not None:
-            cut = cap_list(got.df, limit, *[F.col(f"`{c}`") for c in got.df.columns])
+            cut = cap_list(got.df, limit, *([] if name in RANKED else [F.col(f"`{c}`") for c in got.df.columns]))
             got.df, got.truncated = cut.df, cut.truncated
         return got
 
@@ -132,7 +174,7 @@ def cross_root_sql(requests: Sequence[tuple[Engine, str, str | None, dict]], sql
 
     def produce(e: Engine, name: str, args: dict):
         def go() -> Envelope:
-            got = e.run(name, **{k: v for k, v in args.items() if k != "limit"})
+            got = e.run(name, None, **{k: v for k, v in args.items() if k != "limit"})
             if not got.ok:
                 raise ValueError(got.failure.message)
             if several:
@@ -145,6 +187,14 @@ def cross_root_sql(requests: Sequence[tuple[Engine, str, str | None, dict]], sql
     return run_batch(requests[0][0].spark, [Request(n, produce(e, n, args), alias, tabular(n)) for e, n, alias, args in requests], sql, **bounds)
 
 
+def _absent(e: Engine) -> str:
+    """What to add where nothing was found but programs are left out."""
+    if not e.undiscovered:
+        return ""
+    more = len(e.undiscovered) - 3
+    return f"; it may be declared in programs that are not loaded: {', '.join(e.undiscovered[:3])}" + (f" and {more} more" if more > 0 else "")
+
+
 def _counted_filter(df: DataFrame, include: Sequence[str], exclude: Sequence[str], notes: list[str]) -> DataFrame:
     """The path filter; what it drops is counted and said."""
     if not include and not exclude:
@@ -160,6 +210,13 @@ def _counted_filter(df: DataFrame, include: Sequence[str], exclude: Sequence[str
 def search_symbol(e, query, kind=None, exported_only=False, include=(), exclude=()):
     notes: list[str] = []
     found = catalogue.search_symbol(e["symbols"], query, kind, exported_only)
+    if not found.limit(1).count():
+        notes.append(f"no symbol matches {query}" + _absent(e))
+        stem = F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")
+        named = e["symbols"].where(F.lower(stem) == query.lower()).select("file").distinct()
+        if files := [r["file"] for r in named.orderBy("file").limit(3).collect()]:
+            more = named.count() - len(files)
+            notes.append(f"files have that name: {', '.join(files)}" + (f" and {more} more" if more else "") + "; find_definition takes a file")
     return Envelope(_counted_filter(found, include, exclude, notes).withColumn("confidence", F.lit("certain")).orderBy(~F.coalesce("real_decl", F.lit(True)), "rank", "file", "line"), notes=notes)
 
 
@@ -431,12 +488,34 @@ def impact(e, symbol_ids, depth=3, nodes=200, kind=None, exported_only=False, in
     return got
 
 
+# Endings of files that take part in imports.
+PROGRAM_FILES = r"\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs)$"
+
+
 @op("affected", "imports")
 def affected(e, files, depth=25, nodes=1000, test_globs=graph.TEST_GLOBS, deleted=()):
+    """Tests of the changed files. What can't be followed makes the answer a lower bound, and is named."""
     changed = e.spark.createDataFrame([(f,) for f in files], "file string")
     gone = e.spark.createDataFrame([(f,) for f in deleted], "file string") if deleted else None
     tests, c = graph.affected_tests(e["imports"], changed, test_globs, gone, min(depth, 50), min(nodes, 5000))
-    return _closed(c, tests)
+    outside = sorted(r["file"] for r in changed.where(~F.col("file").rlike(PROGRAM_FILES)).collect())
+    lazy = 0
+    if "dynamic" in e["imports"].columns:
+        reached = c.nodes.select("node").unionByName(changed.select(F.col("file").alias("node"))).distinct()
+        lazy = e["imports"].where("dynamic and resolved is null").limit(1).count() if not reached.isEmpty() else 0
+    notes = [f"depth {r['depth']}: {r['n']}" for r in graph.by_depth(c.nodes).orderBy("depth").collect()]
+    if c.capped:
+        notes.append(f"!! a lower bound: capped by {c.capped}, at least {c.frontier_left} files are not followed; run all tests")
+    for given, why in ((sorted(deleted), "are deleted, so what imported them can't be followed"), (outside, "take no part in imports (other kinds of files)")):
+        if given:
+            notes.append(f"!! a lower bound: {len(given)} changed files {why}: {', '.join(given[:5])}" + (f" and {len(given) - 5} more" if len(given) > 5 else ""))
+    if lazy:
+        notes.append("imports of computed paths are not followed")
+    notes.append(f"tests are told by their paths: {', '.join(test_globs)}")
+    got = Envelope(tests, notes=notes)
+    got.complete = c.capped is None and not deleted and not outside and not e.undiscovered
+    notes.append("complete" if got.complete else "incomplete")
+    return got
 
 
 @op("impact_type_error", "diagnostics", "diagnostics_after")
@@ -479,10 +558,16 @@ def trace_type_widening(e, node, depth=16, nodes=200):
 
 @op("rename_symbol", "refs")
 def rename_symbol(e, symbol_id, new_name):
-    """The edits of a rename, as rows; nothing is written."""
+    """The edits of a rename, as rows; nothing is written. What keeps the old name is said."""
     plan = changes.rename_plan(e["refs"], symbol_id, new_name)
     over = changes.edit_conflicts(plan).count()
-    return Envelope(plan, notes=[f"{over} edits overlap"] if over else [])
+    notes = [f"{over} edits overlap"] if over else []
+    aliases = plan.where(F.contains("text", F.lit(" as "))).count()
+    left = changes.rename_survivors(e["refs"].where(F.col("symbol_id") == symbol_id), plan)
+    names = sorted(r["file"] for r in left.select("file").distinct().limit(4).collect())
+    if aliases or names:
+        notes.append(f"the old name stays: {aliases} re-exports keep it as an alias" + (f", {left.count()} references in files that are not edited have it: {', '.join(names[:3])}" if names else ""))
+    return Envelope(plan, notes=notes)
 
 
 @op("move_file", "imports")

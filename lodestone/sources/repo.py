@@ -186,7 +186,8 @@ def styles(files: DataFrame) -> DataFrame:
 
 
 _CLASS = r"\.(-?[A-Za-z_][\w-]*)"
-_NO_GLOBAL = r":global\([^)]*\)"
+# ``:global(..)``, and what stands behind a bare ``:global`` (also by nesting).
+_NO_GLOBAL = r":global\([^)]*\)|:global(?![\w(-]).*$"
 
 
 def css_rules(sheets: DataFrame) -> DataFrame:
@@ -257,7 +258,7 @@ def css_accesses(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def class_names(rules: DataFrame) -> DataFrame:
     """(file, name): classes that selectors name outside ``:global(..)``."""
-    bare = F.regexp_replace("selector", r":global\([^)]*\)", "")
+    bare = F.regexp_replace("selector", _NO_GLOBAL, "")
     return rules.select("file", F.explode(F.regexp_extract_all(bare, F.lit(r"\.(-?[A-Za-z_][\w-]*)"), F.lit(1))).alias("name")).distinct()
 
 

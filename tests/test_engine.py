@@ -130,3 +130,50 @@ def test_sql_over_operations(engine):
     assert "no table" in engine.sql([("impact", None, {"symbol_ids": ["id:A"]})], "SELECT 1").sql.failure.message
     both = cross_root_sql([(engine, "search_symbol", "a", {"query": "A"}), (engine, "find_unused_exports", "b", {})], "SELECT a.name FROM a JOIN b ON a.name = b.name")
     assert [r[0] for r in both.sql.df.collect()] == ["Az"]
+
+
+def test_targets_limits_and_hints(engine):
+    assert [r["name"] for r in engine.run("find_definition", target="Input").df.collect()] == [r["name"] for r in engine.run("find_definition", name="Input").df.collect()]
+    by_name, by_target = engine.run("find_usages", symbols=["Input"]), engine.run("find_usages", target="Input")
+    assert by_target.ok and by_target.df.count() == by_name.df.count() > 0
+    assert engine.run("impact", target="id:nobody").failure.message == "no symbol named id:nobody"
+    first = engine["symbols"].where("name = 'Input'").first()
+    at = engine.run("impact", target=f"{first['file']}:{first['line']}")
+    assert at.ok and at.df.count() == engine.run("impact", symbol_ids=[first["id"]]).df.count()
+    assert engine.run("list_endpoints", target="a.tsx:1").failure.code == "bad_args"
+    many = engine.spark.range(60).selectExpr("concat('i', id) id", "concat('name', id) name", "'const' kind", "cast(null as string) container", "'names.ts' file", "cast(id as int) line", "1 col", "true exported", "false callable", "true real_decl", "'c' config")
+    from lodestone.plans.engine import Engine
+
+    e = Engine(engine.spark, {"symbols": many}, undiscovered=["a.json", "b.json", "c.json", "d.json"])
+    cut = e.run("search_symbol", query="name")
+    assert cut.df.count() == 25 and cut.truncated.total == 60 and e.run("search_symbol", None, query="name").df.count() == 60
+    with e.sql([("search_symbol", "s", {"query": "name"})], "SELECT count(*) AS n FROM s") as got:
+        assert got.sql.df.first()["n"] == 60
+    none = e.run("search_symbol", query="names")
+    assert any("files have that name: names.ts" in n for n in none.notes) and any("and 1 more" in n for n in none.notes)
+
+
+def test_affected_names_what_it_can_not_follow(engine):
+    got = engine.run("affected", files=["i.tsx", "logo.svg"], deleted=["old.ts"])
+    assert not got.complete and any("1 changed files are deleted" in n and "old.ts" in n for n in got.notes) and any("logo.svg" in n for n in got.notes)
+    assert engine.run("affected", files=["i.tsx"]).complete
+
+
+def test_renames_say_where_the_old_name_stays(spark):
+    from lodestone.plans.engine import Engine
+
+    rows = [("s", "old", "a.ts", 5, "decl", "old"), ("s", "old", "b.ts", 9, "reexport", "old"), ("s", "old", "c.ts", 1, "call", "alias"), ("s", "old", "node_modules/p/d.ts", 3, "call", "old")]
+    e = Engine(spark, {"refs": spark.createDataFrame(rows, "symbol_id string, symbol string, file string, start int, role string, spelled string")})
+    out = e.run("rename_symbol", symbol_id="s", new_name="new")
+    assert sorted((r["file"], r["begin"], r["end"], r["text"]) for r in out.df.collect()) == [("a.ts", 5, 8, "new"), ("b.ts", 9, 12, "new as old")]
+    assert out.notes == ["the old name stays: 1 re-exports keep it as an alias, 1 references in files that are not edited have it: node_modules/p/d.ts"]
+
+
+def test_global_blocks_have_no_classes_of_their_own(spark):
+    from lodestone.sources import repo
+
+    text = ".a { :global { .g { top: 1px } } } :global { .h { top: 1px } } :global .i { top: 1px } .b :global(.j) { top: 1px } .k:global(.l).m { top: 1px }"
+    files = spark.createDataFrame([("s.scss", bytearray(text, "utf-8"))], "path string, content binary")
+    styles = repo.styles(files)
+    assert {r["name"] for r in repo.css_classes(styles).where("not global").collect()} == {"a", "b", "k", "m"}
+    assert {r["name"] for r in repo.class_names(styles).collect()} == {"a", "b", "k", "m"}
