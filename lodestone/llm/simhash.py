@@ -481,28 +481,34 @@ class Candidates:
         found = _in_trees(self.fit.withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS)
         return (found if self.of is None else found.unionAll(_oversized_links(self.of, self.tree))).distinct()
 
-    def more(self, failed: DataFrame, labels, compare) -> None:
-        """``failed``: compared pairs between members that stayed apart; ``labels()`` gives the (node, component)
-        of now, ``compare(pairs)`` compares pairs (a, b) and takes them up. Only shards that have both of
-        a failed pair are searched again."""
-        ids = materialised(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        places = materialised(self.keyed.select("g", "id").join(ids, "id"))
-        both = failed.join(places.select(F.col("id").alias("a"), "g"), "a").join(places.select(F.col("id").alias("b"), "g"), ["b", "g"])
-        shards = materialised(both.select("g").distinct())
-        rows = materialised(self.fit.join(shards, "g", "left_semi").select("g", "id", *_words(WIDE)))
-        if self.of is not None:
-            hit = self.of.join(shards, "g", "left_semi")
-            again = materialised(hit.join(ids, "id", "left_semi"))
-            if again.limit(1).count():
-                compare(_rest_links(hit, again.select("g", "id", *_words(WIDE)), self.tree).distinct())
+    def more(self, tested: DataFrame, labels, compare) -> None:
+        """What failed pairs stood for. ``tested``: the pairs of ``first``; ``labels()`` gives the (node, component) that
+        the good ones make by now, ``compare(pairs)`` compares pairs (a, b) and takes them up.
+
+        A lost pair lies in one component of the tested pairs, and only in one that the good pairs don't
+        connect. Such a component of up to ``tree`` members is searched as a whole, a larger one by its
+        shards, and from oversized shards those members meet the others whose pair has failed.
+        """
+        near = components(tested).select(F.col("node").alias("id"), F.col("component").alias("near"))
+        known = labels().select(F.col("node").alias("id"), "component")
+        sides = near.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = sides.groupBy("near").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+        ids = materialised(near.join(open_.select("near", "n"), "near").select("id", "near", "n"))
+        rows = self.sets.join(ids.where(F.col("n") <= self.tree), "id").select(F.col("near").alias("g"), "id", *_words(WIDE))
+        if ids.where(F.col("n") > self.tree).limit(1).count():
+            large = ids.where(F.col("n") > self.tree).select("id", "near")
+            rows = rows.unionByName(self.fit.join(large, "id").select(F.xxhash64("g", "near").alias("g"), "id", *_words(WIDE)))
+            if self.of is not None:
+                apart = tested.join(known.select(F.col("id").alias("a"), F.col("component").alias("_a")), "a", "left").join(known.select(F.col("id").alias("b"), F.col("component").alias("_b")), "b", "left")
+                failed = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+                compare(_rest_links(self.of, self.of.join(failed, "id", "left_semi").select("g", "id", *_words(WIDE)), self.tree).distinct())
+        rows = materialised(rows)
         for low, high in zip((0, *ROUNDS), ROUNDS):
-            known = labels().select(F.col("node").alias("id"), "component")
-            named = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            now = labels().select(F.col("node").alias("id"), "component")
+            named = rows.join(now, "id", "left").withColumn("component", F.coalesce("component", "id"))
             dealt = named.repartition("g").sortWithinPartitions("g", "id").select("g", "id", "component", *_words(WIDE))
             found = materialised(dealt.mapInArrow(_windowed(low, high), "a long, b long").distinct())
-            pairs = found.where("a is not null")
-            if pairs.limit(1).count():
-                compare(pairs)
+            compare(found.where("a is not null"))
             if not found.where("a is null").limit(1).count():
                 return
 
@@ -550,13 +556,17 @@ def _compared(words):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of sets (id, one: doc_id and h of a row with that set) whose texts have an
-    exact Jaccard similarity of 4/5 or more of their distinct shingles."""
+def _texts_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, z): the compressed text of one row for each set in ``pairs`` (sets: id, one: doc_id and h of a row)."""
     nodes = materialised(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "one.*"), "id"))
     n = nodes.count()
     texts = rows.join(F.broadcast(nodes) if n <= BROADCAST else nodes, ["doc_id", "h"]).select("id", "text").mapInArrow(_zipped, "id long, z binary").dropDuplicates(["id"])
-    texts = materialised(texts)
+    return materialised(texts)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose ``texts`` have an exact Jaccard similarity of 4/5 or more of their distinct
+    shingles."""
     side = lambda c: texts.select(F.col("id").alias(c), F.col("z").alias(f"{c}_z"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_z", "b_z").mapInArrow(_compared(words), "a long, b long")
 
@@ -564,8 +574,10 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) ->
 def _alike(sets: DataFrame, texts: DataFrame, words: int, tree: int) -> DataFrame:
     """(node, component) of the sets that link by their exact similarity."""
     search = Candidates(sets.where("n > 0"), tree)
-    tested = materialised(search.first())
-    good = materialised(verified(tested, sets, texts, words))
+    first = tested = materialised(search.first())
+    # Whatever is compared later has been in a pair of these.
+    own = _texts_of(first, sets, texts)
+    good = materialised(verified(first, own, words))
     joined = components(good)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -579,14 +591,13 @@ def _alike(sets: DataFrame, texts: DataFrame, words: int, tree: int) -> DataFram
         if not new.limit(1).count():
             return
         tested = materialised(tested.unionAll(new))
-        found = materialised(verified(new, sets, texts, words))
+        found = materialised(verified(new, own, words))
         if found.limit(1).count():
             good = materialised(good.unionAll(found))
             joined = components(good)
 
-    failed = materialised(apart(tested))
-    if failed.limit(1).count():
-        search.more(failed, lambda: joined, compare)
+    if apart(first).limit(1).count():
+        search.more(first, lambda: joined, compare)
     return joined
 
 
