@@ -31,6 +31,8 @@ WIDE, WIDE_RADIUS, WIDE_MEAN, MISSED, LEAST_TABLES = 4, 64, 40, 0.01, 24
 PIVOTS, PEELS = 256, 4
 #: Links of a member that are compared in each round after a link that stood for them failed.
 ROUNDS = (8, 64, 512, 1 << 62)
+#: Links that a search of what failed pairs stood for holds at a time.
+LINKS = 1 << 22
 
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:, None]
@@ -446,17 +448,22 @@ def _windowed(low: int, high: int):
     def run(batches):
         for g, ids, label, *w in _slabs(batches, ["g", "id", "component", *_words(WIDE)]):
             group, values = _numbered(g), np.stack(w, axis=1).view(np.uint64)
-            every = np.ones(len(ids), bool)
-            a, b, d = _tree_links(group, values, every, every, WIDE_RADIUS)
-            x, y, e = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-            order = np.lexsort((ids[y], e, x))
-            x, y = x[order], y[order]
-            first = np.searchsorted(x, x)
-            rank, cross = np.arange(len(x)) - first, label[x] != label[y]
-            some = cross & (rank >= low) & (rank < high)
-            yield _edges(ids, x[some], y[some], None)
-            if (cross & (rank >= high)).any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+            sizes = np.bincount(group)
+            # Groups at a time that can't have more than LINKS links together, one at least.
+            part = (np.cumsum(sizes**2) // LINKS)[group]
+            for p in np.unique(part):
+                some = part == p
+                own, v, i, c = group[some] - group[some][0], values[some], ids[some], label[some]
+                every = np.ones(len(i), bool)
+                a, b, d = _tree_links(own, v, every, every, WIDE_RADIUS)
+                x, y, e = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+                order = np.lexsort((i[y], e, x))
+                x, y = x[order], y[order]
+                rank, cross = np.arange(len(x)) - np.searchsorted(x, x), c[x] != c[y]
+                some = cross & (rank >= low) & (rank < high)
+                yield _edges(i, x[some], y[some], None)
+                if (cross & (rank >= high)).any():
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     return run
 
