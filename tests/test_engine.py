@@ -133,11 +133,11 @@ def test_sql_over_operations(engine):
 
 
 def test_targets_limits_and_hints(engine):
-    assert [r["name"] for r in engine.run("find_definition", target="Input").df.collect()] == [r["name"] for r in engine.run("find_definition", name="Input").df.collect()]
+    assert [r["name"] for r in engine.run("find_definition", target="A").df.collect()] == [r["name"] for r in engine.run("find_definition", name="A").df.collect()] == ["A"]
     by_name, by_target = engine.run("find_usages", symbols=["Input"]), engine.run("find_usages", target="Input")
     assert by_target.ok and by_target.df.count() == by_name.df.count() > 0
     assert engine.run("impact", target="id:nobody").failure.message == "no symbol named id:nobody"
-    first = engine["symbols"].where("name = 'Input'").first()
+    first = engine["symbols"].where("name = 'A'").first()
     at = engine.run("impact", target=f"{first['file']}:{first['line']}")
     assert at.ok and at.df.count() == engine.run("impact", symbol_ids=[first["id"]]).df.count()
     assert engine.run("list_endpoints", target="a.tsx:1").failure.code == "bad_args"
