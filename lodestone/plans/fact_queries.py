@@ -269,3 +269,132 @@ def composed_edits(spark, sf):
     if conflicts.limit(1).count():
         raise ValueError("plans of one order overlap")
     return plan.select("file", "begin", "end", "text")
+
+
+_OWN = """
+WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_custkey % 9 AS f, c_custkey % 5 AS k, c_custkey % 4 AS p, c_nationkey AS n FROM customer),
+up AS (SELECT id, parent AS at FROM c WHERE parent IS NOT NULL UNION ALL SELECT up.id, c.parent FROM up JOIN c ON c.id = up.at WHERE c.f <> 0 AND c.parent IS NOT NULL),
+own AS (SELECT up.id, up.at AS owner FROM up JOIN c ON c.id = up.at WHERE c.f = 0)"""
+
+
+@register("query_registry_edges", _OWN + """
+SELECT owner AS mutation_id, c.id, CASE f WHEN 3 THEN 'invalidateQueries' WHEN 4 THEN 'refetchQueries' ELSE 'removeQueries' END AS method, p IN (0, 3) AS is_all, p = 2 AS is_exact, p = 3 AS narrowed,
+  CASE k WHEN 1 THEN 'todos.' || n WHEN 2 THEN 'todos.*' WHEN 3 THEN 'k' || n END AS key, CASE WHEN k = 4 THEN 'call' END AS opaque, CASE k WHEN 0 THEN 'unresolved' WHEN 4 THEN 'dynamic' WHEN 2 THEN 'partial' ELSE 'certain' END AS confidence
+FROM c JOIN own USING (id) WHERE f IN (3, 4, 5)""")
+def query_registry_edges(spark, sf):
+    """Customers as a tree of calls: the invalidations and the mutation around each, with keys and filters of
+    every kind."""
+    from lodestone.operators import classify
+
+    c, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    names = {0: "useMutation", 1: "useQuery", 2: "useInfiniteQuery", 3: "invalidateQueries", 4: "refetchQueries", 5: "removeQueries"}
+    callee = F.element_at(F.create_map(*[F.lit(x) for i in range(9) for x in (i, names.get(i, "other"))]), (c % 9).cast("int"))
+    part = lambda kind, value=None: F.struct(F.lit(kind).alias("kind"), (F.lit(value).cast("string") if value is None or isinstance(value, str) else value).alias("value"))
+    shape_kind = "struct<kind:string,value:string,elements:array<struct<kind:string,value:string>>>"
+    shape = lambda kind, value, elements: F.struct(F.lit(kind).alias("kind"), value.alias("value"), elements.alias("elements")).cast(shape_kind)
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<struct<kind:string,value:string>>")
+    key = (
+        F.when(c % 5 == 1, shape("array", none, F.array(part("string", "todos"), part("number", n)))).when(c % 5 == 2, shape("array", none, F.array(part("string", "todos"), part("identifier"))))
+        .when(c % 5 == 3, shape("string", F.concat(F.lit("k"), n), empty)).when(c % 5 == 4, shape("call", none, empty))
+    )
+    prop = lambda *xs: F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("kind"), F.lit(v).alias("value")) for a, b, v in xs])
+    props = F.when(c % 4 == 1, prop(("queryKey", "array", ""))).when(c % 4 == 2, prop(("queryKey", "array", ""), ("exact", "boolean", "true"))).when(c % 4 == 3, prop(("predicate", "function", "")))
+    calls = _t(spark, sf, "customer").select(c.alias("id"), F.when(c > 1, F.floor(c / 2)).alias("parent"), callee.alias("callee"), F.lit("h").alias("host"), F.lit("f").alias("file"), F.lit(1).alias("line"), key.alias("key"), props.alias("props"))
+    edges = classify.query_registries(calls)[2]
+    shown = F.when(F.col("segments").isNotNull(), F.array_join(F.transform("segments", lambda s: F.coalesce(s["value"], F.lit("*"))), "."))
+    return edges.select("mutation_id", "id", "method", "is_all", "is_exact", "narrowed", shown.alias("key"), "opaque", "confidence")
+
+
+_PASSES = """SELECT 'C' || (l_partkey % 50) || '#p' || (l_suppkey % 3) AS src, 'C' || (l_orderkey % 50) || '#p' || (l_linenumber % 3) AS dst,
+  min(CASE WHEN l_returnflag = 'A' AND l_suppkey % 3 = l_linenumber % 3 THEN '0explicit' WHEN l_returnflag = 'A' THEN '1explicit' WHEN l_returnflag = 'N' THEN '1renamed' WHEN l_linestatus = 'O' THEN '2spread' ELSE '3derived' END) AS w
+  FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2"""
+
+
+@register("prop_chain", f"""
+WITH RECURSIVE e AS (SELECT src, dst, substr(w, 2) AS how FROM ({_PASSES}) WHERE src <> dst),
+w AS (SELECT 'C0#p0' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN e ON e.src = w.node WHERE how IN ('explicit', 'renamed') AND depth < 4), m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
+SELECT src AS "from", CASE how WHEN 'explicit' THEN 'passes' WHEN 'renamed' THEN 'renames' WHEN 'spread' THEN 'spreads' ELSE 'derives' END AS relation, dst AS "to", CASE how WHEN 'explicit' THEN 'partial' ELSE 'dynamic' END AS confidence,
+  CAST(depth + 1 AS INTEGER) AS depth FROM m JOIN e ON src = node WHERE depth < 4""")
+def prop_chain(spark, sf):
+    """Line items as passes of three props among fifty components, four steps from one of them."""
+    number = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    how = F.when(F.col("l_returnflag") == "A", "explicit").when(F.col("l_returnflag") == "N", "renamed").when(F.col("l_linestatus") == "O", "spread").otherwise("derived")
+    passes = _t(spark, sf, "lineitem").where("l_quantity >= 49").select(
+        number("C", F.col("l_partkey") % 50).alias("component"), number("p", F.col("l_suppkey") % 3).alias("prop"), number("C", F.col("l_orderkey") % 50).alias("child"), number("p", F.col("l_linenumber") % 3).alias("child_prop"), how.alias("how")
+    )
+    chain = graph.prop_trace(passes, spark.createDataFrame([("C0", "p0")], "component string, prop string"), 4, None)
+    return chain.hops.select("from", "relation", "to", "confidence", "depth")
+
+
+@register("type_widening", """
+WITH RECURSIVE f AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'passed-to' WHEN 1 THEN 'assigned-to' ELSE 'returned-from' END AS relation,
+  CASE WHEN l_tax > 0.07 THEN 'to-any' WHEN l_discount > 0.05 THEN 'narrowing-lost' END AS verdict FROM lineitem WHERE l_quantity >= 30),
+w AS (SELECT (SELECT min(src) FROM f) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN f ON src = node WHERE depth < 3 AND relation <> 'returned-from' AND verdict IS DISTINCT FROM 'to-any'),
+m AS (SELECT DISTINCT node FROM w)
+SELECT DISTINCT src, relation, dst, verdict, CASE verdict WHEN 'to-any' THEN 'dynamic' ELSE 'certain' END AS confidence FROM f WHERE src IN (SELECT node FROM m)""")
+def type_widening(spark, sf):
+    """Parts and suppliers as places of values, line items as flows; those that erase a type end the walk."""
+    relation = F.element_at(F.array(F.lit("passed-to"), F.lit("assigned-to"), F.lit("returned-from")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    flows = _t(spark, sf, "lineitem").where("l_quantity >= 30").select(
+        F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), relation.alias("relation"), (F.col("l_discount") > 0.05).alias("forward"), F.lit(False).alias("backward"), (F.col("l_tax") > 0.07).alias("sink_any")
+    )
+    rows, _ = graph.trace_widening(flows, flows.agg(F.min("src").alias("node")), 3, None)
+    return rows.select("src", "relation", "dst", "verdict", "confidence")
+
+
+@register("field_reads", """
+SELECT l_partkey AS field, CASE WHEN l_linenumber % 6 < 2 THEN 'rendered-in' WHEN l_linenumber % 6 < 4 THEN 'passed-to' ELSE 'destructured-at' END AS relation, l_orderkey AS site,
+  CASE WHEN l_linenumber % 6 < 2 THEN 'certain' ELSE 'partial' END AS confidence
+FROM lineitem WHERE l_returnflag <> 'R' AND (l_linenumber % 6 < 4 OR l_returnflag = 'A')""")
+def field_reads(spark, sf):
+    """Line items as reads and writes of a field, by where they stand."""
+    n = F.col("l_linenumber") % 6
+    position = F.element_at(F.array(*[F.lit(x) for x in ("intrinsic-child", "intrinsic-attr", "value-child", "value-attr", "other", "other")]), (n + 1).cast("int"))
+    role = F.when(F.col("l_returnflag") == "R", "write").when(F.col("l_returnflag") == "A", "destructure").otherwise("read")
+    return graph.trace_field(_t(spark, sf, "lineitem").select(F.col("l_partkey").alias("field"), F.col("l_orderkey").alias("site"), position.alias("position"), role.alias("role")))
+
+
+@register("selector_specificity", """
+WITH s AS (SELECT p_partkey AS k, p_partkey % 3 AS i, p_partkey % 4 AS c, p_size % 6 AS v FROM part)
+SELECT k, repeat('#a', i::INT) || repeat('.b', c::INT) || ' div' || CASE v WHEN 0 THEN ':hover' WHEN 1 THEN '::before' WHEN 2 THEN ':not(.x, #y)' WHEN 3 THEN ':where(#z .w)' WHEN 4 THEN '[href="#q"]' ELSE ' > p:is(.m, li)' END AS selector,
+  CAST(i + CASE WHEN v = 2 THEN 1 ELSE 0 END AS INTEGER) AS a, CAST(c + CASE WHEN v IN (0, 4, 5) THEN 1 ELSE 0 END AS INTEGER) AS b, CAST(1 + CASE WHEN v IN (1, 5) THEN 1 ELSE 0 END AS INTEGER) AS c FROM s""")
+def selector_specificity(spark, sf):
+    """Selectors put together from numbers of parts, and how specific they are."""
+    from lodestone.operators.cascade import specificity_of
+
+    ends = (":hover", "::before", ":not(.x, #y)", ":where(#z .w)", '[href="#q"]', " > p:is(.m, li)")
+    selector = F.concat(F.expr("repeat('#a', int(p_partkey % 3))"), F.expr("repeat('.b', int(p_partkey % 4))"), F.lit(" div"), F.element_at(F.array(*[F.lit(x) for x in ends]), (F.col("p_size") % 6 + 1).cast("int")))
+    rows = _t(spark, sf, "part").select(F.col("p_partkey").alias("k"), selector.alias("selector"))
+    return rows.withColumn("s", specificity_of("selector")).select("k", "selector", "s.a", "s.b", "s.c")
+
+
+@register("rename_edits", """
+WITH r AS (SELECT 's' || l_partkey AS symbol, l_partkey AS k, CASE WHEN l_suppkey % 7 = 0 THEN 'node_modules/f' ELSE 'f' END || l_suppkey AS file, l_orderkey AS start, l_returnflag AS f, l_linestatus = 'O' AS plain FROM lineitem)
+SELECT file, CAST(start AS BIGINT) AS "begin", CAST(start + length(symbol) AS BIGINT) AS "end", CASE f WHEN 'R' THEN 'fresh as ' || symbol ELSE 'fresh' END AS text FROM r WHERE k = 7 AND plain AND file NOT LIKE 'node_modules/%'""")
+def rename_edits(spark, sf):
+    """One part renamed: re-exports keep the old name as an alias, other spellings and packages stay."""
+    symbol = F.concat(F.lit("s"), _text("l_partkey"))
+    file = F.concat(F.when(F.col("l_suppkey") % 7 == 0, "node_modules/f").otherwise("f"), _text("l_suppkey"))
+    refs = _t(spark, sf, "lineitem").select(
+        _text("l_partkey").alias("symbol_id"), symbol.alias("symbol"), file.alias("file"), F.col("l_orderkey").alias("start"), F.when(F.col("l_returnflag") == "R", "reexport").otherwise("call").alias("role"), F.when(F.col("l_linestatus") == "O", symbol).otherwise("alias").alias("spelled")
+    )
+    return changes.rename_plan(refs, "7", "fresh").select("file", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), "text")
+
+
+@register("reference_roles", """
+WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey % 8 AS v, l_returnflag = 'R' AS def, l_linestatus = 'O' AS w FROM lineitem)
+SELECT o, n, p, CASE WHEN def THEN 'decl' WHEN v = 0 THEN 'reexport' WHEN v = 1 THEN 'import' WHEN v = 2 THEN 'jsx' WHEN v = 3 THEN 'jsx-closing' WHEN v = 4 THEN 'type' WHEN v = 5 THEN 'call' WHEN v = 6 THEN 'type' WHEN w THEN 'write' ELSE 'read' END AS role, count(*) AS times
+FROM r GROUP BY ALL""")
+def reference_roles(spark, sf):
+    """Line items as references in statements of every kind, and what each of them is."""
+    from lodestone.operators import classify
+
+    step = lambda kind, named=False: F.struct(F.lit(kind).alias("kind"), F.lit(named).alias("on_name"))
+    around = (
+        [step("Identifier"), step("ExportSpecifier")], [step("ImportSpecifier"), step("ImportDeclaration")], [step("Identifier"), step("JsxSelfClosingElement", True), step("CallExpression")], [step("JsxClosingElement", True)],
+        [step("TypeNode"), step("CallExpression", True)], [step("JsxOpeningElement"), step("NewExpression", True)], [step("PropertySignature", True)], [step("CallExpression"), step("PropertySignature")],
+    )
+    ancestors = F.element_at(F.array(*[F.array(*x) for x in around]), (F.col("l_suppkey") % 8 + 1).cast("int"))
+    role = classify.role(ancestors, F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
+    rows = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), role.alias("role"))
+    return rows.groupBy("o", "n", "p", "role").agg(F.count(F.lit(1)).alias("times"))
