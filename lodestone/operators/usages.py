@@ -6,8 +6,12 @@ program_rank, encloser_id, encloser, encloser_kind, encloser_exported (see FIXTU
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +71,15 @@ def text_hits(lines: DataFrame, word: str, text: str = "text") -> DataFrame:
 
 def text_spans(lines: DataFrame, word: str, text: str = "text") -> DataFrame:
     """Each place of the word in a line, as col (from 1) and end_col (exclusive); always of confidence
-    ``unresolved``."""
-    parts = F.split(F.col(text), word_regex(word), -1)
-    before = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x)) + (n - 1) * len(word) + 1)
-    found = lines.where((F.instr(text, word) > 0) & (F.size(parts) > 1)).withColumn("col", F.explode(before))
-    return found.withColumn("end_col", F.col("col") + len(word)).withColumn("confidence", F.lit("unresolved"))
+    ``unresolved``. A line is scanned once, however often it has the word."""
+    found = re.compile(word_regex(word))
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [m.start() + 1 for m in found.finditer(x)])
+
+    out = lines.where(F.instr(text, word) > 0).withColumn("col", F.explode(places(text)))
+    return out.withColumn("end_col", F.col("col") + len(word)).withColumn("confidence", F.lit("unresolved"))
 
 
 def text_overlay(hits: DataFrame, refs: DataFrame, same: Sequence[str], overlap: Column | None = None) -> DataFrame:
@@ -88,10 +96,6 @@ def _swept(batches):
     """Events sorted by file and place, beginnings of spans (kind 0) before references (1): for each
     reference the least (length, id) among the spans that are open there. What is open is carried from
     batch to batch; a span that has ended leaves once it comes to the top."""
-    import heapq
-
-    import pyarrow as pa
-
     file, open_ = None, []
     for b in batches:
         out: list[tuple] = []

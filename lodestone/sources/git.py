@@ -6,6 +6,8 @@ import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.plans.envelope import Envelope, Truncation
+
 
 def _git(root: str, *args: str) -> str:
     done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True)
@@ -48,7 +50,14 @@ def changed_since(spark: SparkSession, root: str, ref: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in sorted(rows)], "file string")
 
 
+def history(spark: SparkSession, root: str, limit: int = 1000) -> Envelope:
+    """``log``, with the number of all commits where it is cut."""
+    total = int(_git(root, "rev-list", "--count", "HEAD"))
+    return Envelope(log(spark, root, limit), Truncation(limit, total, "raise limit") if total > limit else None)
+
+
 def log(spark: SparkSession, root: str, limit: int = 1000) -> DataFrame:
+    """The last ``limit`` commits; ``history`` says if there are more."""
     rows = [tuple(x.split("\x1f")) for x in _git(root, "log", f"-{limit}", "--format=%H%x1f%an%x1f%aI%x1f%s").splitlines()]
     return spark.createDataFrame(rows, "hash string, author string, date string, subject string")
 

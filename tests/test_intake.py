@@ -38,6 +38,7 @@ def test_git_tables(spark, tmp_path):
     assert [r[0] for r in git.tracked(spark, str(tmp_path)).collect()] == ["a.ts"]
     assert [r[0] for r in git.changed_since(spark, str(tmp_path), "HEAD").collect()] == ["a.ts", "b.ts"]
     assert git.log(spark, str(tmp_path)).first()["subject"] == "first"
+    assert git.history(spark, str(tmp_path)).truncated is None
     assert [r["line"] for r in git.blame(spark, str(tmp_path), "a.ts").orderBy("line").collect()] == [1, 2]
 
 

@@ -168,3 +168,10 @@ def test_refresh_rewrites_the_buckets_of_a_batch(spark, tmp_path):
         refresh.apply_batch(spark, spark.createDataFrame([(f"q{epoch}", epoch, 1, False)], kind), epoch, out, buckets=8)
     assert refresh.versions(spark, out) == [3, 4] and refresh.bucketed(spark, out, facts).count() == 202 - len(bucket)
     assert not (tmp_path / "out/data/v1").exists() and refresh.bucketed(spark, out, facts, 3).count() == 201 - len(bucket)
+
+
+def test_every_place_of_a_word_in_a_long_line(spark):
+    df = spark.createDataFrame([("f", 1, "ab " * 50_000), ("f", 2, "abc xab ab_ .ab, ab"), ("f", 3, "none")], "file string, line int, text string")
+    got = usages.text_spans(df, "ab")
+    assert got.where("line = 1").count() == 50_000 and got.where("line = 1 and col % 3 <> 1").count() == 0
+    assert sorted((r["line"], r["col"], r["end_col"]) for r in got.where("line > 1").collect()) == [(2, 14, 16), (2, 18, 20)]
