@@ -173,7 +173,7 @@ def test_matches_its_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, sf).select(*want.columns)
