@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, materialised, spread, table
+from lodestone.llm.common import _tidy, components, materialised, spread, table
 
 SEED = 42
 #: Members of a shard tree; what is done about larger shards is said in ``links`` and ``alike``.
@@ -29,8 +29,9 @@ WIDE, WIDE_RADIUS, WIDE_MEAN, MISSED, LEAST_TABLES = 4, 64, 40, 0.01, 24
 #: Members of an oversized shard that the others are measured against, in expectation, and how often
 #: new ones are taken from those that no pivot was near to.
 PIVOTS, PEELS = 256, 4
-#: Links of a member that are compared in each round after a link that stood for them failed.
-ROUNDS = (8, 64, 512, 1 << 62)
+#: After a link that stood for others failed: up to which of a member's links, by distance, each round compares. So rows
+#: stay in proportion to the members; what this leaves out is said in README.
+ROUNDS = (8, 32)
 #: Links that a search of what failed pairs stood for holds at a time.
 LINKS = 1 << 22
 
@@ -424,7 +425,7 @@ def _oversized_links(of: DataFrame, tree: int) -> DataFrame:
         left = rest.groupBy("g").agg(F.count(F.lit(1)).alias("left"))
         # The members of shards of which few are left have met their pivots already.
         large = materialised(left.where(F.col("left") > tree))
-        if not large.limit(1).count():
+        if large.isEmpty():
             break
         pivots = rest.join(large, "g").where(_piece(F.col("g"), F.ceil(F.col("left") / PIVOTS), 11 + peel) == 0).select("g", F.ceil(F.col("n") / tree).cast("int").alias("pieces"), "id", *words)
         pivots = pivots.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("role", F.lit(1))
@@ -494,7 +495,8 @@ class Candidates:
 
         A lost pair lies in one component of the tested pairs, and only in one that the good pairs don't
         connect. Such a component of up to ``tree`` members is searched as a whole, a larger one by its
-        shards, and from oversized shards those members meet the others whose pair has failed.
+        shards, and from oversized shards those members meet the others whose pair has failed. A member's links beyond
+        the last of ROUNDS are not compared.
         """
         near = components(tested).select(F.col("node").alias("id"), F.col("component").alias("near"))
         known = labels().select(F.col("node").alias("id"), "component")
@@ -502,7 +504,7 @@ class Candidates:
         open_ = sides.groupBy("near").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
         ids = materialised(near.join(open_.select("near", "n"), "near").select("id", "near", "n"))
         rows = self.sets.join(ids.where(F.col("n") <= self.tree), "id").select(F.col("near").alias("g"), "id", *_words(WIDE))
-        if ids.where(F.col("n") > self.tree).limit(1).count():
+        if not ids.where(F.col("n") > self.tree).isEmpty():
             large = ids.where(F.col("n") > self.tree).select("id", "near")
             rows = rows.unionByName(self.fit.join(large, "id").select(F.xxhash64("g", "near").alias("g"), "id", *_words(WIDE)))
             if self.of is not None:
@@ -516,7 +518,7 @@ class Candidates:
             dealt = named.repartition("g").sortWithinPartitions("g", "id").select("g", "id", "component", *_words(WIDE))
             found = materialised(dealt.mapInArrow(_windowed(low, high), "a long, b long").distinct())
             compare(found.where("a is not null"))
-            if not found.where("a is null").limit(1).count():
+            if found.where("a is null").isEmpty():
                 return
 
 
@@ -595,15 +597,15 @@ def _alike(sets: DataFrame, texts: DataFrame, words: int, tree: int) -> DataFram
     def compare(pairs: DataFrame) -> None:
         nonlocal tested, good, joined
         new = materialised(apart(pairs.join(tested, ["a", "b"], "left_anti")))
-        if not new.limit(1).count():
+        if new.isEmpty():
             return
         tested = materialised(tested.unionAll(new))
         found = materialised(verified(new, own, words))
-        if found.limit(1).count():
+        if not found.isEmpty():
             good = materialised(good.unionAll(found))
             joined = components(good)
 
-    if apart(first).limit(1).count():
+    if not apart(first).isEmpty():
         search.more(first, lambda: joined, compare)
     return joined
 
@@ -626,7 +628,8 @@ def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
     found = materialised(texts.mapInArrow(_sets(words), f"doc_id long, h long, id long, n long, {_row_kind(WIDE).split(', ', 1)[1]}"))
     whole = F.struct("n", *_words(WIDE))
     sets = materialised(found.groupBy("id").agg(F.first(whole).alias("x"), F.min(F.struct("doc_id", "h")).alias("one")).select("id", "x.*", "one"))
-    joined = _alike(sets, texts, words, tree).withColumnRenamed("node", "id")
+    with _tidy(docs.sparkSession):  # many small actions, whose shuffle files would add up
+        joined = _alike(sets, texts, words, tree).withColumnRenamed("node", "id")
     times = found.groupBy("id", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")).join(joined, "id", "left")
     first = times.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min(F.struct("doc_id", "h", "n")).alias("one"))
     first = materialised(first.select("one.*"))
