@@ -75,6 +75,14 @@ def test_members_of_nested_configs(spark):
     assert catalogue.config_members(configs.limit(0), files)[1] == "no config found"
 
 
+def test_members_have_no_bound_unless_one_is_given(spark):
+    n = 400_001
+    files = spark.range(n).select(F.concat(F.lit("src/f"), F.col("id").cast("string"), F.lit(".ts")).alias("path"))
+    configs = spark.createDataFrame([("tsconfig.json", None, None, None)], "config string, include array<string>, exclude array<string>, files array<string>")
+    members, why = catalogue.config_members(configs, files)
+    assert why is None and members.count() == n
+
+
 def applied(text, edits):
     out, at = [], 0
     for b, e, t in edits:
