@@ -29,11 +29,10 @@ WIDE, WIDE_RADIUS, WIDE_MEAN, MISSED, LEAST_TABLES = 4, 64, 40, 0.01, 24
 #: Members of an oversized shard that the others are measured against, in expectation, and how often
 #: new ones are taken from those that no pivot was near to.
 PIVOTS, PEELS = 256, 4
-#: After a link that stood for others failed: up to which of a member's links, by distance, each round compares. So rows
-#: stay in proportion to the members; what this leaves out is said in README.
-ROUNDS = (8, 32)
-#: Links that a search of what failed pairs stood for holds at a time.
-LINKS = 1 << 22
+#: Distinct shingles of a piece of a component that failed pairs leave open, and of the members that ask it at a time.
+PIECE, ASKING = 1 << 21, 1 << 19
+#: Up to so many partners of a member are compared one by one, more by counting along the postings of its shingles.
+FEW = 32
 
 _LANES = np.uint64(0x0101010101010101)
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:, None]
@@ -441,89 +440,115 @@ def _oversized_links(of: DataFrame, tree: int) -> DataFrame:
     return met if found is None else found.unionAll(met)
 
 
-def _windowed(low: int, high: int):
-    """Rows (g, id, words, component) sorted by g: the links of each member whose rank by distance is
-    from ``low`` to ``high``, if they lead to another component; and a row with a null a for a shard in which
-    some rank beyond."""
+def candidates(sets: DataFrame, tree: int = TREE) -> DataFrame:
+    """Pairs (a, b) of rows (id, w0 and on; distinct ids) that stand for those within WIDE_RADIUS bits of
+    each other that meet in a shard: each pair at WIDE_MEAN bits does but for a share of MISSED (see
+    wide_tables), closer ones sooner. They are the spanning forests of the shards; what a pair that fails the
+    comparison stood for, ``_reopened`` brings back.
+    """
+    keyed = _dealt(sets.select("id", *_words(WIDE)), wide_tables(sets.count()), WIDE)
+    big = _oversized(keyed, tree)
+    found = _in_trees((keyed if big is None else keyed.join(big, "g", "left_anti")).withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS)
+    if big is not None:
+        of = materialised(keyed.join(big, "g").select("g", "n", "id", *_words(WIDE)))
+        found = found.unionAll(_oversized_links(of, tree))
+    return found.distinct()
+
+
+def _groups(batches, names):
+    """Columns of a sorted input as arrays, one group (of the first column) at a time."""
+    held = None
+    for b in batches:
+        got = _arrays(b, names)
+        held = got if held is None else [np.concatenate(c) for c in zip(held, got)]
+        ends = [0, *(np.nonzero(held[0][1:] != held[0][:-1])[0] + 1).tolist()]
+        for x, y in zip(ends, ends[1:]):
+            yield [c[x:y] for c in held]
+        held = [c[ends[-1] :] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def crossing(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, index: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of a Jaccard similarity of 4/5 or more that connect the components ``label`` as all such links do
+    from members that ask to members of the index: fewer than there are components.
+
+    ``sets``: distinct shingles, none empty. A member joined to a component at ``home`` asks no more: what
+    crosses from there to elsewhere is found from the other side. A partner has one of any n - ceil(4n/5) + 1
+    shingles of a set of n, so only members with one of the rarest so many are compared; none is left out.
+    """
+    size = np.array([len(x) for x in sets])
+    names, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, at = np.repeat(np.arange(len(sets)), size), np.cumsum(size) - size
+    inside = index[owner]
+    count = np.bincount(token[inside], minlength=len(names))
+    posting, begin = owner[inside][np.argsort(token[inside], kind="stable")], np.cumsum(count) - count
+    postings = lambda tokens: np.concatenate([posting[begin[t] : begin[t] + count[t]] for t in tokens.tolist()])
+    of = np.unique(label, return_inverse=True)[1]
+    root, left, found = np.arange(of.max() + 1), int(of.max()) + 1, []
+    settled = np.zeros(left, bool)
+    settled[of[home]] = True
+    for i in np.nonzero(asks)[0].tolist():
+        if left == 1:
+            break
+        if settled[root[of[i]]]:
+            continue
+        own = token[at[i] : at[i] + size[i]]
+        others = count[own] - int(index[i])
+        rare = np.argsort(others, kind="stable")[: size[i] - (4 * size[i] + 4) // 5 + 1]
+        if not others[rare].any():
+            continue
+        met = np.unique(postings(own[rare]))
+        met = met[(root[of[met]] != root[of[i]]) & (5 * size[met] >= 4 * size[i]) & (5 * size[i] >= 4 * size[met])]
+        if len(met) > FEW:
+            both = np.bincount(postings(own), minlength=len(sets))[met]
+        else:
+            both = np.array([len(np.intersect1d(own, token[at[j] : at[j] + size[j]], assume_unique=True)) for j in met.tolist()], np.int64)
+        for j in met[9 * both >= 4 * (size[i] + size[met])].tolist():
+            x, y = root[of[i]], root[of[j]]
+            if x != y:
+                found.append((i, j))
+                settled[x] |= settled[y]
+                root[root == y] = x
+                left -= 1
+    return found
+
+
+def _crossing(words):
+    """Rows (g, role, home, id, component, z) sorted by g: role 1 is in the index of its group, 2 asks, 3 both."""
 
     def run(batches):
-        for g, ids, label, *w in _slabs(batches, ["g", "id", "component", *_words(WIDE)]):
-            group, values = _numbered(g), np.stack(w, axis=1).view(np.uint64)
-            sizes = np.bincount(group)
-            # Groups at a time that can't have more than LINKS links together, one at least.
-            part = (np.cumsum(sizes**2) // LINKS)[group]
-            for p in np.unique(part):
-                some = part == p
-                own, v, i, c = group[some] - group[some][0], values[some], ids[some], label[some]
-                every = np.ones(len(i), bool)
-                a, b, d = _tree_links(own, v, every, every, WIDE_RADIUS)
-                x, y, e = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
-                order = np.lexsort((i[y], e, x))
-                x, y = x[order], y[order]
-                rank, cross = np.arange(len(x)) - np.searchsorted(x, x), c[x] != c[y]
-                some = cross & (rank >= low) & (rank < high)
-                yield _edges(i, x[some], y[some], None)
-                if (cross & (rank >= high)).any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+        for _, role, home, ids, label, z in _groups(batches, ["g", "role", "home", "id", "component", "z"]):
+            links = np.array(crossing([_shingles(x, words) for x in z], label, home.astype(bool), (role & 1) > 0, (role & 2) > 0), np.int64).reshape(-1, 2)
+            yield _edges(ids, links[:, 0], links[:, 1], None)
 
     return run
 
 
-class Candidates:
-    """Pairs (a, b) of rows (id, w0 and on; distinct ids) that stand for those within WIDE_RADIUS bits of
-    each other that meet in a shard: each pair at WIDE_MEAN bits does but for a share of MISSED (see
-    wide_tables), closer ones sooner.
+def _reopened(tested: DataFrame, joined: DataFrame, sizes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of similar texts that connect whatever failed pairs kept apart. ``tested``: all pairs compared so far;
+    ``joined``: (node, component) by the good ones; ``sizes``: id, n; ``texts``: id, z of all that were in a pair.
 
-    ``first`` has the spanning forests of the shards. Once its pairs are compared, ``more`` gives, round by
-    round, what the failed ones stood for: all links between members that are not connected by then.
+    A pair that the search passed over for others lies in one component of the tested pairs, and only in one that
+    the good pairs don't connect. In it, every member outside its largest good component is compared with every
+    member, exactly and whatever their fingerprints, as one end of each missing link lies there. Texts go to the
+    comparison, not pairs out of it: a task gives fewer rows than it has members. A component is one
+    group up to PIECE shingles, and ASKING of those that ask; a larger one is cut into pieces, and each piece meets each cut of those.
     """
-
-    def __init__(self, sets: DataFrame, tree: int = TREE):
-        self.sets, self.tree = sets.select("id", *_words(WIDE)), tree
-        self.keyed = _dealt(self.sets, wide_tables(sets.count()), WIDE)
-        self.big = _oversized(self.keyed, tree)
-        self.fit = self.keyed if self.big is None else self.keyed.join(self.big, "g", "left_anti")
-        self.of = None if self.big is None else materialised(self.keyed.join(self.big, "g").select("g", "n", "id", *_words(WIDE)))
-
-    def first(self) -> DataFrame:
-        found = _in_trees(self.fit.withColumn("role", F.lit(3)), WIDE, WIDE_RADIUS)
-        return (found if self.of is None else found.unionAll(_oversized_links(self.of, self.tree))).distinct()
-
-    def more(self, tested: DataFrame, labels, compare) -> None:
-        """What failed pairs stood for. ``tested``: the pairs of ``first``; ``labels()`` gives the (node, component) that
-        the good ones make by now, ``compare(pairs)`` compares pairs (a, b) and takes them up.
-
-        A lost pair lies in one component of the tested pairs, and only in one that the good pairs don't
-        connect. Such a component of up to ``tree`` members is searched as a whole, a larger one by its
-        shards, and from oversized shards those members meet the others whose pair has failed. A member's links beyond
-        the last of ROUNDS are not compared.
-        """
-        near = components(tested).select(F.col("node").alias("id"), F.col("component").alias("near"))
-        known = labels().select(F.col("node").alias("id"), "component")
-        sides = near.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = sides.groupBy("near").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-        ids = materialised(near.join(open_.select("near", "n"), "near").select("id", "near", "n"))
-        rows = self.sets.join(ids.where(F.col("n") <= self.tree), "id").select(F.col("near").alias("g"), "id", *_words(WIDE))
-        if not ids.where(F.col("n") > self.tree).isEmpty():
-            large = ids.where(F.col("n") > self.tree).select("id", "near")
-            rows = rows.unionByName(self.fit.join(large, "id").select(F.xxhash64("g", "near").alias("g"), "id", *_words(WIDE)))
-            if self.of is not None:
-                apart = tested.join(known.select(F.col("id").alias("a"), F.col("component").alias("_a")), "a", "left").join(known.select(F.col("id").alias("b"), F.col("component").alias("_b")), "b", "left")
-                failed = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(F.explode(F.array("a", "b")).alias("id")).distinct()
-                compare(_rest_links(self.of, self.of.join(failed, "id", "left_semi").select("g", "id", *_words(WIDE)), self.tree).distinct())
-        rows = materialised(rows)
-        for low, high in zip((0, *ROUNDS), ROUNDS):
-            now = labels().select(F.col("node").alias("id"), "component")
-            named = rows.join(now, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            dealt = named.repartition("g").sortWithinPartitions("g", "id").select("g", "id", "component", *_words(WIDE))
-            found = materialised(dealt.mapInArrow(_windowed(low, high), "a long, b long").distinct())
-            compare(found.where("a is not null"))
-            if found.where("a is null").isEmpty():
-                return
-
-
-def candidates(sets: DataFrame, tree: int = TREE) -> DataFrame:
-    return Candidates(sets, tree).first()
+    near = components(tested).select(F.col("node").alias("id"), F.col("component").alias("near"))
+    sides = near.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = sides.groupBy("near", "component").agg(F.count(F.lit(1)).alias("k"))
+    most = parts.groupBy("near").agg(F.max(F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows = materialised(sides.join(most.select("near", F.col("most.component").alias("largest")), "near").join(sizes, "id").withColumn("home", F.col("component") == F.col("largest")))
+    cuts = rows.groupBy("near").agg(F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"), F.ceil(F.sum(F.when(~F.col("home"), F.col("n"))) / ASKING).cast("int").alias("chunks"))
+    p, c = (_piece(F.col("near"), F.col(x), salt).cast("int") for x, salt in (("pieces", 2), ("chunks", 3)))
+    rows = rows.join(cuts, "near").withColumns({"p": p, "c": F.when(F.col("home"), F.lit(-1)).otherwise(c)})
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = F.transform(every("chunks"), lambda x: F.struct(F.col("p").alias("p"), x.alias("c")))
+    asking = F.when(F.col("home"), F.slice(asked, 1, 0)).otherwise(F.transform(every("pieces"), lambda x: F.struct(x.alias("p"), F.col("c").alias("c"))))
+    role = F.when(F.col("cell.p") == F.col("p"), 1).otherwise(0) + F.when(F.col("cell.c") == F.col("c"), 2).otherwise(0)
+    dealt = rows.join(texts, "id").withColumn("cell", F.explode(F.array_union(asked, asking))).select(F.xxhash64("near", "cell.p", "cell.c").alias("g"), role.alias("role"), "home", "id", "component", "z")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_crossing(words), "a long, b long")
 
 
 def _sets(words):
@@ -550,14 +575,16 @@ def _zipped(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["id", "z"])
 
 
-def _compared(words):
-    of = lambda z: np.unique(_hashes(zlib.decompress(z).decode("utf-8", "surrogatepass"), words))
+def _shingles(z: bytes, words: int) -> np.ndarray:
+    return np.unique(_hashes(zlib.decompress(z).decode("utf-8", "surrogatepass"), words))
 
+
+def _compared(words):
     def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = of(x.as_py()), of(y.as_py())
+                x, y = _shingles(x.as_py(), words), _shingles(y.as_py(), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -582,32 +609,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 def _alike(sets: DataFrame, texts: DataFrame, words: int, tree: int) -> DataFrame:
     """(node, component) of the sets that link by their exact similarity."""
-    search = Candidates(sets.where("n > 0"), tree)
-    first = tested = materialised(search.first())
-    # Whatever is compared later has been in a pair of these.
-    own = _texts_of(first, sets, texts)
-    good = materialised(verified(first, own, words))
+    tested = materialised(candidates(sets.where("n > 0"), tree))
+    own = _texts_of(tested, sets, texts)
+    good = materialised(verified(tested, own, words))
     joined = components(good)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        at = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-        sides = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        return sides.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal tested, good, joined
-        new = materialised(apart(pairs.join(tested, ["a", "b"], "left_anti")))
-        if new.isEmpty():
-            return
-        tested = materialised(tested.unionAll(new))
-        found = materialised(verified(new, own, words))
-        if not found.isEmpty():
-            good = materialised(good.unionAll(found))
-            joined = components(good)
-
-    if not apart(first).isEmpty():
-        search.more(first, lambda: joined, compare)
-    return joined
+    if good.count() == tested.count():
+        return joined
+    found = materialised(_reopened(tested, joined, sets.select("id", "n"), own, words))
+    return joined if found.isEmpty() else components(good.unionAll(found))
 
 
 def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
@@ -618,7 +627,7 @@ def keep_one(docs: DataFrame, words: int = 5, tree: int = TREE) -> DataFrame:
     several such rows the one with the smallest hash of the whole row, once if it is repeated.
     Links are looked for with SimHash: of each distinct shingle set one fingerprint of 256 bits is
     searched in BK-trees for others within 64 bits, and the pairs found are compared exactly, those that
-    a failed pair stood for too; see ``Candidates`` for the share that may be lost. Texts of any length are read whole. Null and
+    a failed pair stood for too; see ``candidates`` for the share that may be lost. Texts of any length are read whole. Null and
     empty texts are alike. Rows without a doc_id stay; an empty table gives an empty result; columns
     may have any names, as they travel in a struct.
     """

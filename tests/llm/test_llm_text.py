@@ -355,6 +355,46 @@ def test_families_of_versions_lose_no_pair(spark):
         assert got == want, tree
 
 
+def test_partners_beyond_the_nearest_links_are_found(spark, monkeypatch):
+    """200 versions of a text that are all a little less alike than the threshold, and for 60 of them one that is a
+    little more alike than it: hundreds of links that fail lie nearer than the one that holds."""
+    base, texts = [f"w{j}" for j in range(132)], []
+    versions = [[f"v{i}x{j}" for j in range(18)] for i in range(200)]
+    for head in [*versions, *([*v[:6], *(f"c{i}x{j}" for j in range(12))] for i, v in enumerate(versions[:60]))]:
+        texts.append(" ".join([*head, *base]))
+    sets = [plain_shingles(t) for t in texts]
+    alike = {(i, j) for j in range(260) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert alike == {(i, 200 + i) for i in range(60)}
+    for piece, asking in ((1 << 21, 1 << 19), (9000, 5000)):  # whole, and in pieces and cuts
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(simhash, "ASKING", asking)
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, texts)).select("doc_id").collect()) == list(range(1, 201))
+
+
+def test_links_across_components_against_brute_force(monkeypatch):
+    rng = random.Random(8)
+    for trial in range(60):
+        monkeypatch.setattr(simhash, "FEW", rng.choice((0, 3, 32)))
+        n, base = rng.randint(2, 60), rng.sample(range(500), 40)
+        sets = [np.unique(np.array([rng.randrange(9999) if rng.random() < rng.choice((0, 0.08, 0.15)) else x for x in base[: rng.randint(30, 40)]], np.uint64)) for _ in range(n)]
+        alike = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+        all_pairs = [(i, j) for j in range(n) for i in range(j) if alike(i, j)]
+        known = [p for p in all_pairs if rng.random() < 0.1]
+        label = simhash._labels(n, *(np.array([p[k] for p in known], np.int64) for k in (0, 1)))
+        home = label == np.bincount(label).argmax()
+        pieces, chunks = rng.randint(1, 3), rng.randint(1, 3)
+        piece, chunk, got = rng.choices(range(pieces), k=n), rng.choices(range(chunks), k=n), list(known)
+        for p in range(pieces):
+            for c in range(chunks):
+                index, asks = np.array(piece) == p, (np.array(chunk) == c) & ~home
+                if (some := np.nonzero(index | asks)[0]).size:
+                    links = simhash.crossing([sets[i] for i in some], label[some], home[some], index[some], asks[some])
+                    assert len(links) < len(some) and all(alike(some[i], some[j]) for i, j in links)
+                    got += [(some[i], some[j]) for i, j in links]
+        joined = lambda pairs: simhash._labels(n, *(np.array([p[k] for p in pairs], np.int64) for k in (0, 1))).tolist()
+        assert joined(got) == joined(all_pairs)
+
+
 def test_near_duplicates_edges(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd(spark)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (None, None)}
